@@ -1,0 +1,336 @@
+"""The driver's tables seen as the logical tables of ``schemas``.
+
+Expressions kept as SQL text are valid in Spark and in ANSI engines alike, so that
+the checks can state the same mapping once.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+from functools import cached_property
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from orderloom.functions.geo import h3_text
+
+AS_OF = dt.date(1996, 12, 31)
+COUNTRIES = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+CITIES = tuple(f"NATION_{i}" for i in range(25))
+SESSION_START, SESSION_END = dt.date(2024, 1, 1), dt.date(2024, 1, 28)
+PARTNER = "Supplier#000000003"
+
+# Order-level margin and cost terms out of the order's lines; several may be null.
+PNL_TERMS = {
+    "contribution_margin_eur": "sum(l_extendedprice * (1 - l_discount)) * 0.1",
+    "tcorev_eur": "sum(l_extendedprice * 0.2)",
+    "adve_eur": "sum(l_extendedprice * l_tax)",
+    "totbdr_eur": "sum(l_extendedprice * 0.01)",
+    "bwsrev_eur": "sum(l_extendedprice * 0.005)",
+    "mbsrsu_eur": "CAST(count(*) AS DOUBLE)",
+    "serfig_eur": "sum(l_quantity)",
+    "deacsu_eur": "min(nullif(l_discount, 0)) * 100",
+    "mfcgso_eur": "sum(l_extendedprice * 0.03)",
+    "qmcogs_eur": "sum(l_extendedprice * 0.02)",
+    "bcomfr_eur": "sum(l_extendedprice * l_discount) * 0.1",
+    "dicofr_eur": "min(nullif(l_discount, 0))",
+    "wacofr_eur": "sum(l_quantity) * 0.01",
+    "bundfr_eur": "min(nullif(l_tax, 0))",
+    "rubcfr_eur": "CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 END) AS DOUBLE)",
+    "rabcfr_eur": "CAST(count(*) AS DOUBLE) * 0.5",
+    "otbcfr_eur": "max(nullif(l_tax, 0))",
+    "caocfr_eur": "CAST(sum(CASE WHEN l_linestatus = 'O' THEN 1 END) AS DOUBLE)",
+}
+STATUS = "CASE WHEN o_orderstatus <> 'O' THEN 'DeliveredStatus' ELSE 'CanceledStatus' END"
+PARENT = "CASE WHEN o_orderpriority = '5-LOW' THEN 'CHILD' END"
+VERTICAL = "CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'QCommerce' ELSE 'Food' END"
+PAYMENT = """CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'CREDIT_CARD' WHEN '2' THEN 'CASH'
+    WHEN '3' THEN 'APPLE_PAY' WHEN '4' THEN 'GOOGLE_PAY' ELSE 'BANK_TRANSFER' END"""
+SEGMENT = """CASE s_suppkey % 5 WHEN 0 THEN 'Top City' WHEN 1 THEN 'Top Country'
+    WHEN 2 THEN 'Local Selection' WHEN 3 THEN 'Long Tail' ELSE 'Big Chain' END"""
+NETWORK = """CASE c_custkey % 5 WHEN 0 THEN 'Google Ads ACI' WHEN 1 THEN 'Apple Search Ads'
+    WHEN 2 THEN 'Aura ironSource' WHEN 3 THEN 'Untrusted Devices' ELSE 'Tiktok SAN' END"""
+CATEGORY = """CASE WHEN p_name LIKE '%bolt' OR p_name LIKE '%ring' OR p_name LIKE '%widget'
+        OR p_name LIKE '%gizmo' THEN ' Drink '
+    WHEN p_name LIKE '%gear' OR p_name LIKE '%plate' OR p_name LIKE '%rod' THEN 'other' END"""
+
+# Product names in the scripts of six countries, one per noun of the part names.
+LOCAL_COUNTRIES = ("PL", "UA", "KZ", "KG", "GE", "AM")
+LOCAL_NAMES = {
+    "anvil": ("Ciacho z kremem", "Соус сирний", "Хлеб тандырный", "Соус острый", "პურის Roll", "դոլմա տնական"),
+    "bolt": ("Woda mineralna", "Вода газована", "Вода без газа", "Компот домашний", "მინერალური წყალი", "Հանքային ջուր"),
+    "gear": ("Lody waniliowe", "Хліб житній", "Картофель фри", "Popcorn сладкий", "ხაჭაპური", "Սուրճ սև"),
+    "gizmo": ("Pepsi Max", "Пепсі 0.5л", "Пепси", "ПЕПСИ Блэк", "პეპსი", "Փեփսի"),
+    "plate": ("Frytki duże", "Картопля по-селянськи", "Плов", "Лагман", "ხინკალი", "Խորոված"),
+    "ring": ("Sok jabłkowy", "Узвар", "Лимонад тархун", "Чай зелёный", "ლიმონათი", "Լիմոնադ"),
+    "rod": ("Coca-Cola lody", "Пепероні", "Кебаб", "Шашлык", "მწვადი", "Լավաշ"),
+    "widget": ("Coca-Cola 500 ml", "Кока-Кола 1 л", "Кока Кола 0.5", "Coca Cola Zero", "კოკა-კოლა", "Կոկա-Կոլա"),
+}
+
+
+def _digits_base7(key: Column) -> Column:
+    out = F.lit(0).cast("long")
+    for place in range(8):
+        digit = F.floor(key / F.lit(7**place)).cast("long") % 7
+        out = out + F.shiftleft(digit, 21 + 3 * place)
+    return out
+
+
+def cell_of(key: Column) -> Column:
+    """A resolution-8 cell id text made out of an integer key."""
+    head = (1 << 59) | (8 << 52) | (15 << 45) | ((1 << 21) - 1)
+    return h3_text(F.lit(head) + _digits_base7(key))
+
+
+class Testbed:
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark = spark
+        self.folder = folder
+
+    def raw(self, table: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder.rstrip('/')}/{table}.parquet")
+
+    @cached_property
+    def places(self) -> DataFrame:
+        nation, region = self.raw("nation"), self.raw("region")
+        return nation.join(region, nation.n_regionkey == region.r_regionkey).select(
+            "n_nationkey", F.col("n_name").alias("city"), F.col("r_name").alias("country")
+        )
+
+    def order_facts(self, stores: bool = True) -> DataFrame:
+        """``stores=False`` leaves the store columns null and the order lines unread."""
+        orders = self.raw("orders")
+        customers = self.raw("customer").join(self.places, F.col("c_nationkey") == F.col("n_nationkey"))
+        first = (
+            orders.filter("o_orderstatus <> 'O'")
+            .groupBy("o_custkey")
+            .agg(F.min(F.struct("o_orderdate", "o_orderkey")).alias("first"))
+            .select(F.col("first.o_orderkey").alias("first_key"), F.lit(True).alias("is_first"))
+        )
+        out = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).join(
+            first, F.col("o_orderkey") == F.col("first_key"), "left"
+        )
+        if stores:
+            chosen = self.raw("lineitem").groupBy("l_orderkey").agg(F.min("l_suppkey").alias("store_id"))
+            names = self.raw("supplier").select("s_suppkey", F.col("s_name").alias("store_name"))
+            out = out.join(chosen, F.col("o_orderkey") == F.col("l_orderkey"), "left").join(
+                names, F.col("store_id") == F.col("s_suppkey"), "left"
+            )
+        else:
+            out = out.withColumns(
+                {"store_id": F.lit(None).cast("long"), "store_name": F.lit(None).cast("string")}
+            )
+        return out.select(
+            F.col("o_orderkey").alias("order_id"),
+            F.col("o_custkey").alias("customer_id"),
+            F.col("country").alias("order_country_code"),
+            F.col("city").alias("order_city_code"),
+            F.col("o_orderdate").alias("order_activated_local_at"),
+            F.expr(STATUS).alias("order_final_status"),
+            F.expr(PARENT).alias("order_parent_relationship_type"),
+            F.coalesce("is_first", F.lit(False)).alias("order_is_first_delivered_order"),
+            (F.col("o_orderpriority") == "1-URGENT").alias("order_is_prime"),
+            F.expr(VERTICAL).alias("order_vertical"),
+            F.col("o_totalprice").alias("order_transacted_value_eur"),
+            (F.col("o_totalprice") * 4).alias("order_transacted_value_local"),
+            "store_name",
+            "store_id",
+            F.col("store_id").alias("store_address_id"),
+        )
+
+    def order_pnl(self) -> DataFrame:
+        return (
+            self.raw("lineitem")
+            .groupBy(F.col("l_orderkey").alias("order_id"))
+            .agg(*[F.expr(sql).alias(name) for name, sql in PNL_TERMS.items()])
+        )
+
+    def customer_ltv(self) -> DataFrame:
+        base = F.when(F.col("c_acctbal") > 0, F.col("c_acctbal"))
+        return self.raw("customer").select(
+            F.col("c_custkey").alias("customer_id"),
+            *[(base * years).alias(f"pltv_{years}y") for years in (1, 3, 5)],
+        )
+
+    def customer_lto(self) -> DataFrame:
+        base = F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")) / 100
+        day = F.when(F.col("c_custkey") % 2 == 0, F.lit(AS_OF - dt.timedelta(days=1))).otherwise(
+            F.lit(AS_OF - dt.timedelta(days=2))
+        )
+        return self.raw("customer").select(
+            F.col("c_custkey").alias("customer_id"),
+            *[(base * (m // 12)).alias(f"predicted_orders_{m}mo") for m in (12, 36, 60)],
+            day.alias("p_date"),
+        )
+
+    def bought_products(self) -> DataFrame:
+        lines, parts = self.raw("lineitem"), self.raw("part")
+        return lines.join(parts, lines.l_partkey == parts.p_partkey).select(
+            F.col("l_orderkey").alias("order_id"),
+            F.col("l_partkey").alias("product_id"),
+            F.col("p_name").alias("product_name"),
+            F.col("l_quantity").cast("long").alias("bought_product_quantity"),
+        )
+
+    def product_availability(self) -> DataFrame:
+        lines, parts = self.raw("lineitem"), self.raw("part")
+        return lines.join(parts, lines.l_partkey == parts.p_partkey).select(
+            F.col("l_suppkey").alias("store_address_id"),
+            F.col("l_partkey").alias("product_id"),
+            F.col("p_name").alias("product_name"),
+            (F.col("l_returnflag") != "R").alias("product_is_available"),
+            F.to_date("l_shipdate").alias("p_snapshot_date"),
+        )
+
+    def product_predictions(self) -> DataFrame:
+        """One row per product and country, as predictions repeat a product over stores."""
+        return (
+            self.raw("part")
+            .withColumn("order_country_code", F.explode(F.array(*[F.lit(c) for c in COUNTRIES])))
+            .select(
+                "order_country_code",
+                F.lit("any").alias("store_name"),
+                F.col("p_partkey").alias("product_id"),
+                F.col("p_name").alias("product_name"),
+                F.expr(CATEGORY).alias("predicted_category"),
+            )
+        )
+
+    def local_products(self) -> DataFrame:
+        """Products named in six languages, with a guessed category."""
+        country = F.element_at(
+            F.array(*[F.lit(c) for c in LOCAL_COUNTRIES]), (F.col("p_partkey") % 6 + 1).cast("int")
+        )
+        noun = F.substring_index("p_name", " ", -1)
+        name = None
+        for word, names in LOCAL_NAMES.items():
+            local = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("p_partkey") % 6 + 1).cast("int"))
+            name = F.when(noun == word, local) if name is None else name.when(noun == word, local)
+        return self.raw("part").select(
+            country.alias("order_country_code"),
+            F.concat(F.lit("store "), F.col("p_brand")).alias("store_name"),
+            F.col("p_partkey").alias("product_id"),
+            F.concat_ws(" ", name, F.col("p_size").cast("string"), F.lit("ml")).alias("product_name"),
+            F.when(F.col("p_size") % 3 == 0, F.lit(" Drink"))
+            .when(F.col("p_size") % 3 == 1, F.lit("OTHER "))
+            .alias("predicted_category"),
+        )
+
+    def training_products(self) -> DataFrame:
+        return (
+            self.raw("documents")
+            .join(self.raw("labels"), "doc_id")
+            .select(
+                "doc_id",
+                F.col("lang").alias("order_country_code"),
+                F.col("text").alias("product_name"),
+                F.when(F.col("quality") == 1, "drink").otherwise("other").alias("Category"),
+            )
+        )
+
+    def hexagons(self) -> DataFrame:
+        key = F.col("user_id")
+        lat = F.round(F.lit(40.0) + F.lit(0.01) * (key % 37), 6)
+        lon = F.round(F.lit(20.0) + F.lit(0.01) * F.floor(key / 37), 6)
+
+        def corner(dx: float, dy: float) -> Column:
+            return F.format_string("%.3f %.3f", lon + dx, lat + dy)
+
+        steps = ((-0.005, -0.005), (0.005, -0.005), (0.005, 0.005), (-0.005, 0.005), (-0.005, -0.005))
+        ring = F.concat_ws(", ", *[corner(dx, dy) for dx, dy in steps])
+        return (
+            self.raw("events")
+            .select("user_id")
+            .distinct()
+            .select(
+                F.concat(F.lit("NATION_"), (key % 25).cast("string")).alias("city_code"),
+                cell_of(key).alias("h3_8_hash"),
+                lat.alias("h3_8_center_lat"),
+                lon.alias("h3_8_center_lon"),
+                F.when(key % 10 != 9, F.concat(F.lit("POLYGON (("), ring, F.lit("))"))).alias("h3_8_polygon_wkt"),
+            )
+        )
+
+    def _events(self) -> DataFrame:
+        k = F.get_json_object("props", "$.k").cast("long")
+        return (
+            self.raw("events")
+            .withColumn("k", k)
+            .withColumn("nation", (F.col("user_id") % 25).cast("int"))
+            .join(self.places, F.col("nation") == F.col("n_nationkey"))
+        )
+
+    def sessions(self) -> DataFrame:
+        return self._events().select(
+            F.col("event_id").cast("string").alias("dynamic_session_id"),
+            cell_of(F.col("user_id")).alias("h8_hexagon"),
+            F.col("country").alias("country_code"),
+            F.col("city").alias("city_code"),
+            F.col("ts").alias("session_start_time_local"),
+            F.array(F.col("k") % 10, (F.col("k") * 7) % 10).alias("visited_store_address_ids"),
+            F.when(F.col("event_type") == "purchase", 1).otherwise(0).cast("long").alias("count_ce__order_created"),
+        )
+
+    def checkout_events(self) -> DataFrame:
+        return (
+            self._events()
+            .filter("event_type = 'purchase'")
+            .select(
+                F.col("event_id").alias("order_id"),
+                F.col("event_id").cast("string").alias("dynamic_session_id"),
+                F.concat(F.lit("Supplier#"), F.lpad((F.col("k") % 10).cast("string"), 9, "0")).alias("store_name"),
+                "country",
+                "city",
+                F.to_date("ts").alias("p_creation_date"),
+            )
+        )
+
+    def store_addresses(self) -> DataFrame:
+        key = F.col("s_suppkey")
+        return self.raw("supplier").select(
+            key.alias("store_address_id"),
+            key.alias("store_id"),
+            cell_of(key).alias("h3_hash_8"),
+            F.when(key % 3 != 0, (key % 500 * 5 + 900).cast("double")).alias(
+                "store_address_maximum_delivery_distance_meters"
+            ),
+            (key % 11 == 5).alias("store_address_is_deleted"),
+            F.when(key % 7 == 0, F.lit(AS_OF)).alias("p_end_date"),
+        )
+
+    def stores(self) -> DataFrame:
+        key = F.col("s_suppkey")
+        return self.raw("supplier").select(
+            key.alias("store_id"),
+            F.col("s_name").alias("store_name"),
+            F.concat(F.lit("NATION_"), (key % 25).cast("string")).alias("city_code"),
+            (key % 13 != 4).alias("store_is_enabled"),
+            (key % 500 * 10 + 1000).cast("double").alias("store_maximum_delivery_distance"),
+            F.lit(None).cast("date").alias("p_end_date"),
+        )
+
+    def payments(self) -> DataFrame:
+        return self.raw("orders").select(
+            F.col("o_orderkey").alias("order_id"), F.expr(PAYMENT).alias("payment_method")
+        )
+
+    def installs(self) -> DataFrame:
+        return self.raw("customer").select(
+            F.when(F.col("c_custkey") % 9 != 0, F.col("c_custkey")).alias("app_install_user_id"),
+            F.expr(NETWORK).alias("app_install_network_name"),
+            (F.col("c_custkey") % 2 == 0).alias("app_install_is_organic"),
+        )
+
+    def pricing_discounts(self) -> DataFrame:
+        return self.raw("orders").select(
+            F.col("o_orderkey").alias("order_id"),
+            F.when(F.col("o_orderkey") % 4 == 0, "PROMOTOOL").otherwise("OTHER").alias("discount_type"),
+        )
+
+    def store_segmentation(self) -> DataFrame:
+        return self.raw("supplier").select(
+            F.col("s_suppkey").alias("store_id"),
+            F.expr(SEGMENT).alias("segmentation"),
+            F.lit("EUROPE").alias("country_code"),
+            F.when(F.col("s_suppkey") % 7 == 0, F.lit(AS_OF)).alias("p_end_date"),
+        )
