@@ -94,17 +94,17 @@ def kmeans_buckets(tb: Testbed) -> DataFrame:
 
 PREDICTED = ("pltv_1y", "pltv_3y", "pltv_5y", "plto_1y", "plto_3y", "plto_5y")
 REPORT_SQL = f"""SELECT country, bucket, cluster_customers, total_orders, total_qcomm_orders, active_months,
-    round(contribution_margin_eur, 4) AS contribution_margin_eur, round(rpo_total, 4) AS rpo_total,
-    round(cpo_total, 4) AS cpo_total,
-    {', '.join(f'round({c}_sum, 4) AS {c}_sum, {c}_count, round({c}_sum / nullif({c}_count, 0), 4) AS {c}_avg' for c in PREDICTED)},
-    round(aov_min, 4) AS aov_min, round(aov_max, 4) AS aov_max,
+    round(contribution_margin_eur, 6) AS contribution_margin_eur, round(rpo_total, 6) AS rpo_total,
+    round(cpo_total, 6) AS cpo_total,
+    {', '.join(f'round({c}_sum, 6) AS {c}_sum, {c}_count, round({c}_sum / nullif({c}_count, 0), 6) AS {c}_avg' for c in PREDICTED)},
+    round(aov_min, 6) AS aov_min, round(aov_max, 6) AS aov_max,
     CAST(trunc(aov_min) AS BIGINT) || ' - ' || CAST(trunc(aov_max) AS BIGINT) AS aov_interval,
-    round(total_orders / sum(total_orders) OVER w, 4) AS orders_ratio,
-    round(cluster_customers / sum(cluster_customers) OVER w, 4) AS customers_ratio,
-    round(total_qcomm_orders / sum(total_orders) OVER w, 4) AS qcomm_ratio,
-    round(CASE WHEN active_months <> 0 THEN total_orders / active_months ELSE 0 END, 4) AS frequency,
-    round(contribution_margin_eur / total_orders, 4) AS cm, round(rpo_total / total_orders, 4) AS rpo,
-    round(cpo_total / total_orders, 4) AS cpo
+    round(total_orders / sum(total_orders) OVER w, 6) AS orders_ratio,
+    round(cluster_customers / sum(cluster_customers) OVER w, 6) AS customers_ratio,
+    round(total_qcomm_orders / sum(total_orders) OVER w, 6) AS qcomm_ratio,
+    round(CASE WHEN active_months <> 0 THEN total_orders / active_months ELSE 0 END, 6) AS frequency,
+    round(contribution_margin_eur / total_orders, 6) AS cm, round(rpo_total / total_orders, 6) AS rpo,
+    round(cpo_total / total_orders, 6) AS cpo
 FROM (SELECT country, bucket, count(customer_id) AS cluster_customers, CAST(sum(total_orders) AS BIGINT) AS total_orders,
     CAST(sum(total_qcomm_orders) AS BIGINT) AS total_qcomm_orders, CAST(sum(active_months) AS BIGINT) AS active_months,
     coalesce(sum(contribution_margin_eur), 0) AS contribution_margin_eur, coalesce(sum(rpo), 0) AS rpo_total,
@@ -120,15 +120,15 @@ def bucket_report_customers(tb: Testbed) -> DataFrame:
         reports.customer_value_report(
             tb.order_facts(stores=False), tb.order_pnl(), tb.customer_ltv(), tb.customer_lto(), AS_OF, COUNTRIES
         ),
-        4,
+        6,
     )
 
 
-ORDER_REPORT_SQL = """SELECT country, bucket, total_orders, round(margin, 4) AS contribution_margin_eur,
-    round(lo, 4) AS aov_min, round(hi, 4) AS aov_max,
+ORDER_REPORT_SQL = """SELECT country, bucket, total_orders, round(margin, 6) AS contribution_margin_eur,
+    round(lo, 6) AS aov_min, round(hi, 6) AS aov_max,
     CAST(trunc(lo) AS BIGINT) || ' - ' || CAST(trunc(hi) AS BIGINT) AS aov_interval,
-    round(total_orders / sum(total_orders) OVER (PARTITION BY country), 4) AS orders_ratio,
-    round(margin / total_orders, 4) AS cm
+    round(total_orders / sum(total_orders) OVER (PARTITION BY country), 6) AS orders_ratio,
+    round(margin / total_orders, 6) AS cm
 FROM (SELECT country, bucket, count(order_id) AS total_orders, coalesce(sum(contribution_margin_eur), 0) AS margin,
     min(aov) AS lo, max(aov) AS hi FROM bucketed WHERE bucket IS NOT NULL GROUP BY 1, 2)"""
 PRIME_SQL = """WITH prime AS MATERIALIZED (SELECT order_country_code AS country, o.order_id,
@@ -139,7 +139,7 @@ PRIME_SQL = """WITH prime AS MATERIALIZED (SELECT order_country_code AS country,
 
 @query(PRIME_SQL + kmeans_sql("prime", ORDER_REPORT_SQL)[5:], ["value_orders", "pnl"], recursive=True)
 def bucket_report_orders(tb: Testbed) -> DataFrame:
-    return rounded(reports.prime_order_report(tb.order_facts(stores=False), tb.order_pnl(), AS_OF, COUNTRIES), 4)
+    return rounded(reports.prime_order_report(tb.order_facts(stores=False), tb.order_pnl(), AS_OF, COUNTRIES), 6)
 
 
 # ---------------------------------------------------------------------------- hexagons
@@ -198,11 +198,11 @@ def hex_demand_city(tb: Testbed) -> DataFrame:
 
 def edges_sql(metric: str) -> str:
     """Bucket edges of one metric: the count of buckets depends on the distinct values below the cut."""
+    choices = " ".join(f"WHEN {n} THEN quantile_cont(v, {[i / n for i in range(n + 1)]})" for n in range(2, 8))
     return f"""{metric}_kept AS (SELECT coalesce({metric}, 0)::DOUBLE AS v FROM demand WHERE coalesce({metric}, 0)
             <= (SELECT quantile_cont(coalesce({metric}, 0)::DOUBLE, 0.95) FROM demand)),
-    {metric}_edges AS (SELECT DISTINCT quantile_cont(v, i::DOUBLE / n) AS e
-        FROM {metric}_kept, (SELECT greatest(2, least(7, count(DISTINCT v))) AS n FROM {metric}_kept) s,
-            range(8) r(i) WHERE i <= n GROUP BY i, n),
+    {metric}_edges AS (SELECT DISTINCT unnest(CASE greatest(2, least(7, count(DISTINCT v))) {choices} END) AS e
+        FROM {metric}_kept),
     {metric}_bins AS (SELECT (row_number() OVER (ORDER BY e) - 1)::INTEGER AS i, e AS lo, lead(e) OVER (ORDER BY e) AS hi
         FROM {metric}_edges),
     {metric}_named AS (SELECT i, lo, CASE WHEN next_last THEN '>' || CAST(trunc(lo) AS BIGINT)
@@ -604,7 +604,7 @@ def _share_sql() -> list[str]:
     tests.update({f"{m.lower()}_orders": f"payment_method = '{m}'" for m in profile.PAYMENT_METHODS})
     tests.update({f"{s.lower().replace(' ', '_')}_orders": f"segmentation = '{s}'" for s in profile.SEGMENTS})
     return [
-        f"round(CAST(sum(CASE WHEN {test} THEN 1 ELSE 0 END) AS DOUBLE) / count(DISTINCT o.order_id), 6) AS pct_{name}"
+        f"round(CAST(sum(CASE WHEN {test} THEN 1 ELSE 0 END) AS DOUBLE) / count(DISTINCT o.order_id), 9) AS pct_{name}"
         for name, test in tests.items()
     ]
 
@@ -622,8 +622,8 @@ PROFILE_SQL = f"""WITH {FIRST_SQL},
         row_number() OVER (PARTITION BY order_country_code ORDER BY count(DISTINCT order_id) DESC, store_name, store_id) AS rn
         FROM profile_orders WHERE store_name IS NOT NULL GROUP BY 1, 2, 3) WHERE rn <= 10),
     metrics AS (SELECT o.customer_id, count(DISTINCT o.order_id) AS total_orders, {', '.join(_window_sql())},
-        round(avg(order_transacted_value_eur), 6) AS avg_transacted_value_eur,
-        round(avg(contribution_margin_eur), 6) AS avg_contribution_margin_eur, {', '.join(_share_sql())},
+        round(avg(order_transacted_value_eur), 9) AS avg_transacted_value_eur,
+        round(avg(contribution_margin_eur), 9) AS avg_contribution_margin_eur, {', '.join(_share_sql())},
         max(CAST(customer_first_delivered_at AS DATE)) AS customer_first_delivered_date,
         CAST(min(CASE WHEN order_vertical = 'QCommerce' THEN order_activated_local_at END) AS DATE) AS first_qcommerce_date,
         CAST(min(CASE WHEN order_is_prime THEN order_activated_local_at END) AS DATE) AS first_prime_date,
@@ -641,13 +641,13 @@ PROFILE_SQL = f"""WITH {FIRST_SQL},
         FROM (SELECT order_country_code, customer_id, store_name, row_number() OVER (PARTITION BY order_country_code, customer_id
             ORDER BY count(DISTINCT order_id) DESC, store_name ASC NULLS LAST) AS r FROM profile_orders GROUP BY 1, 2, 3) GROUP BY 1, 2)
     SELECT m.* EXCLUDE (monthly), l.order_country_code, l.order_city_code AS customer_city, l.parent_hexagon AS h7_hexagon,
-        round(monthly, 6) AS avg_monthly_orders,
+        round(monthly, 9) AS avg_monthly_orders,
         CASE WHEN monthly > {TYPE_HIGH} THEN 'A' WHEN monthly < {TYPE_LOW} THEN 'C' ELSE 'B' END AS user_type,
         CAST(datediff('day', customer_first_delivered_date, {AS_OF_SQL}) AS INTEGER) AS days_since_first_order,
         CAST(datediff('day', customer_first_delivered_date, first_qcommerce_date) AS INTEGER) AS days_until_first_qcommerce,
         CAST(datediff('day', customer_first_delivered_date, first_prime_date) AS INTEGER) AS days_until_first_prime,
         round(CASE WHEN datediff('day', customer_first_delivered_date, {AS_OF_SQL}) = 0 THEN total_orders::DOUBLE
-            ELSE total_orders::DOUBLE / (datediff('day', customer_first_delivered_date, {AS_OF_SQL}) / 30.0::DOUBLE) END, 6) AS avg_monthly_orders_since_active,
+            ELSE total_orders::DOUBLE / (datediff('day', customer_first_delivered_date, {AS_OF_SQL}) / 30.0::DOUBLE) END, 9) AS avg_monthly_orders_since_active,
         app_install_is_organic AS organic_installs,
         coalesce(app_install_network_name LIKE 'Google Ads%', false) AS google_installs,
         coalesce(app_install_network_name = 'Apple Search Ads', false) AS apple_installs,
@@ -669,7 +669,7 @@ def profiles(tb: Testbed) -> DataFrame:
 
 @query(PROFILE_SQL, PROFILE_TABLES)
 def customer_profile(tb: Testbed) -> DataFrame:
-    return rounded(profiles(tb))
+    return rounded(profiles(tb), 9)
 
 
 # ---------------------------------------------------------------------------- features
