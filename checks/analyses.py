@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +11,7 @@ from checks.logical_sql import contains_any, normalised
 from checks.registry import query, rounded
 from orderloom.operators import buckets, catalogue, drinks, features, hexes, models, orders, profile
 from orderloom.plans import reports
-from orderloom.session import ensure_checkpoint_dir, materialise
+from orderloom.session import materialise, shared_path
 from orderloom.sources import sinks, tables
 from orderloom.sources.testbed import (
     AS_OF,
@@ -65,14 +63,19 @@ def iqr_fences(tb: Testbed) -> DataFrame:
 
 def kmeans_sql(relation: str, columns: str) -> str:
     """Lloyd's iteration by hand: the centres of one round feed the next."""
-    starts = ", ".join(f"quantile_cont(aov, {(2 * i + 1) / 8}) AS c{i}" for i in range(4))
+    points = [(2 * i + 1) / 1000 for i in range(500)]
+    starts = ", ".join(f"quantile_disc(aov, {(2 * i + 1) / 8}) AS c{i}" for i in range(4))
     place = "(CASE WHEN aov > (c0 + c1) / 2 THEN 1 ELSE 0 END + CASE WHEN aov > (c1 + c2) / 2 THEN 1 ELSE 0 END + CASE WHEN aov > (c2 + c3) / 2 THEN 1 ELSE 0 END)"
     means = ", ".join(f"coalesce(avg(aov) FILTER (WHERE {place} = {i}), c{i})" for i in range(4))
     return f"""WITH vals AS MATERIALIZED (SELECT country, aov FROM {relation} WHERE aov IS NOT NULL),
     fences AS MATERIALIZED (SELECT country, quantile_cont(aov, 0.25) AS q1, quantile_cont(aov, 0.75) AS q3 FROM vals GROUP BY 1),
     kept AS MATERIALIZED (SELECT v.* FROM vals v JOIN fences USING (country)
         WHERE aov BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)),
-    rounds AS (SELECT 0 AS i, country, {starts} FROM kept GROUP BY country
+    grid AS MATERIALIZED (SELECT country, unnest(quantile_disc(aov, {points})) AS aov FROM kept GROUP BY 1),
+    rough AS (SELECT 0 AS i, country, {starts} FROM grid GROUP BY country
+        UNION ALL SELECT i + 1, country, {means} FROM rough JOIN grid USING (country) WHERE i < 60
+        GROUP BY i, country, c0, c1, c2, c3),
+    rounds AS (SELECT 0 AS i, country, c0, c1, c2, c3 FROM rough WHERE i = 60
         UNION ALL SELECT i + 1, country, {means} FROM rounds JOIN kept USING (country) WHERE i < 60
         GROUP BY i, country, c0, c1, c2, c3),
     bucketed AS (SELECT p.*, CASE WHEN aov IS NULL THEN NULL WHEN aov > q3 + 1.5 * (q3 - q1) THEN '4. High'
@@ -93,18 +96,19 @@ def kmeans_buckets(tb: Testbed) -> DataFrame:
 
 
 PREDICTED = ("pltv_1y", "pltv_3y", "pltv_5y", "plto_1y", "plto_3y", "plto_5y")
+SUMMED = ("contribution_margin_eur", "rpo_total", "cpo_total", "aov_min", "aov_max", *[f"{c}_sum" for c in PREDICTED])
 REPORT_SQL = f"""SELECT country, bucket, cluster_customers, total_orders, total_qcomm_orders, active_months,
     round(contribution_margin_eur, 6) AS contribution_margin_eur, round(rpo_total, 6) AS rpo_total,
     round(cpo_total, 6) AS cpo_total,
-    {', '.join(f'round({c}_sum, 6) AS {c}_sum, {c}_count, round({c}_sum / nullif({c}_count, 0), 6) AS {c}_avg' for c in PREDICTED)},
+    {', '.join(f'round({c}_sum, 6) AS {c}_sum, {c}_count, round({c}_sum / nullif({c}_count, 0), 8) AS {c}_avg' for c in PREDICTED)},
     round(aov_min, 6) AS aov_min, round(aov_max, 6) AS aov_max,
     CAST(trunc(aov_min) AS BIGINT) || ' - ' || CAST(trunc(aov_max) AS BIGINT) AS aov_interval,
-    round(total_orders / sum(total_orders) OVER w, 6) AS orders_ratio,
-    round(cluster_customers / sum(cluster_customers) OVER w, 6) AS customers_ratio,
-    round(total_qcomm_orders / sum(total_orders) OVER w, 6) AS qcomm_ratio,
-    round(CASE WHEN active_months <> 0 THEN total_orders / active_months ELSE 0 END, 6) AS frequency,
-    round(contribution_margin_eur / total_orders, 6) AS cm, round(rpo_total / total_orders, 6) AS rpo,
-    round(cpo_total / total_orders, 6) AS cpo
+    round(total_orders / sum(total_orders) OVER w, 8) AS orders_ratio,
+    round(cluster_customers / sum(cluster_customers) OVER w, 8) AS customers_ratio,
+    round(total_qcomm_orders / sum(total_orders) OVER w, 8) AS qcomm_ratio,
+    round(CASE WHEN active_months <> 0 THEN total_orders / active_months ELSE 0 END, 8) AS frequency,
+    round(contribution_margin_eur / total_orders, 8) AS cm, round(rpo_total / total_orders, 8) AS rpo,
+    round(cpo_total / total_orders, 8) AS cpo
 FROM (SELECT country, bucket, count(customer_id) AS cluster_customers, CAST(sum(total_orders) AS BIGINT) AS total_orders,
     CAST(sum(total_qcomm_orders) AS BIGINT) AS total_qcomm_orders, CAST(sum(active_months) AS BIGINT) AS active_months,
     coalesce(sum(contribution_margin_eur), 0) AS contribution_margin_eur, coalesce(sum(rpo), 0) AS rpo_total,
@@ -116,12 +120,10 @@ FROM (SELECT country, bucket, count(customer_id) AS cluster_customers, CAST(sum(
 
 @query(kmeans_sql("customer_panel", REPORT_SQL), ["customer_panel"], recursive=True)
 def bucket_report_customers(tb: Testbed) -> DataFrame:
-    return rounded(
-        reports.customer_value_report(
-            tb.order_facts(stores=False), tb.order_pnl(), tb.customer_ltv(), tb.customer_lto(), AS_OF, COUNTRIES
-        ),
-        6,
+    report = reports.customer_value_report(
+        tb.order_facts(stores=False), tb.order_pnl(), tb.customer_ltv(), tb.customer_lto(), AS_OF, COUNTRIES
     )
+    return rounded(rounded(report, 8), {c: 6 for c in report.columns if c in SUMMED})
 
 
 ORDER_REPORT_SQL = """SELECT country, bucket, total_orders, round(margin, 6) AS contribution_margin_eur,
@@ -827,16 +829,11 @@ def vector_classifier(tb: Testbed) -> DataFrame:
     return models.confusion(fitted.transform(parts.filter("is_test")), "label", "prediction")
 
 
-def scratch(tb: Testbed, name: str) -> str:
-    """A fresh folder next to the checkpoints, which all executors can reach."""
-    return f"{ensure_checkpoint_dir(tb.spark).rstrip('/')}/checks/{name}-{uuid.uuid4().hex}"
-
-
 @query()
 def model_round_trip(tb: Testbed) -> DataFrame:
     """Predictions of a saved and reloaded category model."""
     fitted, _ = models.fit_binary(tb.training_products(), "doc_id", "en")
-    path = scratch(tb, "model")
+    path = shared_path(tb.spark, "models")
     models.save_model(fitted, path)
     rows = tb.training_products().filter(F.col("order_country_code") == "en")
     return models.load_model(path).transform(rows).select("doc_id", "predicted_category")
@@ -850,14 +847,14 @@ def model_round_trip(tb: Testbed) -> DataFrame:
     ["local_products"],
 )
 def csv_round_trip(tb: Testbed) -> DataFrame:
-    path = scratch(tb, "csv")
+    path = shared_path(tb.spark, "csv")
     sinks.write_csv(tb.local_products(), path)
     return tables.read_csv(tb.spark, path, "product_predictions")
 
 
 @query("SELECT order_country_code, store_name, orders, rank FROM partners", ["partners"])
 def report_overwrite(tb: Testbed) -> DataFrame:
-    root = scratch(tb, "reports")
+    root = shared_path(tb.spark, "reports")
     sinks.publish(tb.raw("nation"), root, "partners")
     best = orders.top_partners(tb.order_facts(), AS_OF, 90, PARTNERS_SHOWN, COUNTRIES)
     return tables.read_folder(tb.spark, sinks.publish(best, root, "partners"))
@@ -870,7 +867,7 @@ def report_overwrite(tb: Testbed) -> DataFrame:
 )
 def map_feed_sink(tb: Testbed) -> DataFrame:
     metrics = ("orders", "sessions")
-    path = scratch(tb, "feed")
+    path = shared_path(tb.spark, "feeds")
     sinks.write_feed(reports.hexagon_feeds(reports.hexagon_priorities(city_demand(tb), metrics), metrics), path)
     written = tables.read_folder(tb.spark, path)
     return written.groupBy(F.col("metric").cast("string").alias("metric")).agg(F.count("geometry").alias("features"))

@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 from orderloom.session import materialise
 
-GRID = 500
 SKETCH_ACCURACY = 20000
-KEEP_ALL_BELOW = 10000
+# Half width of a slice: five times the sketch's rank error, as a share of the group.
+MARGIN = 5 / SKETCH_ACCURACY
+# Below this size a slice would be a few rows wide, so small groups are kept whole.
+KEEP_ALL_BELOW = 20000
 
 
 def melt(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -27,27 +29,26 @@ def melt(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> Dat
     return df.select(*keep, F.explode(pairs).alias("_pair")).select(*keep, "_pair.metric", "_pair.value")
 
 
-def _slices(sketch: DataFrame, probs: Sequence[float]) -> DataFrame:
-    """Per group the (low, high) interval that surely holds each quantile."""
-    low, high = float("-inf"), float("inf")
+def _slices(probs: Sequence[float]) -> Column:
+    """The (low, high) interval that surely holds each quantile, from ``n`` and the sketch's ``edges``."""
+    whole = F.col("n") < KEEP_ALL_BELOW
     bounds = []
-    for p in probs:
-        below, above = int(p * GRID) - 1, int(p * GRID) + 2
-        everything = F.col("n") < KEEP_ALL_BELOW
-        lo = F.lit(low) if below < 0 else F.when(everything, low).otherwise(F.col("edges")[below])
-        hi = F.lit(high) if above > GRID else F.when(everything, high).otherwise(F.col("edges")[above])
-        bounds.append(F.struct(lo.alias("lo"), hi.alias("hi")))
-    return sketch.withColumn("slices", F.array(*bounds))
+    for i, p in enumerate(probs):
+        open_low, open_high = whole | F.lit(p <= MARGIN), whole | F.lit(p >= 1 - MARGIN)
+        low = F.when(open_low, float("-inf")).otherwise(F.col("edges")[2 * i])
+        high = F.when(open_high, float("inf")).otherwise(F.col("edges")[2 * i + 1])
+        bounds.append(F.struct(low.alias("lo"), high.alias("hi")))
+    return F.array(*bounds)
 
 
 def exact_quantiles(
     df: DataFrame, groups: Sequence[str], value: str, probs: Sequence[float], name: str = "quantiles"
 ) -> DataFrame:
-    """Linear-interpolated quantiles per group, as one array column; nulls are left out.
+    """Linear-interpolated quantiles per group as one array column, and their count ``n``.
 
-    The sketch is written to the checkpoint folder: both the interval test and the
+    Nulls are left out. The sketch is written to the checkpoint folder: both the interval test and the
     final ranks must see the same interval, also after a task is run again. The slice
-    of one quantile holds under one percent of a large group.
+    of one quantile holds about 0.05 percent of a large group.
     """
     probs = [float(p) for p in probs]
     keys = [f"_g{i}" for i in range(len(groups) or 1)]
@@ -55,15 +56,14 @@ def exact_quantiles(
     rows = df.filter(F.col(value).isNotNull()).select(
         *[c.alias(k) for c, k in zip(sources, keys)], F.col(value).cast("double").alias("_v")
     )
-    grid = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
+    around = F.array(*[F.lit(min(max(p + d, 0.0), 1.0)) for p in probs for d in (-MARGIN, MARGIN)])
     sketch = materialise(
         rows.groupBy(*keys).agg(
-            F.count("_v").alias("n"), F.percentile_approx("_v", grid, F.lit(SKETCH_ACCURACY)).alias("edges")
+            F.count("_v").alias("n"), F.percentile_approx("_v", around, F.lit(SKETCH_ACCURACY)).alias("edges")
         )
     )
-    bounds = _slices(sketch, probs).select(*[F.col(k).alias(f"_b{k}") for k in keys], "n", "slices")
-    same = [F.col(k).eqNullSafe(F.col(f"_b{k}")) for k in keys]
-    tagged = rows.join(bounds, on=same)
+    bounds = sketch.select(*[F.col(k).alias(f"_b{k}") for k in keys], "n", _slices(probs).alias("slices"))
+    tagged = rows.join(bounds, on=[F.col(k).eqNullSafe(F.col(f"_b{k}")) for k in keys])
     inside = F.lit(False)
     passed = F.lit(0)
     for i in range(len(probs)):
@@ -97,18 +97,19 @@ def exact_quantiles(
         share = spot - F.floor(spot)
         results.append(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * share)
     named = [F.col(k).alias(g) for k, g in zip(keys, groups)]
-    return found.select(*named, F.array(*results).alias(name))
+    return found.select(*named, "n", F.array(*results).alias(name))
 
 
 def value_ranks(counts: DataFrame, groups: Sequence[str], value: str, count: str) -> DataFrame:
     """Average rank of each distinct value inside its group, as ``avg_rank``.
 
     ``counts`` holds one row per (group, value). It is range-sorted and written, so each
-    stored partition is one interval; ranks are counted inside intervals and shifted by
-    the totals of the intervals before.
+    file is one interval; ranks are counted inside intervals and shifted by the totals of
+    the intervals before.
     """
     keys = list(groups)
-    placed = materialise(counts.orderBy(*keys, value)).withColumn("_part", F.spark_partition_id())
+    stored = materialise(counts.orderBy(*keys, value))
+    placed = stored.select("*", F.col("_metadata.file_name").alias("_part"))
     totals = placed.groupBy(*keys, "_part").agg(F.sum(count).alias("_total"))
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("_shift", F.coalesce(F.sum("_total").over(earlier), F.lit(0))).drop("_total")
