@@ -9,7 +9,7 @@ from orderloom.operators import ranks
 
 
 def frame(spark, groups):
-    rows = [(g, v) for g, values in groups.items() for v in values]
+    rows = [(g, None if v is None else float(v)) for g, values in groups.items() for v in values]
     return spark.createDataFrame(rows, "g string, v double").repartition(3)
 
 
