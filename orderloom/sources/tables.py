@@ -23,7 +23,7 @@ def read_folder(spark: SparkSession, path: str) -> DataFrame:
 def read_csv(
     spark: SparkSession, path: str, schema: T.StructType | str, multi_line: bool = True
 ) -> DataFrame:
-    """CSV with a header row; ``schema`` may name a logical table.
+    """CSV with a header row; ``schema`` may name a logical table. Empty text reads as null.
 
     Quoted text may hold line breaks, which ties one file to one task; pass
     ``multi_line=False`` for large files without them, so that they can be split.
