@@ -13,6 +13,7 @@ from orderloom.functions.dates import days_back, since_days
 from orderloom.functions.numbers import blank_columns
 from orderloom.functions.text import canonical_category, contains_any
 from orderloom.operators.orders import delivered
+from orderloom.session import materialise
 from orderloom.sources.tables import for_values
 
 DRINK_CATEGORIES = ("drink", "drinks")
@@ -118,8 +119,9 @@ def available_products(
 ) -> DataFrame:
     """Distinct products offered in the window at addresses with delivered orders.
 
-    ``partners`` (``order_country_code``, ``store_name``) keeps listed stores only. Both
-    sides are made distinct before the join, so daily repeats are folded on the map side.
+    ``partners`` (``order_country_code``, ``store_name``) keeps listed stores only. The
+    addresses are written first, so that with a known size a short list filters the daily
+    snapshots by a broadcast, before anything is shuffled.
     """
     place = ["order_country_code", *(["order_city_code"] if with_city else []), "store_name"]
     rows = for_values(order_facts, "order_country_code", countries).filter(
@@ -134,16 +136,16 @@ def available_products(
         listed = partners.select("order_country_code", "store_name").distinct()
         addresses = addresses.join(listed, ["order_country_code", "store_name"], "left_semi")
     span = days if snapshot_days is None else snapshot_days
-    offered = (
-        availability.filter(
-            F.col("p_snapshot_date").between(F.lit(days_back(as_of, span)), F.lit(as_of))
-            & F.col("product_is_available")
-            & F.col("product_name").isNotNull()
-        )
-        .select("store_address_id", "product_id", "product_name")
+    offered = availability.filter(
+        F.col("p_snapshot_date").between(F.lit(days_back(as_of, span)), F.lit(as_of))
+        & F.col("product_is_available")
+        & F.col("product_name").isNotNull()
+    ).select("store_address_id", "product_id", "product_name")
+    return (
+        offered.join(materialise(addresses), "store_address_id")
+        .select(*place, "product_id", "product_name")
         .distinct()
     )
-    return offered.join(addresses, "store_address_id").select(*place, "product_id", "product_name").distinct()
 
 
 def one_category(predictions: DataFrame) -> DataFrame:
@@ -176,13 +178,37 @@ def uncategorised(lines: DataFrame, predictions: DataFrame, n: int = 100) -> Dat
     return sold.join(one_category(predictions), "product_id", "left_anti").orderBy("product_id").limit(n)
 
 
-def _apply(rules: Sequence[Rule], name: Column, category: Column) -> tuple[Column, Column]:
-    for rule in rules:
-        hit = contains_any(name, rule.words)
-        category = F.when(hit, rule.category).otherwise(category)
-        if rule.rename:
-            name = F.when(hit, rule.rename).otherwise(name)
-    return name, category
+def _steps(
+    products: DataFrame, rules: Mapping[str, Sequence[Rule]], target: str | None = None
+) -> DataFrame:
+    """Runs step ``i`` of every country's rules for ``i`` = 1, 2, ...
+
+    Each step is a column of its own: a row is tested against the words of its own country
+    once, and name and category read the outcome. ``_changes`` counts the steps of category
+    ``target`` that changed the row's category.
+    """
+    country = F.col("order_country_code")
+    out = products.withColumns(
+        {"_category": canonical_category(F.col("predicted_category")), "_changes": F.lit(0)}
+    )
+    for i in range(max((len(steps) for steps in rules.values()), default=0)):
+        hit, category, name = F.lit(False), F.lit(None).cast("string"), F.lit(None).cast("string")
+        for code, steps in rules.items():
+            if i < len(steps):
+                own = country == code
+                hit = F.when(own, contains_any(F.col("product_name"), steps[i].words)).otherwise(hit)
+                category = F.when(own, steps[i].category).otherwise(category)
+                name = F.when(own, F.lit(steps[i].rename)).otherwise(name)
+        out = out.withColumn("_hit", hit).withColumns({"_set": F.when(F.col("_hit"), category)})
+        changed = F.col("_hit") & (F.col("_set") == F.lit(target)) & ~F.col("_category").eqNullSafe(F.col("_set"))
+        out = out.withColumns(
+            {
+                "_changes": F.col("_changes") + F.when(changed, 1).otherwise(0),
+                "_category": F.when(F.col("_hit"), F.col("_set")).otherwise(F.col("_category")),
+                "product_name": F.coalesce(F.when(F.col("_hit"), name), F.col("product_name")),
+            }
+        )
+    return out.drop("_hit", "_set")
 
 
 def apply_rules(
@@ -193,19 +219,11 @@ def apply_rules(
     Adds ``relabelled``: whether the category changed. Countries without rules only get
     the canonical spelling of the category.
     """
-    name, category = F.col("product_name"), canonical_category(F.col("predicted_category"))
-    new_name, new_category = name, category
-    for country, steps in rules.items():
-        own = F.col("order_country_code") == country
-        n, c = _apply(steps, name, category)
-        new_name = F.when(own, n).otherwise(new_name)
-        new_category = F.when(own, c).otherwise(new_category)
-    return products.withColumns(
-        {
-            "relabelled": ~new_category.eqNullSafe(category),
-            "product_name": new_name,
-            "predicted_category": new_category,
-        }
+    before = canonical_category(F.col("predicted_category"))
+    return (
+        _steps(products, rules)
+        .withColumns({"relabelled": ~F.col("_category").eqNullSafe(before), "predicted_category": F.col("_category")})
+        .drop("_category", "_changes")
     )
 
 
@@ -213,16 +231,7 @@ def rule_change_counts(
     products: DataFrame, rules: Mapping[str, Sequence[Rule]] = COUNTRY_RULES, target: str = "other"
 ) -> DataFrame:
     """Per country, rows a rule of category ``target`` would change when its turn comes."""
-    changes = F.lit(0)
-    for country, steps in rules.items():
-        own = F.col("order_country_code") == country
-        name, category = F.col("product_name"), canonical_category(F.col("predicted_category"))
-        for rule in steps:
-            if rule.category == target:
-                hit = contains_any(name, rule.words) & ~category.eqNullSafe(F.lit(target))
-                changes = changes + F.when(own & hit, 1).otherwise(0)
-            name, category = _apply([rule], name, category)
-    return products.groupBy("order_country_code").agg(F.sum(changes).alias("changes"))
+    return _steps(products, rules, target).groupBy("order_country_code").agg(F.sum("_changes").alias("changes"))
 
 
 def store_catalogue(

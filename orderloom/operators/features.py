@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from orderloom.functions.numbers import finite_columns, ratio_or_null
 from orderloom.functions.text import with_missing_level
 from orderloom.operators.ranks import exact_quantiles, group_mode, melt, value_ranks
+from orderloom.session import materialise
 
 # Columns that are ids, dates, raw geography or the target.
 NOT_FEATURES = (
@@ -85,7 +86,7 @@ def spearman(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
     and the correlation is a weighted sum, so a value shared by most rows is one row.
     """
     long = melt(df.select(*columns, F.col(target).cast("double").alias("_y")), columns, ["_y"])
-    pairs = (
+    pairs = materialise(
         long.filter(F.col("value").isNotNull() & F.col("_y").isNotNull())
         .groupBy("metric", "value", "_y")
         .agg(F.count(F.lit(1)).alias("w"))
@@ -131,34 +132,46 @@ def stratified_split(
 ) -> DataFrame:
     """Adds ``is_test``: exactly ``floor(fraction * n)`` rows of each label, by lowest draw.
 
-    The limit of each label is an exact order statistic, so no label is sorted in one
-    task. Equal draws at the limit are told apart by id. ``label=None`` splits as a whole.
+    ``identity`` is a unique column. The limit of each label is an exact order statistic,
+    so no label is sorted in one task and no row is shuffled; equal draws at the limit are
+    told apart by identity. ``label=None`` splits as a whole. Labels must be few.
     """
-    key = F.lit(0) if label is None else F.col(label)
-    rows = df.withColumn("_draw", split_key(F.col(identity), seed)).withColumn("_label", key)
-    sizes = rows.groupBy("_label").agg(F.count(F.lit(1)).alias("_n"))
-    wanted = {r["_label"]: (r["_n"], int(fraction * r["_n"])) for r in sizes.collect()}
-    probs = sorted({(k - 1) / max(n - 1, 1) for n, k in wanted.values() if k > 0})
-    limits = {}
-    if probs:
-        for r in exact_quantiles(rows, ["_label"], "_draw", probs, "q").collect():
-            n, k = wanted[r["_label"]]
-            if k > 0:
-                limits[r["_label"]] = round(r.q[probs.index((k - 1) / max(n - 1, 1))])
-    below = equal = F.lit(False)
-    for value, limit in limits.items():
-        own = F.col("_label").eqNullSafe(F.lit(value))
-        below = below | (own & (F.col("_draw") < limit))
-        equal = equal | (own & (F.col("_draw") == limit))
-    tied = rows.filter(equal).select("_label", identity)
-    under = {r["_label"]: r["n"] for r in rows.filter(below).groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rank = F.row_number().over(Window.partitionBy("_label").orderBy(identity))
-    room = F.lit(0)
-    for value, (_, k) in wanted.items():
-        room = F.when(F.col("_label").eqNullSafe(F.lit(value)), k - under.get(value, 0)).otherwise(room)
-    winners = tied.withColumn("_rank", rank).filter(F.col("_rank") <= room).select(identity, F.lit(True).alias("_won"))
-    return (
-        rows.join(winners, identity, "left")
-        .withColumn("is_test", below | F.coalesce("_won", F.lit(False)))
-        .drop("_draw", "_label", "_won")
-    )
+    draw = split_key(F.col(identity), seed)
+    key = F.lit("") if label is None else F.col(label)
+    slim = materialise(df.select(key.alias("_label"), draw.alias("_draw"), F.col(identity).alias("_id")))
+    sizes = {r["_label"]: r.n for r in slim.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    wanted = {v: int(fraction * n) for v, n in sizes.items()}
+    spots = {v: (k - 1) / max(sizes[v] - 1, 1) for v, k in wanted.items() if k > 0}
+    if not spots:
+        return df.withColumn("is_test", F.lit(False))
+    probs = sorted(set(spots.values()))
+    limits = {
+        r["_label"]: round(r.q[probs.index(spots[r["_label"]])])
+        for r in exact_quantiles(slim, ["_label"], "_draw", probs, "q").collect()
+        if r["_label"] in spots
+    }
+
+    def compare(column: Column, of: Column, test: str) -> Column:
+        out = F.lit(False)
+        for value, limit in limits.items():
+            hit = of < F.lit(limit) if test == "below" else of == F.lit(limit)
+            out = out | (column.eqNullSafe(F.lit(value)) & hit)
+        return out
+
+    own, drawn = F.col("_label"), F.col("_draw")
+    under = {
+        r["_label"]: r.n
+        for r in slim.filter(compare(own, drawn, "below")).groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()
+    }
+    # The rows at the limit: one per label unless two ids drew the same number.
+    order = F.row_number().over(Window.partitionBy("_label").orderBy("_id"))
+    at_limit = slim.filter(compare(own, drawn, "equal")).withColumn("_rank", order)
+    last = F.lit(False)
+    for value in limits:
+        last = last | (own.eqNullSafe(F.lit(value)) & (F.col("_rank") == wanted[value] - under.get(value, 0)))
+    bounds = {r["_label"]: r["_id"] for r in at_limit.filter(last).collect()}
+    chosen = compare(key, draw, "below")
+    for value, bound in bounds.items():
+        tied = (draw == F.lit(limits[value])) & (F.col(identity) <= F.lit(bound))
+        chosen = chosen | (key.eqNullSafe(F.lit(value)) & tied)
+    return df.withColumn("is_test", chosen)

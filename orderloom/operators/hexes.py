@@ -13,42 +13,48 @@ from orderloom.functions.geo import METRES_PER_DEGREE, haversine_m, ring_geojson
 from orderloom.functions.numbers import ratio_or_null
 from orderloom.operators.buckets import bucket_colour
 from orderloom.operators.orders import delivered
+from orderloom.session import materialise
 from orderloom.sources.tables import current_rows, for_values
 
 
 def sessions_at_partner(
     sessions: DataFrame, order_facts: DataFrame, partner: str, countries=None, cities=None
 ) -> DataFrame:
-    """Sessions that visited an address of the partner.
+    """Sessions that visited an address of the partner, without their visited addresses.
 
     The visited addresses are exploded and matched by a semi-join, instead of carrying the
-    partner's whole address list to every session.
+    partner's whole address list to every session. The partner's addresses are written
+    first: with their size known, a short list is broadcast and only matched rows are
+    shuffled, to fold sessions that visited several addresses.
     """
-    addresses = (
+    addresses = materialise(
         for_values(for_values(order_facts, "order_country_code", countries), "order_city_code", cities)
         .filter((F.col("store_name") == partner) & F.col("store_address_id").isNotNull())
         .select("store_address_id")
         .distinct()
     )
-    matched = (
-        sessions.select(
-            "dynamic_session_id", F.explode("visited_store_address_ids").alias("store_address_id")
-        )
+    kept = [c for c in sessions.columns if c != "visited_store_address_ids"]
+    return (
+        sessions.select(*kept, F.explode("visited_store_address_ids").alias("store_address_id"))
         .join(addresses, "store_address_id", "left_semi")
-        .select("dynamic_session_id")
+        .select(*kept)
         .distinct()
     )
-    return sessions.join(matched, "dynamic_session_id", "left_semi")
+
+
+def _cell_ids(hexagons: DataFrame) -> DataFrame:
+    """Ids of the cities' hexagons, written so that their size is known when sessions are filtered."""
+    return materialise(hexagons.select(F.col("h3_8_hash").alias("h8_hexagon")).distinct())
 
 
 def _orders_per_hexagon(
     sessions: DataFrame, checkouts: DataFrame, order_facts: DataFrame, cells: DataFrame
 ) -> DataFrame:
+    here = sessions.select("dynamic_session_id", "h8_hexagon").join(cells, "h8_hexagon", "left_semi")
     return (
         checkouts.select("order_id", "dynamic_session_id")
         .join(order_facts.select("order_id"), "order_id", "left_semi")
-        .join(sessions.select("dynamic_session_id", "h8_hexagon"), "dynamic_session_id")
-        .join(cells, "h8_hexagon", "left_semi")
+        .join(here, "dynamic_session_id")
         .groupBy("h8_hexagon")
         .agg(F.countDistinct("order_id").alias("orders"))
     )
@@ -125,7 +131,7 @@ def hex_demand_partner(
     the partner with ``orders_scope="partner"``.
     """
     cells_here = for_values(hexagons, "city_code", cities)
-    cells = cells_here.select(F.col("h3_8_hash").alias("h8_hexagon")).distinct()
+    cells = _cell_ids(cells_here)
     in_scope = for_values(for_values(sessions, "country_code", countries), "city_code", cities).filter(
         between_days(F.col("session_start_time_local"), start, end, inclusive_end)
     )
@@ -150,7 +156,7 @@ def hex_demand_city(
 ) -> DataFrame:
     """Per hexagon: all sessions, their conversion, and orders checked out in the cities."""
     cells_here = for_values(hexagons, "city_code", cities)
-    cells = cells_here.select(F.col("h3_8_hash").alias("h8_hexagon")).distinct()
+    cells = _cell_ids(cells_here)
     in_scope = for_values(for_values(sessions, "country_code", countries), "city_code", cities).filter(
         between_days(F.col("session_start_time_local"), start, end, inclusive_end)
     )

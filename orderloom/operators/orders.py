@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from orderloom.functions.dates import full_months, since_days, since_last_year
 from orderloom.functions.numbers import total_of, total_without_nulls
 from orderloom.schemas import COST_TERMS, check
+from orderloom.session import materialise
 from orderloom.sources.tables import for_values, yesterday_of
 
 BROADCAST_ROWS = 100_000
@@ -172,13 +173,17 @@ def order_lines(
     countries: Iterable[str] | None = None,
     vertical: str = "Food",
 ) -> DataFrame:
-    """Delivered orders of the window with their products; ``top_partner`` marks listed stores."""
+    """Delivered orders of the window with their products; ``top_partner`` marks listed stores.
+
+    The partner list is written first, so its size is known when the orders are marked.
+    """
     rows = for_values(order_facts, "order_country_code", countries).filter(
         delivered()
         & (F.col("order_vertical") == vertical)
         & since_days(F.col("order_activated_local_at"), as_of, days)
     )
-    listed = partners.select("order_country_code", "store_name").distinct().withColumn("top_partner", F.lit(True))
+    listed = materialise(partners.select("order_country_code", "store_name").distinct())
+    listed = listed.withColumn("top_partner", F.lit(True))
     return (
         rows.select(
             "order_id",

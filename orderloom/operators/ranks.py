@@ -19,6 +19,8 @@ SKETCH_ACCURACY = 20000
 MARGIN = 5 / SKETCH_ACCURACY
 # Below this size a slice would be a few rows wide, so small groups are kept whole.
 KEEP_ALL_BELOW = 20000
+# Up to this many sliced rows per group are ranked by a window, more by ``running_counts``.
+WINDOW_ROWS = 2_000_000
 
 
 def melt(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -76,13 +78,15 @@ def exact_quantiles(
         .groupBy(*keys, "n", "_kept", "_gap")
         .agg(F.min("_v").alias("_at"), F.count("_v").alias("_c"))
     )
-    upto = F.sum("_c").over(
-        Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    ranked = counted.withColumn("_upto", upto).withColumn("_before", F.col("_upto") - F.col("_c"))
+    largest = sketch.agg(F.max("n")).first()[0] or 0
+    if largest * 2 * MARGIN * len(probs) <= WINDOW_ROWS:
+        earlier = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+        ranked = counted.withColumn("before", F.coalesce(F.sum("_c").over(earlier), F.lit(0)))
+    else:
+        ranked = running_counts(counted, keys, "_at", "_c")
 
     def at(position: Column) -> Column:
-        hit = F.col("_kept").isNotNull() & (F.col("_before") <= position) & (position < F.col("_upto"))
+        hit = F.col("_kept").isNotNull() & (F.col("before") <= position) & (position < F.col("before") + F.col("_c"))
         return F.max(F.when(hit, F.col("_kept")))
 
     parts = {}
@@ -100,28 +104,40 @@ def exact_quantiles(
     return found.select(*named, "n", F.array(*results).alias(name))
 
 
-def value_ranks(counts: DataFrame, groups: Sequence[str], value: str, count: str) -> DataFrame:
-    """Average rank of each distinct value inside its group, as ``avg_rank``.
+def running_counts(counts: DataFrame, groups: Sequence[str], order: str, count: str) -> DataFrame:
+    """Adds ``before``: the sum of ``count`` over rows of the group with a smaller ``order``.
 
-    ``counts`` holds one row per (group, value). It is range-sorted and written, so each
-    file is one interval; ranks are counted inside intervals and shifted by the totals of
-    the intervals before.
+    The rows are range-sorted and written, so each file is one interval; sums run inside
+    intervals and are shifted by the totals of the intervals before. No group has to fit
+    in one task.
     """
     keys = list(groups)
-    stored = materialise(counts.orderBy(*keys, value))
+    stored = materialise(counts.orderBy(*keys, order))
     placed = stored.select("*", F.col("_metadata.file_name").alias("_part"))
     totals = placed.groupBy(*keys, "_part").agg(F.sum(count).alias("_total"))
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("_shift", F.coalesce(F.sum("_total").over(earlier), F.lit(0))).drop("_total")
-    inside = Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        *[F.col(k).alias(f"_t{i}") for i, k in enumerate(keys)],
+        F.col("_part").alias("_tpart"),
+        F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_shift"),
+    )
+    inside = Window.partitionBy(*keys, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     local = placed.withColumn("_local", F.coalesce(F.sum(count).over(inside), F.lit(0)))
-    return (
-        local.join(offsets, [*keys, "_part"])
-        .withColumn("avg_rank", F.col("_shift") + F.col("_local") + (F.col(count) + 1) / F.lit(2.0))
-        .drop("_part", "_shift", "_local")
+    same = [F.col(k).eqNullSafe(F.col(f"_t{i}")) for i, k in enumerate(keys)]
+    return local.join(offsets, [F.col("_part") == F.col("_tpart"), *same]).select(
+        *counts.columns, (F.col("_shift") + F.col("_local")).alias("before")
     )
 
 
+def value_ranks(counts: DataFrame, groups: Sequence[str], value: str, count: str) -> DataFrame:
+    """Average rank of each distinct value inside its group, as ``avg_rank``.
+
+    ``counts`` holds one row per (group, value).
+    """
+    rank = F.col("before") + (F.col(count) + 1) / F.lit(2.0)
+    return running_counts(counts, groups, value, count).withColumn("avg_rank", rank).drop("before")
+
+
 def group_mode(df: DataFrame, groups: Sequence[str], value: str, name: str = "mode") -> DataFrame:
     """Most frequent non-null value per group; the smallest of equally frequent ones."""
     keys = list(groups)

@@ -53,7 +53,7 @@ def drinks_reports(
     n_partners: int = 100,
 ) -> dict[str, DataFrame]:
     """The drinks report's tables by name; predictions are relabelled by the keyword rules first."""
-    relabelled = catalogue.apply_rules(predictions)
+    relabelled = materialise(catalogue.one_category(catalogue.apply_rules(predictions)))
     partners = orders.top_partners(order_facts, as_of, days, n_partners, countries)
     lines = materialise(
         orders.order_lines(order_facts, bought_products, partners, as_of, days, countries)

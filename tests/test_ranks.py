@@ -13,10 +13,12 @@ def frame(spark, groups):
     return spark.createDataFrame(rows, "g string, v double").repartition(3)
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_exact_quantiles(spark, monkeypatch, small):
-    """Against numpy, with the sketch slices in use and without."""
-    if not small:
+@pytest.mark.parametrize("way", ["whole", "slices", "files"])
+def test_exact_quantiles(spark, monkeypatch, way):
+    """Against numpy: small groups kept whole, sketch slices, slices ranked file by file."""
+    if way == "files":
+        monkeypatch.setattr(ranks, "WINDOW_ROWS", -1)
+    if way != "whole":
         monkeypatch.setattr(ranks, "KEEP_ALL_BELOW", 200)
         monkeypatch.setattr(ranks, "SKETCH_ACCURACY", 100)
         monkeypatch.setattr(ranks, "MARGIN", 0.05)
