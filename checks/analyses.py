@@ -130,7 +130,7 @@ ORDER_REPORT_SQL = """SELECT country, bucket, total_orders, round(margin, 6) AS
     round(lo, 6) AS aov_min, round(hi, 6) AS aov_max,
     CAST(trunc(lo) AS BIGINT) || ' - ' || CAST(trunc(hi) AS BIGINT) AS aov_interval,
     round(total_orders / sum(total_orders) OVER (PARTITION BY country), 6) AS orders_ratio,
-    round(margin / total_orders, 6) AS cm
+    round(margin / total_orders, 8) AS cm
 FROM (SELECT country, bucket, count(order_id) AS total_orders, coalesce(sum(contribution_margin_eur), 0) AS margin,
     min(aov) AS lo, max(aov) AS hi FROM bucketed WHERE bucket IS NOT NULL GROUP BY 1, 2)"""
 PRIME_SQL = """WITH prime AS MATERIALIZED (SELECT order_country_code AS country, o.order_id,
@@ -141,7 +141,8 @@ PRIME_SQL = """WITH prime AS MATERIALIZED (SELECT order_country_code AS country,
 
 @query(PRIME_SQL + kmeans_sql("prime", ORDER_REPORT_SQL)[5:], ["value_orders", "pnl"], recursive=True)
 def bucket_report_orders(tb: Testbed) -> DataFrame:
-    return rounded(reports.prime_order_report(tb.order_facts(stores=False), tb.order_pnl(), AS_OF, COUNTRIES), 6)
+    report = reports.prime_order_report(tb.order_facts(stores=False), tb.order_pnl(), AS_OF, COUNTRIES)
+    return rounded(report, {"contribution_margin_eur": 6, "aov_min": 6, "aov_max": 6, "orders_ratio": 6, "cm": 8})
 
 
 # ---------------------------------------------------------------------------- hexagons

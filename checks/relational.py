@@ -206,8 +206,8 @@ def normalised_names(tb: Testbed) -> DataFrame:
 def keyword_match(tb: Testbed) -> DataFrame:
     return tb.raw("documents").select(
         "doc_id",
-        text.contains_any(F.col("text"), catalogue.POLISH_DRINKS).alias("polish"),
-        text.contains_any(F.col("text"), catalogue.LATIN_FOOD).alias("food"),
+        text.contains_any("text", catalogue.POLISH_DRINKS).alias("polish"),
+        text.contains_any("text", catalogue.LATIN_FOOD).alias("food"),
     )
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -45,11 +44,18 @@ def canonical_category(category: Column) -> Column:
     return F.lower(F.trim(category))
 
 
-def contains_any(name: Column, keywords: Iterable[str]) -> Column:
-    """Whether ``name`` holds one of the words, whatever their case; a null name holds none."""
-    lowered = F.lower(name)
-    tests = [lowered.contains(k.lower()) for k in keywords]
-    return F.coalesce(reduce(lambda a, b: a | b, tests), F.lit(False))
+def sql_text(value: str) -> str:
+    """``value`` as a quoted SQL string."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def contains_any(column: str, keywords: Iterable[str]) -> Column:
+    """Whether a column holds one of the words, whatever their case; a null holds none.
+
+    Plain substring tests scan long texts several times faster than one alternation.
+    """
+    tests = " OR ".join(f"contains(lower(`{column}`), {sql_text(k.lower())})" for k in keywords)
+    return F.expr(f"coalesce({tests}, false)")
 
 
 def matches_any(name: Column, patterns: Iterable[str]) -> Column:

@@ -196,7 +196,7 @@ def _steps(
         for code, steps in rules.items():
             if i < len(steps):
                 own = country == code
-                hit = F.when(own, contains_any(F.col("product_name"), steps[i].words)).otherwise(hit)
+                hit = F.when(own, contains_any("product_name", steps[i].words)).otherwise(hit)
                 category = F.when(own, steps[i].category).otherwise(category)
                 name = F.when(own, F.lit(steps[i].rename)).otherwise(name)
         out = out.withColumn("_hit", hit).withColumns({"_set": F.when(F.col("_hit"), category)})

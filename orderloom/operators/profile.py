@@ -8,9 +8,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderloom.functions.dates import DAY_PARTS, WEEK_DAYS, days_between, since_months, week_day
+from orderloom.functions.dates import DAY_PARTS, WEEK_DAYS, days_between, since_months
 from orderloom.functions.geo import h3_parent, h3_to_long
-from orderloom.functions.numbers import ratio_or_null
 from orderloom.operators.orders import delivered, first_rows, one_row_per_order, small
 from orderloom.schemas import check
 from orderloom.sources.tables import current_rows, for_values
@@ -156,22 +155,20 @@ def _slug(text: str) -> str:
     return text.lower().replace(" ", "_")
 
 
-def share_tests(week_style: str = "sunday") -> dict[str, Column]:
-    """Name and condition of each share of a customer's orders."""
-    t = F.col("order_activated_local_at")
-    day = week_day(t, "sunday" if week_style == "sunday" else "iso")
-    tests = {f"pct_orders_{p}": F.hour(t).between(lo, hi) for p, (lo, hi) in DAY_PARTS.items()}
-    tests["pct_orders_weekday"] = day.between(2, 6)
+def share_tests(week_style: str = "sunday") -> dict[str, str]:
+    """Name and condition of each share of a customer's orders, as SQL over an order row."""
+    t = "order_activated_local_at"
+    day = f"dayofweek({t})" if week_style == "sunday" else f"weekday({t}) + 1"
+    tests = {f"pct_orders_{p}": f"hour({t}) BETWEEN {lo} AND {hi}" for p, (lo, hi) in DAY_PARTS.items()}
+    tests["pct_orders_weekday"] = f"{day} BETWEEN 2 AND 6"
     for number, name in enumerate(WEEK_DAYS, start=1):
-        tests[f"pct_orders_{name}"] = day == number
-    tests["pct_prime_orders"] = F.col("order_is_prime")
-    tests["pct_qcommerce_orders"] = F.col("order_vertical") == "QCommerce"
-    tests["pct_promo_orders"] = F.col("promoted")
-    for method in PAYMENT_METHODS:
-        tests[f"pct_{_slug(method)}_orders"] = F.col(f"paid_{_slug(method)}")
-    for segment in SEGMENTS:
-        tests[f"pct_{_slug(segment)}_orders"] = F.col(f"in_{_slug(segment)}")
-    tests["pct_top_partner_orders"] = F.col("is_top_partner")
+        tests[f"pct_orders_{name}"] = f"{day} = {number}"
+    tests["pct_prime_orders"] = "order_is_prime"
+    tests["pct_qcommerce_orders"] = "order_vertical = 'QCommerce'"
+    tests["pct_promo_orders"] = "promoted"
+    tests.update({f"pct_{_slug(m)}_orders": f"paid_{_slug(m)}" for m in PAYMENT_METHODS})
+    tests.update({f"pct_{_slug(s)}_orders": f"in_{_slug(s)}" for s in SEGMENTS})
+    tests["pct_top_partner_orders"] = "is_top_partner"
     return tests
 
 
@@ -189,7 +186,7 @@ def orders_with_context(
     order-level joins share one partitioning.
     """
     paid = payments.groupBy("order_id").agg(
-        *[F.bool_or(F.col("payment_method") == m).alias(f"paid_{_slug(m)}") for m in PAYMENT_METHODS]
+        *[F.expr(f"bool_or(payment_method = '{m}') AS paid_{_slug(m)}") for m in PAYMENT_METHODS]
     )
     promoted = (
         discounts.filter(F.col("discount_type") == PROMOTION)
@@ -202,7 +199,7 @@ def orders_with_context(
     segments = (
         for_values(current_rows(segmentation), "country_code", countries)
         .groupBy("store_id")
-        .agg(*[F.bool_or(F.col("segmentation") == s).alias(f"in_{_slug(s)}") for s in SEGMENTS])
+        .agg(*[F.expr(f"bool_or(segmentation = '{s}') AS in_{_slug(s)}") for s in SEGMENTS])
     )
     partners = leading_stores(orders).select("order_country_code", "store_id").distinct()
     bound = TOP_PARTNERS * len(list(countries)) if countries is not None else 1 << 40
@@ -222,19 +219,19 @@ def orders_with_context(
 
 def _days(context: DataFrame, week_style: str) -> DataFrame:
     """Orders folded to (customer, day, city): the form every later sum reads."""
-    t = F.col("order_activated_local_at")
-    value, margin = "order_transacted_value_eur", "contribution_margin_eur"
+    if week_style not in ("sunday", "iso"):
+        raise ValueError(f"unknown week style {week_style!r}")
     tests = share_tests(week_style)
-    return context.groupBy("customer_id", F.to_date(t).alias("day"), "order_city_code").agg(
-        F.count("order_id").alias("orders"),
-        F.sum(value).alias("value_sum"),
-        F.count(value).alias("value_n"),
-        F.sum(margin).alias("margin_sum"),
-        F.count(margin).alias("margin_n"),
-        *[F.count_if(F.coalesce(test, F.lit(False))).alias(name) for name, test in tests.items()],
-        F.max(t).alias("last_order"),
-        F.min(F.when(F.col("order_vertical") == "QCommerce", t)).alias("first_qcommerce"),
-        F.min(F.when(F.col("order_is_prime"), t)).alias("first_prime"),
+    return context.groupBy("customer_id", F.expr("to_date(order_activated_local_at) AS day"), "order_city_code").agg(
+        F.expr("count(order_id) AS orders"),
+        F.expr("sum(order_transacted_value_eur) AS value_sum"),
+        F.expr("count(order_transacted_value_eur) AS value_n"),
+        F.expr("sum(contribution_margin_eur) AS margin_sum"),
+        F.expr("count(contribution_margin_eur) AS margin_n"),
+        *[F.expr(f"count_if({test}) AS {name}") for name, test in tests.items()],
+        F.expr("max(order_activated_local_at) AS last_order"),
+        F.expr("min(CASE WHEN order_vertical = 'QCommerce' THEN order_activated_local_at END) AS first_qcommerce"),
+        F.expr("min(CASE WHEN order_is_prime THEN order_activated_local_at END) AS first_prime"),
     )
 
 
@@ -286,20 +283,21 @@ def customer_profile(
     per_day = _days(context, week_style).join(
         first.select("customer_id", "customer_first_delivered_at"), "customer_id"
     )
-    since = days_between(F.col("customer_first_delivered_at"), F.col("day"))
-    month = F.year("day") * 12 + F.month("day")
-    shares = list(share_tests(week_style))
+    per_day = per_day.withColumn("age", days_between(F.col("customer_first_delivered_at"), F.col("day")))
     sums = per_day.groupBy("customer_id").agg(
-        F.sum("orders").alias("total_orders"),
-        *[F.sum(F.when(since.between(lo, hi), F.col("orders")).otherwise(0)).alias(c) for c, (lo, hi) in DAY_WINDOWS.items()],
-        ratio_or_null(F.sum("value_sum"), F.sum("value_n")).alias("avg_transacted_value_eur"),
-        ratio_or_null(F.sum("margin_sum"), F.sum("margin_n")).alias("avg_contribution_margin_eur"),
-        *[ratio_or_null(F.sum(c), F.sum("orders")).alias(c) for c in shares],
-        F.to_date(F.min("first_qcommerce")).alias("first_qcommerce_date"),
-        F.to_date(F.min("first_prime")).alias("first_prime_date"),
-        F.max("last_order").alias("last_order_date"),
-        F.countDistinct("order_city_code").alias("num_distinct_cities"),
-        F.size(F.collect_set(month)).alias("_months"),
+        F.expr("sum(orders) AS total_orders"),
+        *[
+            F.expr(f"sum(CASE WHEN age BETWEEN {lo} AND {hi} THEN orders ELSE 0 END) AS {c}")
+            for c, (lo, hi) in DAY_WINDOWS.items()
+        ],
+        F.expr("try_divide(sum(value_sum), sum(value_n)) AS avg_transacted_value_eur"),
+        F.expr("try_divide(sum(margin_sum), sum(margin_n)) AS avg_contribution_margin_eur"),
+        *[F.expr(f"try_divide(sum({c}), sum(orders)) AS {c}") for c in share_tests(week_style)],
+        F.expr("to_date(min(first_qcommerce)) AS first_qcommerce_date"),
+        F.expr("to_date(min(first_prime)) AS first_prime_date"),
+        F.expr("max(last_order) AS last_order_date"),
+        F.expr("count(DISTINCT order_city_code) AS num_distinct_cities"),
+        F.expr("size(collect_set(year(day) * 12 + month(day))) AS _months"),
     )
     if levels is not None:
         dates = (

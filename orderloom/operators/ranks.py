@@ -33,14 +33,15 @@ def melt(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> Dat
 
 def _slices(probs: Sequence[float]) -> Column:
     """The (low, high) interval that surely holds each quantile, from ``n`` and the sketch's ``edges``."""
-    whole = F.col("n") < KEEP_ALL_BELOW
-    bounds = []
+    parts = []
     for i, p in enumerate(probs):
-        open_low, open_high = whole | F.lit(p <= MARGIN), whole | F.lit(p >= 1 - MARGIN)
-        low = F.when(open_low, float("-inf")).otherwise(F.col("edges")[2 * i])
-        high = F.when(open_high, float("inf")).otherwise(F.col("edges")[2 * i + 1])
-        bounds.append(F.struct(low.alias("lo"), high.alias("hi")))
-    return F.array(*bounds)
+        open_low = f"n < {KEEP_ALL_BELOW} OR {str(p <= MARGIN).lower()}"
+        open_high = f"n < {KEEP_ALL_BELOW} OR {str(p >= 1 - MARGIN).lower()}"
+        parts.append(
+            f"struct(CASE WHEN {open_low} THEN double('-Infinity') ELSE edges[{2 * i}] END AS lo, "
+            f"CASE WHEN {open_high} THEN double('Infinity') ELSE edges[{2 * i + 1}] END AS hi)"
+        )
+    return F.expr(f"array({', '.join(parts)})")
 
 
 def exact_quantiles(
@@ -48,9 +49,9 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linear-interpolated quantiles per group as one array column, and their count ``n``.
 
-    Nulls are left out. The sketch is written to the checkpoint folder: both the interval test and the
-    final ranks must see the same interval, also after a task is run again. The slice
-    of one quantile holds about 0.05 percent of a large group.
+    Nulls are left out. The sketch is written to the checkpoint folder: both the interval
+    test and the final ranks must see the same interval, also after a task is run again.
+    The slice of one quantile holds about 0.05 percent of a large group.
     """
     probs = [float(p) for p in probs]
     keys = [f"_g{i}" for i in range(len(groups) or 1)]
@@ -58,25 +59,23 @@ def exact_quantiles(
     rows = df.filter(F.col(value).isNotNull()).select(
         *[c.alias(k) for c, k in zip(sources, keys)], F.col(value).cast("double").alias("_v")
     )
-    around = F.array(*[F.lit(min(max(p + d, 0.0), 1.0)) for p in probs for d in (-MARGIN, MARGIN)])
+    around = ", ".join(f"{min(max(p + d, 0.0), 1.0)!r}D" for p in probs for d in (-MARGIN, MARGIN))
     sketch = materialise(
         rows.groupBy(*keys).agg(
-            F.count("_v").alias("n"), F.percentile_approx("_v", around, F.lit(SKETCH_ACCURACY)).alias("edges")
+            F.expr("count(_v) AS n"), F.expr(f"percentile_approx(_v, array({around}), {SKETCH_ACCURACY}) AS edges")
         )
     )
     bounds = sketch.select(*[F.col(k).alias(f"_b{k}") for k in keys], "n", _slices(probs).alias("slices"))
     tagged = rows.join(bounds, on=[F.col(k).eqNullSafe(F.col(f"_b{k}")) for k in keys])
-    inside = F.lit(False)
-    passed = F.lit(0)
-    for i in range(len(probs)):
-        inside = inside | F.col("_v").between(F.col("slices")[i]["lo"], F.col("slices")[i]["hi"])
-        passed = passed + F.when(F.col("_v") > F.col("slices")[i]["hi"], 1).otherwise(0)
+    inside = " OR ".join(f"_v BETWEEN slices[{i}].lo AND slices[{i}].hi" for i in range(len(probs)))
+    passed = " + ".join(f"CASE WHEN _v > slices[{i}].hi THEN 1 ELSE 0 END" for i in range(len(probs)))
     counted = (
-        tagged.select(
-            *keys, "n", "_v", F.when(inside, F.col("_v")).alias("_kept"), F.when(~inside, passed).alias("_gap")
+        tagged.select(*keys, "n", "_v", F.expr(f"({inside}) AS _in"), F.expr(f"{passed} AS _passed"))
+        .select(
+            *keys, "n", "_v", F.expr("CASE WHEN _in THEN _v END AS _kept"), F.expr("CASE WHEN NOT _in THEN _passed END AS _gap")
         )
         .groupBy(*keys, "n", "_kept", "_gap")
-        .agg(F.min("_v").alias("_at"), F.count("_v").alias("_c"))
+        .agg(F.expr("min(_v) AS _at"), F.expr("count(_v) AS _c"))
     )
     largest = sketch.agg(F.max("n")).first()[0] or 0
     if largest * 2 * MARGIN * len(probs) <= WINDOW_ROWS:
@@ -85,23 +84,18 @@ def exact_quantiles(
     else:
         ranked = running_counts(counted, keys, "_at", "_c")
 
-    def at(position: Column) -> Column:
-        hit = F.col("_kept").isNotNull() & (F.col("before") <= position) & (position < F.col("before") + F.col("_c"))
-        return F.max(F.when(hit, F.col("_kept")))
+    def at(position: str, name: str) -> Column:
+        hit = f"_kept IS NOT NULL AND before <= {position} AND {position} < before + _c"
+        return F.expr(f"max(CASE WHEN {hit} THEN _kept END) AS {name}")
 
-    parts = {}
-    for i, p in enumerate(probs):
-        spot = F.lit(p) * (F.col("n") - 1)
-        parts[f"_lo{i}"] = at(F.floor(spot))
-        parts[f"_hi{i}"] = at(F.ceil(spot))
-    found = ranked.groupBy(*keys, "n").agg(*[c.alias(k) for k, c in parts.items()])
-    results = []
-    for i, p in enumerate(probs):
-        spot = F.lit(p) * (F.col("n") - 1)
-        share = spot - F.floor(spot)
-        results.append(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * share)
+    spots = [f"({p!r}D * (n - 1))" for p in probs]
+    ends = [at(f"{end}({s})", f"_{end}{i}") for i, s in enumerate(spots) for end in ("floor", "ceil")]
+    found = ranked.groupBy(*keys, "n").agg(*ends)
+    results = ", ".join(
+        f"_floor{i} + (_ceil{i} - _floor{i}) * ({s} - floor({s}))" for i, s in enumerate(spots)
+    )
     named = [F.col(k).alias(g) for k, g in zip(keys, groups)]
-    return found.select(*named, "n", F.array(*results).alias(name))
+    return found.select(*named, "n", F.expr(f"array({results}) AS {name}"))
 
 
 def running_counts(counts: DataFrame, groups: Sequence[str], order: str, count: str) -> DataFrame:

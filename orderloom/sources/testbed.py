@@ -9,11 +9,9 @@ from __future__ import annotations
 import datetime as dt
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderloom.functions.geo import h3_text
-
 AS_OF = dt.date(1996, 12, 31)
 COUNTRIES = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
 CITIES = tuple(f"NATION_{i}" for i in range(25))
@@ -68,18 +66,11 @@ LOCAL_NAMES = {
 }
 
 
-def _digits_base7(key: Column) -> Column:
-    out = F.lit(0).cast("long")
-    for place in range(8):
-        digit = F.floor(key / F.lit(7**place)).cast("long") % 7
-        out = out + F.shiftleft(digit, 21 + 3 * place)
-    return out
-
-
-def cell_of(key: Column) -> Column:
-    """A resolution-8 cell id text made out of an integer key."""
+def cell_sql(key: str) -> str:
+    """A resolution-8 cell id text made out of an integer key: its base-7 digits."""
     head = (1 << 59) | (8 << 52) | (15 << 45) | ((1 << 21) - 1)
-    return h3_text(F.lit(head) + _digits_base7(key))
+    digits = " + ".join(f"({key} div {7**i}) % 7 * {1 << (21 + 3 * i)}" for i in range(8))
+    return f"lower(hex({head} + {digits}))"
 
 
 class Testbed:
@@ -120,217 +111,200 @@ class Testbed:
             out = out.withColumns(
                 {"store_id": F.lit(None).cast("long"), "store_name": F.lit(None).cast("string")}
             )
-        return out.select(
-            F.col("o_orderkey").alias("order_id"),
-            F.col("o_custkey").alias("customer_id"),
-            F.col("country").alias("order_country_code"),
-            F.col("city").alias("order_city_code"),
-            F.col("o_orderdate").alias("order_activated_local_at"),
-            F.expr(STATUS).alias("order_final_status"),
-            F.expr(PARENT).alias("order_parent_relationship_type"),
-            F.coalesce("is_first", F.lit(False)).alias("order_is_first_delivered_order"),
-            (F.col("o_orderpriority") == "1-URGENT").alias("order_is_prime"),
-            F.expr(VERTICAL).alias("order_vertical"),
-            F.col("o_totalprice").alias("order_transacted_value_eur"),
-            (F.col("o_totalprice") * 4).alias("order_transacted_value_local"),
+        return out.selectExpr(
+            "o_orderkey AS order_id",
+            "o_custkey AS customer_id",
+            "country AS order_country_code",
+            "city AS order_city_code",
+            "o_orderdate AS order_activated_local_at",
+            f"{STATUS} AS order_final_status",
+            f"{PARENT} AS order_parent_relationship_type",
+            "coalesce(is_first, false) AS order_is_first_delivered_order",
+            "o_orderpriority = '1-URGENT' AS order_is_prime",
+            f"{VERTICAL} AS order_vertical",
+            "o_totalprice AS order_transacted_value_eur",
+            "o_totalprice * 4 AS order_transacted_value_local",
             "store_name",
             "store_id",
-            F.col("store_id").alias("store_address_id"),
+            "store_id AS store_address_id",
         )
 
     def order_pnl(self) -> DataFrame:
         return (
             self.raw("lineitem")
             .groupBy(F.col("l_orderkey").alias("order_id"))
-            .agg(*[F.expr(sql).alias(name) for name, sql in PNL_TERMS.items()])
+            .agg(*[F.expr(f"{sql} AS {name}") for name, sql in PNL_TERMS.items()])
         )
 
     def customer_ltv(self) -> DataFrame:
-        base = F.when(F.col("c_acctbal") > 0, F.col("c_acctbal"))
-        return self.raw("customer").select(
-            F.col("c_custkey").alias("customer_id"),
-            *[(base * years).alias(f"pltv_{years}y") for years in (1, 3, 5)],
+        base = "CASE WHEN c_acctbal > 0 THEN c_acctbal END"
+        return self.raw("customer").selectExpr(
+            "c_custkey AS customer_id", *[f"{base} * {years} AS pltv_{years}y" for years in (1, 3, 5)]
         )
 
     def customer_lto(self) -> DataFrame:
-        base = F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")) / 100
-        day = F.when(F.col("c_custkey") % 2 == 0, F.lit(AS_OF - dt.timedelta(days=1))).otherwise(
-            F.lit(AS_OF - dt.timedelta(days=2))
-        )
-        return self.raw("customer").select(
-            F.col("c_custkey").alias("customer_id"),
-            *[(base * (m // 12)).alias(f"predicted_orders_{m}mo") for m in (12, 36, 60)],
-            day.alias("p_date"),
+        base = "CASE WHEN c_acctbal > 0 THEN c_acctbal END / 100"
+        day = f"date_sub(DATE '{AS_OF}', CAST(1 + c_custkey % 2 AS INT))"
+        return self.raw("customer").selectExpr(
+            "c_custkey AS customer_id",
+            *[f"{base} * {m // 12} AS predicted_orders_{m}mo" for m in (12, 36, 60)],
+            f"{day} AS p_date",
         )
 
-    def bought_products(self) -> DataFrame:
+    def _sold(self) -> DataFrame:
         lines, parts = self.raw("lineitem"), self.raw("part")
-        return lines.join(parts, lines.l_partkey == parts.p_partkey).select(
-            F.col("l_orderkey").alias("order_id"),
-            F.col("l_partkey").alias("product_id"),
-            F.col("p_name").alias("product_name"),
-            F.col("l_quantity").cast("long").alias("bought_product_quantity"),
+        return lines.join(parts, lines.l_partkey == parts.p_partkey)
+
+    def bought_products(self) -> DataFrame:
+        return self._sold().selectExpr(
+            "l_orderkey AS order_id",
+            "l_partkey AS product_id",
+            "p_name AS product_name",
+            "CAST(l_quantity AS BIGINT) AS bought_product_quantity",
         )
 
     def product_availability(self) -> DataFrame:
-        lines, parts = self.raw("lineitem"), self.raw("part")
-        return lines.join(parts, lines.l_partkey == parts.p_partkey).select(
-            F.col("l_suppkey").alias("store_address_id"),
-            F.col("l_partkey").alias("product_id"),
-            F.col("p_name").alias("product_name"),
-            (F.col("l_returnflag") != "R").alias("product_is_available"),
-            F.to_date("l_shipdate").alias("p_snapshot_date"),
+        return self._sold().selectExpr(
+            "l_suppkey AS store_address_id",
+            "l_partkey AS product_id",
+            "p_name AS product_name",
+            "l_returnflag <> 'R' AS product_is_available",
+            "to_date(l_shipdate) AS p_snapshot_date",
         )
 
     def product_predictions(self) -> DataFrame:
         """One row per product and country, as predictions repeat a product over stores."""
-        return (
-            self.raw("part")
-            .withColumn("order_country_code", F.explode(F.array(*[F.lit(c) for c in COUNTRIES])))
-            .select(
-                "order_country_code",
-                F.lit("any").alias("store_name"),
-                F.col("p_partkey").alias("product_id"),
-                F.col("p_name").alias("product_name"),
-                F.expr(CATEGORY).alias("predicted_category"),
-            )
+        countries = ", ".join(f"'{c}'" for c in COUNTRIES)
+        return self.raw("part").selectExpr(
+            f"explode(array({countries})) AS order_country_code",
+            "'any' AS store_name",
+            "p_partkey AS product_id",
+            "p_name AS product_name",
+            f"{CATEGORY} AS predicted_category",
         )
 
     def local_products(self) -> DataFrame:
         """Products named in six languages, with a guessed category."""
-        country = F.element_at(
-            F.array(*[F.lit(c) for c in LOCAL_COUNTRIES]), (F.col("p_partkey") % 6 + 1).cast("int")
-        )
-        noun = F.substring_index("p_name", " ", -1)
-        name = None
-        for word, names in LOCAL_NAMES.items():
-            local = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("p_partkey") % 6 + 1).cast("int"))
-            name = F.when(noun == word, local) if name is None else name.when(noun == word, local)
-        return self.raw("part").select(
-            country.alias("order_country_code"),
-            F.concat(F.lit("store "), F.col("p_brand")).alias("store_name"),
-            F.col("p_partkey").alias("product_id"),
-            F.concat_ws(" ", name, F.col("p_size").cast("string"), F.lit("ml")).alias("product_name"),
-            F.when(F.col("p_size") % 3 == 0, F.lit(" Drink"))
-            .when(F.col("p_size") % 3 == 1, F.lit("OTHER "))
-            .alias("predicted_category"),
+
+        def pick(words: tuple[str, ...]) -> str:
+            return "element_at(array(" + ", ".join(f"'{w}'" for w in words) + "), CAST(p_partkey % 6 + 1 AS INT))"
+
+        nouns = " ".join(f"WHEN '{noun}' THEN {pick(names)}" for noun, names in LOCAL_NAMES.items())
+        return self.raw("part").selectExpr(
+            f"{pick(LOCAL_COUNTRIES)} AS order_country_code",
+            "'store ' || p_brand AS store_name",
+            "p_partkey AS product_id",
+            f"CASE substring_index(p_name, ' ', -1) {nouns} END || ' ' || p_size || ' ml' AS product_name",
+            "CASE p_size % 3 WHEN 0 THEN ' Drink' WHEN 1 THEN 'OTHER ' END AS predicted_category",
         )
 
     def training_products(self) -> DataFrame:
         return (
             self.raw("documents")
             .join(self.raw("labels"), "doc_id")
-            .select(
+            .selectExpr(
                 "doc_id",
-                F.col("lang").alias("order_country_code"),
-                F.col("text").alias("product_name"),
-                F.when(F.col("quality") == 1, "drink").otherwise("other").alias("Category"),
+                "lang AS order_country_code",
+                "text AS product_name",
+                "CASE WHEN quality = 1 THEN 'drink' ELSE 'other' END AS Category",
             )
         )
 
     def hexagons(self) -> DataFrame:
-        key = F.col("user_id")
-        lat = F.round(F.lit(40.0) + F.lit(0.01) * (key % 37), 6)
-        lon = F.round(F.lit(20.0) + F.lit(0.01) * F.floor(key / 37), 6)
-
-        def corner(dx: float, dy: float) -> Column:
-            return F.format_string("%.3f %.3f", lon + dx, lat + dy)
-
         steps = ((-0.005, -0.005), (0.005, -0.005), (0.005, 0.005), (-0.005, 0.005), (-0.005, -0.005))
-        ring = F.concat_ws(", ", *[corner(dx, dy) for dx, dy in steps])
+        ring = " || ', ' || ".join(
+            f"format_string('%.3f %.3f', lon + CAST({dx} AS DOUBLE), lat + CAST({dy} AS DOUBLE))" for dx, dy in steps
+        )
         return (
             self.raw("events")
             .select("user_id")
             .distinct()
-            .select(
-                F.concat(F.lit("NATION_"), (key % 25).cast("string")).alias("city_code"),
-                cell_of(key).alias("h3_8_hash"),
-                lat.alias("h3_8_center_lat"),
-                lon.alias("h3_8_center_lon"),
-                F.when(key % 10 != 9, F.concat(F.lit("POLYGON (("), ring, F.lit("))"))).alias("h3_8_polygon_wkt"),
+            .selectExpr(
+                "user_id",
+                "round(40.0D + 0.01D * (user_id % 37), 6) AS lat",
+                "round(20.0D + 0.01D * (user_id div 37), 6) AS lon",
+            )
+            .selectExpr(
+                "'NATION_' || (user_id % 25) AS city_code",
+                f"{cell_sql('user_id')} AS h3_8_hash",
+                "lat AS h3_8_center_lat",
+                "lon AS h3_8_center_lon",
+                f"CASE WHEN user_id % 10 <> 9 THEN 'POLYGON ((' || {ring} || '))' END AS h3_8_polygon_wkt",
             )
         )
 
     def _events(self) -> DataFrame:
-        k = F.get_json_object("props", "$.k").cast("long")
-        return (
-            self.raw("events")
-            .withColumn("k", k)
-            .withColumn("nation", (F.col("user_id") % 25).cast("int"))
-            .join(self.places, F.col("nation") == F.col("n_nationkey"))
+        events = self.raw("events").selectExpr(
+            "*", "CAST(get_json_object(props, '$.k') AS BIGINT) AS k", "CAST(user_id % 25 AS INT) AS nation"
         )
+        return events.join(self.places, F.col("nation") == F.col("n_nationkey"))
 
     def sessions(self) -> DataFrame:
-        return self._events().select(
-            F.col("event_id").cast("string").alias("dynamic_session_id"),
-            cell_of(F.col("user_id")).alias("h8_hexagon"),
-            F.col("country").alias("country_code"),
-            F.col("city").alias("city_code"),
-            F.col("ts").alias("session_start_time_local"),
-            F.array(F.col("k") % 10, (F.col("k") * 7) % 10).alias("visited_store_address_ids"),
-            F.when(F.col("event_type") == "purchase", 1).otherwise(0).cast("long").alias("count_ce__order_created"),
+        return self._events().selectExpr(
+            "CAST(event_id AS STRING) AS dynamic_session_id",
+            f"{cell_sql('user_id')} AS h8_hexagon",
+            "country AS country_code",
+            "city AS city_code",
+            "ts AS session_start_time_local",
+            "array(k % 10, (k * 7) % 10) AS visited_store_address_ids",
+            "CAST(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS BIGINT) AS count_ce__order_created",
         )
 
     def checkout_events(self) -> DataFrame:
         return (
             self._events()
             .filter("event_type = 'purchase'")
-            .select(
-                F.col("event_id").alias("order_id"),
-                F.col("event_id").cast("string").alias("dynamic_session_id"),
-                F.concat(F.lit("Supplier#"), F.lpad((F.col("k") % 10).cast("string"), 9, "0")).alias("store_name"),
+            .selectExpr(
+                "event_id AS order_id",
+                "CAST(event_id AS STRING) AS dynamic_session_id",
+                "'Supplier#' || lpad(CAST(k % 10 AS STRING), 9, '0') AS store_name",
                 "country",
                 "city",
-                F.to_date("ts").alias("p_creation_date"),
+                "to_date(ts) AS p_creation_date",
             )
         )
 
     def store_addresses(self) -> DataFrame:
-        key = F.col("s_suppkey")
-        return self.raw("supplier").select(
-            key.alias("store_address_id"),
-            key.alias("store_id"),
-            cell_of(key).alias("h3_hash_8"),
-            F.when(key % 3 != 0, (key % 500 * 5 + 900).cast("double")).alias(
-                "store_address_maximum_delivery_distance_meters"
-            ),
-            (key % 11 == 5).alias("store_address_is_deleted"),
-            F.when(key % 7 == 0, F.lit(AS_OF)).alias("p_end_date"),
+        return self.raw("supplier").selectExpr(
+            "s_suppkey AS store_address_id",
+            "s_suppkey AS store_id",
+            f"{cell_sql('s_suppkey')} AS h3_hash_8",
+            """CASE WHEN s_suppkey % 3 <> 0 THEN CAST(s_suppkey % 500 * 5 + 900 AS DOUBLE) END
+                AS store_address_maximum_delivery_distance_meters""",
+            "s_suppkey % 11 = 5 AS store_address_is_deleted",
+            f"CASE WHEN s_suppkey % 7 = 0 THEN DATE '{AS_OF}' END AS p_end_date",
         )
 
     def stores(self) -> DataFrame:
-        key = F.col("s_suppkey")
-        return self.raw("supplier").select(
-            key.alias("store_id"),
-            F.col("s_name").alias("store_name"),
-            F.concat(F.lit("NATION_"), (key % 25).cast("string")).alias("city_code"),
-            (key % 13 != 4).alias("store_is_enabled"),
-            (key % 500 * 10 + 1000).cast("double").alias("store_maximum_delivery_distance"),
-            F.lit(None).cast("date").alias("p_end_date"),
+        return self.raw("supplier").selectExpr(
+            "s_suppkey AS store_id",
+            "s_name AS store_name",
+            "'NATION_' || (s_suppkey % 25) AS city_code",
+            "s_suppkey % 13 <> 4 AS store_is_enabled",
+            "CAST(s_suppkey % 500 * 10 + 1000 AS DOUBLE) AS store_maximum_delivery_distance",
+            "CAST(NULL AS DATE) AS p_end_date",
         )
 
     def payments(self) -> DataFrame:
-        return self.raw("orders").select(
-            F.col("o_orderkey").alias("order_id"), F.expr(PAYMENT).alias("payment_method")
-        )
+        return self.raw("orders").selectExpr("o_orderkey AS order_id", f"{PAYMENT} AS payment_method")
 
     def installs(self) -> DataFrame:
-        return self.raw("customer").select(
-            F.when(F.col("c_custkey") % 9 != 0, F.col("c_custkey")).alias("app_install_user_id"),
-            F.expr(NETWORK).alias("app_install_network_name"),
-            (F.col("c_custkey") % 2 == 0).alias("app_install_is_organic"),
+        return self.raw("customer").selectExpr(
+            "CASE WHEN c_custkey % 9 <> 0 THEN c_custkey END AS app_install_user_id",
+            f"{NETWORK} AS app_install_network_name",
+            "c_custkey % 2 = 0 AS app_install_is_organic",
         )
 
     def pricing_discounts(self) -> DataFrame:
-        return self.raw("orders").select(
-            F.col("o_orderkey").alias("order_id"),
-            F.when(F.col("o_orderkey") % 4 == 0, "PROMOTOOL").otherwise("OTHER").alias("discount_type"),
+        return self.raw("orders").selectExpr(
+            "o_orderkey AS order_id",
+            "CASE WHEN o_orderkey % 4 = 0 THEN 'PROMOTOOL' ELSE 'OTHER' END AS discount_type",
         )
 
     def store_segmentation(self) -> DataFrame:
-        return self.raw("supplier").select(
-            F.col("s_suppkey").alias("store_id"),
-            F.expr(SEGMENT).alias("segmentation"),
-            F.lit("EUROPE").alias("country_code"),
-            F.when(F.col("s_suppkey") % 7 == 0, F.lit(AS_OF)).alias("p_end_date"),
+        return self.raw("supplier").selectExpr(
+            "s_suppkey AS store_id",
+            f"{SEGMENT} AS segmentation",
+            "'EUROPE' AS country_code",
+            f"CASE WHEN s_suppkey % 7 = 0 THEN DATE '{AS_OF}' END AS p_end_date",
         )
