@@ -468,7 +468,9 @@ def conditional_distinct(tb: Testbed) -> DataFrame:
     """One row per (city, customer) first: the order counts then add up without a second distinct."""
     delivered = F.col("order_final_status") == "DeliveredStatus"
     unique = orders.one_row_per_order(
-        tb.order_facts(stores=False), "order_city_code", "customer_id", "order_vertical", "order_final_status"
+        tb.order_facts(stores=False),
+        ["order_city_code", "customer_id", "order_vertical", "order_final_status"],
+        ["order_is_prime"],
     )
     return (
         unique.groupBy("order_city_code", "customer_id")
@@ -526,7 +528,7 @@ def rank_pivot(tb: Testbed) -> DataFrame:
 )
 def order_dedup_avg(tb: Testbed) -> DataFrame:
     lines = tb.order_facts(stores=False).join(tb.bought_products(), "order_id")
-    single = orders.one_row_per_order(lines, "order_country_code", "order_transacted_value_eur")
+    single = orders.one_row_per_order(lines, ["order_country_code"], ["order_transacted_value_eur"])
     return rounded(single.groupBy("order_country_code").agg(F.avg("order_transacted_value_eur").alias("aov")), 4)
 
 

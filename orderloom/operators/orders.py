@@ -38,9 +38,15 @@ def pnl_per_order(order_pnl: DataFrame) -> DataFrame:
     )
 
 
-def one_row_per_order(rows: DataFrame, *columns: str) -> DataFrame:
-    """Counts and averages over orders see each order once, also when its row is repeated."""
-    return rows.groupBy("order_id").agg(*[F.max(c).alias(c) for c in columns])
+def one_row_per_order(rows: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Counts and averages over orders see each order once, also when its row is repeated.
+
+    Texts are keys and numbers, flags and times are maxima, which keeps the aggregate on
+    hashes; the one shuffle by order also serves the joins on orders that follow.
+    """
+    return rows.repartition("order_id").groupBy("order_id", *keys).agg(
+        *[F.expr(f"max({c}) AS {c}") for c in values]
+    )
 
 
 def customer_value(
@@ -63,28 +69,23 @@ def customer_value(
     rows = for_values(order_facts, "order_country_code", countries).filter(
         delivered() & since_last_year(F.col("order_activated_local_at"), as_of)
     )
-    t, first = F.col("order_activated_local_at"), F.col("order_is_first_delivered_order")
     orders = one_row_per_order(
-        rows,
-        "order_country_code",
-        "customer_id",
-        "order_vertical",
-        "order_activated_local_at",
-        "order_is_first_delivered_order",
-        "order_transacted_value_eur",
+        rows.withColumn("qcommerce", F.expr("order_vertical = 'QCommerce'")),
+        ["order_country_code", "customer_id"],
+        ["qcommerce", "order_activated_local_at", "order_is_first_delivered_order", "order_transacted_value_eur"],
     )
     per_customer = (
         orders.join(pnl_per_order(order_pnl), "order_id", "left")
         .groupBy(F.col("order_country_code").alias("country"), "customer_id")
         .agg(
-            F.avg("order_transacted_value_eur").alias("aov"),
-            F.count("order_id").alias("total_orders"),
-            F.count_if(F.col("order_vertical") == "QCommerce").alias("total_qcomm_orders"),
-            F.min(F.when(first, t)).alias("_from"),
-            F.max(t).alias("_to"),
-            F.sum("contribution_margin_eur").alias("contribution_margin_eur"),
-            F.sum("rpo").alias("rpo"),
-            F.sum("cpo").alias("cpo"),
+            F.expr("avg(order_transacted_value_eur) AS aov"),
+            F.expr("count(order_id) AS total_orders"),
+            F.expr("count_if(qcommerce) AS total_qcomm_orders"),
+            F.expr("min(CASE WHEN order_is_first_delivered_order THEN order_activated_local_at END) AS _from"),
+            F.expr("max(order_activated_local_at) AS _to"),
+            F.expr("sum(contribution_margin_eur) AS contribution_margin_eur"),
+            F.expr("sum(rpo) AS rpo"),
+            F.expr("sum(cpo) AS cpo"),
         )
         .filter(F.col("_from").isNotNull())
         .withColumn("active_months", full_months(F.col("_from"), F.col("_to")) + 1)

@@ -12,6 +12,7 @@ from orderloom.functions.dates import DAY_PARTS, WEEK_DAYS, days_between, since_
 from orderloom.functions.geo import h3_parent, h3_to_long
 from orderloom.operators.orders import delivered, first_rows, one_row_per_order, small
 from orderloom.schemas import check
+from orderloom.session import materialise
 from orderloom.sources.tables import current_rows, for_values
 
 # Days since the first order, payment methods, store segments, install networks.
@@ -203,7 +204,11 @@ def orders_with_context(
     )
     partners = leading_stores(orders).select("order_country_code", "store_id").distinct()
     bound = TOP_PARTNERS * len(list(countries)) if countries is not None else 1 << 40
-    unique = one_row_per_order(orders, *[c for c in orders.columns if c != "order_id"])
+    unique = one_row_per_order(
+        orders,
+        ["customer_id", "order_country_code", "order_city_code", "order_vertical", "store_id"],
+        ["order_activated_local_at", "order_is_prime", "order_transacted_value_eur"],
+    )
     return (
         unique.join(paid, "order_id", "left")
         .join(promoted, "order_id", "left")
@@ -271,12 +276,13 @@ def customer_profile(
 ) -> DataFrame:
     """One row per customer whose first delivered order lies in the window.
 
-    Shares count each order once. ``levels`` (first order in vertical) overrides the first
+    The orders of the window are written once, as every part reads them. Shares count each
+    order once. ``levels`` (first order in vertical) overrides the first
     QCommerce date computed from the orders. ``week_style="iso"`` keeps the day numbers of
     a Monday-first calendar under the same column names.
     """
     check(order_facts, "order_facts")
-    orders = base_orders(order_facts, as_of, months, countries)
+    orders = materialise(base_orders(order_facts, as_of, months, countries))
     context = orders_with_context(orders, payments, discounts, order_pnl, segmentation, countries)
     first = first_order_location(orders, checkout_events, sessions)
     # A customer has at most one row per day and city, so this window is bounded by the calendar.

@@ -17,7 +17,8 @@ from orderloom.session import materialise
 SKETCH_ACCURACY = 20000
 # Half width of a slice: five times the sketch's rank error, as a share of the group.
 MARGIN = 5 / SKETCH_ACCURACY
-# Below this size a slice would be a few rows wide, so small groups are kept whole.
+# Below this size a slice would be a few rows wide, so small groups are kept whole; when
+# every group is that small, the built-in exact percentile is within bounds.
 KEEP_ALL_BELOW = 20000
 # Up to this many sliced rows per group are ranked by a window, more by ``running_counts``.
 WINDOW_ROWS = 2_000_000
@@ -65,6 +66,12 @@ def exact_quantiles(
             F.expr("count(_v) AS n"), F.expr(f"percentile_approx(_v, array({around}), {SKETCH_ACCURACY}) AS edges")
         )
     )
+    largest = sketch.agg(F.max("n")).first()[0] or 0
+    named = [F.col(k).alias(g) for k, g in zip(keys, groups)]
+    if largest < KEEP_ALL_BELOW:
+        points = ", ".join(f"{p!r}D" for p in probs)
+        exact = F.expr(f"percentile(_v, array({points})) AS {name}")
+        return rows.groupBy(*keys).agg(F.expr("count(_v) AS n"), exact).select(*named, "n", name)
     bounds = sketch.select(*[F.col(k).alias(f"_b{k}") for k in keys], "n", _slices(probs).alias("slices"))
     tagged = rows.join(bounds, on=[F.col(k).eqNullSafe(F.col(f"_b{k}")) for k in keys])
     inside = " OR ".join(f"_v BETWEEN slices[{i}].lo AND slices[{i}].hi" for i in range(len(probs)))
@@ -77,7 +84,6 @@ def exact_quantiles(
         .groupBy(*keys, "n", "_kept", "_gap")
         .agg(F.expr("min(_v) AS _at"), F.expr("count(_v) AS _c"))
     )
-    largest = sketch.agg(F.max("n")).first()[0] or 0
     if largest * 2 * MARGIN * len(probs) <= WINDOW_ROWS:
         earlier = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
         ranked = counted.withColumn("before", F.coalesce(F.sum("_c").over(earlier), F.lit(0)))
@@ -94,7 +100,6 @@ def exact_quantiles(
     results = ", ".join(
         f"_floor{i} + (_ceil{i} - _floor{i}) * ({s} - floor({s}))" for i, s in enumerate(spots)
     )
-    named = [F.col(k).alias(g) for k, g in zip(keys, groups)]
     return found.select(*named, "n", F.expr(f"array({results}) AS {name}"))
 
 
