@@ -48,7 +48,7 @@ def impute(
     if numeric:
         long = melt(clean, numeric)
         for r in exact_quantiles(long, ["metric"], "value", [0.5], "q").collect():
-            fills[r.metric] = F.coalesce(F.col(f"`{r.metric}`").cast("double"), F.lit(r.q[0]))
+            fills[r.metric] = F.expr(f"coalesce(CAST(`{r.metric}` AS DOUBLE), {r.q[0]!r}D)")
     if text and text_rule == "mode":
         pairs = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(f"`{c}`").alias("value")) for c in text])
         long = clean.select(F.explode(pairs).alias("p")).select("p.metric", "p.value")
@@ -115,7 +115,7 @@ def spearman(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
 
 def strongest(correlations: DataFrame, n: int = 15) -> DataFrame:
     """The ``n`` highest and the ``n`` lowest correlations."""
-    known = correlations.filter(F.col("spearman").isNotNull())
+    known = materialise(correlations.filter(F.col("spearman").isNotNull()))
     top = known.orderBy(F.desc("spearman"), "metric").limit(n)
     bottom = known.orderBy("spearman", "metric").limit(n)
     return top.unionByName(bottom).distinct()

@@ -12,6 +12,7 @@ from pyspark.ml.feature import (
     IndexToString,
     NGram,
     RegexTokenizer,
+    SQLTransformer,
     StringIndexer,
     VectorAssembler,
 )
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orderloom.functions.numbers import ratio_or_zero
-from orderloom.functions.text import canonical_category
+from orderloom.functions.text import canonical_category, sql_text
 from orderloom.operators.features import stratified_split
 from orderloom.session import materialise
 from orderloom.sources.tables import stack
@@ -125,7 +126,7 @@ def classification_metrics(pred: DataFrame, label: str, predicted: str) -> DataF
     return stack(shown, summary)
 
 
-def text_stages(column: str = "product_name", n: int = 3, width: int = 1 << 14) -> list:
+def text_stages(column: str = "product_name", n: int = 3, width: int = 1 << 12) -> list:
     """Character n-grams of the whole text, hashed and weighted by rarity."""
     letters = RegexTokenizer(inputCol=column, outputCol="_letters", pattern="", minTokenLength=1)
     grams = NGram(n=n, inputCol="_letters", outputCol="_grams")
@@ -133,7 +134,7 @@ def text_stages(column: str = "product_name", n: int = 3, width: int = 1 << 14)
     return [letters, grams, counts, IDF(inputCol="_tf", outputCol="features")]
 
 
-def text_vectors(df: DataFrame, column: str = "product_name", n: int = 3, width: int = 1 << 14) -> DataFrame:
+def text_vectors(df: DataFrame, column: str = "product_name", n: int = 3, width: int = 1 << 12) -> DataFrame:
     """Adds ``features`` to rows with a name."""
     rows = df.dropna(subset=[column])
     return Pipeline(stages=text_stages(column, n, width)).fit(rows).transform(rows).drop("_letters", "_grams", "_tf")
@@ -184,17 +185,37 @@ def fit_by_country(
     """
     clean = train.dropna(subset=["order_country_code", "product_name", "Category"])
     parts = materialise(stratified_split(clean, "order_country_code", identity, test_fraction, seed))
-    countries = [r[0] for r in parts.select("order_country_code").distinct().collect()]
+    learn_rows = parts.filter(~F.col("is_test"))
+    levels = {
+        r["order_country_code"]: (r.n, r.one)
+        for r in learn_rows.groupBy("order_country_code")
+        .agg(F.countDistinct("Category").alias("n"), F.min("Category").alias("one"))
+        .collect()
+    }
     models, tested = {}, []
-    for country in sorted(countries):
-        own = parts.filter(F.col("order_country_code") == country)
-        learn = own.filter(~F.col("is_test"))
-        models[country] = _category_pipeline(learn, "Category", trees, depth, seed).fit(learn)
-        known = own.filter("is_test").join(learn.select("Category").distinct(), "Category", "left_semi")
-        tested.append(models[country].transform(known).select(identity, "order_country_code", "Category", "predicted_category"))
+    for country, (n, only) in sorted(levels.items()):
+        own = F.col("order_country_code") == country
+        learn = learn_rows.filter(own)
+        if n == 1:
+            pipeline = Pipeline(stages=[constant_category(only)])
+        else:
+            pipeline = _category_pipeline(learn, "Category", trees, depth, seed)
+        models[country] = pipeline.fit(learn)
+        # Renamed, so that a category unseen in training is still a row to predict.
+        asked = parts.filter(own & F.col("is_test")).withColumnRenamed("Category", "_actual")
+        tested.append(
+            models[country]
+            .transform(asked)
+            .select(identity, "order_country_code", F.col("_actual").alias("Category"), "predicted_category")
+        )
     return models, stack(*tested)
 
 
+def constant_category(category: str) -> SQLTransformer:
+    """Stage for a country whose training rows all have one category."""
+    return SQLTransformer(statement=f"SELECT *, {sql_text(category)} AS predicted_category FROM __THIS__")
+
+
 def predict_by_country(products: DataFrame, models: dict[str, PipelineModel]) -> DataFrame:
     """Predicted category of named products; countries without a model give no rows."""
     named = products.dropna(subset=["product_name"])

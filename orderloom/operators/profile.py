@@ -76,18 +76,19 @@ def first_order_location(
 ) -> DataFrame:
     """First order per customer with the parent hexagon of the session it was placed in.
 
-    Only first orders meet the event tables. An order with several sessions takes the
-    smallest session id.
+    Checkouts are narrowed to first orders, and sessions to those checkouts, before
+    anything is aggregated. An order with several sessions takes the greatest parent id.
     """
-    placed = checkout_events.groupBy("order_id").agg(F.min("dynamic_session_id").alias("dynamic_session_id"))
-    cells = sessions.groupBy("dynamic_session_id").agg(F.min("h8_hexagon").alias("h8_hexagon"))
-    return (
-        first_orders(orders)
-        .join(placed, "order_id", "left")
-        .join(cells, "dynamic_session_id", "left")
-        .withColumn("parent_hexagon", h3_parent(h3_to_long(F.col("h8_hexagon")), resolution))
-        .drop("dynamic_session_id", "h8_hexagon")
+    first = first_orders(orders)
+    placed = checkout_events.select("order_id", "dynamic_session_id").join(first.select("order_id"), "order_id")
+    parent = h3_parent(h3_to_long(F.col("h8_hexagon")), resolution)
+    located = (
+        sessions.select("dynamic_session_id", parent.alias("parent_hexagon"))
+        .join(placed, "dynamic_session_id")
+        .groupBy("order_id")
+        .agg(F.max("parent_hexagon").alias("parent_hexagon"))
     )
+    return first.join(located, "order_id", "left")
 
 
 def _monthly_rate(orders: DataFrame) -> DataFrame:

@@ -26,10 +26,8 @@ WINDOW_ROWS = 2_000_000
 
 def melt(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Long form ``(keep..., metric, value)`` of numeric columns; a map-side step."""
-    pairs = F.array(
-        *[F.struct(F.lit(c).alias("metric"), F.col(f"`{c}`").cast("double").alias("value")) for c in columns]
-    )
-    return df.select(*keep, F.explode(pairs).alias("_pair")).select(*keep, "_pair.metric", "_pair.value")
+    pairs = ", ".join(f"struct('{c}' AS metric, CAST(`{c}` AS DOUBLE) AS value)" for c in columns)
+    return df.select(*keep, F.expr(f"inline(array({pairs}))"))
 
 
 def _slices(probs: Sequence[float]) -> Column:

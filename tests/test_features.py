@@ -113,6 +113,15 @@ def test_models_by_country(spark):
     assert {r.predicted_category for r in got} <= {"drink", "other"}
 
 
+def test_country_with_one_category(spark):
+    rows = [(i, "A", f"cola {i}", "drink") for i in range(10)]
+    df = spark.createDataFrame(rows, "id int, order_country_code string, product_name string, Category string")
+    fitted, tested = models.fit_by_country(df, "id", trees=3)
+    assert tested.count() == 2
+    ask = spark.createDataFrame([("A", "x")], "order_country_code string, product_name string")
+    assert models.predict_by_country(ask, fitted).first().predicted_category == "drink"
+
+
 def test_binary_model_and_reload(spark, tmp_path):
     model, tested = models.fit_binary(training(spark), "id", "A")
     rows = tested.collect()
