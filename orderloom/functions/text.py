@@ -49,13 +49,17 @@ def sql_text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def contains_any(column: str, keywords: Iterable[str]) -> Column:
-    """Whether a column holds one of the words, whatever their case; a null holds none.
+def contains_sql(column: str, keywords: Iterable[str]) -> str:
+    """SQL test whether a column holds one of the words, whatever their case; a null holds none.
 
     Plain substring tests scan long texts several times faster than one alternation.
     """
     tests = " OR ".join(f"contains(lower(`{column}`), {sql_text(k.lower())})" for k in keywords)
-    return F.expr(f"coalesce({tests}, false)")
+    return f"coalesce({tests}, false)"
+
+
+def contains_any(column: str, keywords: Iterable[str]) -> Column:
+    return F.expr(contains_sql(column, keywords))
 
 
 def matches_any(name: Column, patterns: Iterable[str]) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from orderloom.functions.dates import days_back, since_days
 from orderloom.functions.numbers import blank_columns
-from orderloom.functions.text import canonical_category, contains_any
+from orderloom.functions.text import canonical_category, contains_sql, sql_text
 from orderloom.operators.orders import delivered
 from orderloom.session import materialise
 from orderloom.sources.tables import for_values
@@ -178,37 +178,57 @@ def uncategorised(lines: DataFrame, predictions: DataFrame, n: int = 100) -> Dat
     return sold.join(one_category(predictions), "product_id", "left_anti").orderBy("product_id").limit(n)
 
 
+def _by_country(cases: Mapping[str, str], otherwise: str) -> Column:
+    arms = " ".join(f"WHEN {sql_text(code)} THEN {sql}" for code, sql in cases.items())
+    return F.expr(f"CASE order_country_code {arms} ELSE {otherwise} END" if arms else otherwise)
+
+
 def _steps(
     products: DataFrame, rules: Mapping[str, Sequence[Rule]], target: str | None = None
 ) -> DataFrame:
-    """Runs step ``i`` of every country's rules for ``i`` = 1, 2, ...
+    """Adds ``_name``, ``_category`` and ``_changes`` after all steps of the row's country.
 
-    Each step is a column of its own: a row is tested against the words of its own country
-    once, and name and category read the outcome. ``_changes`` counts the steps of category
-    ``target`` that changed the row's category.
+    A row meets the words of its own country only, each step once, always on its original
+    name. A renamed row has a known name, so what a later step would find in it is decided
+    here and not searched again; the plan grows with the words, not with their product.
+    ``_changes`` counts the steps of category ``target`` that changed the category.
     """
-    country = F.col("order_country_code")
-    out = products.withColumns(
-        {"_category": canonical_category(F.col("predicted_category")), "_changes": F.lit(0)}
-    )
-    for i in range(max((len(steps) for steps in rules.values()), default=0)):
-        hit, category, name = F.lit(False), F.lit(None).cast("string"), F.lit(None).cast("string")
-        for code, steps in rules.items():
-            if i < len(steps):
-                own = country == code
-                hit = F.when(own, contains_any("product_name", steps[i].words)).otherwise(hit)
-                category = F.when(own, steps[i].category).otherwise(category)
-                name = F.when(own, F.lit(steps[i].rename)).otherwise(name)
-        out = out.withColumn("_hit", hit).withColumns({"_set": F.when(F.col("_hit"), category)})
-        changed = F.col("_hit") & (F.col("_set") == F.lit(target)) & ~F.col("_category").eqNullSafe(F.col("_set"))
-        out = out.withColumns(
+    depth = max((len(steps) for steps in rules.values()), default=0)
+    found = {
+        f"_hit{i}": _by_country(
+            {code: contains_sql("product_name", steps[i].words) for code, steps in rules.items() if i < len(steps)},
+            "false",
+        )
+        for i in range(depth)
+    }
+    names, categories, changes = {}, {}, {}
+    for code, steps in rules.items():
+        name, category, changed = "product_name", "_base", "0"
+        renamed: list[tuple[str, str]] = []
+        for i, rule in enumerate(steps):
+            hit = f"_hit{i}"
+            for earlier, text in renamed:
+                known = any(word.lower() in text.lower() for word in rule.words)
+                hit = f"CASE WHEN {earlier} THEN {str(known).lower()} ELSE {hit} END"
+            if rule.category == target:
+                changed += f" + CASE WHEN {hit} AND NOT ({category} <=> {sql_text(target)}) THEN 1 ELSE 0 END"
+            category = f"CASE WHEN {hit} THEN {sql_text(rule.category)} ELSE {category} END"
+            if rule.rename:
+                name = f"CASE WHEN {hit} THEN {sql_text(rule.rename)} ELSE {name} END"
+                renamed.append((hit, rule.rename))
+        names[code], categories[code], changes[code] = name, category, changed
+    base = canonical_category(F.col("predicted_category"))
+    return (
+        products.withColumns({**found, "_base": base})
+        .withColumns(
             {
-                "_changes": F.col("_changes") + F.when(changed, 1).otherwise(0),
-                "_category": F.when(F.col("_hit"), F.col("_set")).otherwise(F.col("_category")),
-                "product_name": F.coalesce(F.when(F.col("_hit"), name), F.col("product_name")),
+                "_name": _by_country(names, "product_name"),
+                "_category": _by_country(categories, "_base"),
+                "_changes": _by_country(changes, "0"),
             }
         )
-    return out.drop("_hit", "_set")
+        .drop(*found)
+    )
 
 
 def apply_rules(
@@ -219,12 +239,14 @@ def apply_rules(
     Adds ``relabelled``: whether the category changed. Countries without rules only get
     the canonical spelling of the category.
     """
-    before = canonical_category(F.col("predicted_category"))
-    return (
-        _steps(products, rules)
-        .withColumns({"relabelled": ~F.col("_category").eqNullSafe(before), "predicted_category": F.col("_category")})
-        .drop("_category", "_changes")
+    done = _steps(products, rules).withColumns(
+        {
+            "relabelled": ~F.col("_category").eqNullSafe(F.col("_base")),
+            "product_name": F.col("_name"),
+            "predicted_category": F.col("_category"),
+        }
     )
+    return done.drop("_name", "_category", "_changes", "_base")
 
 
 def rule_change_counts(
