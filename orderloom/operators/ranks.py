@@ -20,8 +20,8 @@ MARGIN = 5 / SKETCH_ACCURACY
 # Below this size a slice would be a few rows wide, so small groups are kept whole; when
 # every group is that small, the built-in exact percentile is within bounds.
 KEEP_ALL_BELOW = 20000
-# Up to this many sliced rows per group are ranked by a window, more by ``running_counts``.
-WINDOW_ROWS = 2_000_000
+# Up to this many rows are ranked by a window, more by ``running_counts``.
+WINDOW_ROWS = 200_000
 
 
 def melt(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -83,8 +83,7 @@ def exact_quantiles(
         .agg(F.expr("min(_v) AS _at"), F.expr("count(_v) AS _c"))
     )
     if largest * 2 * MARGIN * len(probs) <= WINDOW_ROWS:
-        earlier = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-        ranked = counted.withColumn("before", F.coalesce(F.sum("_c").over(earlier), F.lit(0)))
+        ranked = _counts_by_window(counted, keys, "_at", "_c")
     else:
         ranked = running_counts(counted, keys, "_at", "_c")
 
@@ -101,6 +100,11 @@ def exact_quantiles(
     return found.select(*named, "n", F.expr(f"array({results}) AS {name}"))
 
 
+def _counts_by_window(counts: DataFrame, groups: Sequence[str], order: str, count: str) -> DataFrame:
+    earlier = Window.partitionBy(*groups).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("before", F.coalesce(F.sum(count).over(earlier), F.lit(0)))
+
+
 def running_counts(counts: DataFrame, groups: Sequence[str], order: str, count: str) -> DataFrame:
     """Adds ``before``: the sum of ``count`` over rows of the group with a smaller ``order``.
 
@@ -129,10 +133,13 @@ def running_counts(counts: DataFrame, groups: Sequence[str], order: str, count:
 def value_ranks(counts: DataFrame, groups: Sequence[str], value: str, count: str) -> DataFrame:
     """Average rank of each distinct value inside its group, as ``avg_rank``.
 
-    ``counts`` holds one row per (group, value).
+    ``counts`` holds one row per (group, value); it is counted first, and a window is used
+    only when all its rows together are few.
     """
+    few = counts.count() <= WINDOW_ROWS
+    ranked = (_counts_by_window if few else running_counts)(counts, groups, value, count)
     rank = F.col("before") + (F.col(count) + 1) / F.lit(2.0)
-    return running_counts(counts, groups, value, count).withColumn("avg_rank", rank).drop("before")
+    return ranked.withColumn("avg_rank", rank).drop("before")
 
 
 def group_mode(df: DataFrame, groups: Sequence[str], value: str, name: str = "mode") -> DataFrame:

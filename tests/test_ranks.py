@@ -46,7 +46,9 @@ def test_quantiles_without_groups_and_with_null_group(spark):
     assert ranks.exact_quantiles(df.filter("false"), ["g"], "v", [0.5]).collect() == []
 
 
-def test_value_ranks(spark):
+@pytest.mark.parametrize("limit", [-1, 10**6])
+def test_value_ranks(spark, monkeypatch, limit):
+    monkeypatch.setattr(ranks, "WINDOW_ROWS", limit)
     rng = random.Random(3)
     values = [float(rng.randint(0, 40)) for _ in range(500)]
     counts = frame(spark, {"x": values, "y": [1.0, 1.0, 2.0]}).groupBy("g", "v").agg(F.count("v").alias("c"))
