@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderloom.llm import bpe, shards, topk
+from orderloom.llm import bpe, near_dups, shards, topk
 from orderloom.session import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,27 @@ def op5_virtual_slots(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.col("version").alias("map_version"),
     )
+
+
+@query
+def op6_superminhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, folder, "documents"), words=2, percent=80)
+
+
+TWINS["op6_superminhash"] = """
+WITH RECURSIVE w AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS t FROM documents
+), s AS (
+    SELECT doc_id, CASE WHEN len(t) = 0 THEN [] WHEN len(t) = 1 THEN [t[1]]
+        ELSE list_distinct(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) END AS g FROM w
+), e AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
+p AS (
+    SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id
+        AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+    GROUP BY 1, 2 HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))
+), l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT doc_id, len(g)::BIGINT AS n_shingles, m.c AS component_id, doc_id = m.c AS kept
+FROM s JOIN (SELECT a, min(b) AS c FROM r GROUP BY 1) m ON m.a = s.doc_id
+"""
