@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderloom.llm import bpe, near_dups, shards, topk
+from orderloom.llm import bpe, hmm, near_dups, shards, topk
 from orderloom.session import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,8 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, l.b FROM r JOIN l
 SELECT doc_id, len(g)::BIGINT AS n_shingles, m.c AS component_id, doc_id = m.c AS kept
 FROM s JOIN (SELECT a, min(b) AS c FROM r GROUP BY 1) m ON m.a = s.doc_id
 """
+
+
+@query
+def op7_hidden_markov(spark: SparkSession, folder: str) -> DataFrame:
+    return hmm.score_texts(table(spark, folder, "documents"))
