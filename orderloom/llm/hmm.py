@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderloom.llm import textbits as tb
-from orderloom.llm.store import key_buckets, packed, stored, unpacked
+from orderloom.llm.store import key_buckets, packed, stored, summed, unpacked
 
 FORMS = 8192
 STATES = 8
@@ -186,10 +186,6 @@ def _train(slices: DataFrame, per_form: np.ndarray, states: int, rounds: int) ->
     start = np.full(states, 1 / states)
     edges = np.linspace(0, FORMS, SUM_SLICES + 1).astype(int)
 
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(b, np.float64) for b in table.column("sums").to_pylist())
-        return pa.table({"part": table.column("part")[:1], "sums": [total.tobytes()]})
-
     for _ in range(rounds):
         model = spark.sparkContext.broadcast((start, move, emit))  # FORMS x states numbers
 
@@ -207,10 +203,10 @@ def _train(slices: DataFrame, per_form: np.ndarray, states: int, rounds: int) ->
             if sums is not None:
                 first, moves, emitted = sums
                 out = [np.concatenate([first, moves.ravel()]), *(emitted[a:b].ravel() for a, b in zip(edges[:-1], edges[1:], strict=True))]
-                yield pa.record_batch([pa.array(range(len(out)), pa.int32()), pa.array([x.tobytes() for x in out], pa.binary())], ["part", "sums"])
+                yield pa.record_batch([pa.array(map(str, range(len(out)))), pa.array([x.tobytes() for x in out], pa.binary())], ["part", "sums"])
 
-        told = slices.select("lengths", "held", "tokens", "forms").mapInArrow(expect, "part int, sums binary")
-        parts = {r["part"]: np.frombuffer(r["sums"]) for r in told.groupBy("part").applyInArrow(add, "part int, sums binary").collect()}
+        told = slices.select("lengths", "held", "tokens", "forms").mapInArrow(expect, "part string, sums binary")
+        parts = {int(r["part"]): np.frombuffer(r["sums"]) for r in summed(told).collect()}
         if not parts:
             break
         first, moves = parts[0][:states], parts[0][states:].reshape(states, states)

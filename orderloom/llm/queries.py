@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderloom.llm import bpe, hmm, near_dups, shards, topk
+from orderloom.llm import bpe, contamination, hmm, language, near_dups, quality, shards, topk
 from orderloom.session import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,19 @@ FROM s JOIN (SELECT a, min(b) AS c FROM r GROUP BY 1) m ON m.a = s.doc_id
 @query
 def op7_hidden_markov(spark: SparkSession, folder: str) -> DataFrame:
     return hmm.score_texts(table(spark, folder, "documents"))
+
+
+@query
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return language.identify(docs.select("doc_id", "text", F.col("lang").alias("declared"), F.col("source").alias("host")))
+
+
+@query
+def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from orderloom.session import shared_path
 
@@ -30,3 +31,18 @@ def packed(array: np.ndarray) -> bytes:
 def unpacked(blob: bytes, kind) -> np.ndarray:
     size = int.from_bytes(blob[:8], "little")
     return np.frombuffer(pa.decompress(blob[8:], size, codec="zstd", asbytes=True) if size else b"", kind)
+
+
+def summed(parts: DataFrame) -> DataFrame:
+    """Adds up vectors of doubles (``part string, sums binary``) by part, in two steps.
+
+    First the vectors of some tasks are added, then those sums, so no task gets the vectors of all.
+    """
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(b, np.float64) for b in table.column("sums").to_pylist())
+        return pa.table({"part": table.column("part")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+
+    salted = parts.withColumn("salt", F.spark_partition_id() % 64)
+    some = salted.groupBy("part", "salt").applyInArrow(lambda t: add(t.select(["part", "sums"])), "part string, sums binary")
+    return some.groupBy("part").applyInArrow(add, "part string, sums binary")

@@ -121,3 +121,9 @@ def shingle_sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     new[1:] = (out[1:] != out[:-1]) | (doc[1:] != doc[:-1])
     out, doc = out[new], doc[new]
     return out, np.searchsorted(doc, np.arange(len(n) + 1))
+
+
+def per_text(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sums of the values of each text."""
+    total = np.concatenate([np.zeros(1, np.float64), np.cumsum(values, dtype=np.float64)])
+    return total[bounds[1:]] - total[bounds[:-1]]
