@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderloom.llm import bpe, contamination, hmm, language, near_dups, quality, shards, topk
+from orderloom.llm import bpe, contamination, hmm, language, line_dedup, near_dups, quality, shards, topk
 from orderloom.session import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,30 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, folder, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", "text")
+
+
+TWINS["op4_line_dedup"] = """
+WITH l AS (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS said, generate_subscripts(string_split(text, chr(10)), 1) AS line
+    FROM documents
+), t AS (
+    SELECT doc_id, line, said, list_filter(regexp_split_to_array(translate(said, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM l
+), w AS (SELECT doc_id, line, w, min((doc_id, line)) OVER (PARTITION BY w) AS f FROM t WHERE len(w) >= 5),
+c AS (SELECT DISTINCT w, f FROM w),
+d AS (SELECT w, f, list_concat(w[1:i - 1], w[i + 1:]) AS x, i FROM (SELECT w, f, unnest(range(1, len(w) + 1)) AS i FROM c)),
+near AS (
+    SELECT a.w FROM d a JOIN d b ON a.x = b.x AND a.i = b.i AND len(a.w) = len(b.w) WHERE b.f < a.f
+    UNION SELECT a.w FROM c a JOIN d b ON a.w = b.x WHERE b.f < a.f
+    UNION SELECT a.w FROM d a JOIN c b ON a.x = b.w WHERE b.f < a.f
+), gone AS (SELECT doc_id, line FROM w WHERE (doc_id, line) <> f OR w IN (SELECT w FROM near))
+SELECT t.doc_id, count(*)::BIGINT AS n_lines, count(gone.line)::BIGINT AS n_removed,
+    coalesce(string_agg(t.said, chr(10) ORDER BY t.line) FILTER (WHERE gone.line IS NULL), '') AS text
+FROM t LEFT JOIN gone USING (doc_id, line) GROUP BY t.doc_id
+"""

@@ -46,3 +46,22 @@ def summed(parts: DataFrame) -> DataFrame:
     salted = parts.withColumn("salt", F.spark_partition_id() % 64)
     some = salted.groupBy("part", "salt").applyInArrow(lambda t: add(t.select(["part", "sums"])), "part string, sums binary")
     return some.groupBy("part").applyInArrow(add, "part string, sums binary")
+
+
+#: Codes that stand for documents in ``likely``; a broadcast has at most so many rows.
+CODES = 1 << 18
+
+
+def _code(key: str):
+    return F.pmod(F.xxhash64(key), F.lit(CODES)).cast("int").alias("_code")
+
+
+def likely(rows: DataFrame, keys: DataFrame, key: str, inside: bool = True) -> DataFrame:
+    """Rows whose key may be among ``keys`` (or, with ``inside=False``, certainly is not).
+
+    Keys are reduced to a fixed number of codes, so what is broadcast is bounded. It saves shuffling
+    the texts of rows that a later join would drop; with very many keys it merely saves less.
+    """
+    codes = stored(keys.select(_code(key)).distinct())
+    kind = "left_semi" if inside else "left_anti"
+    return rows.withColumn("_code", _code(key)).join(F.broadcast(codes), "_code", kind).drop("_code")

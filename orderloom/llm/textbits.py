@@ -127,3 +127,20 @@ def per_text(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sums of the values of each text."""
     total = np.concatenate([np.zeros(1, np.float64), np.cumsum(values, dtype=np.float64)])
     return total[bounds[1:]] - total[bounds[:-1]]
+
+
+class Runs:
+    """Hashes of runs of values (words of a text), of any run in constant time."""
+
+    def __init__(self, values: np.ndarray):
+        self.up, self.down = powers(len(values) + 1)
+        self.sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * self.up[:-1], out=self.sums[1:])
+
+    def raw(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Hashes of the runs from a to b."""
+        return (self.sums[b] - self.sums[a]) * self.down[a]
+
+    def without(self, a: np.ndarray, b: np.ndarray, skip: np.ndarray) -> np.ndarray:
+        """Hashes of the runs from a to b less the value at ``skip``."""
+        return self.raw(a, skip) + self.raw(skip + 1, b) * self.up[skip - a]
