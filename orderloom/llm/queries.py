@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderloom.llm import bpe, contamination, hmm, language, line_dedup, near_dups, quality, shards, topk
+from orderloom.llm import bpe, contamination, hmm, language, line_dedup, near_dups, quality, shards, suffix_dedup, topk
 from orderloom.session import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +135,11 @@ SELECT t.doc_id, count(*)::BIGINT AS n_lines, count(gone.line)::BIGINT AS n_remo
     coalesce(string_agg(t.said, chr(10) ORDER BY t.line) FILTER (WHERE gone.line IS NULL), '') AS text
 FROM t LEFT JOIN gone USING (doc_id, line) GROUP BY t.doc_id
 """
+
+
+@query
+def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = suffix_dedup.without_repeats(table(spark, folder, "documents"))
+    return out.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
