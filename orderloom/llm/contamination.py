@@ -94,6 +94,8 @@ def aligned(item: np.ndarray, passage: np.ndarray) -> int:
 
 def _passages(hit: np.ndarray, number: np.ndarray, at: np.ndarray, first: np.ndarray, seeds: Seeds, item_words: list[np.ndarray]):
     """Candidate passages: document, item, first and last word, number of seeds."""
+    if not len(hit):
+        return
     n = seeds.count[number]
     entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(seeds.first[number], n)
     word = np.repeat(at[hit], n)
