@@ -7,9 +7,10 @@ the document are filled. The draws of one step are made for all elements of a sl
 
 Documents with equal sets form one class before any comparison. Classes that share a band are
 candidates. A bucket of candidates never forms all its pairs: its members are first compared with one
-hub, then with another; only members that still lie outside the hub's group are compared with the
-members of other groups, which leaves no candidate link between groups unseen. Each link is confirmed
-on the full sets.
+hub, then with another. Members that still lie outside the hub's group meet the members of other groups
+that share one of their rarest shingles: sets of n shingles with similarity s have at least s * n in
+common, so their first n - s * n + 1 shingles in any one order overlap, and no link is lost. Each link is
+confirmed on the full sets.
 
 Rows with one doc_id are one document in several rows. Texts that are null or without words have the
 empty set and are linked with nothing; so are rows without doc_id, whose component is null and which
@@ -31,6 +32,9 @@ from orderloom.llm.store import stored
 
 #: 30 bands of 5 values miss a pair of similarity 0.8 with probability 7e-6.
 BANDS, BAND_ROWS = 30, 5
+#: Common shingles that are ranked by frequency; all others come before them. The result is the same
+#: for any order, and so for any number.
+RANKED = 65_536
 _LOW32 = np.uint64(0xFFFFFFFF)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -112,6 +116,30 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return held.filter(100 * F.col("common") >= percent * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
 
 
+def _rarest(sets: DataFrame, percent: int) -> DataFrame:
+    """``id, token``: as many of the rarest shingles of each set as a similar set must share one of."""
+    seen = sets.select(F.explode("shingles").alias("token")).groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
+    common = [r["token"] for r in seen.orderBy(F.desc("n"), "token").limit(RANKED).select("token").collect()]
+    by_token = np.argsort(np.array(common, np.int64))
+    ranks = sets.sparkSession.sparkContext.broadcast((np.array(common, np.int64)[by_token], len(common) - by_token))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, rank = ranks.value
+        for batch in batches:
+            lists = batch.column(1)
+            n = np.diff(lists.offsets.to_numpy())
+            values = lists.flatten().to_numpy()
+            doc = np.repeat(np.arange(len(n)), n)
+            place = np.minimum(np.searchsorted(tokens, values), max(len(tokens) - 1, 0))
+            own = np.where(tokens[place] == values, rank[place], 0) if len(tokens) else np.zeros(len(values), np.int64)
+            order = np.lexsort((values, own, doc))
+            first = np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n)
+            some = first < (n + (-percent * n // 100) + 1)[doc]
+            yield pa.record_batch([batch.column(0).take(pa.array(doc[some])), pa.array(values[order][some])], ["id", "token"])
+
+    return sets.mapInArrow(run, "id long, token long")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs`` (``doc_id, text``)."""
     features = stored(_features(docs, words, bands, band_rows))
@@ -151,10 +179,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
         if mixed.isEmpty():
             break
         if last:
-            others = here.join(mixed.select("key"), "key", "left_semi").select(
-                "key", F.col("id").alias("other"), F.col("n").alias("m"), F.col("group").alias("other_group")
+            those = here.join(mixed.select("key"), "key", "left_semi")
+            rarest = stored(_rarest(sets.join(those.select("id").distinct(), "id", "left_semi"), percent))
+            others = those.join(rarest, "id").select(
+                "key", "token", F.col("id").alias("other"), F.col("n").alias("m"), F.col("group").alias("other_group")
             )
-            pairs = minor.join(others, "key").filter(F.col("group") != F.col("other_group")).filter(fitting("n", "m"))
+            pairs = minor.join(rarest, "id").join(others, ["key", "token"])
+            pairs = pairs.filter(F.col("group") != F.col("other_group")).filter(fitting("n", "m"))
             pairs = pairs.select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b"))
         else:
             pairs = minor.filter(fitting("n", "hub.n")).select(
