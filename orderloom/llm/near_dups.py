@@ -6,11 +6,15 @@ so nothing can improve it after the step that first filled it, and drawing stops
 the document are filled. The draws of one step are made for all elements of a slice at once.
 
 Documents with equal sets form one class before any comparison. Classes that share a band are
-candidates. A bucket of candidates never forms all its pairs: its members are first compared with one
-hub, then with another. Members that still lie outside the hub's group meet the members of other groups
-that share one of their rarest shingles: sets of n shingles with similarity s have at least s * n in
-common, so their first n - s * n + 1 shingles in any one order overlap, and no link is lost. Each link is
-confirmed on the full sets.
+candidates. A bucket of candidates never forms all its pairs: its members are compared with one hub, the
+smallest. Of the others only links with members outside the hub's group are still to be found. Such a
+member x differs from the hub h by more than a link allows, and two members are linked only if their
+differences from the hub overlap: with D = x ^ h, a link of x and y needs
+
+    |x ^ y| = |Dx| + |Dy| - 2 * |Dx & Dy| <= (|x| + |y|) * (1 - s) / (1 + s)
+
+so they meet on a shingle of both differences, early enough in an order by frequency for the rest to hold
+the overlap. Each link is confirmed on the full sets.
 
 Rows with one doc_id are one document in several rows. Texts that are null or without words have the
 empty set and are linked with nothing; so are rows without doc_id, whose component is null and which
@@ -32,8 +36,8 @@ from orderloom.llm.store import stored
 
 #: 30 bands of 5 values miss a pair of similarity 0.8 with probability 7e-6.
 BANDS, BAND_ROWS = 30, 5
-#: Common shingles that are ranked by frequency; all others come before them. The result is the same
-#: for any order, and so for any number.
+#: Shingles that are ranked by their frequency in differences; all others come before them. The result is
+#: the same for any order, and so for any number.
 RANKED = 65_536
 _LOW32 = np.uint64(0xFFFFFFFF)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -116,28 +120,35 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return held.filter(100 * F.col("common") >= percent * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
 
 
-def _rarest(sets: DataFrame, percent: int) -> DataFrame:
-    """``id, token``: as many of the rarest shingles of each set as a similar set must share one of."""
-    seen = sets.select(F.explode("shingles").alias("token")).groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
-    common = [r["token"] for r in seen.orderBy(F.desc("n"), "token").limit(RANKED).select("token").collect()]
+def _difference_entries(differences: DataFrame, percent: int) -> DataFrame:
+    """The rarer shingles of each member's difference from its hub, as far as a link may first meet."""
+    seen = differences.select(F.explode("diff").alias("token")).groupBy("token").agg(F.count("*").alias("f")).filter("f > 1")
+    common = [r["token"] for r in seen.orderBy(F.desc("f"), "token").limit(RANKED).select("token").collect()]
     by_token = np.argsort(np.array(common, np.int64))
-    ranks = sets.sparkSession.sparkContext.broadcast((np.array(common, np.int64)[by_token], len(common) - by_token))
+    ranks = differences.sparkSession.sparkContext.broadcast((np.array(common, np.int64)[by_token], len(common) - by_token))
+    names = ["hub", "id", "n", "group", "minor"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, rank = ranks.value
         for batch in batches:
-            lists = batch.column(1)
-            n = np.diff(lists.offsets.to_numpy())
+            lists = batch.column(len(names))
+            d = np.diff(lists.offsets.to_numpy())
             values = lists.flatten().to_numpy()
-            doc = np.repeat(np.arange(len(n)), n)
+            member = np.repeat(np.arange(len(d)), d)
             place = np.minimum(np.searchsorted(tokens, values), max(len(tokens) - 1, 0))
             own = np.where(tokens[place] == values, rank[place], 0) if len(tokens) else np.zeros(len(values), np.int64)
-            order = np.lexsort((values, own, doc))
-            first = np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n)
-            some = first < (n + (-percent * n // 100) + 1)[doc]
-            yield pa.record_batch([batch.column(0).take(pa.array(doc[some])), pa.array(values[order][some])], ["id", "token"])
+            order = np.lexsort((values, own, member))
+            at = np.arange(len(values)) - np.repeat(np.cumsum(d) - d, d)
+            # The partner has at most 100 / percent times as many shingles.
+            most = batch.column(2).to_numpy() * (100 + percent) * (100 - percent) // (percent * (100 + percent))
+            some = at <= most[member]
+            take = pa.array(member[some])
+            yield pa.record_batch(
+                [*(batch.column(i).take(take) for i in range(len(names))), pa.array(values[order][some]), pa.array(at[some]), pa.array(d[member[some]].astype(np.int64))],
+                [*names, "token", "at", "d"],
+            )
 
-    return sets.mapInArrow(run, "id long, token long")
+    return differences.select(*names, "diff").mapInArrow(run, "hub long, id long, n long, group long, minor boolean, token long, at long, d long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
@@ -161,41 +172,26 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     sets = stored(_sets(docs.join(needed, "doc_id", "left_semi"), words))
     links = stored(_confirmed(tested, sets, percent))
 
-    def grouped() -> DataFrame:
-        labels = components(links)
-        here = members.join(labels, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("group"))
-        return stored(here)
-
-    def outside(here: DataFrame, salt: int) -> tuple[DataFrame, DataFrame]:
-        """Hubs of the buckets that hold several groups, and the members outside their hub's group."""
-        pick = F.min_by(F.struct("id", "n", "group"), F.xxhash64("id", F.lit(salt)))
-        mixed = here.groupBy("key").agg(F.min("group").alias("least"), F.max("group").alias("most"), pick.alias("hub")).filter("least < most")
-        mixed = stored(mixed.select("key", "hub"))
-        return mixed, here.join(mixed, "key").filter(F.col("group") != F.col("hub.group"))
-
-    here = grouped()
-    for last in (False, True):
-        mixed, minor = outside(here, int(last))
-        if mixed.isEmpty():
-            break
-        if last:
-            those = here.join(mixed.select("key"), "key", "left_semi")
-            rarest = stored(_rarest(sets.join(those.select("id").distinct(), "id", "left_semi"), percent))
-            others = those.join(rarest, "id").select(
-                "key", "token", F.col("id").alias("other"), F.col("n").alias("m"), F.col("group").alias("other_group")
-            )
-            pairs = minor.join(rarest, "id").join(others, ["key", "token"])
-            pairs = pairs.filter(F.col("group") != F.col("other_group")).filter(fitting("n", "m"))
-            pairs = pairs.select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b"))
-        else:
-            pairs = minor.filter(fitting("n", "hub.n")).select(
-                F.greatest("id", F.col("hub.id")).alias("a"), F.least("id", F.col("hub.id")).alias("b")
-            )
-        fresh = stored(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
-        found = stored(_confirmed(fresh, sets, percent))
-        links, tested = links.union(found), tested.union(fresh)
-        if not last and not found.isEmpty():
-            here = grouped()
+    labels = components(links)
+    families = members.select(F.col("hub.id").alias("hub"), "id", "n").distinct().filter("id <> hub")
+    group = F.coalesce("component", "id").alias("group")
+    hub_group = labels.select(F.col("id").alias("hub"), F.col("component").alias("hub_group"))
+    families = families.join(labels, "id", "left").select("hub", "id", "n", group).join(hub_group, "hub", "left")
+    families = stored(families.withColumn("minor", F.col("group") != F.coalesce("hub_group", "hub")).drop("hub_group"))
+    mixed = families.groupBy("hub").agg(F.count("*").alias("size"), F.max("minor").alias("any")).filter("size > 1 AND any").select("hub")
+    x = sets.select("id", F.col("shingles").alias("x"))
+    h = sets.select(F.col("id").alias("hub"), F.col("shingles").alias("h"))
+    differences = families.join(mixed, "hub", "left_semi").join(x, "id").join(h, "hub")
+    differences = stored(differences.withColumn("diff", F.concat(F.array_except("x", "h"), F.array_except("h", "x"))).drop("x", "h"))
+    if not differences.isEmpty():
+        entries = stored(_difference_entries(differences, percent))
+        others = entries.select("hub", "token", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "group", "at", "d")))
+        meets = F.expr(
+            f"group <> group2 AND 2 * {100 + percent} * least(d - at, d2 - at2) >= {100 + percent} * (d + d2) - {100 - percent} * (n + n2)"
+        )
+        pairs = entries.filter("minor").join(others, ["hub", "token"]).filter(meets).filter(fitting("n", "n2"))
+        pairs = pairs.select(F.greatest("id", "id2").alias("a"), F.least("id", "id2").alias("b")).distinct()
+        links = links.union(stored(_confirmed(pairs.join(tested, ["a", "b"], "left_anti"), sets, percent)))
 
     labels = components(links)
     heads = classes.join(labels, "id", "left").select("s1", "s2", "n_shingles", F.coalesce("component", "id").alias("head"))
