@@ -23,8 +23,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 #: Pre-tokens remembered by a Python worker in each of two generations.
-REMEMBERED = 150_000
-_GROUP = 256
+REMEMBERED = 400_000
+#: Ranks are marked in groups of 2**_GROUP.
+_GROUP = 8
+_LAST = (1 << _GROUP) - 1
 
 
 def read_ranks(spark: SparkSession, path: str) -> list[bytes]:
@@ -56,7 +58,7 @@ class Encoder:
                     self.pairs[left << self.shift | right] = merged
         self.split = regex.compile(pattern).findall
         self.buckets: list[list[int]] = [[] for _ in tokens]
-        self.low = [0] * (len(tokens) // _GROUP + 1)
+        self.low = [0] * ((len(tokens) >> _GROUP) + 1)
         self.young: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
 
@@ -66,27 +68,33 @@ class Encoder:
         if whole is not None:
             return (whole,)
         find, shift, buckets, low = self.pairs.get, self.shift, self.buckets, self.low
-        n = len(data)
-        ids = [self.bytes[b] for b in data]
+        start = self.bytes
+        ids = [start[b] for b in data]
+        n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         ranks = [-1] * n  # of the pair that begins here
         high = 0
+        left = ids[0]
         for i in range(n - 1):
-            r = find(ids[i] << shift | ids[i + 1])
+            right = ids[i + 1]
+            r = find(left << shift | right)
+            left = right
             if r is not None:
                 ranks[i] = r
                 bucket = buckets[r]
                 if not bucket:
-                    low[r // _GROUP] |= 1 << (r % _GROUP)
-                    high |= 1 << (r // _GROUP)
+                    low[r >> _GROUP] |= 1 << (r & _LAST)
+                    high |= 1 << (r >> _GROUP)
                 bucket.append(i)  # in order, so the list is a heap
         while high:
             group = (high & -high).bit_length() - 1
             bits = low[group]
-            r = group * _GROUP + (bits & -bits).bit_length() - 1
+            r = (group << _GROUP) + (bits & -bits).bit_length() - 1
             bucket = buckets[r]
-            i = heappop(bucket)
-            if not bucket:
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket.pop()
                 bits &= bits - 1
                 low[group] = bits
                 if not bits:
@@ -95,26 +103,36 @@ class Encoder:
                 continue  # stale
             j = after[i]
             k = after[j]
-            ids[i], after[i], ranks[j] = r, k, -1
-            ids[j] = -1
+            ids[i] = r
+            ids[j] = ranks[j] = ranks[i] = -1
+            after[i] = k
             if k < n:
                 before[k] = i
-            for left, right in ((before[i], i), (i, k)):
-                if left < 0 or right >= n:
-                    if right >= n:
-                        ranks[left] = -1
-                    continue
-                s = find(ids[left] << shift | ids[right])
+                s = find(r << shift | ids[k])
+                if s is not None:
+                    ranks[i] = s
+                    bucket = buckets[s]
+                    if not bucket:
+                        low[s >> _GROUP] |= 1 << (s & _LAST)
+                        high |= 1 << (s >> _GROUP)
+                        bucket.append(i)
+                    else:
+                        heappush(bucket, i)
+            h = before[i]
+            if h >= 0:
+                s = find(ids[h] << shift | r)
                 if s is None:
-                    ranks[left] = -1
-                elif ranks[left] != s or left == i:
-                    ranks[left] = s
+                    ranks[h] = -1
+                elif ranks[h] != s:
+                    ranks[h] = s
                     bucket = buckets[s]
                     if not bucket:
-                        low[s // _GROUP] |= 1 << (s % _GROUP)
-                        high |= 1 << (s // _GROUP)
-                    heappush(bucket, left)
-        return tuple(i for i in ids if i >= 0)
+                        low[s >> _GROUP] |= 1 << (s & _LAST)
+                        high |= 1 << (s >> _GROUP)
+                        bucket.append(h)
+                    else:
+                        heappush(bucket, h)
+        return tuple([i for i in ids if i >= 0])
 
     def _remember(self, word: str) -> tuple[int, ...]:
         ids = self.old.get(word)
