@@ -159,7 +159,16 @@ class Encoder:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-_encoders: dict[int, Encoder] = {}
+_encoders: dict[tuple, Encoder] = {}
+
+
+def shared_encoder(tokens: list[bytes], pattern: str) -> Encoder:
+    """The encoder of this Python worker, with the pre-tokens it remembers from earlier tasks."""
+    key = (pattern, tuple(tokens))
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(tokens, pattern)
+    return _encoders[key]
 
 
 def with_tokens(docs: DataFrame, tokens: list[bytes], pattern: str, arrays: bool = True) -> DataFrame:
@@ -171,11 +180,7 @@ def with_tokens(docs: DataFrame, tokens: list[bytes], pattern: str, arrays: bool
     shared = docs.sparkSession.sparkContext.broadcast((tokens, pattern))  # a vocabulary: fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hash((len(shared.value[0]), shared.value[1], shared.value[0][-1]))
-        encoder = _encoders.get(key)
-        if encoder is None:
-            _encoders.clear()
-            encoder = _encoders[key] = Encoder(*shared.value)
+        encoder = shared_encoder(*shared.value)
         names = encoder.texts.__getitem__
         for batch in batches:
             column = batch.column(1)
