@@ -22,6 +22,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from orderloom.llm.store import text_batches
+
 #: Pre-tokens remembered by a Python worker in each of two generations.
 REMEMBERED = 400_000
 #: Ranks are marked in groups of 2**_GROUP.
@@ -199,7 +201,7 @@ def with_tokens(docs: DataFrame, tokens: list[bytes], pattern: str, arrays: bool
                 yield pa.record_batch(out, names_out)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if arrays else "")
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return text_batches(docs).select("doc_id", "text").mapInArrow(run, schema)
 
 
 def decoded(encoded: DataFrame, tokens: list[bytes]) -> DataFrame:

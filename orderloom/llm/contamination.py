@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderloom.llm import textbits as tb
+from orderloom.llm.store import text_batches
 
 SEED_WORDS = 3
 BLOCK_BYTES = 4 << 20
@@ -123,7 +124,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, bloc
     of the passage that was aligned; one row per pair, the best passage.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    docs = text_batches(docs).select("doc_id", "text")
     items = benchmark.select("item_id", "text").filter("text IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))

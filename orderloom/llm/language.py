@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderloom.llm import textbits as tb
-from orderloom.llm.store import stored, summed
+from orderloom.llm.store import stored, summed, text_batches
 
 LANGUAGES = ("de", "en", "es", "fr")
 GRAMS = 1 << 15
@@ -98,7 +98,7 @@ def identify(rows: DataFrame, languages: Sequence[str] = LANGUAGES) -> DataFrame
     document's origin; its suffix is what follows the last dot.
     """
     languages = list(languages)
-    rows = rows.select("doc_id", "text", F.lower(F.split("declared", "[-_]")[0]).alias("declared"), F.lower("host").alias("host"))
+    rows = text_batches(rows).select("doc_id", "text", F.lower(F.split("declared", "[-_]")[0]).alias("declared"), F.lower("host").alias("host"))
     model = rows.sparkSession.sparkContext.broadcast(_text_models(rows, languages))  # GRAMS x languages
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

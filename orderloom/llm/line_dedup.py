@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderloom.llm import textbits as tb
-from orderloom.llm.store import likely, stored
+from orderloom.llm.store import likely, stored, text_batches
 
 MIN_WORDS = 5
 PARTS = 3
@@ -211,6 +211,7 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the removed lines taken out of ``text``, and ``n_lines`` and ``n_removed``."""
+    docs = text_batches(docs)
     gone = stored(removed_lines(docs, min_words))
     by_doc = gone.groupBy("doc_id").agg(F.collect_list("line").alias("_gone"))
     docs = docs.drop("n_lines", "n_removed", "_gone")

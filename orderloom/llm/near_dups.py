@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from orderloom.llm import textbits as tb
 from orderloom.llm.components import components
-from orderloom.llm.store import stored
+from orderloom.llm.store import stored, text_batches
 
 #: 30 bands of 5 values miss a pair of similarity 0.8 with probability 7e-6.
 BANDS, BAND_ROWS = 30, 5
@@ -153,6 +153,7 @@ def _difference_entries(differences: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs`` (``doc_id, text``)."""
+    docs = text_batches(docs)
     features = stored(_features(docs, words, bands, band_rows))
     sized = features.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = sized.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))

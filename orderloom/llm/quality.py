@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderloom.llm import textbits as tb
-from orderloom.llm.store import stored
+from orderloom.llm.store import stored, text_batches
 
 LANGUAGES = ("de", "en", "es", "fr")
 ORDER, KINDS = 4, 32
@@ -141,7 +141,7 @@ def classify(docs: DataFrame, labels: DataFrame, languages: Sequence[str] = LANG
     models = [*languages, "other"]
     spark = docs.sparkSession
     number = F.coalesce(*(F.when(F.lower("lang") == x, F.lit(i)) for i, x in enumerate(languages)), F.lit(len(languages)))
-    rows = docs.select("doc_id", number.alias("model"), "text")
+    rows = text_batches(docs).select("doc_id", number.alias("model"), "text")
     trusted_ids = labels.filter("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
     learned = trusted_ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted)
     sample = rows.join(F.broadcast(learned), "doc_id", "left_semi").select("model", "text")  # max_trusted ids

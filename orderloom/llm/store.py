@@ -17,6 +17,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def text_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, after asking the session for batches of few rows, so a batch of long texts fits in memory."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return docs
+
+
 def key_buckets(spark: SparkSession) -> int:
     """How many key ranges to exchange: a power of two that follows the session's shuffle partitions."""
     wanted = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderloom.llm import textbits as tb
-from orderloom.llm.store import key_buckets, likely, packed, stored, unpacked
+from orderloom.llm.store import key_buckets, likely, packed, stored, text_batches, unpacked
 
 WINDOW, SEED = 100, 32
 HOT = 16_384
@@ -363,6 +363,7 @@ def without_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
 
     ``spans`` are the maximal runs of removed bytes, ``kept`` the remaining bytes one after the other.
     """
+    docs = text_batches(docs)
     found = stored(repeated_spans(docs, hot))
     by_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("found"))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
