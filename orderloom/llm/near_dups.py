@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from orderloom.llm import textbits as tb
 from orderloom.llm.components import components
-from orderloom.llm.store import stored, text_batches
+from orderloom.llm.store import likely, stored, text_batches
 
 #: 30 bands of 5 values miss a pair of similarity 0.8 with probability 7e-6.
 BANDS, BAND_ROWS = 30, 5
@@ -170,7 +170,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     tested = stored(wanted.select(F.col("id").alias("a"), F.col("hub.id").alias("b")).distinct())
     # A member whose hubs all have sets of other sizes may still match another member.
     needed = members.select(F.col("id").alias("doc_id")).distinct()
-    sets = stored(_sets(docs.join(needed, "doc_id", "left_semi"), words))
+    sets = stored(_sets(likely(docs.select("doc_id", "text"), needed, "doc_id").join(needed, "doc_id", "left_semi"), words))
     links = stored(_confirmed(tested, sets, percent))
 
     labels = components(links)
