@@ -448,7 +448,7 @@ def partners_without_brand(tb: Testbed) -> DataFrame:
 
 
 @query(
-    f"""WITH offered AS ({OFFERED.format(city='order_city_code,', days=7)}),
+    f"""WITH offered AS ({OFFERED.format(city='order_city_code,', days=90)}),
     wet AS (SELECT DISTINCT store_name FROM offered JOIN categories USING (product_id)
         WHERE predicted_category IN ('drink', 'drinks')),
     sold AS (SELECT order_country_code, order_city_code, store_name, count(DISTINCT order_id) AS orders_count
@@ -462,7 +462,7 @@ def partners_without_brand(tb: Testbed) -> DataFrame:
 def stores_without_drinks(tb: Testbed) -> DataFrame:
     facts = tb.order_facts()
     offered = catalogue.available_products(
-        facts, tb.product_availability(), AS_OF, 90, COUNTRIES, with_city=True, snapshot_days=7
+        facts, tb.product_availability(), AS_OF, 90, COUNTRIES, with_city=True, snapshot_days=90
     )
     return drinks.stores_without_drinks(offered, tb.product_predictions(), lines_of(tb, facts))
 

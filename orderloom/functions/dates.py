@@ -53,17 +53,19 @@ def since_days(t: Column, as_of: dt.date, days: int) -> Column:
 
 
 def _forward_months(a: Column, b: Column) -> Column:
-    clock = "HHmmss.SSSSSS"
     whole = (F.year(b) - F.year(a)) * 12 + (F.month(b) - F.month(a))
-    earlier = (F.dayofmonth(b) < F.dayofmonth(a)) | (
-        (F.dayofmonth(b) == F.dayofmonth(a)) & (F.date_format(b, clock) < F.date_format(a, clock))
-    )
-    month_end = (F.dayofmonth(b) == F.dayofmonth(F.last_day(b))) & (F.dayofmonth(a) > F.dayofmonth(b))
-    return whole - F.when(earlier & ~month_end, 1).otherwise(0)
+    due = F.least(F.dayofmonth(a), F.dayofmonth(F.last_day(b)))
+    earlier = (F.dayofmonth(b) < due) | ((F.dayofmonth(b) == due) & (_clock(b) < _clock(a)))
+    return whole - F.when(earlier, 1).otherwise(0)
+
+
+def _clock(t: Column) -> Column:
+    at = t.cast("timestamp_ntz")
+    return F.hour(at) * 3600 + F.minute(at) * 60 + F.date_part(F.lit("SECOND"), at)
 
 
 def full_months(a: Column, b: Column) -> Column:
-    """Completed calendar months from ``a`` to ``b``; a short month's last day completes one."""
+    """Completed calendar months from ``a`` to ``b``; a short month's last day completes one, from the start's time of day."""
     return F.when(b >= a, _forward_months(a, b)).otherwise(-_forward_months(b, a))
 
 

@@ -25,7 +25,8 @@ def stable_round(value: Column, places: int = 2) -> Column:
 
 
 def number_or_zero(value: Column) -> Column:
-    return F.coalesce(value.try_cast("double"), F.lit(0.0))
+    number = value.try_cast("double")
+    return F.coalesce(F.when(~F.isnan(number), number), F.lit(0.0))
 
 
 def finite_or_null(value: Column) -> Column:

@@ -57,13 +57,14 @@ def drinks_kpis(lines: DataFrame, predictions: DataFrame) -> DataFrame:
     stores = orders.groupBy("order_country_code", "store_name").agg(
         *[F.count_if(test).alias(f"orders{kind}") for kind, test in kinds.items()],
         *[F.sum(F.when(test, F.col(v))).alias(f"{v}{kind}") for v in values for kind, test in kinds.items()],
+        *[F.count(F.when(test, F.col(v))).alias(f"{v}{kind}_n") for v in values for kind, test in kinds.items()],
         F.count_if(kinds["_drinks"] & F.col("only_drinks")).alias("only_drinks"),
         F.sum("unlabelled").alias("unlabelled"),
         F.sum("labelled").alias("labelled"),
         F.bool_or(F.col("top_partner") & seen).alias("partner"),
     )
     averages = [
-        stable_round(ratio_or_null(F.sum(f"{v}{kind}"), F.sum(f"orders{kind}")), 2).alias(
+        stable_round(ratio_or_null(F.sum(f"{v}{kind}"), F.sum(f"{v}{kind}_n")), 2).alias(
             v.replace("value", "aov") + kind
         )
         for v in values

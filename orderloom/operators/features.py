@@ -127,51 +127,35 @@ def split_key(identity: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")
 
 
+#: Leading bits of a draw by which rows are counted before the row at the limit is looked for.
+SLOT_BITS = 13
+
+
 def stratified_split(
     df: DataFrame, label: str | None, identity: str, fraction: float, seed: int = 42
 ) -> DataFrame:
     """Adds ``is_test``: exactly ``floor(fraction * n)`` rows of each label, by lowest draw.
 
-    ``identity`` is a unique column. The limit of each label is an exact order statistic,
-    so no label is sorted in one task and no row is shuffled; equal draws at the limit are
-    told apart by identity. ``label=None`` splits as a whole. Labels must be few.
+    ``identity`` is a unique column. Draws are counted by their leading bits, so the row at the limit is
+    found among a small share of its label's rows, by whole positions; equal draws are told apart by
+    identity. ``label=None`` splits as a whole. Labels must be few.
     """
     draw = split_key(F.col(identity), seed)
     key = F.lit("") if label is None else F.col(label)
-    slim = materialise(df.select(key.alias("_label"), draw.alias("_draw"), F.col(identity).alias("_id")))
-    sizes = {r["_label"]: r.n for r in slim.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    wanted = {v: int(fraction * n) for v, n in sizes.items()}
-    spots = {v: (k - 1) / max(sizes[v] - 1, 1) for v, k in wanted.items() if k > 0}
-    if not spots:
-        return df.withColumn("is_test", F.lit(False))
-    probs = sorted(set(spots.values()))
-    limits = {
-        r["_label"]: round(r.q[probs.index(spots[r["_label"]])])
-        for r in exact_quantiles(slim, ["_label"], "_draw", probs, "q").collect()
-        if r["_label"] in spots
-    }
-
-    def compare(column: Column, of: Column, test: str) -> Column:
-        out = F.lit(False)
-        for value, limit in limits.items():
-            hit = of < F.lit(limit) if test == "below" else of == F.lit(limit)
-            out = out | (column.eqNullSafe(F.lit(value)) & hit)
-        return out
-
-    own, drawn = F.col("_label"), F.col("_draw")
-    under = {
-        r["_label"]: r.n
-        for r in slim.filter(compare(own, drawn, "below")).groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()
-    }
-    # The rows at the limit: one per label unless two ids drew the same number.
-    order = F.row_number().over(Window.partitionBy("_label").orderBy("_id"))
-    at_limit = slim.filter(compare(own, drawn, "equal")).withColumn("_rank", order)
-    last = F.lit(False)
-    for value in limits:
-        last = last | (own.eqNullSafe(F.lit(value)) & (F.col("_rank") == wanted[value] - under.get(value, 0)))
-    bounds = {r["_label"]: r["_id"] for r in at_limit.filter(last).collect()}
-    chosen = compare(key, draw, "below")
-    for value, bound in bounds.items():
-        tied = (draw == F.lit(limits[value])) & (F.col(identity) <= F.lit(bound))
-        chosen = chosen | (key.eqNullSafe(F.lit(value)) & tied)
+    slim = df.select(key.alias("_label"), draw.alias("_draw"), F.col(identity).alias("_id"))
+    slim = materialise(slim.withColumn("_slot", F.shiftright("_draw", 52 - SLOT_BITS)))
+    counts = slim.groupBy("_label", "_slot").agg(F.count(F.lit(1)).alias("_c"))
+    whole = Window.partitionBy("_label")
+    earlier = whole.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    wanted = F.floor(F.lit(fraction) * F.sum("_c").over(whole))
+    placed = counts.select("*", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_before"), wanted.alias("_wanted"))
+    limit = placed.filter("_before < _wanted AND _wanted <= _before + _c").select(
+        F.col("_label").alias("_of"), F.col("_slot").alias("_at"), (F.col("_wanted") - F.col("_before")).alias("_need")
+    )
+    near = slim.join(limit, F.col("_label").eqNullSafe(F.col("_of")) & (F.col("_slot") == F.col("_at")))
+    ranked = near.withColumn("_rank", F.row_number().over(whole.orderBy("_draw", "_id")))
+    chosen = F.lit(False)
+    for last in ranked.filter("_rank = _need").collect():  # one row for each label
+        under = (draw < F.lit(last["_draw"])) | ((draw == F.lit(last["_draw"])) & (F.col(identity) <= F.lit(last["_id"])))
+        chosen = chosen | (key.eqNullSafe(F.lit(last["_label"])) & under)
     return df.withColumn("is_test", chosen)

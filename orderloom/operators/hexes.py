@@ -267,8 +267,15 @@ def _circles(stores: DataFrame) -> DataFrame:
     rows = F.sequence(
         _tile(F.col("lat") - F.col("reach_lat") * span, step), _tile(F.col("lat") + F.col("reach_lat") * span, step)
     )
-    columns = F.sequence(
-        _tile(F.col("lon") - F.col("reach_lon") * span, step), _tile(F.col("lon") + F.col("reach_lon") * span, step)
+    west, east = F.col("lon") - F.col("reach_lon") * span, F.col("lon") + F.col("reach_lon") * span
+    none = F.array().cast("array<bigint>")
+    # A circle across the 180th meridian also takes the tiles on its other side.
+    columns = F.array_distinct(
+        F.concat(
+            F.sequence(_tile(west, step), _tile(east, step)),
+            F.when(east > 180, F.sequence(_tile(west - 360, step), _tile(east - 360, step))).otherwise(none),
+            F.when(west < -180, F.sequence(_tile(west + 360, step), _tile(east + 360, step))).otherwise(none),
+        )
     )
     return placed.withColumn("tile_row", F.explode(rows)).withColumn("tile_col", F.explode(columns))
 
@@ -277,7 +284,6 @@ def covered_pairs(hexes: DataFrame, stores: DataFrame) -> DataFrame:
     """Hexagons inside each distinct store circle; ``stores_here`` tells how many stores share it.
 
     Both sides meet on a tile of a grid chosen by the radius, then the exact distance decides.
-    Circles across the 180th meridian are not followed to its other side.
     """
     circles = _circles(stores)
     levels = [r.level for r in circles.select("level").distinct().collect()]

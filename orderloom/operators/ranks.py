@@ -48,15 +48,16 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linear-interpolated quantiles per group as one array column, and their count ``n``.
 
-    Nulls are left out. The sketch is written to the checkpoint folder: both the interval
+    Nulls and NaN are left out. The sketch is written to the checkpoint folder: both the interval
     test and the final ranks must see the same interval, also after a task is run again.
     The slice of one quantile holds about 0.05 percent of a large group.
     """
     probs = [float(p) for p in probs]
     keys = [f"_g{i}" for i in range(len(groups) or 1)]
     sources = [F.col(g) for g in groups] or [F.lit(0)]
-    rows = df.filter(F.col(value).isNotNull()).select(
-        *[c.alias(k) for c, k in zip(sources, keys)], F.col(value).cast("double").alias("_v")
+    number = F.col(value).cast("double")
+    rows = df.filter(number.isNotNull() & ~F.isnan(number)).select(
+        *[c.alias(k) for c, k in zip(sources, keys)], number.alias("_v")
     )
     around = ", ".join(f"{min(max(p + d, 0.0), 1.0)!r}D" for p in probs for d in (-MARGIN, MARGIN))
     sketch = materialise(

@@ -159,3 +159,9 @@ def test_user_type_model(spark):
     report = {r["class"]: r.f1 for r in parts["report"].collect()}
     assert report["accuracy"] > 0.8 and {"A", "B", "C"} <= set(report)
     assert sum(r.n for r in parts["confusion"].collect()) == 30
+
+
+def test_split_is_exact_for_awkward_sizes(spark):
+    for n in (1130, 1171, 1173):
+        df = spark.range(n).withColumn("label", F.lit("x"))
+        assert features.stratified_split(df, "label", "id", 0.2).filter("is_test").count() == int(0.2 * n)

@@ -150,3 +150,13 @@ def test_array_overlap_with_nulls(spark):
 def test_haversine(spark):
     d = column(spark, [(0.0,)], "x double", geo.haversine_m(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0)))[0]
     assert abs(d - 111195) < 1
+
+
+def test_full_months_keeps_the_clock_at_month_end(spark):
+    rows = [(dt.datetime(2020, 1, 31, 12), dt.datetime(2020, 2, 29)), (dt.datetime(2020, 1, 31, 12), dt.datetime(2020, 2, 29, 12))]
+    assert column(spark, rows, "a timestamp_ntz, b timestamp_ntz", dates.full_months(F.col("a"), F.col("b"))) == [0, 1]
+
+
+def test_nan_becomes_zero(spark):
+    rows = [("NaN",), ("2",)]
+    assert column(spark, rows, "s string", numbers.number_or_zero(F.col("s"))) == [0.0, 2.0]

@@ -106,3 +106,9 @@ def test_coverage_against_brute_force(spark):
     for i, c, r in places:
         inside = [x[3] for x in cells[:300] if haversine(x[1], x[2], c[1], c[2]) <= r]
         assert per_store[i] == (len(inside), sum(inside))
+
+
+def test_coverage_across_the_180th_meridian(spark):
+    cells = spark.createDataFrame([("h", 0.0, -179.99)], "h8_hexagon string, h3_8_lat double, h3_8_lon double")
+    stores = spark.createDataFrame([(0.0, 179.99, 5000.0)], "h3_8_lat double, h3_8_lon double, radius_m double")
+    assert hexes.covered_pairs(cells, stores).count() == 1
