@@ -59,7 +59,7 @@ CODES = 1 << 18
 
 
 def _code(key: str):
-    return F.pmod(F.xxhash64(key), F.lit(CODES)).cast("int").alias("_code")
+    return F.pmod(F.xxhash64(key), F.lit(CODES)).cast("int")
 
 
 def likely(rows: DataFrame, keys: DataFrame, key: str, inside: bool = True) -> DataFrame:
@@ -68,6 +68,6 @@ def likely(rows: DataFrame, keys: DataFrame, key: str, inside: bool = True) -> D
     Keys are reduced to a fixed number of codes, so what is broadcast is bounded. It saves shuffling
     the texts of rows that a later join would drop; with very many keys it merely saves less.
     """
-    codes = stored(keys.select(_code(key)).distinct())
-    kind = "left_semi" if inside else "left_anti"
-    return rows.withColumn("_code", _code(key)).join(F.broadcast(codes), "_code", kind).drop("_code")
+    codes = stored(keys.select(_code(key).alias("code")).distinct())
+    # A semi-join adds no column, so none of the rows' own can clash.
+    return rows.join(F.broadcast(codes), _code(key) == codes["code"], "left_semi" if inside else "left_anti")
