@@ -91,16 +91,16 @@ def spearman(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
         .groupBy("metric", "value", "_y")
         .agg(F.count(F.lit(1)).alias("w"))
     )
-    x_ranks = value_ranks(
-        pairs.groupBy("metric", "value").agg(F.sum("w").alias("c")), ["metric"], "value", "c"
-    ).select("metric", "value", F.col("avg_rank").alias("rx"))
-    y_ranks = value_ranks(
-        pairs.groupBy("metric", "_y").agg(F.sum("w").alias("c")), ["metric"], "_y", "c"
-    ).select("metric", "_y", F.col("avg_rank").alias("ry"))
+    axes = [
+        pairs.groupBy("metric", F.lit(axis).alias("axis"), F.col(c).alias("value")).agg(F.sum("w").alias("c"))
+        for axis, c in (("x", "value"), ("y", "_y"))
+    ]
+    ranks = materialise(value_ranks(axes[0].unionByName(axes[1]), ["metric", "axis"], "value", "c"))
+    x_ranks = ranks.filter("axis = 'x'").select("metric", "value", F.col("avg_rank").alias("rx"))
+    y_ranks = ranks.filter("axis = 'y'").select("metric", F.col("value").alias("_y"), F.col("avg_rank").alias("ry"))
     sizes = pairs.groupBy("metric").agg(((F.sum("w") + 1) / F.lit(2.0)).alias("mid"))
-    ranked = (
-        pairs.join(x_ranks, ["metric", "value"]).join(y_ranks, ["metric", "_y"]).join(sizes, "metric")
-    )
+    # The rank tables are written: the target's few ranks and the sizes are broadcast by their known size.
+    ranked = pairs.join(y_ranks, ["metric", "_y"]).join(sizes, "metric").join(x_ranks, ["metric", "value"])
     x, y, w = F.col("rx") - F.col("mid"), F.col("ry") - F.col("mid"), F.col("w")
     return (
         ranked.groupBy("metric")

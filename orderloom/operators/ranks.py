@@ -1,8 +1,9 @@
 """Exact quantiles, ranks and modes that never gather one group in one task.
 
-``percentile`` and an ordered window both hold a whole group in a single task. Here a
-quantile sketch narrows each quantile to a thin slice of the group, and only the slice
-is kept value by value; everything between slices is reduced to a count.
+``percentile`` and an ordered window both hold a whole group in a single task. Here a quantile
+sketch cuts the values of each group into intervals. Counts per interval tell how many values
+lie before it, so only values within one interval are ever put in order. The sketch decides how
+even the intervals are, never the result; there is one way for every size of group.
 """
 
 from __future__ import annotations
@@ -15,13 +16,8 @@ from pyspark.sql import functions as F
 from orderloom.session import materialise
 
 SKETCH_ACCURACY = 20000
-# Half width of a slice: five times the sketch's rank error, as a share of the group.
-MARGIN = 5 / SKETCH_ACCURACY
-# Below this size a slice would be a few rows wide, so small groups are kept whole; when
-# every group is that small, the built-in exact percentile is within bounds.
-KEEP_ALL_BELOW = 20000
-# Up to this many rows are ranked by a window, more by ``running_counts``.
-WINDOW_ROWS = 200_000
+#: A group is cut into SPLITS * SPLITS intervals, found in two steps of SPLITS comparisons.
+SPLITS = 32
 
 
 def melt(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -30,17 +26,56 @@ def melt(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> Dat
     return df.select(*keep, F.expr(f"inline(array({pairs}))"))
 
 
-def _slices(probs: Sequence[float]) -> Column:
-    """The (low, high) interval that surely holds each quantile, from ``n`` and the sketch's ``edges``."""
-    parts = []
-    for i, p in enumerate(probs):
-        open_low = f"n < {KEEP_ALL_BELOW} OR {str(p <= MARGIN).lower()}"
-        open_high = f"n < {KEEP_ALL_BELOW} OR {str(p >= 1 - MARGIN).lower()}"
-        parts.append(
-            f"struct(CASE WHEN {open_low} THEN double('-Infinity') ELSE edges[{2 * i}] END AS lo, "
-            f"CASE WHEN {open_high} THEN double('Infinity') ELSE edges[{2 * i + 1}] END AS hi)"
-        )
-    return F.expr(f"array({', '.join(parts)})")
+def _same(keys: Sequence[str], prefix: str) -> list[Column]:
+    return [F.col(k).eqNullSafe(F.col(f"{prefix}{i}")) for i, k in enumerate(keys)]
+
+
+def _renamed(keys: Sequence[str], prefix: str) -> list[Column]:
+    return [F.col(k).alias(f"{prefix}{i}") for i, k in enumerate(keys)]
+
+
+def _with_interval(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Adds ``_part``, the number of the value's interval inside its group, ascending with the value.
+
+    The sketch is written, so a task that runs again sees the same edges. Edges travel in two
+    short arrays instead of one long one, which would be copied to every row.
+    """
+    shares = ", ".join(f"{i / SPLITS**2!r}D" for i in range(1, SPLITS**2))
+    sketch = materialise(
+        rows.groupBy(*keys).agg(F.expr(f"percentile_approx(`{value}`, array({shares}), {SKETCH_ACCURACY}) AS edges"))
+    )
+    coarse = sketch.select(
+        *_renamed(keys, "_s"), F.expr(f"transform(sequence(1, {SPLITS - 1}), i -> edges[i * {SPLITS} - 1]) AS _coarse")
+    )
+    runs = f"transform(sequence(0, {SPLITS - 1}), i -> slice(edges, i * {SPLITS} + 1, {SPLITS - 1}))"
+    fine = sketch.select(*_renamed(keys, "_f"), F.expr(f"posexplode({runs}) AS (_of, _fine)"))
+
+    def below(edges: str) -> Column:
+        return F.expr(f"coalesce(size(filter({edges}, e -> e < `{value}`)), 0)")
+
+    stepped = rows.join(coarse, _same(keys, "_s")).withColumn("_step", below("_coarse"))
+    found = stepped.join(fine, [*_same(keys, "_f"), F.col("_step") == F.col("_of")])
+    return found.select(*rows.columns, (F.col("_step") * SPLITS + below("_fine")).alias("_part"))
+
+
+def _interval_totals(placed: DataFrame, keys: Sequence[str], count: Column) -> DataFrame:
+    """Per interval its ``_total``, the ``_shift`` of intervals before it, and the group's ``n``."""
+    whole = Window.partitionBy(*keys)
+    earlier = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy(*keys, "_part").agg(F.sum(count).alias("_total"))
+    return totals.select(
+        *_renamed(keys, "_t"),
+        F.col("_part").alias("_at"),
+        "_total",
+        F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_shift"),
+        F.sum("_total").over(whole).alias("n"),
+    )
+
+
+def _before(keys: Sequence[str], value: str, count: str) -> Column:
+    """Values smaller than this one in its group: those of earlier intervals and of its own."""
+    inside = Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return F.col("_shift") + F.coalesce(F.sum(count).over(inside), F.lit(0))
 
 
 def exact_quantiles(
@@ -48,99 +83,45 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linear-interpolated quantiles per group as one array column, and their count ``n``.
 
-    Nulls and NaN are left out. The sketch is written to the checkpoint folder: both the interval
-    test and the final ranks must see the same interval, also after a task is run again.
-    The slice of one quantile holds about 0.05 percent of a large group.
+    Nulls and NaN are left out. Only values of the intervals that hold a wanted position are
+    kept, equal ones folded into a count; a group without values gives no row.
     """
-    probs = [float(p) for p in probs]
     keys = [f"_g{i}" for i in range(len(groups) or 1)]
     sources = [F.col(g) for g in groups] or [F.lit(0)]
     number = F.col(value).cast("double")
     rows = df.filter(number.isNotNull() & ~F.isnan(number)).select(
         *[c.alias(k) for c, k in zip(sources, keys)], number.alias("_v")
     )
-    around = ", ".join(f"{min(max(p + d, 0.0), 1.0)!r}D" for p in probs for d in (-MARGIN, MARGIN))
-    sketch = materialise(
-        rows.groupBy(*keys).agg(
-            F.expr("count(_v) AS n"), F.expr(f"percentile_approx(_v, array({around}), {SKETCH_ACCURACY}) AS edges")
-        )
+    spots = [f"({float(p)!r}D * (n - 1))" for p in probs]
+    ends = [(f"_{end}{i}", f"{end}({s})") for i, s in enumerate(spots) for end in ("floor", "ceil")]
+    placed = _with_interval(rows, keys, "_v")
+    holds = " OR ".join(f"(_shift <= {at} AND {at} < _shift + _total)" for _, at in ends)
+    wanted = materialise(_interval_totals(placed, keys, F.lit(1)).filter(holds))
+    near = (
+        placed.join(wanted, [*_same(keys, "_t"), F.col("_part") == F.col("_at")])
+        .groupBy(*keys, "_part", "_shift", "n", "_v")
+        .agg(F.count(F.lit(1)).alias("_c"))
     )
-    largest = sketch.agg(F.max("n")).first()[0] or 0
-    named = [F.col(k).alias(g) for k, g in zip(keys, groups)]
-    if largest < KEEP_ALL_BELOW:
-        points = ", ".join(f"{p!r}D" for p in probs)
-        exact = F.expr(f"percentile(_v, array({points})) AS {name}")
-        return rows.groupBy(*keys).agg(F.expr("count(_v) AS n"), exact).select(*named, "n", name)
-    bounds = sketch.select(*[F.col(k).alias(f"_b{k}") for k in keys], "n", _slices(probs).alias("slices"))
-    tagged = rows.join(bounds, on=[F.col(k).eqNullSafe(F.col(f"_b{k}")) for k in keys])
-    inside = " OR ".join(f"_v BETWEEN slices[{i}].lo AND slices[{i}].hi" for i in range(len(probs)))
-    passed = " + ".join(f"CASE WHEN _v > slices[{i}].hi THEN 1 ELSE 0 END" for i in range(len(probs)))
-    counted = (
-        tagged.select(*keys, "n", "_v", F.expr(f"({inside}) AS _in"), F.expr(f"{passed} AS _passed"))
-        .select(
-            *keys, "n", "_v", F.expr("CASE WHEN _in THEN _v END AS _kept"), F.expr("CASE WHEN NOT _in THEN _passed END AS _gap")
-        )
-        .groupBy(*keys, "n", "_kept", "_gap")
-        .agg(F.expr("min(_v) AS _at"), F.expr("count(_v) AS _c"))
-    )
-    if largest * 2 * MARGIN * len(probs) <= WINDOW_ROWS:
-        ranked = _counts_by_window(counted, keys, "_at", "_c")
-    else:
-        ranked = running_counts(counted, keys, "_at", "_c")
-
-    def at(position: str, name: str) -> Column:
-        hit = f"_kept IS NOT NULL AND before <= {position} AND {position} < before + _c"
-        return F.expr(f"max(CASE WHEN {hit} THEN _kept END) AS {name}")
-
-    spots = [f"({p!r}D * (n - 1))" for p in probs]
-    ends = [at(f"{end}({s})", f"_{end}{i}") for i, s in enumerate(spots) for end in ("floor", "ceil")]
-    found = ranked.groupBy(*keys, "n").agg(*ends)
-    results = ", ".join(
-        f"_floor{i} + (_ceil{i} - _floor{i}) * ({s} - floor({s}))" for i, s in enumerate(spots)
+    ranked = near.withColumn("before", _before(keys, "_v", "_c"))
+    found = ranked.groupBy(*keys, "n").agg(
+        *[F.expr(f"max(CASE WHEN before <= {at} AND {at} < before + _c THEN _v END) AS {end}") for end, at in ends]
     )
+    results = ", ".join(f"_floor{i} + (_ceil{i} - _floor{i}) * ({s} - floor({s}))" for i, s in enumerate(spots))
+    named = [F.col(k).alias(g) for k, g in zip(keys, groups)]
     return found.select(*named, "n", F.expr(f"array({results}) AS {name}"))
 
 
-def _counts_by_window(counts: DataFrame, groups: Sequence[str], order: str, count: str) -> DataFrame:
-    earlier = Window.partitionBy(*groups).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("before", F.coalesce(F.sum(count).over(earlier), F.lit(0)))
-
-
-def running_counts(counts: DataFrame, groups: Sequence[str], order: str, count: str) -> DataFrame:
-    """Adds ``before``: the sum of ``count`` over rows of the group with a smaller ``order``.
-
-    The rows are range-sorted and written, so each file is one interval; sums run inside
-    intervals and are shifted by the totals of the intervals before. No group has to fit
-    in one task.
-    """
-    keys = list(groups)
-    stored = materialise(counts.orderBy(*keys, order))
-    placed = stored.select("*", F.col("_metadata.file_name").alias("_part"))
-    totals = placed.groupBy(*keys, "_part").agg(F.sum(count).alias("_total"))
-    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *[F.col(k).alias(f"_t{i}") for i, k in enumerate(keys)],
-        F.col("_part").alias("_tpart"),
-        F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_shift"),
-    )
-    inside = Window.partitionBy(*keys, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    local = placed.withColumn("_local", F.coalesce(F.sum(count).over(inside), F.lit(0)))
-    same = [F.col(k).eqNullSafe(F.col(f"_t{i}")) for i, k in enumerate(keys)]
-    return local.join(offsets, [F.col("_part") == F.col("_tpart"), *same]).select(
-        *counts.columns, (F.col("_shift") + F.col("_local")).alias("before")
-    )
-
-
 def value_ranks(counts: DataFrame, groups: Sequence[str], value: str, count: str) -> DataFrame:
     """Average rank of each distinct value inside its group, as ``avg_rank``.
 
-    ``counts`` holds one row per (group, value); it is counted first, and a window is used
-    only when all its rows together are few.
+    ``counts`` holds one row per (group, value).
     """
-    few = counts.count() <= WINDOW_ROWS
-    ranked = (_counts_by_window if few else running_counts)(counts, groups, value, count)
-    rank = F.col("before") + (F.col(count) + 1) / F.lit(2.0)
-    return ranked.withColumn("avg_rank", rank).drop("before")
+    keys = list(groups)
+    placed = materialise(_with_interval(counts, keys, value))
+    totals = _interval_totals(placed, keys, F.col(count))
+    shifted = placed.join(totals, [*_same(keys, "_t"), F.col("_part") == F.col("_at")])
+    rank = _before(keys, value, count) + (F.col(count) + 1) / F.lit(2.0)
+    return shifted.select(*counts.columns, rank.alias("avg_rank"))
 
 
 def group_mode(df: DataFrame, groups: Sequence[str], value: str, name: str = "mode") -> DataFrame:

@@ -13,15 +13,10 @@ def frame(spark, groups):
     return spark.createDataFrame(rows, "g string, v double").repartition(3)
 
 
-@pytest.mark.parametrize("way", ["whole", "slices", "files"])
-def test_exact_quantiles(spark, monkeypatch, way):
-    """Against numpy: small groups kept whole, sketch slices, slices ranked file by file."""
-    if way == "files":
-        monkeypatch.setattr(ranks, "WINDOW_ROWS", -1)
-    if way != "whole":
-        monkeypatch.setattr(ranks, "KEEP_ALL_BELOW", 200)
-        monkeypatch.setattr(ranks, "SKETCH_ACCURACY", 100)
-        monkeypatch.setattr(ranks, "MARGIN", 0.05)
+@pytest.mark.parametrize("accuracy", [20, ranks.SKETCH_ACCURACY])
+def test_exact_quantiles(spark, monkeypatch, accuracy):
+    """Against numpy; a poor sketch gives uneven intervals and the same quantiles."""
+    monkeypatch.setattr(ranks, "SKETCH_ACCURACY", accuracy)
     rng = random.Random(7)
     groups = {
         "wide": [rng.lognormvariate(0, 3) for _ in range(3000)],
@@ -46,9 +41,31 @@ def test_quantiles_without_groups_and_with_null_group(spark):
     assert ranks.exact_quantiles(df.filter("false"), ["g"], "v", [0.5]).collect() == []
 
 
-@pytest.mark.parametrize("limit", [-1, 10**6])
-def test_value_ranks(spark, monkeypatch, limit):
-    monkeypatch.setattr(ranks, "WINDOW_ROWS", limit)
+@pytest.mark.parametrize("n", [1000, 60000])
+def test_quantiles_leave_nan_out_at_every_size(spark, n):
+    number = F.when(F.col("id") % 10 == 0, F.lit(float("nan"))).otherwise(F.col("id").cast("double"))
+    df = spark.range(n, numPartitions=4).select(number.alias("v"))
+    got = ranks.exact_quantiles(df, [], "v", [0.5, 0.98, 1], "q").first()
+    known = [i for i in range(n) if i % 10]
+    assert got.n == len(known)
+    np.testing.assert_allclose(got.q, np.quantile(known, [0.5, 0.98, 1]), rtol=1e-12)
+
+
+def test_quantiles_of_a_group_with_one_hot_value(spark):
+    """One group holds nine tenths of the rows, nearly all of one value; no task sees them one by one."""
+    df = spark.range(50000, numPartitions=4).select(
+        F.when(F.col("id") % 10 == 0, "cold").otherwise("hot").alias("g"),
+        F.when(F.col("id") % 100 == 1, F.col("id")).otherwise(F.lit(7)).cast("double").alias("v"),
+    )
+    got = {r.g: r for r in ranks.exact_quantiles(df, ["g"], "v", [0, 0.5, 0.999], "q").collect()}
+    values = [float(i) if i % 100 == 1 else 7.0 for i in range(50000) if i % 10]
+    np.testing.assert_allclose(got["hot"].q, np.quantile(values, [0, 0.5, 0.999]), rtol=1e-12)
+    assert got["cold"].q == [7.0, 7.0, 7.0] and got["cold"].n == 5000
+
+
+@pytest.mark.parametrize("accuracy", [20, ranks.SKETCH_ACCURACY])
+def test_value_ranks(spark, monkeypatch, accuracy):
+    monkeypatch.setattr(ranks, "SKETCH_ACCURACY", accuracy)
     rng = random.Random(3)
     values = [float(rng.randint(0, 40)) for _ in range(500)]
     counts = frame(spark, {"x": values, "y": [1.0, 1.0, 2.0]}).groupBy("g", "v").agg(F.count("v").alias("c"))
