@@ -13,7 +13,7 @@ from orderloom.operators import buckets, catalogue, drinks, features, hexes, mod
 from orderloom.plans import reports
 from orderloom.session import materialise, shared_path
 from orderloom.sources import sinks, tables
-from orderloom.sources.testbed import (
+from checks.testbed import (
     AS_OF,
     CITIES,
     COUNTRIES,
@@ -662,10 +662,21 @@ PROFILE_SQL = f"""WITH {FIRST_SQL},
     LEFT JOIN favourites f ON f.customer_id = m.customer_id AND f.order_country_code = l.order_country_code"""
 
 
+# The test data's promotion type and install networks.
+PROMOTION = "PROMOTOOL"
+INSTALL_NETWORKS = {
+    "google_installs": "Google Ads*",
+    "apple_installs": "Apple Search Ads",
+    "iron_source_installs": "Aura ironSource",
+    "untrusted_devices_installs": "Untrusted Devices",
+    "tiktok_installs": "Tiktok*",
+}
+
+
 def profiles(tb: Testbed) -> DataFrame:
     return profile.customer_profile(
         tb.order_facts(), tb.payments(), tb.checkout_events(), tb.sessions(), tb.installs(),
-        tb.pricing_discounts(), tb.order_pnl(), tb.store_segmentation(), AS_OF, 24,
+        tb.pricing_discounts(), tb.order_pnl(), tb.store_segmentation(), AS_OF, PROMOTION, INSTALL_NETWORKS, 24,
         high=TYPE_HIGH, low=TYPE_LOW,
     )
 
@@ -781,7 +792,7 @@ def label_distribution(tb: Testbed) -> DataFrame:
 @query()
 def user_type_report(tb: Testbed) -> DataFrame:
     """Held-out report and importances of the user-type forest."""
-    parts = reports.user_type_model(profiles(tb), trees=50)
+    parts = reports.user_type_model(profiles(tb))
     report = parts["report"].select(
         F.lit("report").alias("part"), F.col("class").alias("name"), F.round("f1", 6).alias("score")
     )
@@ -794,14 +805,14 @@ def user_type_report(tb: Testbed) -> DataFrame:
 @query()
 def category_by_country(tb: Testbed) -> DataFrame:
     """Held-out category predictions of one text model per country."""
-    _, tested = models.fit_by_country(tb.training_products(), "doc_id", trees=20)
+    _, tested = models.fit_by_country(tb.training_products(), "doc_id")
     return tested
 
 
 @query()
 def predicted_catalogue(tb: Testbed) -> DataFrame:
     """Category predicted for every document by the model of its language."""
-    fitted, _ = models.fit_by_country(tb.training_products(), "doc_id", trees=20)
+    fitted, _ = models.fit_by_country(tb.training_products(), "doc_id")
     rows = tb.raw("documents").select(
         "doc_id", F.col("lang").alias("order_country_code"), F.col("text").alias("product_name")
     )
@@ -818,7 +829,8 @@ def binary_category(tb: Testbed) -> DataFrame:
 
 @query()
 def text_vectors(tb: Testbed) -> DataFrame:
-    return models.text_vectors(tb.training_products()).select("doc_id", F.col("features").cast("string").alias("features"))
+    """Vectors of every document, labelled or not."""
+    return models.text_vectors(tb.raw("documents"), "text").select("doc_id", F.col("features").cast("string").alias("features"))
 
 
 @query()
@@ -826,17 +838,17 @@ def vector_classifier(tb: Testbed) -> DataFrame:
     """Classes of stored vectors by a forest, on the held-out part."""
     rows = models.valid_vectors(tb.raw("embeddings"), "embedding").withColumn("features", array_to_vector("embedding"))
     parts = materialise(features.stratified_split(rows, "label", "vec_id", 0.2))
-    fitted = models.fit_vectors(parts.filter(~F.col("is_test")), "label", trees=50)
+    fitted = models.fit_vectors(parts.filter(~F.col("is_test")), "label")
     return models.confusion(fitted.transform(parts.filter("is_test")), "label", "prediction")
 
 
 @query()
 def model_round_trip(tb: Testbed) -> DataFrame:
-    """Predictions of a saved and reloaded category model."""
+    """Predictions of a saved and reloaded category model for every document."""
     fitted, _ = models.fit_binary(tb.training_products(), "doc_id", "en")
     path = shared_path(tb.spark, "models")
     models.save_model(fitted, path)
-    rows = tb.training_products().filter(F.col("order_country_code") == "en")
+    rows = tb.raw("documents").select("doc_id", F.col("text").alias("product_name"))
     return models.load_model(path).transform(rows).select("doc_id", "predicted_category")
 
 

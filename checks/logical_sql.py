@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from orderloom.functions.text import LETTERS, NOISE_PATTERN, SIZE_PATTERN
-from orderloom.sources import testbed as tb
+from checks import testbed as tb
 
 HEAD = (1 << 59) | (8 << 52) | (15 << 45) | ((1 << 21) - 1)
 

@@ -13,7 +13,7 @@ from checks.registry import query, rounded
 from orderloom.functions import dates, geo, numbers, text
 from orderloom.operators import buckets, catalogue, drinks, hexes, orders, profile, ranks
 from orderloom.sources import tables
-from orderloom.sources.testbed import AS_OF, COUNTRIES, PARTNER, SESSION_END, SESSION_START, Testbed
+from checks.testbed import AS_OF, COUNTRIES, PARTNER, SESSION_END, SESSION_START, Testbed
 
 TIME = "order_activated_local_at"
 
@@ -74,15 +74,14 @@ def calendar_windows(tb: Testbed) -> DataFrame:
 
 
 @query(
-    """SELECT datesub('month', o_orderdate, l_shipdate) AS months, count(*) AS n, min(l_shipdate - o_orderdate) >= INTERVAL 0 DAY AS forward
-    FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate >= o_orderdate GROUP BY 1"""
+    """SELECT datesub('month', o_orderdate, l_shipdate) AS months, count(*) AS n, bool_or(l_shipdate < o_orderdate) AS backward
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1"""
 )
 def month_diff(tb: Testbed) -> DataFrame:
     lines = tb.raw("lineitem").join(tb.raw("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return (
-        lines.filter("l_shipdate >= o_orderdate")
-        .groupBy(dates.full_months(F.col("o_orderdate"), F.col("l_shipdate")).cast("long").alias("months"))
-        .agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.expr("l_shipdate >= o_orderdate")).alias("forward"))
+    months = dates.full_months(F.col("o_orderdate"), F.col("l_shipdate")).cast("long")
+    return lines.groupBy(months.alias("months")).agg(
+        F.count(F.lit(1)).alias("n"), F.bool_or(F.expr("l_shipdate < o_orderdate")).alias("backward")
     )
 
 

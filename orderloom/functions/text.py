@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -32,12 +33,25 @@ ARMENIAN = {
 POLISH = {
     "ą": "a", "ć": "c", "ę": "e", "ł": "l", "ń": "n", "ó": "o", "ś": "s", "ź": "z", "ż": "z",
 }
-LETTERS = {**CYRILLIC, **GEORGIAN, **ARMENIAN, **POLISH}
+# Letters without a plain letter inside them; the other Latin letters with marks come from their decomposition.
+LIGATURES = {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ð": "d", "þ": "th", "ı": "i"}
+
+
+def _marked_letters() -> dict[str, str]:
+    letters = (chr(code) for code in range(0xE0, 0x180))
+    plain = {c: unicodedata.normalize("NFD", c)[0] for c in letters if c == c.lower()}
+    return {c: p for c, p in plain.items() if p != c and "a" <= p <= "z"}
+
+
+LETTERS = {**_marked_letters(), **LIGATURES, **CYRILLIC, **GEORGIAN, **ARMENIAN, **POLISH}
 
 # What a product name loses when it is normalised, and its brand alias.
 SIZE_PATTERN = r"\b\d+\s?(ml|l|g|gr)\b"
 NOISE_PATTERN = r"[-,\d.()'\"\s]"
 BRAND_ALIASES = {"kokakola": "cocacola"}
+# The forms of a range label, closed and open.
+CLOSED_LABEL = r"(\d+)\s*-\s*(\d+)"
+OPEN_LABEL = r">\s*(\d+)"
 
 
 def canonical_category(category: Column) -> Column:
@@ -96,8 +110,8 @@ def range_label(low: Column, high: Column) -> Column:
 
 def upper_limit(label: Column) -> Column:
     """The upper number of ``a - b``, or a + 1 for the open label ``>a``."""
-    closed = F.regexp_extract(label, r"(\d+)\s*-\s*(\d+)", 2)
-    opened = F.regexp_extract(label, r">\s*(\d+)", 1)
+    closed = F.regexp_extract(label, CLOSED_LABEL, 2)
+    opened = F.regexp_extract(label, OPEN_LABEL, 1)
     return F.when(closed != "", closed.try_cast("long")).when(opened != "", opened.try_cast("long") + 1)
 
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
+from pyspark.ml.feature import OneHotEncoder, StringIndexer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +22,6 @@ NOT_FEATURES = (
 )
 # Columns the user type is read from: with them a model repeats the rule.
 LEAKING = ("avg_monthly_orders", "avg_monthly_orders_since_active")
-MAX_LEVELS = 1000
 
 
 def feature_columns(
@@ -59,26 +59,39 @@ def impute(
     return clean.withColumns(fills)
 
 
-def one_hot(df: DataFrame, columns: Sequence[str], max_levels: int = MAX_LEVELS) -> DataFrame:
+def one_hot(df: DataFrame, columns: Sequence[str], levels: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """A 0/1 column per level, none dropped; a null has 0 in all of them.
 
-    The levels become column names, so their number must be small; more than
-    ``max_levels`` raises.
+    Levels not given in ``levels`` are looked up. They become column names, which suits columns of
+    few levels; ``one_hot_vectors`` takes any number.
     """
     out = df
     for column in columns:
-        levels = [
-            r[0]
-            for r in df.filter(F.col(column).isNotNull()).select(column).distinct().limit(max_levels + 1).collect()
-        ]
-        if len(levels) > max_levels:
-            raise ValueError(f"{column} has more than {max_levels} levels")
+        found = (levels or {}).get(column)
+        if found is None:
+            found = [r[0] for r in df.filter(F.col(column).isNotNull()).select(column).distinct().collect()]
         out = out.withColumns(
-            {f"{column}_{v}": F.coalesce((F.col(column) == v).cast("int"), F.lit(0)) for v in sorted(levels)}
+            {f"{column}_{v}": F.coalesce((F.col(column) == v).cast("int"), F.lit(0)) for v in sorted(found)}
         ).drop(column)
     return out
 
 
+def one_hot_vectors(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One sparse 0/1 vector ``<column>_vector`` per column, in its place; a null has 0 everywhere.
+
+    The positions follow the levels in alphabetical order.
+    """
+    out = df
+    for column in columns:
+        names = {"inputCol": column, "outputCol": "_level"}
+        index = StringIndexer(stringOrderType="alphabetAsc", handleInvalid="keep", **names).fit(out)
+        encode = OneHotEncoder(inputCols=["_level"], outputCols=[f"{column}_vector"], dropLast=True)
+        # Nulls get the number after the last level; it is the one position dropped.
+        marked = index.transform(out)
+        out = encode.fit(marked).transform(marked).drop(column, "_level")
+    return out
+
+
 def spearman(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
     """Rank correlation of each column with the target, ties at their mean rank.
 

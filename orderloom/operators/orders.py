@@ -14,8 +14,6 @@ from orderloom.schemas import COST_TERMS, check
 from orderloom.session import materialise
 from orderloom.sources.tables import for_values, yesterday_of
 
-BROADCAST_ROWS = 100_000
-
 
 def delivered(root_only: bool = True) -> Column:
     """Delivered orders; by default without orders that hang on a parent order."""
@@ -160,11 +158,6 @@ def top_partners(
     return first_rows(counts, ["order_country_code"], [F.desc("orders"), F.asc("store_name")], n)
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a side whose row count is bounded by construction."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def order_lines(
     order_facts: DataFrame,
     bought_products: DataFrame,

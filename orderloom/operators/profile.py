@@ -3,19 +3,19 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderloom.functions.dates import DAY_PARTS, WEEK_DAYS, days_between, since_months
 from orderloom.functions.geo import h3_parent, h3_to_long
-from orderloom.operators.orders import delivered, first_rows, one_row_per_order, small
+from orderloom.operators.orders import delivered, first_rows, one_row_per_order
 from orderloom.schemas import check
 from orderloom.session import materialise
 from orderloom.sources.tables import current_rows, for_values
 
-# Days since the first order, payment methods, store segments, install networks.
+# Days since the first order, payment methods, store segments.
 DAY_WINDOWS = {
     "num_orders_days_1_to_7": (0, 6),
     "num_orders_days_8_to_14": (7, 13),
@@ -31,14 +31,6 @@ DAY_WINDOWS = {
 }
 PAYMENT_METHODS = ("CREDIT_CARD", "CASH", "APPLE_PAY", "GOOGLE_PAY", "BANK_TRANSFER", "KASPI", "BLIK")
 SEGMENTS = ("Top City", "Top Country", "Local Selection", "Long Tail", "Big Chain")
-PROMOTION = "PROMOTOOL"
-INSTALL_NETWORKS = {
-    "google_installs": "Google Ads*",
-    "apple_installs": "Apple Search Ads",
-    "iron_source_installs": "Aura ironSource",
-    "untrusted_devices_installs": "Untrusted Devices",
-    "tiktok_installs": "Tiktok*",
-}
 TOP_PARTNERS = 10
 # Mean monthly orders above / below which a customer is of type A / C.
 TYPE_A_ABOVE, TYPE_C_BELOW = 6.0, 3.0
@@ -79,7 +71,7 @@ def first_order_location(
     Checkouts are narrowed to first orders, and sessions to those checkouts, before
     anything is aggregated. An order with several sessions takes the greatest parent id.
     """
-    first = first_orders(orders)
+    first = materialise(first_orders(orders))
     placed = checkout_events.select("order_id", "dynamic_session_id").join(first.select("order_id"), "order_id")
     parent = h3_parent(h3_to_long(F.col("h8_hexagon")), resolution)
     located = (
@@ -180,6 +172,7 @@ def orders_with_context(
     discounts: DataFrame,
     order_pnl: DataFrame,
     segmentation: DataFrame,
+    promotion: str,
     countries: Iterable[str] | None = None,
 ) -> DataFrame:
     """One row per order with its payment, promotion, margin, segment and partner marks.
@@ -191,7 +184,7 @@ def orders_with_context(
         *[F.expr(f"bool_or(payment_method = '{m}') AS paid_{_slug(m)}") for m in PAYMENT_METHODS]
     )
     promoted = (
-        discounts.filter(F.col("discount_type") == PROMOTION)
+        discounts.filter(F.col("discount_type") == promotion)
         .groupBy("order_id")
         .agg(F.lit(True).alias("promoted"))
     )
@@ -203,8 +196,8 @@ def orders_with_context(
         .groupBy("store_id")
         .agg(*[F.expr(f"bool_or(segmentation = '{s}') AS in_{_slug(s)}") for s in SEGMENTS])
     )
-    partners = leading_stores(orders).select("order_country_code", "store_id").distinct()
-    bound = TOP_PARTNERS * len(list(countries)) if countries is not None else 1 << 40
+    # At most TOP_PARTNERS stores per country; written, so their size is known when they are joined.
+    partners = materialise(leading_stores(orders).select("order_country_code", "store_id").distinct())
     unique = one_row_per_order(
         orders,
         ["customer_id", "order_country_code", "order_city_code", "order_vertical", "store_id"],
@@ -215,11 +208,7 @@ def orders_with_context(
         .join(promoted, "order_id", "left")
         .join(margin, "order_id", "left")
         .join(segments, "store_id", "left")
-        .join(
-            small(partners.withColumn("is_top_partner", F.lit(True)), bound),
-            ["order_country_code", "store_id"],
-            "left",
-        )
+        .join(partners.withColumn("is_top_partner", F.lit(True)), ["order_country_code", "store_id"], "left")
     )
 
 
@@ -241,8 +230,11 @@ def _days(context: DataFrame, week_style: str) -> DataFrame:
     )
 
 
-def install_sources(installs: DataFrame) -> DataFrame:
-    """One row per customer: organic flag and one flag per install network."""
+def install_sources(installs: DataFrame, networks: Mapping[str, str]) -> DataFrame:
+    """One row per customer: organic flag and one flag per install network.
+
+    ``networks`` names each flag and the network's name, or its beginning and a ``*``.
+    """
     name = F.col("app_install_network_name")
 
     def test(pattern: str) -> Column:
@@ -253,7 +245,7 @@ def install_sources(installs: DataFrame) -> DataFrame:
         .groupBy(F.col("app_install_user_id").alias("customer_id"))
         .agg(
             F.bool_or("app_install_is_organic").alias("organic_installs"),
-            *[F.bool_or(test(p)).alias(flag) for flag, p in INSTALL_NETWORKS.items()],
+            *[F.bool_or(test(p)).alias(flag) for flag, p in networks.items()],
         )
     )
 
@@ -268,6 +260,8 @@ def customer_profile(
     order_pnl: DataFrame,
     segmentation: DataFrame,
     as_of: dt.date,
+    promotion: str,
+    networks: Mapping[str, str],
     months: int = 24,
     countries: Iterable[str] | None = None,
     levels: DataFrame | None = None,
@@ -277,14 +271,16 @@ def customer_profile(
 ) -> DataFrame:
     """One row per customer whose first delivered order lies in the window.
 
-    The orders of the window are written once, as every part reads them. Shares count each
+    ``promotion`` is the discount type that marks a promoted order, ``networks`` those of
+    ``install_sources``. The orders of the window are written once, as every part reads them,
+    and so are the first orders. Shares count each
     order once. ``levels`` (first order in vertical) overrides the first
     QCommerce date computed from the orders. ``week_style="iso"`` keeps the day numbers of
     a Monday-first calendar under the same column names.
     """
     check(order_facts, "order_facts")
     orders = materialise(base_orders(order_facts, as_of, months, countries))
-    context = orders_with_context(orders, payments, discounts, order_pnl, segmentation, countries)
+    context = orders_with_context(orders, payments, discounts, order_pnl, segmentation, promotion, countries)
     first = first_order_location(orders, checkout_events, sessions)
     # A customer has at most one row per day and city, so this window is bounded by the calendar.
     per_day = _days(context, week_style).join(
@@ -334,7 +330,7 @@ def customer_profile(
             ),
         )
         .drop("_months", "order_id", "customer_first_delivered_at")
-        .join(install_sources(installs), "customer_id", "left")
+        .join(install_sources(installs, networks), "customer_id", "left")
         .join(favourite_stores(orders), ["order_country_code", "customer_id"], "left")
     )
-    return out.withColumns({flag: F.coalesce(flag, F.lit(False)) for flag in INSTALL_NETWORKS})
+    return out.withColumns({flag: F.coalesce(flag, F.lit(False)) for flag in networks})

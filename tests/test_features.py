@@ -22,8 +22,16 @@ def test_one_hot(spark):
     df = spark.createDataFrame([(1, "x"), (2, "y"), (3, None)], "k int, t string")
     rows = features.one_hot(df, ["t"]).orderBy("k").collect()
     assert [(r.t_x, r.t_y) for r in rows] == [(1, 0), (0, 1), (0, 0)]
-    with pytest.raises(ValueError):
-        features.one_hot(df, ["t"], max_levels=1)
+    given = features.one_hot(df, ["t"], {"t": ["y", "z"]}).orderBy("k").collect()
+    assert [(r.t_y, r.t_z) for r in given] == [(0, 0), (1, 0), (0, 0)]
+
+
+def test_one_hot_vectors_take_any_number_of_levels(spark):
+    df = spark.range(1500).select("id", F.when(F.col("id") > 0, F.format_string("l%04d", "id")).alias("t"))
+    rows = {r.id: r.t_vector for r in features.one_hot_vectors(df, ["t"]).collect()}
+    assert {v.size for v in rows.values()} == {1499}
+    assert rows[0].numNonzeros() == 0
+    assert all(list(rows[i].indices) == [i - 1] for i in (1, 700, 1499))
 
 
 def mean_ranks(values):

@@ -10,6 +10,9 @@ AS_OF = dt.date(2024, 6, 30)
 FOOD, QC = "Food", "QCommerce"
 
 
+NETWORKS = {"google_installs": "Google Ads*", "apple_installs": "Apple Search Ads", "tiktok_installs": "Tiktok*"}
+
+
 def fact(order, customer, when, **other):
     row = {
         "order_id": order, "customer_id": customer, "order_country_code": "A", "order_city_code": "X",
@@ -135,7 +138,8 @@ def profile_of(spark, rows, **options):
         [("a", "881f1d4887fffff", "A", "X", T(2024, 1, 1), [1], 1)], SCHEMAS["sessions"]
     )
     return profile.customer_profile(
-        facts(spark, rows), payments, checkout, session, installs, discounts, empty("order_pnl"), segments, AS_OF, **options
+        facts(spark, rows), payments, checkout, session, installs, discounts, empty("order_pnl"), segments, AS_OF,
+        "PROMOTOOL", NETWORKS, **options
     ).collect()
 
 

@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as entry
 from checks.logical_sql import TABLES
 from orderloom.plans import reports
-from orderloom.sources.testbed import AS_OF, COUNTRIES, Testbed
+from checks.testbed import AS_OF, COUNTRIES, Testbed
 from tools.compare import TABLES as RAW
 from tools.compare import rows_of
 
