@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -147,33 +147,37 @@ def bucket_report_orders(tb: Testbed) -> DataFrame:
 
 # ---------------------------------------------------------------------------- hexagons
 
-DEMAND_TAIL = """SELECT DISTINCT h.h3_8_hash AS h8_hexagon, h3_8_polygon_wkt AS h3_geom, h3_8_center_lat AS h3_8_lat,
-    h3_8_center_lon AS h3_8_lon, o.orders, s.sessions, round(s.cvr_sessions, 6) AS cvr_sessions,
-    round(s.cvr_rows, 6) AS cvr_rows
-FROM hexagons h LEFT JOIN placed o ON o.hex = h.h3_8_hash LEFT JOIN seen s ON s.hex = h.h3_8_hash"""
 IN_WINDOW = f"CAST(session_start_time_local AS DATE) BETWEEN DATE '{SESSION_START}' AND DATE '{SESSION_END}'"
-PLACED = f"""placed AS (SELECT hh.h3_8_hash AS hex, count(DISTINCT ov.order_id) AS orders
-    FROM checkout_events od JOIN sessions se USING (dynamic_session_id) JOIN hexagons hh ON se.h8_hexagon = hh.h3_8_hash
-    JOIN order_facts ov ON od.order_id = ov.order_id
-    WHERE od.p_creation_date BETWEEN DATE '{SESSION_START}' AND DATE '{SESSION_END}'
-        AND ov.order_final_status = 'DeliveredStatus' AND ov.order_parent_relationship_type IS NULL GROUP BY 1)"""
-PARTNER_SQL = f"""WITH seen AS (SELECT ds.h8_hexagon AS hex, count(ds.dynamic_session_id) AS sessions,
-        100.0 * count(DISTINCT CASE WHEN hit THEN ds.dynamic_session_id END)
-            / count(DISTINCT ds.dynamic_session_id) AS cvr_sessions,
-        100.0 * sum(CASE WHEN hit THEN 1 ELSE 0 END) / count(ds.dynamic_session_id) AS cvr_rows
-    FROM (SELECT s.*, coalesce(count_ce__order_created > 0 AND ov.store_name = '{PARTNER}', false) AS hit
-        FROM sessions s LEFT JOIN checkout_events ov USING (dynamic_session_id)) ds
-    JOIN hexagons hh ON ds.h8_hexagon = hh.h3_8_hash
-    WHERE {IN_WINDOW} AND list_has_any(visited_store_address_ids,
-        (SELECT array_agg(DISTINCT store_address_id) FROM order_facts WHERE store_name = '{PARTNER}'))
-    GROUP BY 1), {PLACED} {DEMAND_TAIL}"""
-CITY_SQL = f"""WITH seen AS (SELECT ds.h8_hexagon AS hex, count(ds.dynamic_session_id) AS sessions,
-        100.0 * count(DISTINCT CASE WHEN hit THEN ds.dynamic_session_id END)
-            / count(DISTINCT ds.dynamic_session_id) AS cvr_sessions,
-        100.0 * sum(CASE WHEN hit THEN 1 ELSE 0 END) / count(ds.dynamic_session_id) AS cvr_rows
-    FROM (SELECT s.*, count_ce__order_created > 0 AND ov.dynamic_session_id IS NOT NULL AS hit
-        FROM sessions s LEFT JOIN checkout_events ov USING (dynamic_session_id)) ds
-    JOIN hexagons hh ON ds.h8_hexagon = hh.h3_8_hash WHERE {IN_WINDOW} GROUP BY 1), {PLACED}"""
+CELLS = "cells AS (SELECT DISTINCT h3_8_hash, h3_8_polygon_wkt, h3_8_center_lat, h3_8_center_lon FROM hexagons)"
+# An order counts in the cell of the session that its checkout names.
+ORDERED = f"""ordered AS (SELECT h8_hexagon, count(*) AS orders FROM (
+        SELECT DISTINCT h8_hexagon, order_id FROM checkout_events SEMI JOIN (
+            SELECT order_id FROM order_facts
+            WHERE order_parent_relationship_type IS NULL AND order_final_status = 'DeliveredStatus') USING (order_id)
+        JOIN sessions USING (dynamic_session_id)
+        WHERE p_creation_date >= DATE '{SESSION_START}' AND p_creation_date <= DATE '{SESSION_END}')
+    GROUP BY h8_hexagon)"""
+DEMAND_TAIL = """SELECT h3_8_hash AS h8_hexagon, h3_8_polygon_wkt AS h3_geom, h3_8_center_lat AS h3_8_lat,
+    h3_8_center_lon AS h3_8_lon, orders, visits.n_rows AS sessions,
+    round(100.0 * n_converted / n_sessions, 6) AS cvr_sessions, round(100.0 * n_hits / n_rows, 6) AS cvr_rows
+FROM cells LEFT JOIN ordered ON ordered.h8_hexagon = h3_8_hash LEFT JOIN visits ON visits.h8_hexagon = h3_8_hash"""
+
+
+def demand_sql(own: str, seen: str) -> str:
+    """Checkouts per session first, then each session's flags, then one sum per cell."""
+    return f"""WITH bought AS (SELECT dynamic_session_id, count(*) AS n, count(*) FILTER (WHERE {own}) AS n_own
+        FROM checkout_events GROUP BY dynamic_session_id),
+    flags AS (SELECT h8_hexagon, dynamic_session_id, greatest(coalesce(n, 0), 1) AS n_rows,
+            CASE WHEN count_ce__order_created > 0 THEN coalesce(n_own, 0) ELSE 0 END AS n_hits
+        FROM sessions LEFT JOIN bought USING (dynamic_session_id) WHERE {IN_WINDOW} AND {seen}),
+    visits AS (SELECT h8_hexagon, CAST(sum(n_rows) AS BIGINT) AS n_rows, sum(n_hits) AS n_hits, count(*) AS n_sessions,
+        count(*) FILTER (WHERE n_hits > 0) AS n_converted FROM flags GROUP BY h8_hexagon), {CELLS}, {ORDERED}"""
+
+
+VISITED = f"""EXISTS (SELECT 1 FROM order_facts WHERE store_name = '{PARTNER}'
+        AND list_contains(visited_store_address_ids, store_address_id))"""
+PARTNER_SQL = f"{demand_sql(f"store_name = '{PARTNER}'", VISITED)} {DEMAND_TAIL}"
+CITY_SQL = demand_sql("true", "true")
 HEX_TABLES = ["hexagons", "sessions", "checkout_events", "order_facts"]
 
 
@@ -220,7 +224,7 @@ METRICS = ("orders", "sessions", "cvr_rows")
 
 def bucketed_sql(columns: str) -> str:
     body = ", ".join(edges_sql(m) for m in METRICS)
-    return f"""{CITY_SQL}, demand AS MATERIALIZED ({DEMAND_TAIL.replace('round(s.cvr_sessions, 6)', 's.cvr_sessions').replace('round(s.cvr_rows, 6)', 's.cvr_rows')}),
+    return f"""{CITY_SQL}, demand AS MATERIALIZED ({DEMAND_TAIL.replace('round(100.0 * n_hits / n_rows, 6)', '100.0 * n_hits / n_rows')}),
     {body}, found AS MATERIALIZED (SELECT d.h8_hexagon, {', '.join(f'coalesce({m}, 0)::DOUBLE AS {m}' for m in METRICS)}, h3_geom, h3_8_lat, h3_8_lon,
         {', '.join(f"(SELECT max(i) FROM {m}_labels WHERE lo <= coalesce(d.{m}, 0)) AS {m}_bucket_index" for m in METRICS)}
         FROM demand d)
@@ -255,10 +259,21 @@ def bucket_numbers(tb: Testbed) -> DataFrame:
     return out.select("h8_hexagon", *[f"{m}_bucket_number" for m in METRICS])
 
 
+# The colours expected for one to eight buckets, from low to high.
+COLOURS = {
+    1: ("#feffbe",),
+    2: ("#fdbf6f", "#b7e075"),
+    3: ("#f98e52", "#feffbe", "#84ca66"),
+    4: ("#f46d43", "#fee08b", "#d9ef8b", "#66bd63"),
+    5: ("#ea5739", "#fdbf6f", "#feffbe", "#b7e075", "#4bb05c"),
+    6: ("#e34933", "#fca55d", "#fee999", "#e3f399", "#9dd569", "#39a758"),
+    7: ("#de402e", "#f98e52", "#fed481", "#feffbe", "#cbe982", "#84ca66", "#2aa054"),
+    8: ("#da362a", "#f67a49", "#fdbf6f", "#feeda1", "#e9f6a1", "#b7e075", "#73c264", "#219c52"),
+}
+
+
 def _colours(n_sql: str) -> str:
-    rows = ", ".join(
-        f"({n}, {i + 1}, '{c}')" for n in range(1, 9) for i, c in enumerate(buckets.ramp(n))
-    )
+    rows = ", ".join(f"({n}, {i}, '{c}')" for n, row in COLOURS.items() for i, c in enumerate(row, start=1))
     return f"(SELECT colour FROM (VALUES {rows}) AS ramp(n, p, colour) WHERE ramp.n = {n_sql} AND ramp.p = position)"
 
 
@@ -279,6 +294,13 @@ def bucket_legend(tb: Testbed) -> DataFrame:
     return buckets.bucket_legend(buckets.density_buckets(materialise(city_demand(tb)), ["sessions"]), "sessions")
 
 
+# The polygon's points, as a map reads them.
+GEOMETRY = """'{"type":"Polygon","coordinates":[[' || array_to_string(list_transform(
+    string_split(replace(replace(h3_geom, 'POLYGON ((', ''), '))', ''), ', '), lambda p: '[' || CAST(
+        CAST(split_part(p, ' ', 1) AS DOUBLE) AS VARCHAR) || ',' || CAST(CAST(split_part(p, ' ', 2) AS DOUBLE) AS VARCHAR) || ']'), ',')
+    || ']]}'"""
+
+
 @query(
     bucketed_sql(
         f""", {LEGEND_SQL}, shown AS (SELECT f.*, label, CASE WHEN label LIKE '>%' THEN regexp_extract(label, '(\\d+)', 1)::BIGINT + 1
@@ -286,13 +308,13 @@ def bucket_legend(tb: Testbed) -> DataFrame:
         FROM found f JOIN sessions_labels ON i = sessions_bucket_index WHERE h3_geom IS NOT NULL)
     SELECT 'sessions' AS metric, h8_hexagon, colour AS fill_colour, printf('Hexagon: %s; sessions: %.2f', h8_hexagon, sessions) AS label
     FROM (SELECT s.*, l.position, l.n, {_colours('l.n')} AS colour, row_number() OVER (PARTITION BY h8_hexagon ORDER BY l.upper_limit) AS r
-        FROM shown s JOIN legend l ON s.own <= l.upper_limit) WHERE r = 1"""
+        FROM shown s JOIN legend l ON s.own <= l.upper_limit) WHERE r = 1""".replace("colour AS fill_colour", f"colour AS fill_colour, {GEOMETRY} AS geometry")
     ).replace("FROM demand d)\n    ,", "FROM demand d),"),
     HEX_TABLES,
 )
 def hex_feed(tb: Testbed) -> DataFrame:
     marked = buckets.density_buckets(materialise(city_demand(tb).filter(F.col("h8_hexagon").isNotNull())), ["sessions"])
-    return hexes.hex_feed(marked, "sessions").drop("geometry")
+    return hexes.hex_feed(marked, "sessions")
 
 
 @query(
@@ -352,6 +374,37 @@ def store_coverage(tb: Testbed) -> DataFrame:
     )
 
 
+@query(
+    f"""{CITY_SQL}, demand AS ({DEMAND_TAIL}), own AS (SELECT * FROM radii WHERE store_name = '{PARTNER}'),
+    reached AS (SELECT h.h3_8_hash AS hex, r.store_address_id FROM hexagons h JOIN own r ON {DISTANCE} <= r.radius_m)
+    SELECT 'hexagon' AS part, h8_hexagon AS name, (SELECT count(*) FROM reached WHERE hex = h8_hexagon) AS n,
+        coalesce(sessions, 0)::BIGINT AS demand FROM demand
+    UNION ALL SELECT 'store', CAST(store_address_id AS VARCHAR), (SELECT count(*) FROM reached r WHERE r.store_address_id = o.store_address_id),
+        coalesce((SELECT sum(sessions) FROM reached r JOIN demand ON h8_hexagon = hex WHERE r.store_address_id = o.store_address_id), 0)::BIGINT
+        FROM own o WHERE h3_8_lat IS NOT NULL
+    UNION ALL SELECT 'point', CAST(store_address_id AS VARCHAR), 1, 0 FROM own WHERE h3_8_lat IS NOT NULL
+    UNION ALL SELECT 'feature', h8_hexagon, 1, 0 FROM demand WHERE h3_geom IS NOT NULL""",
+    [*HEX_TABLES, "radii"],
+)
+def coverage_plan(tb: Testbed) -> DataFrame:
+    """One partner's stores against the city's demand: hexagons, stores, points and map features."""
+    out = reports.coverage_reports(
+        tb.hexagons(), tb.sessions(), tb.checkout_events(), tb.order_facts(stores=False), tb.store_addresses(), tb.stores(),
+        SESSION_START, SESSION_END, PARTNER, ("sessions",), COUNTRIES, CITIES,
+    )
+
+    def part(name: str, key: str, n: str, demand: str) -> DataFrame:
+        columns = {"part": f"'{name}'", "name": f"CAST({key} AS STRING)", "n": f"CAST({n} AS BIGINT)", "demand": f"CAST({demand} AS BIGINT)"}
+        return out[f"{name}s" if name in ("hexagon", "store", "point") else "feed"].selectExpr(*[f"{v} AS {k}" for k, v in columns.items()])
+
+    return tables.stack(
+        part("hexagon", "h8_hexagon", "n_stores", "coalesce(sessions, 0)"),
+        part("store", "store_address_id", "n_hexagons", "covered_demand"),
+        part("point", "store_address_id", "1", "0"),
+        part("feature", "h8_hexagon", "1", "0"),
+    )
+
+
 # ---------------------------------------------------------------------------- products
 
 
@@ -751,10 +804,29 @@ def stratified_split(tb: Testbed) -> DataFrame:
     )
 
 
-@query()
+PROFILE_NUMBERS = (
+    "total_orders", *profile.DAY_WINDOWS, "avg_transacted_value_eur", "avg_contribution_margin_eur",
+    *[column.rsplit(" AS ", 1)[1] for column in _share_sql()], "num_distinct_cities", "days_since_first_order",
+    "days_until_first_qcommerce", "days_until_first_prime", "organic_installs", *INSTALL_NETWORKS,
+)
+FILLED = ", ".join(
+    f"coalesce(CAST({c} AS DOUBLE), (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.5) FROM prof)) AS {c}" for c in PROFILE_NUMBERS
+)
+
+
+@query(
+    f"""WITH prof AS MATERIALIZED ({PROFILE_SQL}),
+    filled AS MATERIALIZED (SELECT CASE user_type WHEN 'A' THEN 3 WHEN 'B' THEN 2 ELSE 1 END AS y, {FILLED} FROM prof),
+    long AS (UNPIVOT filled ON {', '.join(PROFILE_NUMBERS)} INTO NAME metric VALUE v),
+    ranked AS (SELECT metric, rank() OVER (PARTITION BY metric ORDER BY v) + (count(*) OVER (PARTITION BY metric, v) - 1) / 2.0::DOUBLE AS a,
+        rank() OVER (PARTITION BY metric ORDER BY y) + (count(*) OVER (PARTITION BY metric, y) - 1) / 2.0::DOUBLE AS b FROM long),
+    found AS (SELECT metric, round(corr(a, b), 6) AS spearman FROM ranked GROUP BY metric HAVING var_pop(a) > 0 AND var_pop(b) > 0)
+    SELECT * FROM found QUALIFY row_number() OVER (ORDER BY spearman DESC, metric) <= 15 OR row_number() OVER (ORDER BY spearman, metric) <= 15""",
+    PROFILE_TABLES,
+)
 def profile_correlations(tb: Testbed) -> DataFrame:
-    coded, names = reports.user_type_features(materialise(profiles(tb)))
-    return features.strongest(features.spearman(materialise(coded), names, "user_type_ordinal"), 15)
+    coded, names = reports.user_type_features(materialise(rounded(profiles(tb), 9)))
+    return features.strongest(rounded(features.spearman(materialise(coded), names, "user_type_ordinal")), 15)
 
 
 # ---------------------------------------------------------------------------- models
@@ -789,67 +861,119 @@ def label_distribution(tb: Testbed) -> DataFrame:
     return catalogue.label_distribution(tb.training_products(), ["order_country_code", "Category"])
 
 
-@query()
+# A model's scores are not SQL's to say; the twins hold which rows were held out, their true classes and
+# supports, and that every row asked got one of the known classes. The unit tests hold the quality.
+
+
+def held_out(rows: str, strata: str, fraction: float, identity: str = "doc_id") -> str:
+    return f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {strata}
+            ORDER BY ('0x' || substr(md5({identity} || '-42'), 1, 13))::BIGINT, {identity}) AS draw,
+        count(*) OVER (PARTITION BY {strata}) AS of FROM {rows}) WHERE draw <= floor({fraction}::DOUBLE * of)"""
+
+
+NAMED = 'training_products WHERE order_country_code IS NOT NULL AND product_name IS NOT NULL AND "Category" IS NOT NULL'
+KNOWN = "predicted_category IN ('drink', 'other') AS known"
+
+
+@query(
+    f"""WITH prof AS MATERIALIZED ({PROFILE_SQL}) SELECT 'support' AS part, user_type AS name,
+        CAST(floor(0.25::DOUBLE * count(*)) AS BIGINT) AS n FROM prof GROUP BY user_type HAVING floor(0.25::DOUBLE * count(*)) > 0
+    UNION ALL SELECT 'importances', 'rows', 30 UNION ALL SELECT 'scores', 'outside 0 to 1', 0""",
+    PROFILE_TABLES,
+)
 def user_type_report(tb: Testbed) -> DataFrame:
-    """Held-out report and importances of the user-type forest."""
+    """Supports in the held-out report of the user-type forest, and the size of its list of importances."""
     parts = reports.user_type_model(profiles(tb))
-    report = parts["report"].select(
-        F.lit("report").alias("part"), F.col("class").alias("name"), F.round("f1", 6).alias("score")
+    report = materialise(parts["report"])
+    support = report.filter("support > 0").filter(F.col("class").isin("A", "B", "C")).select(
+        F.lit("support").alias("part"), F.col("class").alias("name"), F.col("support").alias("n")
     )
-    weights = parts["importances"].select(
-        F.lit("importance").alias("part"), F.col("feature").alias("name"), F.round("importance", 6).alias("score")
+    sizes = parts["importances"].agg(F.count("importance").alias("n")).selectExpr("'importances' AS part", "'rows' AS name", "n")
+    odd = report.agg(F.count_if(~F.col("f1").between(0, 1)).alias("n")).selectExpr("'scores' AS part", "'outside 0 to 1' AS name", "n")
+    return tables.stack(support, sizes, odd)
+
+
+def chain(tb: Testbed) -> dict[str, DataFrame]:
+    rows = tb.raw("documents").select(
+        "doc_id", F.col("lang").alias("order_country_code"), F.col("text").alias("product_name")
     )
-    return tables.stack(report, weights)
+    return reports.category_reports(tb.training_products(), rows, "doc_id")
 
 
-@query()
+@query(
+    f'SELECT doc_id, order_country_code, "Category", true AS known FROM ({held_out(NAMED, "order_country_code", 0.2)})',
+    ["training_products"],
+)
 def category_by_country(tb: Testbed) -> DataFrame:
-    """Held-out category predictions of one text model per country."""
+    """Held-out products of one text model per country: their true category, and whether they got a known one."""
     _, tested = models.fit_by_country(tb.training_products(), "doc_id")
-    return tested
+    return tested.select("doc_id", "order_country_code", "Category", F.expr(KNOWN))
+
+
+@query(
+    f"""SELECT order_country_code, "Category" AS class, count(*) AS support FROM ({held_out(NAMED, "order_country_code", 0.2)})
+    GROUP BY 1, 2""",
+    ["training_products"],
+)
+def category_report(tb: Testbed) -> DataFrame:
+    """Supports in the held-out report of each country."""
+    report = chain(tb)["report"].filter(F.col("class").isin("drink", "other") & (F.col("support") > 0))
+    return report.select("order_country_code", "class", "support")
 
 
-@query()
+@query(
+    f"""SELECT doc_id, lang AS order_country_code, true AS known, false AS relabelled FROM documents
+    WHERE text IS NOT NULL AND lang IN (SELECT order_country_code FROM {NAMED})""",
+    ["training_products"],
+)
 def predicted_catalogue(tb: Testbed) -> DataFrame:
-    """Category predicted for every document by the model of its language."""
-    fitted, _ = models.fit_by_country(tb.training_products(), "doc_id")
-    rows = tb.raw("documents").select(
-        "doc_id", F.col("lang").alias("order_country_code"), F.col("text").alias("product_name")
-    )
-    return models.predict_by_country(rows, fitted).drop("product_name")
+    """Every document with a category by the model of its language; no keyword rule is for these languages."""
+    return chain(tb)["catalogue"].select("doc_id", "order_country_code", F.expr(KNOWN), "relabelled")
 
 
-@query()
+@query(
+    f"""SELECT doc_id, order_country_code, CASE WHEN "Category" = 'drink' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS label, true AS known
+    FROM ({held_out(f"{NAMED} AND order_country_code = 'en'", '"Category"', 0.2)})""",
+    ["training_products"],
+)
 def binary_category(tb: Testbed) -> DataFrame:
-    """Held-out report of the drink-or-other model of one country."""
+    """Held-out products of the drink-or-other model of one country, with their true label."""
     _, tested = models.fit_binary(tb.training_products(), "doc_id", "en")
-    actual = F.when(F.col("label") == 1, "drink").otherwise("other")
-    return models.classification_metrics(tested.withColumn("actual", actual), "actual", "predicted_category")
+    return tested.select("doc_id", "order_country_code", "label", F.expr(KNOWN))
 
 
-@query()
+@query("SELECT doc_id, 4096 AS width, length(text) >= 3 AS filled FROM documents WHERE text IS NOT NULL")
 def text_vectors(tb: Testbed) -> DataFrame:
-    """Vectors of every document, labelled or not."""
-    return models.text_vectors(tb.raw("documents"), "text").select("doc_id", F.col("features").cast("string").alias("features"))
+    """Width of each document's vector, labelled or not, and whether it holds any n-gram."""
+    vector = vector_to_array("features")
+    vectors = models.text_vectors(tb.raw("documents"), "text").select("doc_id", vector.alias("v"))
+    return vectors.select("doc_id", F.size("v").alias("width"), F.exists("v", lambda x: x > 0).alias("filled"))
 
 
-@query()
+@query(
+    """SELECT label, CAST(floor(0.2::DOUBLE * count(*)) AS BIGINT) AS support FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: isnan(x))) = 0 GROUP BY label
+    HAVING floor(0.2::DOUBLE * count(*)) > 0"""
+)
 def vector_classifier(tb: Testbed) -> DataFrame:
-    """Classes of stored vectors by a forest, on the held-out part."""
+    """Supports of the classes in the held-out part of stored vectors that a forest tells apart."""
     rows = models.valid_vectors(tb.raw("embeddings"), "embedding").withColumn("features", array_to_vector("embedding"))
     parts = materialise(features.stratified_split(rows, "label", "vec_id", 0.2))
     fitted = models.fit_vectors(parts.filter(~F.col("is_test")), "label")
-    return models.confusion(fitted.transform(parts.filter("is_test")), "label", "prediction")
+    cells = models.confusion(fitted.transform(parts.filter("is_test")), "label", "prediction")
+    return cells.groupBy("label").agg(F.sum("n").alias("support"))
 
 
-@query()
+@query("SELECT doc_id, true AS same FROM documents WHERE text IS NOT NULL")
 def model_round_trip(tb: Testbed) -> DataFrame:
-    """Predictions of a saved and reloaded category model for every document."""
+    """Whether a category model says the same of every document after it was saved and loaded."""
     fitted, _ = models.fit_binary(tb.training_products(), "doc_id", "en")
     path = shared_path(tb.spark, "models")
     models.save_model(fitted, path)
-    rows = tb.raw("documents").select("doc_id", F.col("text").alias("product_name"))
-    return models.load_model(path).transform(rows).select("doc_id", "predicted_category")
+    rows = tb.raw("documents").select("doc_id", F.col("text").alias("product_name")).dropna(subset=["product_name"])
+    before = fitted.transform(rows).select("doc_id", "product_name", F.col("predicted_category").alias("before"))
+    after = models.load_model(path).transform(before)
+    return after.select("doc_id", (F.col("before") == F.col("predicted_category")).alias("same"))
 
 
 # ---------------------------------------------------------------------------- sinks
@@ -873,16 +997,32 @@ def report_overwrite(tb: Testbed) -> DataFrame:
     return tables.read_folder(tb.spark, sinks.publish(best, root, "partners"))
 
 
-@query(
-    "SELECT 'orders' AS metric, count(*) AS features FROM hexagons WHERE h3_8_polygon_wkt IS NOT NULL "
-    "UNION ALL SELECT 'sessions', count(*) FROM hexagons WHERE h3_8_polygon_wkt IS NOT NULL",
-    ["hexagons"],
-)
+FEATURES_SQL = f"""SELECT metric, h3_8_hash AS h8_hexagon, {GEOMETRY} AS geometry FROM (
+    SELECT DISTINCT h3_8_hash, h3_8_polygon_wkt AS h3_geom, unnest(['orders', 'sessions']) AS metric FROM hexagons
+    WHERE h3_8_polygon_wkt IS NOT NULL)"""
+
+
+@query(FEATURES_SQL, ["hexagons"])
 def map_feed_sink(tb: Testbed) -> DataFrame:
     metrics = ("orders", "sessions")
     path = shared_path(tb.spark, "feeds")
     sinks.write_feed(reports.hexagon_feeds(reports.hexagon_priorities(city_demand(tb), metrics), metrics), path)
     written = tables.read_folder(tb.spark, path)
-    return written.groupBy(F.col("metric").cast("string").alias("metric")).agg(F.count("geometry").alias("features"))
+    return written.select(F.col("metric").cast("string").alias("metric"), "h8_hexagon", "geometry")
+
+
+FED_PARTNERS = (PARTNER, "Supplier#000000007")
+
+
+@query(FEATURES_SQL.replace("SELECT metric,", "SELECT partner, metric,").replace("FROM hexagons", f"FROM hexagons, (SELECT unnest({list(FED_PARTNERS)}) AS partner)").replace("SELECT DISTINCT h3_8_hash", "SELECT DISTINCT partner, h3_8_hash"), ["hexagons"])
+def partner_feed_sink(tb: Testbed) -> DataFrame:
+    path = shared_path(tb.spark, "feeds")
+    feeds = reports.partner_feeds(
+        tb.hexagons(), tb.sessions(), tb.checkout_events(), tb.order_facts(), FED_PARTNERS,
+        SESSION_START, SESSION_END, ("orders", "sessions"), COUNTRIES, CITIES,
+    )
+    sinks.write_feed(feeds, path, by="partner")
+    written = tables.read_folder(tb.spark, path)
+    return written.select(F.col("partner").cast("string").alias("partner"), "metric", "h8_hexagon", "geometry")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from orderloom.functions.dates import days_back, since_days
 from orderloom.functions.numbers import blank_columns
 from orderloom.functions.text import canonical_category, contains_sql, sql_text
-from orderloom.operators.orders import delivered
+from orderloom.operators.orders import delivered, spread_key
 from orderloom.session import materialise
 from orderloom.sources.tables import for_values
 
@@ -121,7 +121,8 @@ def available_products(
 
     ``partners`` (``order_country_code``, ``store_name``) keeps listed stores only. The
     addresses are written first, so that with a known size a short list filters the daily
-    snapshots by a broadcast, before anything is shuffled.
+    snapshots by a broadcast, before anything is shuffled. The snapshots of a product at an
+    address fold to one row before they meet the places of the address.
     """
     place = ["order_country_code", *(["order_city_code"] if with_city else []), "store_name"]
     rows = for_values(order_facts, "order_country_code", countries).filter(
@@ -141,8 +142,10 @@ def available_products(
         & F.col("product_is_available")
         & F.col("product_name").isNotNull()
     ).select("store_address_id", "product_id", "product_name")
+    addresses = materialise(addresses)
+    offered = offered.join(addresses.select("store_address_id"), "store_address_id", "left_semi").distinct()
     return (
-        offered.join(materialise(addresses), "store_address_id")
+        offered.join(addresses, "store_address_id")
         .select(*place, "product_id", "product_name")
         .distinct()
     )
@@ -167,9 +170,17 @@ def is_drink(category: Column) -> Column:
 
 
 def with_category(rows: DataFrame, predictions: DataFrame, keep_unlabelled: bool = False) -> DataFrame:
-    """Category of each row's product; rows without one are dropped unless asked for."""
-    how = "left" if keep_unlabelled else "inner"
-    return rows.join(one_category(predictions), "product_id", how)
+    """Category of each row's product; rows without one are dropped unless asked for.
+
+    The categories are written first: with their size known, a short list is broadcast, and
+    else adaptive execution splits the best sellers. Rows without a product are spread out.
+    """
+    categories = materialise(one_category(predictions))
+    if not keep_unlabelled:
+        return rows.join(categories, "product_id")
+    others = [c for c in rows.columns if c != "product_id"]
+    known = categories.select(F.col("product_id").cast("string").alias("_key"), "predicted_category")
+    return rows.withColumn("_key", spread_key("product_id", *others)).join(known, "_key", "left").drop("_key")
 
 
 def uncategorised(lines: DataFrame, predictions: DataFrame, n: int = 100) -> DataFrame:

@@ -111,9 +111,11 @@ def spearman(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
     ranks = materialise(value_ranks(axes[0].unionByName(axes[1]), ["metric", "axis"], "value", "c"))
     x_ranks = ranks.filter("axis = 'x'").select("metric", "value", F.col("avg_rank").alias("rx"))
     y_ranks = ranks.filter("axis = 'y'").select("metric", F.col("value").alias("_y"), F.col("avg_rank").alias("ry"))
-    sizes = pairs.groupBy("metric").agg(((F.sum("w") + 1) / F.lit(2.0)).alias("mid"))
-    # The rank tables are written: the target's few ranks and the sizes are broadcast by their known size.
-    ranked = pairs.join(y_ranks, ["metric", "_y"]).join(sizes, "metric").join(x_ranks, ["metric", "value"])
+    # The target's ranks carry the middle rank; written alone, few of them are broadcast by their known size,
+    # so the pairs of a hot target value are not shuffled by it.
+    sizes = materialise(pairs.groupBy("metric").agg(((F.sum("w") + 1) / F.lit(2.0)).alias("mid")))
+    y_ranks = materialise(y_ranks.join(sizes, "metric"))
+    ranked = pairs.join(y_ranks, ["metric", "_y"]).join(x_ranks, ["metric", "value"])
     x, y, w = F.col("rx") - F.col("mid"), F.col("ry") - F.col("mid"), F.col("w")
     return (
         ranked.groupBy("metric")

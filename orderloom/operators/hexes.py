@@ -16,6 +16,11 @@ from orderloom.operators.orders import delivered
 from orderloom.session import materialise
 from orderloom.sources.tables import current_rows, for_values
 
+#: A session and the checkouts made in it lie at most so many days apart.
+SESSION_DAYS = 7
+#: Copies of a tile's hexagons, among which the tile's circles are shared out.
+TILE_SALTS = 8
+
 
 def sessions_at_partner(
     sessions: DataFrame, order_facts: DataFrame, partner: str, countries=None, cities=None
@@ -53,8 +58,8 @@ def _orders_per_hexagon(
     here = sessions.select("dynamic_session_id", "h8_hexagon").join(cells, "h8_hexagon", "left_semi")
     return (
         checkouts.select("order_id", "dynamic_session_id")
-        .join(order_facts.select("order_id"), "order_id", "left_semi")
         .join(here, "dynamic_session_id")
+        .join(order_facts.select("order_id"), "order_id", "left_semi")
         .groupBy("h8_hexagon")
         .agg(F.countDistinct("order_id").alias("orders"))
     )
@@ -72,7 +77,12 @@ def _demand(
     partner: str | None,
     orders_scope: str,
     checkouts: DataFrame,
+    start: dt.date,
+    end: dt.date,
 ) -> DataFrame:
+    reach = dt.timedelta(days=SESSION_DAYS)
+    all_sessions = all_sessions.filter(between_days(F.col("session_start_time_local"), start - reach, end + reach))
+    checkout_events = checkout_events.filter(F.col("p_creation_date").between(F.lit(start - reach), F.lit(end + reach)))
     own = F.lit(True) if partner is None else F.coalesce(F.col("store_name") == partner, F.lit(False))
     # One row per session, so a session with several checkouts is not repeated by the join.
     per_session = checkout_events.groupBy("dynamic_session_id").agg(
@@ -128,7 +138,8 @@ def hex_demand_partner(
 
     ``sessions`` counts session and checkout pairs; ``cvr_sessions`` divides distinct
     sessions, ``cvr_rows`` divides pairs. ``orders`` counts orders of every store, or of
-    the partner with ``orders_scope="partner"``.
+    the partner with ``orders_scope="partner"``. Sessions and checkouts are read from
+    ``SESSION_DAYS`` before the window to as many after it.
     """
     cells_here = for_values(hexagons, "city_code", cities)
     cells = _cell_ids(cells_here)
@@ -139,7 +150,7 @@ def hex_demand_partner(
     window = F.col("p_creation_date").between(F.lit(start), F.lit(end))
     return _demand(
         cells_here, seen, sessions, checkout_events, order_facts, cells, countries, cities,
-        partner, orders_scope, checkout_events.filter(window),
+        partner, orders_scope, checkout_events.filter(window), start, end,
     )
 
 
@@ -164,7 +175,7 @@ def hex_demand_city(
     placed = for_values(for_values(checkout_events, "country", countries), "city", cities).filter(window)
     return _demand(
         cells_here, in_scope, sessions, checkout_events, order_facts, cells, countries, cities,
-        None, "all", placed,
+        None, "all", placed, start, end,
     )
 
 
@@ -214,17 +225,18 @@ def map_centre(hexes: DataFrame) -> DataFrame:
     )
 
 
-def hex_feed(hexes: DataFrame, metric: str) -> DataFrame:
+def hex_feed(hexes: DataFrame, metric: str, partner: str | None = None) -> DataFrame:
     """One map feature per hexagon with a polygon: geometry, fill colour and text.
 
     ``hexes`` carries the metric and its density bucket; the colours are those of the
-    buckets that occur.
+    buckets that occur. With ``partner`` the features carry the partner's name.
     """
     shown = bucket_colour(hexes.filter(F.col("h3_geom").isNotNull()), metric)
     text = F.concat(
         F.lit("Hexagon: "), F.col("h8_hexagon"), F.lit(f"; {metric}: "), F.format_string("%.2f", F.col(metric).cast("double"))
     )
     return shown.select(
+        *([F.lit(partner).alias("partner")] if partner is not None else []),
         F.lit(metric).alias("metric"),
         "h8_hexagon",
         ring_geojson(wkt_ring(F.col("h3_geom"))).alias("geometry"),
@@ -284,19 +296,22 @@ def covered_pairs(hexes: DataFrame, stores: DataFrame) -> DataFrame:
     """Hexagons inside each distinct store circle; ``stores_here`` tells how many stores share it.
 
     Both sides meet on a tile of a grid chosen by the radius, then the exact distance decides.
+    The circles of a tile are shared out among ``TILE_SALTS`` tasks, as a dense tile may hold
+    most of them; the hexagons, bounded by the tile's area, are copied to each.
     """
-    circles = _circles(stores)
+    salt = F.pmod(F.xxhash64("lat", "lon", "radius_m"), F.lit(TILE_SALTS)).cast("int")
+    circles = _circles(stores).withColumn("salt", salt)
     levels = [r.level for r in circles.select("level").distinct().collect()]
     centres = hexes.dropna(subset=["h3_8_lat", "h3_8_lon"])
     step = F.pow(F.lit(2.0), F.col("level")) * 0.01
     tiled = centres.withColumn("level", F.explode(F.array(*[F.lit(z) for z in levels or [0]]).cast("array<int>"))).withColumns(
         {"tile_row": _tile(F.col("h3_8_lat"), step), "tile_col": _tile(F.col("h3_8_lon"), step)}
-    )
+    ).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(TILE_SALTS - 1))))
     distance = haversine_m(F.col("h3_8_lat"), F.col("h3_8_lon"), F.col("lat"), F.col("lon"))
     return (
-        tiled.join(circles, ["level", "tile_row", "tile_col"])
+        tiled.join(circles, ["level", "tile_row", "tile_col", "salt"])
         .filter(distance <= F.col("radius_m"))
-        .drop("level", "tile_row", "tile_col", "reach_lat", "reach_lon")
+        .drop("level", "tile_row", "tile_col", "salt", "reach_lat", "reach_lon")
     )
 
 

@@ -170,6 +170,15 @@ def _category_pipeline(train: DataFrame, label: str, trees: int, depth: int, see
     return Pipeline(stages=[*text_stages(), index, forest, back])
 
 
+def _country_folders(df: DataFrame) -> DataFrame:
+    """``df``, written once with a folder per country, so each country's branch reads its own rows."""
+    return materialise(df.withColumn("_folder", F.xxhash64("order_country_code")), by="_folder")
+
+
+def _in_country(country: str) -> Column:
+    return (F.col("_folder") == F.xxhash64(F.lit(country))) & (F.col("order_country_code") == country)
+
+
 def fit_by_country(
     train: DataFrame,
     identity: str,
@@ -184,7 +193,7 @@ def fit_by_country(
     name or category are dropped first.
     """
     clean = train.dropna(subset=["order_country_code", "product_name", "Category"])
-    parts = materialise(stratified_split(clean, "order_country_code", identity, test_fraction, seed))
+    parts = _country_folders(stratified_split(clean, "order_country_code", identity, test_fraction, seed))
     learn_rows = parts.filter(~F.col("is_test"))
     levels = {
         r["order_country_code"]: (r.n, r.one)
@@ -194,7 +203,7 @@ def fit_by_country(
     }
     models, tested = {}, []
     for country, (n, only) in sorted(levels.items()):
-        own = F.col("order_country_code") == country
+        own = _in_country(country)
         learn = learn_rows.filter(own)
         if n == 1:
             pipeline = Pipeline(stages=[constant_category(only)])
@@ -218,10 +227,10 @@ def constant_category(category: str) -> SQLTransformer:
 
 def predict_by_country(products: DataFrame, models: dict[str, PipelineModel]) -> DataFrame:
     """Predicted category of named products; countries without a model give no rows."""
-    named = products.dropna(subset=["product_name"])
+    named = _country_folders(products.dropna(subset=["product_name"]).filter(F.col("order_country_code").isin(list(models))))
     parts = []
     for country, model in sorted(models.items()):
-        applied = model.transform(named.filter(F.col("order_country_code") == country))
+        applied = model.transform(named.filter(_in_country(country)))
         parts.append(applied.select(*products.columns, "predicted_category"))
     return stack(*parts)
 

@@ -138,6 +138,15 @@ def first_rows(df: DataFrame, groups: Sequence[str], order: Sequence[Column], n:
     return df.withColumn("rank", rank).filter(F.col("rank") <= n)
 
 
+def spread_key(key: str, *others: str) -> Column:
+    """The key as text; a row without one gets a text made of its other columns.
+
+    An outer join on it matches what a join on the key does, but does not send all rows
+    without a key to one task. No number as text begins with the mark.
+    """
+    return F.coalesce(F.col(key).cast("string"), F.concat(F.lit("#"), F.xxhash64(*others).cast("string")))
+
+
 def top_partners(
     order_facts: DataFrame,
     as_of: dt.date,

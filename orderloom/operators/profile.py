@@ -8,9 +8,9 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderloom.functions.dates import DAY_PARTS, WEEK_DAYS, days_between, since_months
+from orderloom.functions.dates import DAY_PARTS, WEEK_DAYS, days_back, days_between, months_back_start, since_months
 from orderloom.functions.geo import h3_parent, h3_to_long
-from orderloom.operators.orders import delivered, first_rows, one_row_per_order
+from orderloom.operators.orders import delivered, first_rows, one_row_per_order, spread_key
 from orderloom.schemas import check
 from orderloom.session import materialise
 from orderloom.sources.tables import current_rows, for_values
@@ -34,6 +34,8 @@ SEGMENTS = ("Top City", "Top Country", "Local Selection", "Long Tail", "Big Chai
 TOP_PARTNERS = 10
 # Mean monthly orders above / below which a customer is of type A / C.
 TYPE_A_ABOVE, TYPE_C_BELOW = 6.0, 3.0
+#: An order's checkout, and the session of it, lie at most so many days before the order.
+SESSION_DAYS = 7
 
 
 def base_orders(
@@ -64,13 +66,23 @@ def first_orders(orders: DataFrame) -> DataFrame:
 
 
 def first_order_location(
-    orders: DataFrame, checkout_events: DataFrame, sessions: DataFrame, resolution: int = 7
+    orders: DataFrame,
+    checkout_events: DataFrame,
+    sessions: DataFrame,
+    resolution: int = 7,
+    since: dt.date | None = None,
 ) -> DataFrame:
     """First order per customer with the parent hexagon of the session it was placed in.
 
     Checkouts are narrowed to first orders, and sessions to those checkouts, before
     anything is aggregated. An order with several sessions takes the greatest parent id.
+    With ``since``, the first day of the orders, checkouts are read from ``SESSION_DAYS``
+    before it, and sessions from as many days before those.
     """
+    if since is not None:
+        checkout_events = checkout_events.filter(F.col("p_creation_date") >= F.lit(days_back(since, SESSION_DAYS)))
+        earliest = F.lit(days_back(since, 2 * SESSION_DAYS)).cast("timestamp_ntz")
+        sessions = sessions.filter(F.col("session_start_time_local") >= earliest)
     first = materialise(first_orders(orders))
     placed = checkout_events.select("order_id", "dynamic_session_id").join(first.select("order_id"), "order_id")
     parent = h3_parent(h3_to_long(F.col("h8_hexagon")), resolution)
@@ -178,7 +190,7 @@ def orders_with_context(
     """One row per order with its payment, promotion, margin, segment and partner marks.
 
     The side tables are folded to one row per key, so no join repeats an order; the three
-    order-level joins share one partitioning.
+    order-level joins share one partitioning. Orders without a store are spread out.
     """
     paid = payments.groupBy("order_id").agg(
         *[F.expr(f"bool_or(payment_method = '{m}') AS paid_{_slug(m)}") for m in PAYMENT_METHODS]
@@ -203,12 +215,16 @@ def orders_with_context(
         ["customer_id", "order_country_code", "order_city_code", "order_vertical", "store_id"],
         ["order_activated_local_at", "order_is_prime", "order_transacted_value_eur"],
     )
+    store = F.col("store_id").cast("string").alias("_store")
+    partners = partners.select("order_country_code", store, F.lit(True).alias("is_top_partner"))
     return (
         unique.join(paid, "order_id", "left")
         .join(promoted, "order_id", "left")
         .join(margin, "order_id", "left")
-        .join(segments, "store_id", "left")
-        .join(partners.withColumn("is_top_partner", F.lit(True)), ["order_country_code", "store_id"], "left")
+        .withColumn("_store", spread_key("store_id", "order_id"))
+        .join(materialise(segments.withColumn("_store", store).drop("store_id")), "_store", "left")
+        .join(partners, ["order_country_code", "_store"], "left")
+        .drop("_store")
     )
 
 
@@ -281,7 +297,7 @@ def customer_profile(
     check(order_facts, "order_facts")
     orders = materialise(base_orders(order_facts, as_of, months, countries))
     context = orders_with_context(orders, payments, discounts, order_pnl, segmentation, promotion, countries)
-    first = first_order_location(orders, checkout_events, sessions)
+    first = first_order_location(orders, checkout_events, sessions, since=months_back_start(as_of, months))
     # A customer has at most one row per day and city, so this window is bounded by the calendar.
     per_day = _days(context, week_style).join(
         first.select("customer_id", "customer_first_delivered_at"), "customer_id"

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from orderloom.operators import buckets, catalogue, drinks, features, hexes, models, orders, profile
 from orderloom.session import materialise
+from orderloom.sources.tables import stack
+
+DEMAND_METRICS = ("orders", "sessions", "cvr_rows")
 
 
 def customer_value_report(
@@ -79,13 +82,87 @@ def hexagon_priorities(demand: DataFrame, metrics: Sequence[str]) -> DataFrame:
     return out
 
 
-def hexagon_feeds(priorities: DataFrame, metrics: Sequence[str]) -> DataFrame:
-    """Map features of all metrics, to be written by metric."""
-    frame = None
-    for metric in metrics:
-        feed = hexes.hex_feed(priorities, metric)
-        frame = feed if frame is None else frame.unionByName(feed)
-    return frame
+def hexagon_feeds(priorities: DataFrame, metrics: Sequence[str], partner: str | None = None) -> DataFrame:
+    """Map features of all metrics, to be written by metric or, with its name, by partner."""
+    return stack(*[hexes.hex_feed(priorities, metric, partner) for metric in metrics])
+
+
+def partner_feeds(
+    hexagons: DataFrame,
+    sessions: DataFrame,
+    checkout_events: DataFrame,
+    order_facts: DataFrame,
+    partners: Sequence[str],
+    start: dt.date,
+    end: dt.date,
+    metrics: Sequence[str] = DEMAND_METRICS,
+    countries: Iterable[str] | None = None,
+    cities: Iterable[str] | None = None,
+) -> DataFrame:
+    """Map features of the demand for each of a few partners, with buckets of its own."""
+    feeds = []
+    for partner in partners:
+        demand = hexes.hex_demand_partner(
+            hexagons, sessions, checkout_events, order_facts, partner, start, end, countries, cities
+        )
+        feeds.append(hexagon_feeds(hexagon_priorities(demand, metrics), metrics, partner))
+    return stack(*feeds)
+
+
+def coverage_reports(
+    hexagons: DataFrame,
+    sessions: DataFrame,
+    checkout_events: DataFrame,
+    order_facts: DataFrame,
+    store_addresses: DataFrame,
+    stores: DataFrame,
+    start: dt.date,
+    end: dt.date,
+    partner: str | None = None,
+    metrics: Sequence[str] = DEMAND_METRICS,
+    countries: Iterable[str] | None = None,
+    cities: Iterable[str] | None = None,
+) -> dict[str, DataFrame]:
+    """A city's demand against the delivery radii of its stores, or of one partner's.
+
+    ``hexagons`` has the demand, its buckets and the number of stores that reach each
+    hexagon, ``stores`` the hexagons and demand that each store reaches; ``points`` and
+    ``feed`` are what a map shows of both.
+    """
+    demand = hexes.hex_demand_city(hexagons, sessions, checkout_events, order_facts, start, end, countries, cities)
+    priorities = materialise(hexagon_priorities(demand, metrics))
+    radii = materialise(hexes.store_radii(store_addresses, stores, hexagons, partner, cities))
+    return {
+        "hexagons": hexes.hexagon_coverage(priorities, radii),
+        "stores": hexes.store_coverage(priorities, radii),
+        "points": hexes.store_points(radii),
+        "feed": hexagon_feeds(priorities, metrics),
+    }
+
+
+def category_reports(
+    training: DataFrame, products: DataFrame, identity: str, trees: int = 100, test_fraction: float = 0.2
+) -> dict[str, DataFrame]:
+    """Category models by country, from labelled products to the relabelled catalogue.
+
+    ``labels`` counts the labelled products, ``tested`` has the held-out predictions,
+    ``report`` their scores by country, and ``catalogue`` the category of every product of
+    ``products`` after the keyword rules.
+    """
+    fitted, tested = models.fit_by_country(training, identity, trees, test_fraction=test_fraction)
+    tested = materialise(tested)
+    scores = [
+        models.classification_metrics(
+            tested.filter(F.col("order_country_code") == country), "Category", "predicted_category"
+        ).withColumn("order_country_code", F.lit(country))
+        for country in sorted(fitted)
+    ]
+    return {
+        "labels": catalogue.label_distribution(training, ["order_country_code", "Category"]),
+        "tested": tested,
+        "report": stack(*scores),
+        "catalogue": catalogue.apply_rules(models.predict_by_country(products, fitted)),
+    }
 
 
 def user_type_features(customer_profiles: DataFrame, keep_leaking: bool = False) -> tuple[DataFrame, list[str]]:

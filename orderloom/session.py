@@ -52,12 +52,13 @@ def shared_path(spark: SparkSession, kind: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{kind}/{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, by: str | None = None) -> DataFrame:
     """Write ``df`` below the checkpoint folder and read it back.
 
     The table survives the loss of executors, is read column by column, and its known
-    size lets the planner broadcast it when it is small.
+    size lets the planner broadcast it when it is small. With ``by``, a column of few whole
+    numbers, there is a folder for each, and a filter on it reads its folder only.
     """
     path = shared_path(df.sparkSession, "tables")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)

@@ -112,3 +112,30 @@ def test_coverage_across_the_180th_meridian(spark):
     cells = spark.createDataFrame([("h", 0.0, -179.99)], "h8_hexagon string, h3_8_lat double, h3_8_lon double")
     stores = spark.createDataFrame([(0.0, 179.99, 5000.0)], "h3_8_lat double, h3_8_lon double, radius_m double")
     assert hexes.covered_pairs(cells, stores).count() == 1
+
+
+def test_demand_reads_only_around_its_window(spark):
+    old = dt.date(2019, 1, 5)
+    cells, sessions, events, orders = sample(spark)
+    sessions = sessions.union(table(spark, "sessions", [("old", "h1", "A", "X", T(2019, 1, 5), [1], 1)]))
+    events = events.union(table(spark, "checkout_events", [(1, "old", "p", "A", "X", old)]))
+    got = hexes.hex_demand_city(cells, sessions, events, orders, START, END, ["A"], ["X"])
+    scans = got._jdf.queryExecution().optimizedPlan().toString()
+    assert scans.count("session_start_time_local") and scans.count("2023-12-25") >= 2
+    assert {r.h8_hexagon: r.sessions for r in got.collect()} == {"h1": 4, "h2": 2}
+
+
+def test_dense_tile_is_shared_out(spark):
+    cells = spark.createDataFrame([("h", 10.0, 10.0)], "h8_hexagon string, h3_8_lat double, h3_8_lon double")
+    stores = spark.range(200).selectExpr("id AS store_address_id", "10.0D AS h3_8_lat", "10.0D AS h3_8_lon", "500.0D + id AS radius_m")
+    pairs = hexes.covered_pairs(cells, stores)
+    assert pairs.count() == 200
+    circles = hexes._circles(stores)
+    assert circles.select("tile_row", "tile_col", "level").distinct().count() < circles.count()
+
+
+def test_feed_of_a_partner(spark):
+    rows = [("h1", "POLYGON ((0 0, 1 0, 1 1, 0 0))", 5.0, "0 - 9"), ("h2", None, 1.0, "0 - 9")]
+    marked = spark.createDataFrame(rows, "h8_hexagon string, h3_geom string, orders double, orders_bucket string")
+    feed = hexes.hex_feed(marked, "orders", "p").collect()
+    assert [(r.partner, r.metric, r.h8_hexagon) for r in feed] == [("p", "orders", "h1")]

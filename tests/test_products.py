@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 
 from orderloom.operators import catalogue, drinks
+from orderloom.operators.orders import spread_key
 from orderloom.schemas import SCHEMAS
 from tests.test_orders import AS_OF, T, fact, facts
 
@@ -136,3 +137,13 @@ def test_catalogue_and_dry_stores(spark, lines, labels):
     assert {tuple(r) for r in dry.collect()} == {("A", "X", "s2", 1), ("A", "Y", "s2", None)}
     one = catalogue.store_catalogue(sold, offers, labels, "s2", AS_OF, 90)
     assert {r.predicted_category for r in one.collect()} == {"other"}
+
+
+def test_rows_without_a_product_are_spread(spark):
+    lines = spark.range(1000).selectExpr("id AS order_id", "CASE WHEN id % 10 = 0 THEN id % 20 END AS product_id")
+    predictions = spark.createDataFrame([("A", "s", 0, "n", " Drink")], SCHEMAS["product_predictions"])
+    got = catalogue.with_category(lines, predictions, keep_unlabelled=True)
+    assert set(got.columns) == {"order_id", "product_id", "predicted_category"} and got.count() == 1000
+    assert got.filter("predicted_category = 'drink'").count() == got.filter("product_id = 0").count() == 50
+    keys = lines.select(spread_key("product_id", "order_id").alias("k"))
+    assert max(r["count"] for r in keys.groupBy("k").count().collect()) == 50
