@@ -612,12 +612,13 @@ def store_catalogue(tb: Testbed) -> DataFrame:
 
 # ---------------------------------------------------------------------------- profiles
 
-FIRST_SQL = """firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY customer_id
-        ORDER BY order_activated_local_at, order_id) AS rn FROM profile_orders WHERE order_is_first_delivered_order) WHERE rn = 1),
-    located AS (SELECT f.customer_id, f.order_id, f.order_country_code, f.order_city_code,
-        f.order_activated_local_at AS customer_first_delivered_at,
-        ((('0x' || h8_hexagon)::BIGINT & -67553994410557441) | 31525197391593472) | 16777215 AS parent_hexagon
-        FROM firsts f LEFT JOIN checkout_events e USING (order_id) LEFT JOIN sessions s USING (dynamic_session_id))"""
+# The customer's first order, by time and then id, and the greatest parent of the cells it was placed in.
+FIRST_SQL = """starts AS (SELECT customer_id, min(struct_pack(at := order_activated_local_at, id := order_id)) AS start
+        FROM profile_orders WHERE order_is_first_delivered_order GROUP BY customer_id),
+    parents AS (SELECT order_id, max((((('0x' || h8_hexagon)::BIGINT & -67553994410557441) | 31525197391593472) | 16777215)) AS parent_hexagon
+        FROM checkout_events JOIN sessions USING (dynamic_session_id) GROUP BY order_id),
+    located AS (SELECT starts.customer_id, order_id, order_country_code, order_city_code, start.at AS customer_first_delivered_at, parent_hexagon
+        FROM starts JOIN profile_orders ON order_id = start.id LEFT JOIN parents USING (order_id))"""
 PROFILE_TABLES = [
     "profile_orders", "checkout_events", "sessions", "payments", "pricing_discounts", "pnl",
     "store_segmentation", "installs",
@@ -642,77 +643,61 @@ def user_type(tb: Testbed) -> DataFrame:
     return rounded(profile.user_type(rows, TYPE_HIGH, TYPE_LOW))
 
 
-def _share_sql() -> list[str]:
+def _order_tests() -> dict[str, str]:
+    """Condition of each share, over one row of profile_orders."""
     t = "order_activated_local_at"
-    tests = {
-        "orders_night": f"hour({t}) BETWEEN 0 AND 6",
-        "orders_morning": f"hour({t}) BETWEEN 7 AND 12",
-        "orders_afternoon": f"hour({t}) BETWEEN 13 AND 18",
-        "orders_evening": f"hour({t}) BETWEEN 19 AND 23",
-        "orders_weekday": f"dayofweek({t}) BETWEEN 1 AND 5",
+    spans = {"night": (0, 6), "morning": (7, 12), "afternoon": (13, 18), "evening": (19, 23)}
+    days = ("sunday", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday")
+    open_segments = "SELECT store_id FROM store_segmentation WHERE p_end_date IS NULL AND segmentation"
+    return {
+        **{f"orders_{name}": f"hour({t}) >= {low} AND hour({t}) <= {high}" for name, (low, high) in spans.items()},
+        "orders_weekday": f"dayofweek({t}) NOT IN (0, 6)",
+        **{f"orders_{name}": f"dayofweek({t}) = {i}" for i, name in enumerate(days)},
         "prime_orders": "order_is_prime",
         "qcommerce_orders": "order_vertical = 'QCommerce'",
-        "promo_orders": "discount_type = 'PROMOTOOL'",
-        "top_partner_orders": "tp.store_id IS NOT NULL",
+        "promo_orders": "order_id IN (SELECT order_id FROM pricing_discounts WHERE discount_type = 'PROMOTOOL')",
+        **{f"{m.lower()}_orders": f"order_id IN (SELECT order_id FROM payments WHERE payment_method = '{m}')" for m in profile.PAYMENT_METHODS},
+        **{f"{s.lower().replace(' ', '_')}_orders": f"store_id IN ({open_segments} = '{s}')" for s in profile.SEGMENTS},
+        "top_partner_orders": "(order_country_code, store_id) IN (SELECT order_country_code, store_id FROM leaders)",
     }
-    days = ("sunday", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday")
-    tests.update({f"orders_{d}": f"dayofweek({t}) = {i}" for i, d in enumerate(days)})
-    tests.update({f"{m.lower()}_orders": f"payment_method = '{m}'" for m in profile.PAYMENT_METHODS})
-    tests.update({f"{s.lower().replace(' ', '_')}_orders": f"segmentation = '{s}'" for s in profile.SEGMENTS})
-    return [
-        f"round(CAST(sum(CASE WHEN {test} THEN 1 ELSE 0 END) AS DOUBLE) / count(DISTINCT o.order_id), 9) AS pct_{name}"
-        for name, test in tests.items()
-    ]
-
-
-def _window_sql() -> list[str]:
-    age = "datediff('day', CAST(customer_first_delivered_at AS DATE), CAST(order_activated_local_at AS DATE))"
-    return [
-        f"count(DISTINCT CASE WHEN {age} BETWEEN {lo} AND {hi} THEN o.order_id END) AS {name}"
-        for name, (lo, hi) in profile.DAY_WINDOWS.items()
-    ]
 
 
+SHARES = tuple(f"pct_{name}" for name in _order_tests())
+NO_DAYS = {"days_since_first_order": AS_OF_SQL, "days_until_first_qcommerce": "first_qcommerce_date", "days_until_first_prime": "first_prime_date"}
+# Flags of each order first, then one row per customer, then what is read from that row.
 PROFILE_SQL = f"""WITH {FIRST_SQL},
-    tp AS (SELECT DISTINCT order_country_code, store_id FROM (SELECT order_country_code, store_name, store_id,
-        row_number() OVER (PARTITION BY order_country_code ORDER BY count(DISTINCT order_id) DESC, store_name, store_id) AS rn
-        FROM profile_orders WHERE store_name IS NOT NULL GROUP BY 1, 2, 3) WHERE rn <= 10),
-    metrics AS (SELECT o.customer_id, count(DISTINCT o.order_id) AS total_orders, {', '.join(_window_sql())},
-        round(avg(order_transacted_value_eur), 9) AS avg_transacted_value_eur,
-        round(avg(contribution_margin_eur), 9) AS avg_contribution_margin_eur, {', '.join(_share_sql())},
-        max(CAST(customer_first_delivered_at AS DATE)) AS customer_first_delivered_date,
-        CAST(min(CASE WHEN order_vertical = 'QCommerce' THEN order_activated_local_at END) AS DATE) AS first_qcommerce_date,
-        CAST(min(CASE WHEN order_is_prime THEN order_activated_local_at END) AS DATE) AS first_prime_date,
-        max(order_activated_local_at) AS last_order_date, count(DISTINCT o.order_city_code) AS num_distinct_cities,
-        count(DISTINCT o.order_id) / count(DISTINCT date_trunc('month', order_activated_local_at)) AS monthly
-        FROM profile_orders o JOIN located l USING (customer_id)
-        LEFT JOIN payments p ON p.order_id = o.order_id
-        LEFT JOIN (SELECT DISTINCT order_id, discount_type FROM pricing_discounts WHERE discount_type = 'PROMOTOOL') d ON d.order_id = o.order_id
-        LEFT JOIN pnl ON pnl.order_id = o.order_id
-        LEFT JOIN tp ON tp.order_country_code = o.order_country_code AND tp.store_id = o.store_id
-        LEFT JOIN (SELECT DISTINCT store_id, segmentation FROM store_segmentation WHERE p_end_date IS NULL) s ON s.store_id = o.store_id
-        GROUP BY 1),
-    favourites AS (SELECT order_country_code, customer_id, max(CASE WHEN r = 1 THEN store_name END) AS top_1_store,
-        max(CASE WHEN r = 2 THEN store_name END) AS top_2_store, max(CASE WHEN r = 3 THEN store_name END) AS top_3_store
-        FROM (SELECT order_country_code, customer_id, store_name, row_number() OVER (PARTITION BY order_country_code, customer_id
-            ORDER BY count(DISTINCT order_id) DESC, store_name ASC NULLS LAST) AS r FROM profile_orders GROUP BY 1, 2, 3) GROUP BY 1, 2)
-    SELECT m.* EXCLUDE (monthly), l.order_country_code, l.order_city_code AS customer_city, l.parent_hexagon AS h7_hexagon,
+    sold AS (SELECT order_country_code, store_name, store_id, count(*) AS n FROM profile_orders
+        WHERE store_name IS NOT NULL GROUP BY ALL),
+    leaders AS (SELECT order_country_code, store_id FROM sold
+        QUALIFY row_number() OVER (PARTITION BY order_country_code ORDER BY n DESC, store_name, store_id) <= 10),
+    flags AS (SELECT customer_id, order_id, order_city_code, order_activated_local_at AS placed, order_transacted_value_eur AS worth,
+        CASE WHEN order_vertical = 'QCommerce' THEN order_activated_local_at END AS quick_at,
+        CASE WHEN order_is_prime THEN order_activated_local_at END AS prime_at,
+        {', '.join(f'({test}) AS pct_{name}' for name, test in _order_tests().items())} FROM profile_orders),
+    aged AS (SELECT flags.*, contribution_margin_eur AS margin, customer_first_delivered_at::DATE AS first_day,
+        placed::DATE - customer_first_delivered_at::DATE AS age
+        FROM flags JOIN (SELECT customer_id, customer_first_delivered_at FROM located) USING (customer_id) LEFT JOIN pnl USING (order_id)),
+    habits AS (SELECT customer_id, count(*) AS total_orders, any_value(first_day) AS customer_first_delivered_date,
+        {', '.join(f'count(*) FILTER (WHERE age >= {lo} AND age <= {hi}) AS {name}' for name, (lo, hi) in profile.DAY_WINDOWS.items())},
+        round(avg(worth), 9) AS avg_transacted_value_eur, round(avg(margin), 9) AS avg_contribution_margin_eur,
+        {', '.join(f'round(count(*) FILTER (WHERE {c}) / count(*), 9) AS {c}' for c in SHARES)},
+        min(quick_at)::DATE AS first_qcommerce_date, min(prime_at)::DATE AS first_prime_date, max(placed) AS last_order_date,
+        count(DISTINCT order_city_code) AS num_distinct_cities, count(*) / count(DISTINCT strftime(placed, '%Y-%m')) AS monthly
+        FROM aged GROUP BY customer_id),
+    liked AS (SELECT order_country_code, customer_id, list(store_name ORDER BY n DESC, store_name NULLS LAST) AS names
+        FROM (SELECT order_country_code, customer_id, store_name, count(*) AS n FROM profile_orders GROUP BY ALL) GROUP BY 1, 2),
+    came AS (SELECT app_install_user_id AS customer_id, app_install_is_organic, app_install_network_name AS network FROM installs)
+    SELECT habits.* EXCLUDE (monthly), order_country_code, order_city_code AS customer_city, parent_hexagon AS h7_hexagon,
         round(monthly, 9) AS avg_monthly_orders,
-        CASE WHEN monthly > {TYPE_HIGH} THEN 'A' WHEN monthly < {TYPE_LOW} THEN 'C' ELSE 'B' END AS user_type,
-        CAST(datediff('day', customer_first_delivered_date, {AS_OF_SQL}) AS INTEGER) AS days_since_first_order,
-        CAST(datediff('day', customer_first_delivered_date, first_qcommerce_date) AS INTEGER) AS days_until_first_qcommerce,
-        CAST(datediff('day', customer_first_delivered_date, first_prime_date) AS INTEGER) AS days_until_first_prime,
-        round(CASE WHEN datediff('day', customer_first_delivered_date, {AS_OF_SQL}) = 0 THEN total_orders::DOUBLE
-            ELSE total_orders::DOUBLE / (datediff('day', customer_first_delivered_date, {AS_OF_SQL}) / 30.0::DOUBLE) END, 9) AS avg_monthly_orders_since_active,
-        app_install_is_organic AS organic_installs,
-        coalesce(app_install_network_name LIKE 'Google Ads%', false) AS google_installs,
-        coalesce(app_install_network_name = 'Apple Search Ads', false) AS apple_installs,
-        coalesce(app_install_network_name = 'Aura ironSource', false) AS iron_source_installs,
-        coalesce(app_install_network_name = 'Untrusted Devices', false) AS untrusted_devices_installs,
-        coalesce(app_install_network_name LIKE 'Tiktok%', false) AS tiktok_installs,
-        top_1_store, top_2_store, top_3_store
-    FROM metrics m JOIN located l USING (customer_id) LEFT JOIN installs i ON i.app_install_user_id = m.customer_id
-    LEFT JOIN favourites f ON f.customer_id = m.customer_id AND f.order_country_code = l.order_country_code"""
+        CASE WHEN monthly > {TYPE_HIGH} THEN 'A' WHEN monthly >= {TYPE_LOW} THEN 'B' ELSE 'C' END AS user_type,
+        {', '.join(f'CAST({day} - customer_first_delivered_date AS INTEGER) AS {name}' for name, day in NO_DAYS.items())},
+        round(total_orders / CASE {AS_OF_SQL} - customer_first_delivered_date WHEN 0 THEN 1.0::DOUBLE
+            ELSE ({AS_OF_SQL} - customer_first_delivered_date) / 30.0::DOUBLE END, 9) AS avg_monthly_orders_since_active,
+        app_install_is_organic AS organic_installs, coalesce(starts_with(network, 'Google Ads'), false) AS google_installs,
+        coalesce(network = 'Apple Search Ads', false) AS apple_installs, coalesce(network = 'Aura ironSource', false) AS iron_source_installs,
+        coalesce(network = 'Untrusted Devices', false) AS untrusted_devices_installs, coalesce(starts_with(network, 'Tiktok'), false) AS tiktok_installs,
+        names[1] AS top_1_store, names[2] AS top_2_store, names[3] AS top_3_store
+    FROM habits JOIN located USING (customer_id) LEFT JOIN liked USING (customer_id, order_country_code) LEFT JOIN came USING (customer_id)"""
 
 
 # The test data's promotion type and install networks.
@@ -806,7 +791,7 @@ def stratified_split(tb: Testbed) -> DataFrame:
 
 PROFILE_NUMBERS = (
     "total_orders", *profile.DAY_WINDOWS, "avg_transacted_value_eur", "avg_contribution_margin_eur",
-    *[column.rsplit(" AS ", 1)[1] for column in _share_sql()], "num_distinct_cities", "days_since_first_order",
+    *SHARES, "num_distinct_cities", "days_since_first_order",
     "days_until_first_qcommerce", "days_until_first_prime", "organic_installs", *INSTALL_NETWORKS,
 )
 FILLED = ", ".join(
