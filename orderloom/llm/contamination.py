@@ -1,10 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, then Smith-Waterman.
+"""Benchmark decontamination: n-gram seeds join passages to test items, then Smith-Waterman.
 
-Texts become words: A-Z lower-cased, ASCII punctuation taken as space. Each test item's word trigrams
-are counted in all training documents; the rarer half of an item's own trigrams are its seeds, so an
-item keeps seeds however often it leaked. Documents that hold a seed are candidates for the item, and
-the passage around their seeds is aligned with the whole item (match 2, mismatch and gap -1). A
-document is contaminated by an item when the score reaches half of a full match.
+Texts become words: A-Z lower-cased, ASCII punctuation taken as space. All word trigrams of a test item
+are its seeds, common ones too: an edited copy may hold no other. Documents that hold a seed are
+candidates for the item, and the passage around their seeds is aligned with the whole item (match 2,
+mismatch and gap -1), unless even all words that they share fall short. A document is contaminated by
+an item when the score reaches half of a full match. A copy that keeps no three adjacent words of the
+item has no seed and is not found.
 
 Test items are taken in blocks of a stated size, each of which is broadcast; training texts are not
 shuffled. Items or texts that are null or have fewer than three words match nothing. Rows without
@@ -144,26 +145,7 @@ def _block(docs: DataFrame, ids: list[int], item_texts: list[str], share: float,
     seeds, at = _seeds(hashes, first)
     item = np.searchsorted(first, at, side="right") - 1
     place = at - first[item]
-    every = spark.sparkContext.broadcast(Seeds(seeds, item, place))  # of one block
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = every.value
-        counts = np.zeros(len(known.distinct), np.int64)
-        for piece in tb.pieces(batches, "text"):
-            hashes, _, _, first, _ = _words(piece.column(0))
-            found, at = _seeds(hashes, first)
-            hit, number = known.find(found)
-            doc = np.searchsorted(first, at[hit], side="right") - 1
-            counts += np.bincount(np.unique(doc * len(counts) + number) % max(len(counts), 1), minlength=len(counts))
-        some = np.flatnonzero(counts)
-        yield pa.record_batch([pa.array(known.distinct[some].view(np.int64)), pa.array(counts[some])], ["seed", "docs"])
-
-    frequency = docs.select("text").mapInArrow(count, "seed long, docs long").groupBy("seed").agg(F.sum("docs").alias("docs"))
-    known = {r["seed"]: r["docs"] for r in frequency.collect()}  # at most the block's seeds
-    often = np.array([known.get(int(s), 0) for s in seeds.view(np.int64)], np.int64)
-    half = np.array([np.median(often[item == i]) if (item == i).any() else 0 for i in range(len(ids))])
-    rare = often <= half[item] if len(item) else np.zeros(0, bool)
-    shared = spark.sparkContext.broadcast((Seeds(seeds[rare], item[rare], place[rare]), words, ids))
+    shared = spark.sparkContext.broadcast((Seeds(seeds, item, place), words, ids))  # of one block
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds, words, ids = shared.value

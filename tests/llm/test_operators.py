@@ -260,6 +260,21 @@ def test_contaminated_passages(spark):
     assert set(got) == {(0, 0), (2, 2), (5, 1), (None, 4)} and got[0, 0] == 1.0 and 0.7 < got[2, 2] < 1.0
 
 
+@pytest.mark.parametrize("leaked", [False, True])
+def test_edited_copies_of_test_items(spark, leaked):
+    random.seed(21)
+    word = lambda: "".join(random.choice("abcdefgh") for _ in range(6))
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate((24, 30, 38) * 3)]
+    rows = []
+    for i, text in items:
+        words = text.split()
+        words[3 :: 4 + i // 3] = [word() for _ in words[3 :: 4 + i // 3]]  # every 4th, 5th or 6th word
+        rows.append((i, word() + " " + " ".join(words) + " " + word()))
+    rows += [(100 + i, text) for i, text in items if leaked]
+    found = contamination.contaminated(spark.createDataFrame(rows, DOCS).repartition(3), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(r[0], r[0] % 100) for r in rows}
+
+
 def test_alignment_equals_the_plain_recursion():
     random.seed(2)
     for _ in range(30):
