@@ -59,12 +59,14 @@ CODES = 1 << 18
 
 
 def _code(key: str):
-    return F.pmod(F.xxhash64(key), F.lit(CODES)).cast("int")
+    # xxhash64(null) is a number like any other; a null key must not share the code of a real one.
+    return F.when(F.col(key).isNotNull(), F.pmod(F.xxhash64(key), F.lit(CODES)).cast("int"))
 
 
 def likely(rows: DataFrame, keys: DataFrame, key: str, inside: bool = True) -> DataFrame:
     """Rows whose key may be among ``keys`` (or, with ``inside=False``, certainly is not).
 
+    A null key is among none, so such rows come with ``inside=False`` only.
     Keys are reduced to a fixed number of codes, so what is broadcast is bounded. It saves shuffling
     the texts of rows that a later join would drop; with very many keys it merely saves less.
     """

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 from itertools import combinations
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -321,6 +322,26 @@ def test_awkward_rows_everywhere(spark, vocabulary):
     assert quality.classify(df.withColumn("lang", F.lit("en")), labels).filter("kept").count() == n
 
 
+def test_rows_without_id_stay_beside_any_code(spark):
+    """xxhash64(null) and that of these ids have equal codes in ``likely``."""
+    ids = [4916, 69602, 116053]
+    line = "line of five words here"
+    rows = [(i, f"{line}\n{line}") for i in ids] + [(None, "kept whole"), (None, None), (1, "other")]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS)).collect()
+    assert len(out) == 6 and sum(r.n_removed for r in out) == 5
+    assert [r.text for r in out if r.doc_id is None and r.text] == ["kept whole"]
+    rows = [(i, "".join(f"{k} " for k in range(200))) for i in ids] + rows[3:]
+    out = suffix_dedup.without_repeats(spark.createDataFrame(rows, DOCS)).collect()
+    assert len(out) == 6 and sum(r.n_removed > 0 for r in out) == 2 and sum(r.doc_id is None for r in out) == 2
+    assert {bytes(r.kept) for r in out if r.doc_id is None} == {b"kept whole", b""}
+
+
+def test_rows_without_id_stay_in_the_pipeline(spark):
+    docs = spark.createDataFrame([(4916, "a"), (None, "b"), (2, "c")], DOCS)
+    left = corpus_pipeline._without(docs, docs.filter("doc_id = 4916")).collect()
+    assert sorted(r.text for r in left) == ["b", "c"]
+
+
 def test_empty_tables(spark, vocabulary, tmp_path):
     df = awkward(spark).limit(0)
     assert bpe.with_tokens(df, vocabulary, public_tokenizers.PATTERN).isEmpty()
