@@ -1,20 +1,24 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model predicts characters of 32 kinds (letters, blank, line end, digit, two kinds of punctuation,
-other bytes) from the three before them; one model per language, and one of all trusted text for other
-languages. Counts of 4-grams are aggregated over the trusted documents, sharded by language and gram;
-continuation counts follow by grouping, and joins with the context totals give the discounted shares
-and the weights of the lower orders. The number of grams is fixed by the kinds, so the finished tables
-are broadcast, and one pass over all texts gives each its perplexity.
+The model predicts words (A-Z lower-cased, split at white space) from the two before them, and the end
+of the text; one model per language, and one of all trusted text for other languages. It learns from
+every trusted document, but a word model knows the texts on which it learnt: so the texts are halved by
+their hashes, each half has a model, and every text is scored by that of the other half. A word's n-grams are known by 64-bit hashes; their counts, the continuation
+counts and the shares of each context are grouped and joined as tables that are never gathered. Below
+the single words stands a model of spelling, a Kneser-Ney 4-gram of characters of 32 kinds, which gives
+unknown words a probability; its number of grams is fixed by the kinds, so it is broadcast.
+
+The logarithm of a word's probability is a sum of numbers of its n-grams: of a gram seen, what it adds to
+the lower order; of a context seen, the weight that it leaves; nothing of one unseen. So a text's
+log probability is the sum, over its distinct n-grams, of count times number: one join and one sum.
 
 A document is kept while its log perplexity is at most q90 + 3 * (q90 - q50), the quantiles being those
-of the trusted documents of its language, over all labels. A text's mean is drawn towards its
-language's median by ``SHRINK`` characters, so very short texts do not stand out by chance; a null or
-empty text gets the median and is kept.
+of the trusted documents of its language, over all labels. Log perplexity is per byte. A text's mean is
+drawn towards its language's median by ``SHRINK`` characters, so very short texts do not stand out by
+chance; a null or empty text gets the median and is kept.
 
-The models learn from at most ``MAX_TRUSTED`` trusted documents, those with the smallest hashes; the
-quantiles and the scores cover all rows. Without trusted text all documents are kept. Repeated rows are
-scored each, rows without doc_id too. An empty table gives an empty result. Other columns play no part.
+Without trusted text all documents are kept. Repeated rows are scored each, rows without doc_id too. An
+empty table gives an empty result. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -32,9 +36,9 @@ from orderloom.llm.store import stored, text_batches
 LANGUAGES = ("de", "en", "es", "fr")
 ORDER, KINDS = 4, 32
 GRAMS = KINDS**ORDER
-MAX_TRUSTED = 20_000
 SHRINK = 50
 LINE_END = 27
+_BEGIN, _END = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC3A5C85C97CB3127)
 
 KIND = np.full(256, 31, np.uint8)  # bytes outside ASCII
 KIND[:128] = 30  # punctuation and controls
@@ -79,9 +83,11 @@ def _counts(trusted: DataFrame, models: list[str]) -> DataFrame:
     return stored(told.groupBy("model", "gram").agg(F.sum("n").alias("n")))
 
 
-def _order(counts: DataFrame) -> DataFrame:
-    """Discounted share of each gram in its context, and the weight that the context leaves below."""
-    of_counts = [F.count(F.when(F.col("n") == k, 1)).cast("double").alias(f"c{k}") for k in (1, 2, 3, 4)]
+def _order(counts: DataFrame, times: str | None = None) -> DataFrame:
+    """``counts`` (``model, context, n`` and more) with the discounted share of each gram in its context, and
+    the weight that the context leaves below; ``times`` tells how many grams a row stands for."""
+    of = F.col(times) if times else F.lit(1)
+    of_counts = [F.sum(F.when(F.col("n") == k, of).otherwise(0)).cast("double").alias(f"c{k}") for k in (1, 2, 3, 4)]
     discounts = counts.groupBy("model").agg(*of_counts)
     y = F.try_divide("c1", F.col("c1") + 2 * F.col("c2"))
 
@@ -90,12 +96,13 @@ def _order(counts: DataFrame) -> DataFrame:
         return F.when((exact > 0) & (exact < k), exact).otherwise(F.lit(0.5 * k))
 
     discounts = discounts.select("model", *(discount(k).alias(f"d{k}") for k in (1, 2, 3)))
-    held = counts.join(F.broadcast(discounts), "model").withColumn("context", F.shiftright("gram", 5))  # a row per model
+    held = counts.join(F.broadcast(discounts), "model")  # a row per model
     less = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-    held = held.withColumn("less", less)
-    contexts = held.groupBy("model", "context").agg(F.sum("n").alias("total"), F.sum("less").alias("left"))
+    held = held.select(*counts.columns, less.alias("less"))
+    contexts = held.groupBy("model", "context").agg(F.sum(of * F.col("n")).alias("total"), F.sum(of * F.col("less")).alias("left"))
     joined = held.join(contexts, ["model", "context"])
-    return joined.select("model", "gram", ((F.col("n") - F.col("less")) / F.col("total")).alias("share"), (F.col("left") / F.col("total")).alias("below"))
+    share = ((F.col("n") - F.col("less")) / F.col("total")).alias("share")
+    return joined.select(*counts.columns, share, (F.col("left") / F.col("total")).alias("below"))
 
 
 def _models(trusted: DataFrame, models: list[str]) -> np.ndarray:
@@ -103,7 +110,8 @@ def _models(trusted: DataFrame, models: list[str]) -> np.ndarray:
     counts = _counts(trusted, models)
     tables = []
     for order in range(ORDER, 0, -1):
-        tables.append(_order(counts).withColumn("order", F.lit(order)))
+        shares = _order(counts.withColumn("context", F.shiftright("gram", 5)))
+        tables.append(shares.select("model", "gram", "share", "below", F.lit(order).alias("order")))
         # Continuation counts: in how many contexts one character longer a gram was seen.
         counts = counts.groupBy("model", F.col("gram").bitwiseAND(KINDS ** (order - 1) - 1).alias("gram")).agg(F.count("*").alias("n"))
 
@@ -133,30 +141,182 @@ def _models(trusted: DataFrame, models: list[str]) -> np.ndarray:
     return out
 
 
-def classify(docs: DataFrame, labels: DataFrame, languages: Sequence[str] = LANGUAGES, max_trusted: int = MAX_TRUSTED) -> DataFrame:
+def _spelled(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Log probability of each word's characters and the blank after it, by a table of 4-grams."""
+    size = ends - starts + 1
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    place = np.arange(bounds[-1]) - np.repeat(bounds[:-1], size)
+    byte = place + np.repeat(starts, size)
+    blank = np.int64(KIND[32])
+    # The byte after the last word may be missing; every word ends with a blank anyway.
+    kind = np.append(KIND[low], KIND[32]).astype(np.int64)
+    kind = np.where(place == np.repeat(size - 1, size), blank, kind[byte])
+    gram = kind.copy()
+    for back in range(1, ORDER):
+        before = np.full(len(kind), blank)
+        before[back:] = kind[:-back]
+        gram += np.where(place >= back, before, blank) << (5 * back)
+    return tb.per_text(table[gram], bounds)
+
+
+def _empty_word(table: np.ndarray) -> float:
+    return float(table[sum(int(KIND[32]) << (5 * back) for back in range(ORDER))])
+
+
+def _key(order: int, *words: np.ndarray) -> np.ndarray:
+    key = np.full(len(words[0]), order, np.uint64)
+    for w in words:
+        key = tb.mix(key + w)
+    return key
+
+
+class Grams:
+    """The words of a slice of texts, with an end after each text, and their n-grams as hashes."""
+
+    def __init__(self, column: pa.Array):
+        data, offsets = tb.texts(column)
+        self.low = tb.LOWER[data]
+        self.starts, self.ends, first = tb.word_bounds(self.low, offsets)
+        n = np.diff(first)
+        self.bounds = np.concatenate([[0], np.cumsum(n + 1)])
+        self.doc = np.repeat(np.arange(len(n)), n + 1)
+        self.is_word = np.ones(len(self.doc), bool)
+        self.is_word[self.bounds[1:] - 1] = False
+        word = np.full(len(self.doc), _END)
+        word[self.is_word] = tb.span_hashes(self.low, self.starts, self.ends)
+        place = np.arange(len(word)) - self.bounds[:-1][self.doc]
+        before = np.where(place >= 1, np.roll(word, 1), _BEGIN)
+        earlier = np.where(place >= 2, np.roll(word, 2), _BEGIN)
+        self.one, self.two, self.three = _key(1, word), _key(2, before, word), _key(3, earlier, before, word)
+        self.context_one, self.context_two = _key(1, before), _key(2, earlier, before)
+
+    def spelled(self, tables: np.ndarray, model: np.ndarray) -> np.ndarray:
+        """Log probability of the spelling of each word under the model of its text."""
+        out = np.array([_empty_word(t) for t in tables])[model[self.doc]] if len(self.doc) else np.zeros(0)
+        of = model[self.doc[self.is_word]]
+        at = np.flatnonzero(self.is_word)
+        for m in np.unique(of):
+            some = of == m
+            out[at[some]] = _spelled(self.low, self.starts[some], self.ends[some], tables[m])
+        return out
+
+
+def _long(keys: np.ndarray) -> pa.Array:
+    return pa.array(keys.view(np.int64))
+
+
+def _word_counts(trusted: DataFrame, models: int, tables) -> DataFrame:
+    """``model, gram, context, low, context_one, one, spell, n`` of the word trigrams of each model.
+
+    Model ``2 * m + half`` learns from the texts of language ``m`` in the other half.
+    """
+    names = ["gram", "context", "low", "context_one", "one"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in tb.pieces(batches, "text"):
+            grams = Grams(piece.column(1))
+            own, half = (np.array(piece.column(c).to_pylist(), np.int64) for c in (0, 2))
+            columns = [grams.three, grams.context_two, grams.two, grams.context_one, grams.one]
+            for model in (own, np.full(len(own), models - 1)):
+                use = np.flatnonzero(own[grams.doc] != models - 1) if model is own else np.arange(len(grams.doc))
+                spell = grams.spelled(tables.value, model)
+                of = (2 * model + 1 - half)[grams.doc]
+                key = tb.mix(grams.three + of.astype(np.uint64))[use]
+                _, at, n = np.unique(key, return_index=True, return_counts=True)
+                at = use[at]
+                yield pa.record_batch([pa.array(of[at].astype(np.int32)), *(_long(c[at]) for c in columns), pa.array(spell[at]), pa.array(n)], ["model", *names, "spell", "n"])
+
+    told = trusted.mapInArrow(run, "model int, " + ", ".join(f"{n} long" for n in names) + ", spell double, n long")
+    rest = [F.first(c).alias(c) for c in ("context", "low", "context_one", "one", "spell")]
+    return stored(told.groupBy("model", "gram").agg(*rest, F.sum("n").alias("n")))
+
+
+def _word_numbers(trusted: DataFrame, models: int, tables) -> tuple[DataFrame, DataFrame]:
+    """``model, gram, number`` of every gram and context, and each model's log weight of unknown words."""
+    three = _word_counts(trusted, models, tables)
+    # Continuation counts: after how many words a shorter gram was seen.
+    two = three.groupBy("model", F.col("low").alias("gram")).agg(
+        F.first("context_one").alias("context"), F.first("one").alias("low"), F.first("spell").alias("spell"), F.count("*").alias("n"))
+    two = stored(two)
+    one = two.groupBy("model", F.col("low").alias("gram")).agg(F.first("spell").alias("spell"), F.count("*").alias("n"))
+    one = stored(one)
+    # Single words have one context a model, so no join by context: its sums are a row per model.
+    of_one = _order(one.groupBy("model", "n").agg(F.count("*").alias("times")).withColumn("context", F.lit(0)), "times")
+    one = one.join(F.broadcast(of_one.select("model", "n", "share", "below")), ["model", "n"])
+    unknown = stored(of_one.select("model", F.log("below").alias("unknown")).distinct())
+    one = stored(one.select("model", "gram", (F.col("share") + F.col("below") * F.exp("spell")).alias("p")))
+    numbers = one.select("model", "gram", F.log("p").alias("number"), F.lit(True).alias("word"))
+    lower = one
+    for counts in (two, three):
+        shares = _order(counts.select("model", "gram", "context", "low", "n"))
+        held = shares.join(lower.select("model", F.col("gram").alias("low"), F.col("p").alias("q")), ["model", "low"])
+        held = stored(held.select("model", "gram", "context", "below", "q", (F.col("share") + F.col("below") * F.col("q")).alias("p")))
+        added = F.log("p") - F.log("below") - F.log("q")
+        left = held.groupBy("model", "context").agg(F.first("below").alias("below"))
+        numbers = numbers.union(held.select("model", "gram", added, F.lit(False)))
+        numbers = numbers.union(left.select("model", F.col("context").alias("gram"), F.log("below"), F.lit(False)))
+        lower = held
+    return stored(numbers.groupBy("model", "gram").agg(F.sum("number").alias("number"), F.max("word").alias("word"))), unknown
+
+
+def _text_grams(rows: DataFrame, tables) -> DataFrame:
+    """``key, n_bytes, model, gram, n, spell`` of the distinct grams of each text; ``spell`` of words only.
+
+    The context before the first word comes once a text, with ``begin`` set.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in tb.pieces(batches, "text"):
+            grams = Grams(piece.column(3))
+            keys, sizes, model, half = (np.array(piece.column(c).to_pylist(), np.int64) for c in (0, 1, 2, 4))
+            spell = grams.spelled(tables.value, model)
+            begin = np.full(len(keys), _BEGIN)
+            some = [(grams.one, grams.doc, spell, 0), (grams.two, grams.doc, None, 0), (grams.three, grams.doc, None, 0)]
+            some += [(_key(1, begin), np.arange(len(keys)), None, 1), (_key(2, begin, begin), np.arange(len(keys)), None, 0)]
+            for gram, doc, spelled, first in some:
+                order = np.lexsort((gram, doc))
+                of, value = doc[order], gram[order]
+                new = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (value[1:] != value[:-1]))) if len(of) else np.zeros(0, np.int64)
+                n = np.diff(np.append(new, len(of)))
+                of, value = of[new], value[new]
+                said = pa.nulls(len(new), pa.float64()) if spelled is None else pa.array(spelled[order][new])
+                yield pa.record_batch(
+                    [pa.array(keys[of]), pa.array(sizes[of]), pa.array((2 * model + half)[of].astype(np.int32)), _long(value), pa.array(n.astype(np.int32)), said, pa.array(np.full(len(new), first, np.int32))],
+                    ["key", "n_bytes", "model", "gram", "n", "spell", "begin"],
+                )
+
+    return rows.mapInArrow(run, "key long, n_bytes long, model int, gram long, n int, spell double, begin int")
+
+
+def _scored(rows: DataFrame, trusted: DataFrame, models: list[str]) -> DataFrame:
+    """``doc_id, model, n_bytes, nats`` for rows of ``doc_id, model, text``."""
+    tables = rows.sparkSession.sparkContext.broadcast(_models(trusted, models).astype(np.float64))
+    half = F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half")  # equal texts are in one half
+    numbers, unknown = _word_numbers(trusted.select("model", "text", half), len(models), tables)
+    rows = rows.withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    rows = rows.withColumn("key", F.xxhash64("model", "text"))
+    some = rows.filter("n_bytes > 0")
+    grams = _text_grams(some.select("key", "n_bytes", "model", "text", half), tables)
+    met = grams.join(numbers, ["model", "gram"], "left").join(F.broadcast(unknown), "model", "left")
+    unseen = F.when(F.col("spell").isNotNull() & F.col("word").isNull(), F.coalesce("unknown", F.lit(0.0)) + F.col("spell"))
+    gained = F.col("n") * (F.coalesce("number", F.lit(0.0)) + F.coalesce(unseen, F.lit(0.0)))
+    # Equal texts have one key; each brings its beginning once, so the sum is that of one of them.
+    sums = met.groupBy("key", "n_bytes").agg((-F.sum(gained) / F.sum("begin")).alias("nats"))
+    out = some.select("doc_id", "model", "n_bytes", "key").join(sums, ["key", "n_bytes"], "left").select("doc_id", "model", "n_bytes", "nats")
+    return stored(out.union(rows.filter("n_bytes = 0").select("doc_id", "model", "n_bytes", F.lit(0.0))))
+
+
+def classify(docs: DataFrame, labels: DataFrame, languages: Sequence[str] = LANGUAGES) -> DataFrame:
     """``doc_id, language, n_bytes, log_perplexity, threshold, kept`` for rows of ``doc_id, text, lang``.
 
     ``labels`` has ``doc_id, quality, toxic``; documents of quality 1 that are not toxic are trusted.
     """
     models = [*languages, "other"]
-    spark = docs.sparkSession
     number = F.coalesce(*(F.when(F.lower("lang") == x, F.lit(i)) for i, x in enumerate(languages)), F.lit(len(languages)))
     rows = text_batches(docs).select("doc_id", number.alias("model"), "text")
     trusted_ids = labels.filter("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    learned = trusted_ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted)
-    sample = rows.join(F.broadcast(learned), "doc_id", "left_semi").select("model", "text")  # max_trusted ids
-    tables = spark.sparkContext.broadcast(_models(sample, models))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat = tables.value.ravel()
-        for piece in tb.pieces(batches, "text"):
-            grams, bounds = _grams(piece.column(2))
-            n = np.diff(bounds)
-            of = np.array(piece.column(1).to_pylist(), np.int64) * GRAMS
-            total = tb.per_text(flat[grams + np.repeat(of, n)], bounds)
-            yield pa.record_batch([piece.column(0), piece.column(1), pa.array(n), pa.array(-total)], ["doc_id", "model", "n_bytes", "nats"])
-
-    scored = stored(rows.mapInArrow(score, "doc_id long, model int, n_bytes long, nats double"))
+    trusted = rows.join(trusted_ids, "doc_id", "left_semi").select("model", "text")
+    scored = _scored(rows, trusted, models)
     each = F.try_divide("nats", "n_bytes")
     labelled = scored.filter("n_bytes > 0").join(trusted_ids, "doc_id", "left_semi")
     middle = labelled.groupBy("model").agg(F.percentile_approx(each, 0.5, 10_000).alias("median"))

@@ -300,6 +300,71 @@ def test_quality_tells_noise_from_text(spark):
     assert all(got[i] == (i % 10 > 0) for i in range(300)) and got[900] and got[901]
 
 
+def test_quality_tells_shuffled_and_repeated_words_from_text(spark):
+    random.seed(3)
+    words = ["".join(random.choice("abcdefgh") for _ in range(5)) for _ in range(60)]
+    follow = {w: random.sample(words, 2) for w in words}
+
+    def clean():
+        out = [random.choice(words)]
+        while len(out) < 80:
+            out.append(random.choice(follow[out[-1]]))
+        return out
+
+    rows = [(i, " ".join(clean()), "en") for i in range(200)]
+    rows += [(300 + i, " ".join(random.sample(w := clean(), len(w))), "en") for i in range(20)]
+    rows += [(400 + i, " ".join([words[i]] * 80), "en") for i in range(20) if words[i] not in follow[words[i]]]
+    out = quality.classify(spark.createDataFrame(rows, DOCS + ", lang string"), spark.createDataFrame([(i, 1, 0) for i in range(150)], "doc_id long, quality int, toxic int"))
+    kept = {r.doc_id for r in out.collect() if r.kept}
+    assert not any(i >= 300 for i in kept) and len(kept) > 190 and len([i for i in kept if i >= 150]) > 45
+
+
+def test_word_scores_equal_the_plain_recursion(spark):
+    random.seed(12)
+    texts = [" ".join(random.choice("a bb cc ddd eee f".split()) for _ in range(random.randint(1, 14))) for _ in range(25)]
+    asked = texts[:3] + texts[:1] + ["a bb zz cc", "  ", "f f\nf F", "new words only"]
+    trusted = spark.createDataFrame([(0, t) for t in texts], "model int, text string")
+    letters = quality._models(trusted, ["x", "other"])[0].astype(float)
+
+    def spelled(word):
+        kinds = [quality.KIND[32]] * 3 + [int(k) for k in quality.KIND[list(word.encode() + b" ")]]
+        return math.exp(sum(letters[sum(int(kinds[i - b]) << 5 * b for b in range(4))] for i in range(3, len(kinds))))
+
+    def steps(text):
+        words = ["<", "<", *text.lower().split(), ""]
+        return [tuple(words[i - 2 : i + 1]) for i in range(2, len(words))]
+
+    both = spark.createDataFrame([(t,) for t in {*texts, *asked}], "text string")
+    half = dict(both.select("text", F.pmod(F.xxhash64("text"), F.lit(2))).collect())
+    learnt = []
+    for h in (0, 1):
+        counts = {3: Counter(g for t in texts if half[t] != h for g in steps(t))}
+        for order in (2, 1):
+            counts[order] = Counter(g[1:] for g in counts[order + 1])
+        off = {}
+        for order, c in counts.items():
+            of = Counter(c.values())
+            y = of[1] / (of[1] + 2 * of[2]) if of[1] + of[2] else None
+            exact = {k: k - (k + 1) * y * of[k + 1] / of[k] if y is not None and of[k] else 0 for k in (1, 2, 3)}
+            off[order] = {k: x if 0 < x < k else 0.5 * k for k, x in exact.items()}
+        learnt.append((counts, off))
+
+    def p(gram, h):
+        counts, off = learnt[h]
+        order = len(gram)
+        lower = p(gram[1:], h) if order > 1 else spelled(gram[0])
+        same = [n for g, n in counts[order].items() if g[:-1] == gram[:-1]]
+        if not same:
+            return lower
+        left = sum(off[order][min(n, 3)] for n in same)
+        n = counts[order][gram]
+        return ((n - off[order][min(n, 3)] if n else 0) + left * lower) / sum(same)
+
+    rows = spark.createDataFrame([(i, 0, t) for i, t in enumerate(asked)], "doc_id long, model int, text string")
+    got = {r.doc_id: r.nats for r in quality._scored(rows, trusted, ["x", "other"]).collect()}
+    assert got == {i: pytest.approx(-sum(math.log(p(g, half[t])) for g in steps(t)), rel=1e-6) for i, t in enumerate(asked)}
+
+
 def test_kneser_ney_is_a_distribution(spark):
     df = spark.createDataFrame([(0, "the cat sat on the mat. the cat ran."), (0, "a dog sat on a log.")], "model int, text string")
     table = np.exp(quality._models(df, ["x", "other"]).astype(float)).reshape(2, -1, quality.KINDS)
