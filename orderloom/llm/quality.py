@@ -12,8 +12,8 @@ The logarithm of a word's probability is a sum of numbers of its n-grams: of a g
 the lower order; of a context seen, the weight that it leaves; nothing of one unseen. So a text's
 log probability is the sum, over its distinct n-grams, of count times number: one join and one sum.
 
-A document is kept while its log perplexity is at most q90 + 3 * (q90 - q50), the quantiles being those
-of the trusted documents of its language, over all labels. Log perplexity is per byte. A text's mean is
+A document is kept while its log perplexity is at most the ``quantile`` of the trusted documents of its
+language, over all labels; without ``quantile``, q90 + 3 * (q90 - q50). Log perplexity is per byte. A text's mean is
 drawn towards its language's median by ``SHRINK`` characters, so very short texts do not stand out by
 chance; a null or empty text gets the median and is kept.
 
@@ -306,7 +306,7 @@ def _scored(rows: DataFrame, trusted: DataFrame, models: list[str]) -> DataFrame
     return stored(out.union(rows.filter("n_bytes = 0").select("doc_id", "model", "n_bytes", F.lit(0.0))))
 
 
-def classify(docs: DataFrame, labels: DataFrame, languages: Sequence[str] = LANGUAGES) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, languages: Sequence[str] = LANGUAGES, quantile: float | None = None) -> DataFrame:
     """``doc_id, language, n_bytes, log_perplexity, threshold, kept`` for rows of ``doc_id, text, lang``.
 
     ``labels`` has ``doc_id, quality, toxic``; documents of quality 1 that are not toxic are trusted.
@@ -323,8 +323,11 @@ def classify(docs: DataFrame, labels: DataFrame, languages: Sequence[str] = LANG
     middle = stored(middle)  # a row per model
     drawn = (F.col("nats") + SHRINK * F.col("median")) / (F.col("n_bytes") + SHRINK)
     limits = labelled.join(F.broadcast(middle), "model").withColumn("x", drawn)
-    limits = limits.groupBy("model").agg(F.percentile_approx("x", [0.5, 0.9], 10_000).alias("q"))
-    limits = limits.select("model", (F.col("q")[1] + 3 * (F.col("q")[1] - F.col("q")[0])).alias("threshold"))
+    if quantile is None:
+        limits = limits.groupBy("model").agg(F.percentile_approx("x", [0.5, 0.9], 10_000).alias("q"))
+        limits = limits.select("model", (F.col("q")[1] + 3 * (F.col("q")[1] - F.col("q")[0])).alias("threshold"))
+    else:
+        limits = limits.groupBy("model").agg(F.percentile_approx("x", quantile, 10_000).alias("threshold"))
     out = scored.join(F.broadcast(middle), "model", "left").join(F.broadcast(limits), "model", "left")
     language = F.element_at(F.array(*map(F.lit, models)), F.col("model") + 1)
     out = out.select("doc_id", language.alias("language"), "n_bytes", drawn.alias("log_perplexity"), "threshold")

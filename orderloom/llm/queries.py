@@ -15,6 +15,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
 
 SHARDS = 40
+#: The share of each language's trusted documents that op10 keeps.
+TRUSTED_QUANTILE = 0.99
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):
@@ -107,7 +109,7 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
-    return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"), quantile=TRUSTED_QUANTILE)
 
 
 @query

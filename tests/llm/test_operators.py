@@ -319,6 +319,14 @@ def test_quality_tells_shuffled_and_repeated_words_from_text(spark):
     assert not any(i >= 300 for i in kept) and len(kept) > 190 and len([i for i in kept if i >= 150]) > 45
 
 
+def test_quality_cuts_at_the_quantile_of_trusted_text(spark):
+    random.seed(8)
+    rows = [(i, " ".join(random.choice("the cat sat on a mat with its hat".split()) for _ in range(40)), "en") for i in range(100)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(100)], "doc_id long, quality int, toxic int")
+    out = quality.classify(spark.createDataFrame(rows, DOCS + ", lang string"), labels, quantile=0.9).collect()
+    assert sum(r.kept for r in out) == 90 and {r.threshold for r in out} == {sorted(r.log_perplexity for r in out)[89]}
+
+
 def test_word_scores_equal_the_plain_recursion(spark):
     random.seed(12)
     texts = [" ".join(random.choice("a bb cc ddd eee f".split()) for _ in range(random.randint(1, 14))) for _ in range(25)]
