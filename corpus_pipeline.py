@@ -29,7 +29,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes repeated lines out of the texts, and drops documents of which nothing is left."""
-    out = line_dedup.dedup_lines(docs).filter("n_removed = 0 OR text <> ''")
+    out = line_dedup.dedup_lines(docs, short_repeats=True).filter("n_removed = 0 OR text <> ''")
     n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", n_chars).select(*docs.columns)
 

@@ -2,11 +2,12 @@
 
 A line is a sequence of words (A-Z lower-cased, split at white space); an edit inserts, deletes or
 replaces one word. A line goes when an earlier line, by (doc_id, line number), is within one edit of
-it; lines are judged on the input, not on what is left. Lines of fewer than ``min_words`` words are
-never removed, as one edit says little about them.
+it; lines are judged on the input, not on what is left. One edit says little about lines of fewer than
+``min_words`` words: with ``short_repeats`` they go when an earlier line is equal, else they stay. Blank
+lines stay.
 
 1. Equal lines become one class, known by its first occurrence.
-2. With one edit between two lines, all but one of ``PARTS`` parts agree. Classes that share no such
+2. Classes of at least ``min_words`` words: with one edit between two lines, all but one of ``PARTS`` parts agree. Classes that share no such
    key with another class need no variants.
 3. The others emit their variants with one word of the disagreeing part deleted, as hashed keys. Two
    lines of equal length are within one edit when the variants without the word at the same place are
@@ -110,24 +111,24 @@ def _variants(lines: Lines, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.concatenate(rows), np.concatenate(keys), np.concatenate(roles)
 
 
-def _read_lines(docs: DataFrame, min_words: int) -> DataFrame:
+def _read_lines(docs: DataFrame, min_words: int, short_repeats: bool) -> DataFrame:
     names = [f"k{i}" for i in range(2 * PARTS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in tb.pieces(batches, "text"):
             lines = Lines(piece.column(1))
-            lines.keep(np.flatnonzero(lines.b - lines.a >= min_words))
+            lines.keep(np.flatnonzero(lines.b - lines.a >= (1 if short_repeats else min_words)))
             other = tb.Runs(tb.mix(lines.words ^ _SECOND))
             runs = tb.Runs(lines.words)
             n = (lines.b - lines.a).astype(np.uint64)
             h1, h2 = tb.mix(runs.raw(lines.a, lines.b) + n), tb.mix(other.raw(lines.a, lines.b) + n)
             columns = [h1, h2, *_part_keys(lines)]
             yield pa.record_batch(
-                [piece.column(0).take(pa.array(lines.doc)), pa.array(lines.number.astype(np.int32)), *(pa.array(c.view(np.int64)) for c in columns)],
-                ["doc_id", "line", "h1", "h2", *names],
+                [piece.column(0).take(pa.array(lines.doc)), pa.array(lines.number.astype(np.int32)), pa.array(n >= min_words), *(pa.array(c.view(np.int64)) for c in columns)],
+                ["doc_id", "line", "long", "h1", "h2", *names],
             )
 
-    return docs.mapInArrow(run, "doc_id long, line int, h1 long, h2 long, " + ", ".join(f"{n} long" for n in names))
+    return docs.mapInArrow(run, "doc_id long, line int, long boolean, h1 long, h2 long, " + ", ".join(f"{n} long" for n in names))
 
 
 def _emit(docs: DataFrame) -> DataFrame:
@@ -172,16 +173,16 @@ def _within_one_edit(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "place struct<doc_id: long, line: int>")
 
 
-def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``doc_id, line`` (from 0) of every line that an earlier line is within one edit of."""
+def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, short_repeats: bool = False) -> DataFrame:
+    """``doc_id, line`` (from 0) of every line that an earlier line is within one edit of, or equal to if it is short."""
     texts = docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    lines = stored(_read_lines(texts, min_words))
+    lines = stored(_read_lines(texts, min_words, short_repeats))
     names = [f"k{i}" for i in range(2 * PARTS)]
     place = F.struct("doc_id", "line")
-    classes = stored(lines.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in names)))
+    classes = stored(lines.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("long", *names))))
 
     # Classes that share a key with another class, with a bit for each shared key.
-    keys = classes.select(F.posexplode(F.array(*names)).alias("bit", "key"), "place")
+    keys = classes.filter("long").select(F.posexplode(F.array(*names)).alias("bit", "key"), "place")
     keys = keys.withColumn("bit", F.expr("shiftleft(1L, bit)"))
     # A key of a shorter partner (second half of the names) meets the same key of its full length.
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
@@ -209,10 +210,10 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return gone.filter(F.col("near") | (place != F.col("place"))).select("doc_id", "line").distinct()
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, short_repeats: bool = False) -> DataFrame:
     """``docs`` with the removed lines taken out of ``text``, and ``n_lines`` and ``n_removed``."""
     docs = text_batches(docs)
-    gone = stored(removed_lines(docs, min_words))
+    gone = stored(removed_lines(docs, min_words, short_repeats))
     by_doc = gone.groupBy("doc_id").agg(F.collect_list("line").alias("_gone"))
     docs = docs.drop("n_lines", "n_removed", "_gone")
     columns = docs.columns

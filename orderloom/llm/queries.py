@@ -114,7 +114,7 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    out = line_dedup.dedup_lines(table(spark, folder, "documents"))
+    out = line_dedup.dedup_lines(table(spark, folder, "documents"), short_repeats=True)
     return out.select("doc_id", "n_lines", "n_removed", "text")
 
 

@@ -16,7 +16,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from orderloom.llm import bpe, components, contamination, hmm, language, line_dedup, near_dups, quality, shards, suffix_dedup, topk
+from orderloom.llm import bpe, components, contamination, hmm, language, line_dedup, near_dups, quality, queries, shards, suffix_dedup, topk
 from orderloom.llm import textbits as tb
 
 DOCS = "doc_id long, text string"
@@ -143,6 +143,13 @@ def test_lines_within_one_edit(spark):
         assert r.text == "\n".join(kept) and r.n_removed == len(rows[r.doc_id][1].split("\n")) - len(kept)
 
 
+def test_repeats_of_short_lines(spark, tmp_path):
+    rows = [(0, "Read more\n\none two three four five\n语言没有空格"), (1, "read  MORE\n\nread on\n \nmore\none two three four six"), (2, "语言没有空格\nmore")]
+    spark.createDataFrame(rows, DOCS).repartition(2).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.text for r in queries.op4_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {0: rows[0][1], 1: "\nread on\n \nmore", 2: ""}
+
+
 def test_shards_are_near_equal_and_move_little(spark, tmp_path):
     df = spark.range(4000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 900).cast("int")).alias("text"))
     out = shards.shard_documents(df, 7, str(tmp_path / "maps"), slots=512).toPandas()
