@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from checks.logical_sql import AS_OF as AS_OF_SQL
 from checks.logical_sql import contains_any, normalised
 from checks.registry import query, rounded
-from orderloom.operators import buckets, catalogue, drinks, features, hexes, models, orders, profile
+from orderloom.operators import buckets, catalogue, drinks, features, hexes, models, orders, profile, rules
 from orderloom.plans import reports
 from orderloom.session import materialise, shared_path
 from orderloom.sources import sinks, tables
@@ -565,6 +565,37 @@ def relabel_rules(tb: Testbed) -> DataFrame:
     return catalogue.apply_rules(tb.local_products())
 
 
+@query(rules_sql(catalogue.COUNTRY_RULES, RELABELLED), ["local_products"])
+def relabel_rule_table(tb: Testbed) -> DataFrame:
+    """The same rules, read from a table."""
+    return catalogue.apply_rules(tb.local_products(), rules.rule_table(tb.spark, catalogue.COUNTRY_RULES))
+
+
+@query(
+    """WITH said AS (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS word FROM benchmark),
+    r AS (SELECT word, CAST(length(word) % 7 AS INTEGER) AS step FROM said WHERE length(word) >= 2),
+    hit AS (SELECT d.doc_id, max(r.step) AS last, bool_or(r.step = 6) AS renamed
+        FROM documents d JOIN r ON contains(lower(d.text), r.word) GROUP BY 1)
+    SELECT d.doc_id, CASE WHEN renamed THEN 'known item' ELSE text END AS product_name,
+        CASE WHEN last IS NULL THEN lower(trim(d.source)) ELSE 'group ' || last END AS predicted_category
+    FROM documents d LEFT JOIN hit USING (doc_id)""",
+    [],
+)
+def relabel_corpus_rules(tb: Testbed) -> DataFrame:
+    """Thousands of rules made of the words of one table, over the whole texts of another."""
+    said = tb.raw("benchmark").select(F.explode(F.split(F.lower("text"), " ")).alias("word")).distinct()
+    step = (F.char_length("word") % 7).cast("int")
+    known = F.when(step == 6, F.lit("known item"))
+    ruled = said.filter(F.char_length("word") >= 2).select(
+        F.lit("any").alias("order_country_code"), step.alias("step"), "word",
+        F.concat(F.lit("group "), step.cast("string")).alias("category"), known.alias("rename"),
+    )
+    products = tb.raw("documents").select(
+        "doc_id", F.lit("any").alias("order_country_code"), F.col("text").alias("product_name"), F.col("source").alias("predicted_category")
+    )
+    return catalogue.apply_rules(products, ruled).select("doc_id", "product_name", "predicted_category")
+
+
 @query(rules_sql(catalogue.FIRST_PASS_RULES, RELABELLED), ["local_products"])
 def relabel_first_pass(tb: Testbed) -> DataFrame:
     return catalogue.apply_rules(tb.local_products(), catalogue.FIRST_PASS_RULES)

@@ -187,6 +187,92 @@ def wkt_geojson(tb: Testbed) -> DataFrame:
     )
 
 
+AREA_RINGS = """SELECT s_suppkey, i AS polygon, j AS ring, k AS pos, s_suppkey % 180 + i + k % 2 + j / 4.0 AS lon,
+        s_suppkey % 70 + k / 2 + j / 4.0 AS lat, CASE WHEN s_suppkey % 3 = 1 THEN CAST(10 * i + j - k AS DOUBLE) END AS alt
+    FROM supplier, range(2) a(i), range(2) b(j), range(4) c(k) WHERE i = 0 OR s_suppkey % 2 = 0"""
+
+
+def area_texts(tb: Testbed) -> DataFrame:
+    """Areas of one or two polygons with a hole each, some with heights, some with measures, some broken."""
+    def position(i: int, j: int, k: int) -> str:
+        third = f"' ' || (CASE s_suppkey % 3 WHEN 1 THEN {10 * i + j - k} ELSE 7 END)"
+        lon, lat = f"(s_suppkey % 180 + {i + k % 2 + j / 4}D)", f"(s_suppkey % 70 + {k // 2 + j / 4}D)"
+        return f"{lon} || '  ' || {lat} || CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE {third} END"
+
+    def polygon(i: int) -> str:
+        rings = " || '),(' || ".join(" || ' , ' || ".join(position(i, j, k) for k in range(4)) for j in range(2))
+        return f"'((' || {rings} || '))'"
+
+    flag = "CASE s_suppkey % 3 WHEN 0 THEN '' WHEN 1 THEN ' Z ' ELSE ' m' END"
+    area = f"CASE WHEN s_suppkey % 2 = 0 THEN 'MULTIPOLYGON' || {flag} || '(' || {polygon(0)} || ',' || {polygon(1)} || ')' ELSE 'polygon' || {flag} || {polygon(0)} END"
+    broken = "CASE WHEN s_suppkey % 11 = 0 THEN replace(area, '))', ')') WHEN s_suppkey % 13 = 0 THEN replace(area, '.25', ',x') ELSE area END"
+    return tb.raw("supplier").select("s_suppkey", F.expr(area).alias("area")).select("s_suppkey", F.expr(broken).alias("area"))
+
+
+@query(
+    f"""SELECT s_suppkey, CAST(polygon AS INT) AS polygon, CAST(ring AS INT) AS ring, CAST(pos AS INT) AS pos,
+        CAST(lon AS DOUBLE) AS lon, CAST(s_suppkey % 70 + pos // 2 + ring / 4.0 AS DOUBLE) AS lat, alt
+    FROM ({AREA_RINGS}) WHERE s_suppkey % 11 <> 0 AND s_suppkey % 13 <> 0""",
+    [],
+)
+def wkt_areas(tb: Testbed) -> DataFrame:
+    """Every position of every ring of every polygon."""
+    rows = area_texts(tb).select("s_suppkey", F.posexplode(geo.wkt_polygons(F.col("area"))).alias("polygon", "p"))
+    rows = rows.select("s_suppkey", "polygon", F.posexplode("p").alias("ring", "r"))
+    return rows.select("s_suppkey", "polygon", "ring", F.posexplode("r").alias("pos", "x")).select("s_suppkey", "polygon", "ring", "pos", "x.*")
+
+
+@query(
+    """SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'MultiPolygon' ELSE 'Polygon' END AS type,
+        CAST(s_suppkey % 180 + 1 + (s_suppkey % 2 = 0)::INT + 0.25 AS DOUBLE) AS lon, CAST(s_suppkey % 70 + 1.25 AS DOUBLE) AS lat FROM supplier
+    WHERE s_suppkey % 11 <> 0 AND s_suppkey % 13 <> 0""",
+    [],
+)
+def area_geojson(tb: Testbed) -> DataFrame:
+    """The kind of each feature and the last position of its last hole, read back from the GeoJSON text."""
+    shown = area_texts(tb).select("s_suppkey", geo.wkt_geojson(F.col("area")).alias("g")).filter("g IS NOT NULL")
+    at = F.when(F.col("s_suppkey") % 2 == 0, F.get_json_object("g", "$.coordinates[1][1][3]")).otherwise(F.get_json_object("g", "$.coordinates[1][3]"))
+    last = F.from_json(at, "array<double>")
+    return shown.select("s_suppkey", F.get_json_object("g", "$.type").alias("type"), last[0].alias("lon"), last[1].alias("lat"))
+
+
+@query(
+    """SELECT CAST(s_suppkey AS VARCHAR) AS h8_hexagon, CASE WHEN s_suppkey % 11 = 0 THEN 'brackets' ELSE 'number' END AS problem
+    FROM supplier WHERE s_suppkey % 11 = 0 OR s_suppkey % 13 = 0""",
+    [],
+)
+def unreadable_areas(tb: Testbed) -> DataFrame:
+    cells = area_texts(tb).select(F.col("s_suppkey").cast("string").alias("h8_hexagon"), F.col("area").alias("h3_geom"))
+    return hexes.unreadable_areas(cells).select("h8_hexagon", "problem")
+
+
+GLOBE = """p AS (SELECT c_custkey AS h8_hexagon, CASE c_custkey % 3 WHEN 0 THEN 90 - (c_custkey % 50) / 100.0 WHEN 1 THEN (c_custkey % 50) / 100.0 - 90
+        ELSE (c_custkey % 40) / 100.0 END AS lat, CASE c_custkey % 3 WHEN 2 THEN 180 - (c_custkey % 37) / 50.0 ELSE c_custkey * 7 % 360 - 180 END AS lon FROM customer),
+    c AS (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 89.75 WHEN 1 THEN -89.8 ELSE 0.15 END AS lat,
+        CASE s_suppkey % 3 WHEN 2 THEN 0.3 - 180 ELSE s_suppkey * 11 % 360 - 180 END AS lon, CASE WHEN s_suppkey % 10 = 0 THEN 2e7 ELSE 977.0 * (s_suppkey % 90) END AS radius_m FROM supplier)"""
+
+
+@query(
+    f"""WITH {GLOBE} SELECT h8_hexagon, CAST(count(s_suppkey) AS BIGINT) AS n_stores FROM p LEFT JOIN c ON
+        2 * 6371008.8 * asin(sqrt(least(1.0, pow(sin(radians(p.lat - c.lat) / 2), 2)
+        + cos(radians(c.lat)) * cos(radians(p.lat)) * pow(sin(radians(p.lon - c.lon) / 2), 2)))) <= radius_m GROUP BY 1""",
+    [],
+)
+def coverage_of_the_globe(tb: Testbed) -> DataFrame:
+    """Circles over both poles, across the 180th meridian, and almost around the Earth."""
+    places = tb.raw("customer").selectExpr(
+        "c_custkey AS h8_hexagon",
+        "CAST(CASE c_custkey % 3 WHEN 0 THEN 90 - (c_custkey % 50) / 100D WHEN 1 THEN (c_custkey % 50) / 100D - 90 ELSE (c_custkey % 40) / 100D END AS DOUBLE) AS h3_8_lat",
+        "CAST(CASE c_custkey % 3 WHEN 2 THEN 180 - (c_custkey % 37) / 50D ELSE c_custkey * 7 % 360 - 180 END AS DOUBLE) AS h3_8_lon",
+    )
+    circles = tb.raw("supplier").selectExpr(
+        "s_suppkey AS store_address_id", "CASE s_suppkey % 3 WHEN 0 THEN 89.75D WHEN 1 THEN -89.8D ELSE 0.15D END AS h3_8_lat",
+        "CAST(CASE s_suppkey % 3 WHEN 2 THEN 0.3D - 180 ELSE s_suppkey * 11 % 360 - 180 END AS DOUBLE) AS h3_8_lon",
+        "CASE WHEN s_suppkey % 10 = 0 THEN 2e7D ELSE 977D * (s_suppkey % 90) END AS radius_m",
+    )
+    return hexes.hexagon_coverage(places, circles).select("h8_hexagon", "n_stores")
+
+
 @query(
     f"""SELECT order_country_code, {normalised('product_name')} AS name, count(*) AS n
     FROM local_products GROUP BY 1, 2""",

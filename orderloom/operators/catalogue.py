@@ -13,6 +13,7 @@ from orderloom.functions.dates import days_back, since_days
 from orderloom.functions.numbers import blank_columns
 from orderloom.functions.text import canonical_category, contains_sql, sql_text
 from orderloom.operators.orders import delivered, spread_key
+from orderloom.operators.rules import apply_rule_table, rule_table_changes
 from orderloom.session import materialise
 from orderloom.sources.tables import for_values
 
@@ -243,13 +244,15 @@ def _steps(
 
 
 def apply_rules(
-    products: DataFrame, rules: Mapping[str, Sequence[Rule]] = COUNTRY_RULES
+    products: DataFrame, rules: Mapping[str, Sequence[Rule]] | DataFrame = COUNTRY_RULES
 ) -> DataFrame:
     """Relabels products by the ordered keyword rules of their country.
 
     Adds ``relabelled``: whether the category changed. Countries without rules only get
-    the canonical spelling of the category.
+    the canonical spelling of the category. Rules kept in a table go through its word index.
     """
+    if isinstance(rules, DataFrame):
+        return apply_rule_table(products, rules)
     done = _steps(products, rules).withColumns(
         {
             "relabelled": ~F.col("_category").eqNullSafe(F.col("_base")),
@@ -261,9 +264,11 @@ def apply_rules(
 
 
 def rule_change_counts(
-    products: DataFrame, rules: Mapping[str, Sequence[Rule]] = COUNTRY_RULES, target: str = "other"
+    products: DataFrame, rules: Mapping[str, Sequence[Rule]] | DataFrame = COUNTRY_RULES, target: str = "other"
 ) -> DataFrame:
     """Per country, rows a rule of category ``target`` would change when its turn comes."""
+    if isinstance(rules, DataFrame):
+        return rule_table_changes(products, rules, target)
     return _steps(products, rules, target).groupBy("order_country_code").agg(F.sum("_changes").alias("changes"))
 
 

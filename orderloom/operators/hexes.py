@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderloom.functions.dates import between_days
-from orderloom.functions.geo import METRES_PER_DEGREE, haversine_m, ring_geojson, wkt_ring
+from orderloom.functions.geo import EARTH_RADIUS_M, haversine_m, unit_vector, wkt_geojson, wkt_problem
 from orderloom.functions.numbers import ratio_or_null
 from orderloom.operators.buckets import bucket_colour
 from orderloom.operators.orders import delivered
@@ -18,8 +19,11 @@ from orderloom.sources.tables import current_rows, for_values
 
 #: A session and the checkouts made in it lie at most so many days apart.
 SESSION_DAYS = 7
-#: Copies of a tile's hexagons, among which the tile's circles are shared out.
-TILE_SALTS = 8
+#: Copies of a cell's hexagons, among which the cell's circles are shared out.
+CELL_SALTS = 8
+#: Edge of the coarsest cell, in Earth radii, and the finest level (some 24 m); each level halves the edge.
+COARSEST, FINEST = 4.0, 20
+CELL = ("cell_x", "cell_y", "cell_z")
 
 
 def sessions_at_partner(
@@ -239,12 +243,17 @@ def hex_feed(hexes: DataFrame, metric: str, partner: str | None = None) -> DataF
         *([F.lit(partner).alias("partner")] if partner is not None else []),
         F.lit(metric).alias("metric"),
         "h8_hexagon",
-        ring_geojson(wkt_ring(F.col("h3_geom"))).alias("geometry"),
+        wkt_geojson(F.col("h3_geom")).alias("geometry"),
         F.col(f"{metric}_colour").alias("fill_colour"),
         text.alias("label"),
     )
 
 
+def unreadable_areas(hexes: DataFrame) -> DataFrame:
+    """Hexagons whose polygon text cannot be read, with the reason: a feed shows them without geometry."""
+    return hexes.select("h8_hexagon", "h3_geom", wkt_problem(F.col("h3_geom")).alias("problem")).filter("problem IS NOT NULL")
+
+
 def store_points(radii: DataFrame) -> DataFrame:
     """Markers and radii of stores whose hexagon centre is known."""
     return radii.dropna(subset=["h3_8_lat", "h3_8_lon"]).select(
@@ -252,67 +261,55 @@ def store_points(radii: DataFrame) -> DataFrame:
     )
 
 
-def _tile(degrees: Column, step: Column) -> Column:
-    return F.floor(degrees / step).cast("long")
+def _cell(x: Column, edge: Column) -> Column:
+    return F.floor(x / edge).cast("long")
 
 
 def _circles(stores: DataFrame) -> DataFrame:
-    """Stores folded to distinct circles, each with its lookup level and tiles.
+    """Stores folded to distinct circles, each with its level and the cells it may reach into.
 
-    Equal circles are one row with a count, so a hexagon full of stores is matched once.
-    Level ``z`` uses tiles of ``2**z`` hundredths of a degree, at least one radius wide:
-    any circle then touches few tiles.
+    Equal circles are one row with a count, so a hexagon full of stores is matched once. Cells are cubes
+    around the centre of the Earth, whose edge halves from level to level; on the ground they are patches
+    without seam, pole or meridian. A circle is all that lies within a chord of its centre. Its level is
+    the finest whose cells are two chords wide, so it reaches into two cells at most along each axis.
     """
     circles = (
         stores.dropna(subset=["h3_8_lat", "h3_8_lon", "radius_m"])
         .groupBy(F.col("h3_8_lat").alias("lat"), F.col("h3_8_lon").alias("lon"), "radius_m")
         .agg(F.count(F.lit(1)).alias("stores_here"))
+        .filter("radius_m >= 0")
     )
-    reach_lat = F.col("radius_m") / METRES_PER_DEGREE
-    narrow = F.greatest(F.cos(F.radians(F.least(F.abs(F.col("lat")) + reach_lat, F.lit(89.9)))), F.lit(1e-3))
-    reach = F.greatest(reach_lat / narrow, F.lit(1e-6))
-    level = F.greatest(F.ceil(F.log2(reach / 0.01)), F.lit(0)).cast("int")
-    placed = circles.withColumn("reach_lat", reach_lat).withColumn("reach_lon", reach).withColumn("level", level)
-    step = F.pow(F.lit(2.0), F.col("level")) * 0.01
-    # The margin covers rounding of the degree length.
-    span = 1.001
-    rows = F.sequence(
-        _tile(F.col("lat") - F.col("reach_lat") * span, step), _tile(F.col("lat") + F.col("reach_lat") * span, step)
-    )
-    west, east = F.col("lon") - F.col("reach_lon") * span, F.col("lon") + F.col("reach_lon") * span
-    none = F.array().cast("array<bigint>")
-    # A circle across the 180th meridian also takes the tiles on its other side.
-    columns = F.array_distinct(
-        F.concat(
-            F.sequence(_tile(west, step), _tile(east, step)),
-            F.when(east > 180, F.sequence(_tile(west - 360, step), _tile(east - 360, step))).otherwise(none),
-            F.when(west < -180, F.sequence(_tile(west + 360, step), _tile(east + 360, step))).otherwise(none),
-        )
-    )
-    return placed.withColumn("tile_row", F.explode(rows)).withColumn("tile_col", F.explode(columns))
+    half_angle = F.least(F.col("radius_m") / (2 * EARTH_RADIUS_M), F.lit(math.pi / 2))
+    # The margin covers rounding.
+    chord = 2 * F.sin(half_angle) * 1.001 + 1e-9
+    level = F.least(F.greatest(F.floor(F.log2(F.lit(COARSEST) / (2 * chord))), F.lit(0)), F.lit(FINEST)).cast("int")
+    placed = circles.withColumn("level", level)
+    edge = F.lit(COARSEST) / F.pow(F.lit(2.0), F.col("level"))
+    for name, centre in zip(CELL, unit_vector(F.col("lat"), F.col("lon")), strict=True):
+        placed = placed.withColumn(name, F.explode(F.sequence(_cell(centre - chord, edge), _cell(centre + chord, edge))))
+    return placed
 
 
 def covered_pairs(hexes: DataFrame, stores: DataFrame) -> DataFrame:
     """Hexagons inside each distinct store circle; ``stores_here`` tells how many stores share it.
 
-    Both sides meet on a tile of a grid chosen by the radius, then the exact distance decides.
-    The circles of a tile are shared out among ``TILE_SALTS`` tasks, as a dense tile may hold
-    most of them; the hexagons, bounded by the tile's area, are copied to each.
+    Both sides meet on a cell of a level chosen by the radius, then the exact distance decides. The
+    circles of a cell are shared out among ``CELL_SALTS`` tasks, as a dense cell may hold most of
+    them; the hexagons, bounded by the cell's area, are copied to each.
     """
-    salt = F.pmod(F.xxhash64("lat", "lon", "radius_m"), F.lit(TILE_SALTS)).cast("int")
+    salt = F.pmod(F.xxhash64("lat", "lon", "radius_m"), F.lit(CELL_SALTS)).cast("int")
     circles = _circles(stores).withColumn("salt", salt)
+    # At most FINEST + 1 numbers.
     levels = [r.level for r in circles.select("level").distinct().collect()]
     centres = hexes.dropna(subset=["h3_8_lat", "h3_8_lon"])
-    step = F.pow(F.lit(2.0), F.col("level")) * 0.01
-    tiled = centres.withColumn("level", F.explode(F.array(*[F.lit(z) for z in levels or [0]]).cast("array<int>"))).withColumns(
-        {"tile_row": _tile(F.col("h3_8_lat"), step), "tile_col": _tile(F.col("h3_8_lon"), step)}
-    ).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(TILE_SALTS - 1))))
+    edge = F.lit(COARSEST) / F.pow(F.lit(2.0), F.col("level"))
+    levelled = centres.withColumn("level", F.explode(F.array(*[F.lit(z) for z in levels or [0]]).cast("array<int>")))
+    at = zip(CELL, unit_vector(F.col("h3_8_lat"), F.col("h3_8_lon")), strict=True)
+    placed = levelled.withColumns({name: _cell(x, edge) for name, x in at})
+    placed = placed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(CELL_SALTS - 1))))
     distance = haversine_m(F.col("h3_8_lat"), F.col("h3_8_lon"), F.col("lat"), F.col("lon"))
-    return (
-        tiled.join(circles, ["level", "tile_row", "tile_col", "salt"])
-        .filter(distance <= F.col("radius_m"))
-        .drop("level", "tile_row", "tile_col", "salt", "reach_lat", "reach_lon")
-    )
+    keys = ["level", *CELL, "salt"]
+    return placed.join(circles, keys).filter(distance <= F.col("radius_m")).drop(*keys)
 
 
 def hexagon_coverage(hexes: DataFrame, stores: DataFrame) -> DataFrame:

@@ -141,6 +141,43 @@ def test_wkt(spark):
     assert shown[0] == '{"type":"Polygon","coordinates":[[[1.0,2.0],[3.5,-4.0],[1.0,2.0]]]}' and shown[2] is None
 
 
+def test_whole_areas(spark):
+    """Holes, several polygons, heights, measures, empty parts; and texts that cannot be read."""
+    rows = [
+        ("POLYGON ((0 0, 4 0, 4 4, 0 0), (1 1, 2 1, 2 2, 1 1))", '{"type":"Polygon","coordinates":[[[0.0,0.0],[4.0,0.0],[4.0,4.0],[0.0,0.0]],[[1.0,1.0],[2.0,1.0],[2.0,2.0],[1.0,1.0]]]}', None),
+        ("MultiPolygon(((0 0,1 0,1 1,0 0)),((5 5,6 5,6 6,5 5),(5.5 5.1,5.6 5.1,5.6 5.2,5.5 5.1)))", '{"type":"MultiPolygon","coordinates":[[[[0.0,0.0],[1.0,0.0],[1.0,1.0],[0.0,0.0]]],[[[5.0,5.0],[6.0,5.0],[6.0,6.0],[5.0,5.0]],[[5.5,5.1],[5.6,5.1],[5.6,5.2],[5.5,5.1]]]]}', None),
+        ("POLYGON Z ((0 0 7, 1 0 8.5, 1 1 -9, 0 0 7))", '{"type":"Polygon","coordinates":[[[0.0,0.0,7.0],[1.0,0.0,8.5],[1.0,1.0,-9.0],[0.0,0.0,7.0]]]}', None),
+        (" SRID=4326; POLYGONZM((0 0 7 1, 1 0 8 2, 1 1 9 3, 0 0 7 1))", '{"type":"Polygon","coordinates":[[[0.0,0.0,7.0],[1.0,0.0,8.0],[1.0,1.0,9.0],[0.0,0.0,7.0]]]}', None),
+        ("POLYGON M ((0 0 7, +1 .5 8, 1e0 -1.5E0 9, 0 0 7))", '{"type":"Polygon","coordinates":[[[0.0,0.0],[1.0,0.5],[1.0,-1.5],[0.0,0.0]]]}', None),
+        ("POLYGON EMPTY", '{"type":"Polygon","coordinates":[]}', None),
+        ("MULTIPOLYGON EMPTY", '{"type":"MultiPolygon","coordinates":[]}', None),
+        ("MULTIPOLYGON (EMPTY, ((0 0, 1 0, 1 1, 0 0)))", '{"type":"MultiPolygon","coordinates":[[[[0.0,0.0],[1.0,0.0],[1.0,1.0],[0.0,0.0]]]]}', None),
+        (None, None, None),
+        ("POLYGON ((0 0, 1 0, 1 1, 0 0)", None, "brackets"),
+        ("POLYGON ((0 0, 1 0, 1 1, 0 0)))", None, "brackets"),
+        ("POLYGON ((0 0, 1 0, 1 1, 0 0)) and more", None, "brackets"),
+        ("POLYGON ((0 0, 1 0, 1 1, 0 0)))) ((", None, "brackets"),
+        ("POLYGON (0 0, 1 0, 1 1, 0 0)", None, "brackets"),
+        ("POLYGON ((0 0, 1 0)), ((2 2, 3 3))", None, "brackets"),
+        ("MULTIPOLYGON ((0 0, 1 0, 1 1, 0 0))", None, "brackets"),
+        ("POLYGON (((0 0, 1 0, 1 1, 0 0)))", None, "number"),
+        ("POLYGON ((0 0, 1 O, 1 1, 0 0))", None, "number"),
+        ("POLYGON ((0, 1 0, 1 1, 0 0))", None, "number"),
+        ("POLYGON ((0 0 1 2 3, 1 0, 1 1, 0 0))", None, "number"),
+        ("POLYGON ((0 0 NaN, 1 0 1, 1 1 1, 0 0 1))", None, "number"),
+        ("LINESTRING (0 0, 1 1)", None, "type"),
+        ("GEOMETRYCOLLECTION (POLYGON ((0 0, 1 0, 1 1, 0 0)))", None, "type"),
+        ("", None, "type"),
+    ]
+    given = [(w,) for w, _, _ in rows]
+    assert column(spark, given, "w string", geo.wkt_geojson(F.col("w"))) == [g for _, g, _ in rows]
+    problems = column(spark, given, "w string", geo.wkt_problem(F.col("w")))
+    assert [p is not None for p in problems] == [p is not None for _, _, p in rows]
+    assert [p for p, (_, _, want) in zip(problems, rows) if want == "type"] == ["type"] * 3
+    points = column(spark, given[2:3], "w string", geo.wkt_polygons(F.col("w")))[0]
+    assert [(p.lon, p.lat, p.alt) for p in points[0][0]] == [(0.0, 0.0, 7.0), (1.0, 0.0, 8.5), (1.0, 1.0, -9.0), (0.0, 0.0, 7.0)]
+
+
 def test_array_overlap_with_nulls(spark):
     rows = [([1, 2], [2]), ([], [2]), ([None, 1], [2, None]), ([1], [2]), (None, [1]), ([None, 5], [5])]
     got = column(spark, rows, "a array<bigint>, b array<bigint>", geo.shares_element(F.col("a"), F.col("b")))

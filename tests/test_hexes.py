@@ -2,6 +2,8 @@ import datetime as dt
 import math
 import random
 
+from pyspark.sql import functions as F
+
 from orderloom.operators import hexes
 from orderloom.schemas import SCHEMAS
 from tests.test_orders import T, fact, facts
@@ -114,6 +116,40 @@ def test_coverage_across_the_180th_meridian(spark):
     assert hexes.covered_pairs(cells, stores).count() == 1
 
 
+def test_coverage_over_the_poles_and_any_circle(spark):
+    """Circles from nothing to the whole globe, crowded at both poles and along the 180th meridian."""
+    rng = random.Random(11)
+
+    def place():
+        kind = rng.randrange(4)
+        if kind == 0:
+            return rng.choice([-1, 1]) * (90 - rng.random() ** 3), rng.uniform(-180, 180)
+        if kind == 1:
+            return rng.uniform(-90, 90), rng.choice([-1, 1]) * (180 - rng.random() ** 3)
+        return math.degrees(math.asin(rng.uniform(-1, 1))), rng.uniform(-180, 180)
+
+    cells = [(f"h{i}", *place()) for i in range(400)] + [("n", 90.0, 0.0), ("n2", 90.0, 77.0), ("s", -90.0, -180.0), ("e", 0.0, 180.0), ("w", 0.0, -180.0)]
+    circles = [(i, *(rng.choice(cells)[1:] if i % 3 else place()), rng.choice([0.0, 1.0, 30.0, 3e3, 5e4, 6e5, 4e6, 1.2e7, 2.01e7, 5e7])) for i in range(150)]
+    circles += [(900, 89.99, 90.0, 5000.0), (901, 90.0, 12.0, 0.0), (902, 0.0, 180.0, 10.0), (903, 1.0, 1.0, -5.0)]
+    cells.append(("x", 89.995, -90.0))
+    hexagons = spark.createDataFrame([(*c, 1) for c in cells], "h8_hexagon string, h3_8_lat double, h3_8_lon double, sessions long").repartition(3)
+    stores = spark.createDataFrame(circles, "store_address_id int, h3_8_lat double, h3_8_lon double, radius_m double")
+    got = {r.store_address_id: r.n_hexagons for r in hexes.store_coverage(hexagons, stores).collect()}
+    # Points within a billionth of the limit may fall on either side.
+    for i, lat, lon, radius in circles:
+        away = [haversine(lat, lon, c[1], c[2]) for c in cells]
+        assert sum(d <= radius * (1 - 1e-9) - 1e-6 for d in away) <= got[i] <= sum(d <= radius * (1 + 1e-9) + 1e-6 for d in away)
+    assert got[900] >= 1 and {r.n_stores for r in hexes.hexagon_coverage(hexagons.filter("h8_hexagon = 'x'"), stores.filter("store_address_id = 900")).collect()} == {1}
+    reach = hexes._circles(stores).groupBy("lat", "lon", "radius_m").count()
+    assert reach.agg(F.max("count")).first()[0] <= 8
+
+
+def test_unreadable_areas_are_told(spark):
+    rows = [("a", "POLYGON ((0 0, 1 0, 1 1, 0 0))"), ("b", "POLYGON ((0 0, 1 0"), ("c", None), ("d", "POINT (1 2)"), ("e", "POLYGON ((0 x, 1 0))")]
+    cells = spark.createDataFrame(rows, "h8_hexagon string, h3_geom string")
+    assert {(r.h8_hexagon, r.problem) for r in hexes.unreadable_areas(cells).collect()} == {("b", "brackets"), ("d", "type"), ("e", "number")}
+
+
 def test_demand_reads_only_around_its_window(spark):
     old = dt.date(2019, 1, 5)
     cells, sessions, events, orders = sample(spark)
@@ -131,7 +167,7 @@ def test_dense_tile_is_shared_out(spark):
     pairs = hexes.covered_pairs(cells, stores)
     assert pairs.count() == 200
     circles = hexes._circles(stores)
-    assert circles.select("tile_row", "tile_col", "level").distinct().count() < circles.count()
+    assert circles.select(*hexes.CELL, "level").distinct().count() < circles.count()
 
 
 def test_feed_of_a_partner(spark):

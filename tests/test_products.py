@@ -1,8 +1,9 @@
 import datetime as dt
+import random
 
 import pytest
 
-from orderloom.operators import catalogue, drinks
+from orderloom.operators import catalogue, drinks, rules
 from orderloom.operators.orders import spread_key
 from orderloom.schemas import SCHEMAS
 from tests.test_orders import AS_OF, T, fact, facts
@@ -38,6 +39,74 @@ def test_rule_order_by_country(spark):
     assert got[10] == ("Плов", None, False)
 
 
+def by_steps(name, category, steps, target):
+    """One row through ordered steps ``(words, category, rename)``, plainly; and its changes to ``target``."""
+    base = now = category.strip().lower() if category is not None else None
+    changes = 0
+    for words, new, rename in steps:
+        if name is not None and any(w and w.lower() in name.lower() for w in words):
+            changes += new == target and now != target
+            now = new if new is not None else now
+            name = rename if rename is not None else name
+    return name, now, now != base, changes
+
+
+def test_rules_of_a_table(spark):
+    """Ten thousand words; new texts that later steps look at, in chains; words of one letter; nulls."""
+    random.seed(1)
+    letters = "abcdeкола "
+    table, plain = [], {}
+    for country in ("A", "B"):
+        plain[country] = []
+        for step in range(12):
+            words = list({"".join(random.choices(letters, k=random.choice([1, 2, 3, 5, 8, 9]) if n < 3 else 7)) for n in range(420)})
+            rename = random.choice([None, "Abc кол", "dead end", "кола"]) if step % 2 else None
+            new = random.choice(["drink", "other", None]) if rename else random.choice(["drink", "other"])
+            # Short words in few steps only, or they match everywhere.
+            words = [w.upper() if len(w) == 5 else w for w in words if len(w) > 2 or step in (3, 8)]
+            plain[country].append((words, new, rename))
+            table += [(country, step, w, new, rename) for w in words]
+    table += [("A", 0, "", plain["A"][0][1], None), ("A", 0, None, plain["A"][0][1], None), (None, 1, "a", "drink", None), ("A", 0, plain["A"][0][0][0], plain["A"][0][1], None)]
+    assert len(table) > 10_000
+    rows = []
+    for i in range(600):
+        name = "".join(random.choices(letters + "ABxyz", k=random.randint(0, 30)))
+        rows.append((random.choice("ABC"), i, random.choice([name, name, "Abc", None]), random.choice([" Drink", "other", None])))
+    df = products(spark, rows).repartition(3)
+    ruled = spark.createDataFrame(table, rules.RULE_SCHEMA)
+    got = {r.product_id: (r.product_name, r.predicted_category, r.relabelled) for r in catalogue.apply_rules(df, ruled).collect()}
+    want = {i: by_steps(name, category, plain.get(country, []), "other") for country, i, name, category in rows}
+    assert got == {i: w[:3] for i, w in want.items()}
+    assert {w[0] for w in want.values()} & {"Abc кол", "dead end", "кола"}
+    changes = {r.order_country_code: r.changes for r in catalogue.rule_change_counts(df, ruled).collect()}
+    assert changes == {c: sum(want[i][3] for country, i, _, _ in rows if country == c) for c in "ABC"}
+
+
+def test_new_texts_follow_one_another(spark):
+    steps = [(("x",), None, "yy"), (("Y",), "other", "zz"), (("x", "q"), "drink", "never"), (("z",), "drink", None), (("z",), "other", "ww"), (("w",), "drink", "w2"), (("v",), "other", None)]
+    ruled = spark.createDataFrame([("A", i, w, new, text) for i, (words, new, text) in enumerate(steps) for w in words], rules.RULE_SCHEMA)
+    rows = [("A", i, name, "other") for i, name in enumerate(["ax", "ay", "aq", "az", "av", "none", None])]
+    got = {r.product_id: (r.product_name, r.predicted_category, r.relabelled) for r in catalogue.apply_rules(products(spark, rows), ruled).collect()}
+    assert got == {i: by_steps(name, category, steps, "other")[:3] for _, i, name, category in rows} and got[0][0] == "w2"
+
+
+def test_plan_of_a_rule_table_does_not_grow_with_its_words(spark):
+    def size(words):
+        ruled = spark.createDataFrame([("A", 0, f"word{i}", "drink", None) for i in range(words)], rules.RULE_SCHEMA)
+        out = catalogue.apply_rules(products(spark, [("A", 1, "a word7 b", None)]), ruled)
+        assert out.first().predicted_category == "drink"
+        return len(out._jdf.queryExecution().optimizedPlan().toString().split("\n"))
+
+    assert size(10) == size(3000)
+
+
+def test_empty_rule_table(spark):
+    df = products(spark, [("A", 1, "cola", " Drink"), (None, 2, None, None)])
+    for ruled in (spark.createDataFrame([], rules.RULE_SCHEMA), rules.rule_table(spark, {"A": (catalogue.Rule(("",), "other"),)})):
+        got = {tuple(r) for r in catalogue.apply_rules(df, ruled).select("product_id", "product_name", "predicted_category", "relabelled").collect()}
+        assert got == {(1, "cola", "drink", False), (2, None, None, False)}
+
+
 def test_change_counts(spark):
     rows = [("KZ", 1, "Кола и фри", "other"), ("KZ", 2, "фри", None), ("KZ", 3, "соус", "drink"), ("PL", 4, "Sok i lody", "other"), ("PL", 5, "cola lody", "drink")]
     got = {r.order_country_code: r.changes for r in catalogue.rule_change_counts(products(spark, rows)).collect()}
