@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from checks.logical_sql import AS_OF as AS_OF_SQL
 from checks.logical_sql import contains_any, normalised
 from checks.registry import query, rounded
-from orderloom.operators import buckets, catalogue, drinks, features, hexes, models, orders, profile, rules
+from orderloom.functions.dates import days_back, last_year_start
+from orderloom.operators import buckets, catalogue, daily, drinks, features, hexes, models, orders, profile, rules, vectors
 from orderloom.plans import reports
 from orderloom.session import materialise, shared_path
 from orderloom.sources import sinks, tables
@@ -47,6 +48,39 @@ def customer_value(tb: Testbed) -> DataFrame:
     return out.withColumn("active_months", F.col("active_months").cast("long"))
 
 
+@query(f"SELECT {PANEL_COLUMNS} FROM customer_panel", ["customer_panel"])
+def customer_value_daily(tb: Testbed) -> DataFrame:
+    """The value panel from kept days: the history once, then the last day alone."""
+    path = shared_path(tb.spark, "days")
+    facts, pnl = tb.order_facts(stores=False), tb.order_pnl()
+    yesterday = days_back(AS_OF, 1)
+    daily.refresh_days(path, facts, pnl, last_year_start(AS_OF), yesterday, COUNTRIES)
+    daily.refresh_days(path, facts, pnl, AS_OF, AS_OF, COUNTRIES)
+    kept = daily.read_days(tb.spark, path)
+    out = daily.customer_value_of_days(kept, tb.customer_ltv(), tb.customer_lto(), AS_OF)
+    out = rounded(out, {c: 6 for c in ("plto_1y", "plto_3y", "plto_5y", "aov", "contribution_margin_eur", "rpo", "cpo")})
+    return out.withColumn("active_months", F.col("active_months").cast("long"))
+
+
+@query(
+    """SELECT order_country_code, count(DISTINCT customer_id) AS customers, count(DISTINCT customer_id) FILTER (WHERE order_is_prime) AS prime,
+        count(DISTINCT customer_id) FILTER (WHERE order_vertical = 'QCommerce') AS qcommerce,
+        count(DISTINCT customer_id) FILTER (WHERE order_final_status <> 'DeliveredStatus') AS cancelled FROM order_facts GROUP BY 1""",
+    ["order_facts"],
+)
+def distinct_customers(tb: Testbed) -> DataFrame:
+    """Distinct customers under four conditions, from bitmaps of each city and quarter that are then united."""
+    tests = {
+        "customers": F.lit(True),
+        "prime": F.col("order_is_prime"),
+        "qcommerce": F.col("order_vertical") == "QCommerce",
+        "cancelled": F.col("order_final_status") != "DeliveredStatus",
+    }
+    rows = tb.order_facts(stores=False).withColumn("quarter", F.date_trunc("quarter", "order_activated_local_at"))
+    parts = materialise(daily.distinct_bitmaps(rows, ["order_country_code", "order_city_code", "quarter"], "customer_id", tests))
+    return daily.bitmap_counts(parts, ["order_country_code"], tests)
+
+
 FENCES_SQL = """SELECT country, count(aov) AS n, quantile_cont(aov, 0.25) AS q1, quantile_cont(aov, 0.75) AS q3
         FROM customer_panel GROUP BY 1"""
 
@@ -980,6 +1014,60 @@ def vector_classifier(tb: Testbed) -> DataFrame:
     return cells.groupBy("label").agg(F.sum("n").alias("support"))
 
 
+BITS = "('0x' || substr(md5(near), 1, 16))::UBIGINT"
+
+
+@query(
+    f"""WITH t AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM benchmark),
+    p AS (SELECT item_id, i, w[i] AS word, w FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM t)),
+    q AS (SELECT word, w[i + d] AS near FROM p, (VALUES (-5), (-4), (-3), (-2), (-1), (1), (2), (3), (4), (5)) v(d) WHERE i + d BETWEEN 1 AND len(w)),
+    c AS (SELECT word, near, count(*) AS n FROM q GROUP BY 1, 2), m AS (SELECT word, sum(n) AS total FROM c GROUP BY 1 HAVING sum(n) >= 2),
+    k AS (SELECT c.word, a.total, near, greatest(ln(n * (SELECT sum(total) FROM m)::DOUBLE / (a.total * b.total::DOUBLE)), 0) AS weight
+        FROM c JOIN m a ON a.word = c.word JOIN m b ON b.word = near),
+    v AS (SELECT word, total, i, sum(CASE WHEN ({BITS} >> i) & 1 = 1 THEN weight ELSE -weight END) AS x
+        FROM k, range(64) r(i) GROUP BY 1, 2, 3),
+    u AS (SELECT word, i, CASE WHEN sqrt(sum(x * x) OVER (PARTITION BY word)) > 0 THEN x / sqrt(sum(x * x) OVER (PARTITION BY word)) ELSE x END AS x FROM v),
+    s AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS word FROM documents WHERE text IS NOT NULL),
+    f AS (SELECT doc_id, word, count(*) AS times FROM s GROUP BY 1, 2),
+    e AS (SELECT doc_id, sum(times) FILTER (WHERE i = 0) AS known, sum(times * x) FILTER (WHERE i = 0) / sum(times) FILTER (WHERE i = 0) AS first,
+        sum(times * x) FILTER (WHERE i = 63) / sum(times) FILTER (WHERE i = 0) AS last
+        FROM f JOIN (SELECT word, i, x FROM u WHERE i IN (0, 63)) USING (word) GROUP BY 1)
+    SELECT doc_id, CAST(coalesce(known, 0) AS BIGINT) AS known_words, known IS NULL AS zero, round(coalesce(first, 0), 6) AS first,
+        round(coalesce(last, 0), 6) AS last FROM documents LEFT JOIN e USING (doc_id) WHERE text IS NOT NULL""",
+)
+def mean_word_vectors(tb: Testbed) -> DataFrame:
+    """Vectors learnt from one table's words, averaged over the whole texts of another."""
+    learnt = vectors.word_vectors(tb.raw("benchmark"), "text")
+    means = vectors.mean_vectors(tb.raw("documents").select("doc_id", "text"), learnt, "text")
+    v = vector_to_array("features")
+    shown = means.select("doc_id", "known_words", (F.aggregate(v, F.lit(0.0), lambda a, x: a + F.abs(x)) == 0).alias("zero"), v[0].alias("first"), v[63].alias("last"))
+    return rounded(shown)
+
+
+SEPARATE = """(SELECT id, ['A', 'B', 'C'][id % 3 + 1] AS order_country_code,
+        CASE flag WHEN 'R' THEN 'drink' WHEN 'A' THEN 'food' ELSE 'other' END AS category
+    FROM (SELECT l_orderkey * 10 + l_linenumber AS id, min(l_returnflag) AS flag FROM lineitem GROUP BY 1))"""
+
+
+@query(
+    f"""SELECT id, order_country_code, category AS "Category", category AS predicted_category
+    FROM ({held_out(SEPARATE, "order_country_code", 0.2, "id")})"""
+)
+def separable_categories(tb: Testbed) -> DataFrame:
+    """Models on word vectors over names that tell the category: every held-out product gets its own."""
+    lines = tb.raw("lineitem").groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id")).agg(F.min("l_returnflag").alias("flag"))
+    category = F.when(F.col("flag") == "R", "drink").when(F.col("flag") == "A", "food").otherwise("other")
+    said = F.when(category == "drink", "cola juice water").when(category == "food", "bread cheese rice").otherwise("soap paper brush")
+    place = (F.col("id") % 3 + 1).cast("int")
+    train = lines.select(
+        "id", F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("C")), place).alias("order_country_code"),
+        F.concat(F.lit("pack "), F.element_at(F.split(said, " "), place), F.lit(" "), said).alias("product_name"), category.alias("Category"),
+    )
+    train = materialise(train)
+    _, tested = models.fit_by_country(train, "id", trees=10, vectors=vectors.word_vectors(train))
+    return tested.select("id", "order_country_code", "Category", "predicted_category")
+
+
 @query("SELECT doc_id, true AS same FROM documents WHERE text IS NOT NULL")
 def model_round_trip(tb: Testbed) -> DataFrame:
     """Whether a category model says the same of every document after it was saved and loaded."""
@@ -1009,8 +1097,8 @@ def csv_round_trip(tb: Testbed) -> DataFrame:
 def report_overwrite(tb: Testbed) -> DataFrame:
     root = shared_path(tb.spark, "reports")
     sinks.publish(tb.raw("nation"), root, "partners")
-    best = orders.top_partners(tb.order_facts(), AS_OF, 90, PARTNERS_SHOWN, COUNTRIES)
-    return tables.read_folder(tb.spark, sinks.publish(best, root, "partners"))
+    sinks.publish(orders.top_partners(tb.order_facts(), AS_OF, 90, PARTNERS_SHOWN, COUNTRIES), root, "partners")
+    return sinks.read_report(tb.spark, root, "partners")
 
 
 FEATURES_SQL = f"""SELECT metric, h3_8_hash AS h8_hexagon, {GEOMETRY} AS geometry FROM (
@@ -1023,7 +1111,7 @@ def map_feed_sink(tb: Testbed) -> DataFrame:
     metrics = ("orders", "sessions")
     path = shared_path(tb.spark, "feeds")
     sinks.write_feed(reports.hexagon_feeds(reports.hexagon_priorities(city_demand(tb), metrics), metrics), path)
-    written = tables.read_folder(tb.spark, path)
+    written = sinks.read_report(tb.spark, path, "feed")
     return written.select(F.col("metric").cast("string").alias("metric"), "h8_hexagon", "geometry")
 
 
@@ -1037,8 +1125,8 @@ def partner_feed_sink(tb: Testbed) -> DataFrame:
         tb.hexagons(), tb.sessions(), tb.checkout_events(), tb.order_facts(), FED_PARTNERS,
         SESSION_START, SESSION_END, ("orders", "sessions"), COUNTRIES, CITIES,
     )
-    sinks.write_feed(feeds, path, by="partner")
-    written = tables.read_folder(tb.spark, path)
+    sinks.write_feed(feeds, path, "partners", by="partner")
+    written = sinks.read_report(tb.spark, path, "partners")
     return written.select(F.col("partner").cast("string").alias("partner"), "metric", "h8_hexagon", "geometry")
 
 

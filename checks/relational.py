@@ -12,6 +12,7 @@ from checks.logical_sql import contains_any, normalised
 from checks.registry import query, rounded
 from orderloom.functions import dates, geo, numbers, text
 from orderloom.operators import buckets, catalogue, drinks, hexes, orders, profile, ranks
+from orderloom.session import shared_path
 from orderloom.sources import tables
 from checks.testbed import AS_OF, COUNTRIES, PARTNER, SESSION_END, SESSION_START, Testbed
 
@@ -448,17 +449,59 @@ def array_overlap(tb: Testbed) -> DataFrame:
     ["product_availability", "order_facts"],
 )
 def semi_snapshot(tb: Testbed) -> DataFrame:
-    days = (
-        tb.order_facts(stores=False)
-        .filter(F.col("order_is_prime") & (F.col("order_final_status") == "DeliveredStatus"))
-        .select(F.to_date(TIME).alias("p_snapshot_date"))
-        .distinct()
+    """Snapshots in a folder per day; the days of prime orders choose the folders."""
+    path = shared_path(tb.spark, "snapshots")
+    tables.write_snapshots(tb.product_availability(), path)
+    prime = tb.order_facts(stores=False).filter(F.col("order_is_prime") & (F.col("order_final_status") == "DeliveredStatus"))
+    kept = tables.on_days_of(tables.read_folder(tb.spark, path), prime, F.col(TIME), dt.date(2030, 1, 1))
+    return kept.filter("product_is_available").select("store_address_id", "product_id", "p_snapshot_date")
+
+
+BROKEN = """SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN c_custkey || ',x' || c_nationkey || ',1.5'
+        WHEN c_custkey % 11 = 0 THEN c_custkey || ',1' WHEN c_custkey % 13 = 0 THEN c_custkey || ',1,2.5,more'
+        ELSE c_custkey || ',' || c_nationkey || ',' || c_custkey || '.25' END AS line FROM customer"""
+BROKEN_SCHEMA = "k bigint, n int, v double"
+
+
+def broken_csv(tb: Testbed) -> str:
+    path = shared_path(tb.spark, "csv")
+    key = F.col("c_custkey")
+    line = (
+        F.when(key % 7 == 0, F.concat(key, F.lit(",x"), "c_nationkey", F.lit(",1.5")))
+        .when(key % 11 == 0, F.concat(key, F.lit(",1")))
+        .when(key % 13 == 0, F.concat(key, F.lit(",1,2.5,more")))
+        .otherwise(F.concat(key, F.lit(","), "c_nationkey", F.lit(","), key, F.lit(".25")))
     )
-    return (
-        tb.product_availability()
-        .filter("product_is_available")
-        .join(days, "p_snapshot_date", "left_semi")
-        .select("store_address_id", "product_id", "p_snapshot_date")
+    tb.raw("customer").select(line.alias("line")).write.text(path)
+    return path
+
+
+@query(
+    """SELECT c_custkey AS k, c_nationkey AS n, c_custkey + 0.25::DOUBLE AS v FROM customer
+    WHERE c_custkey % 7 <> 0 AND c_custkey % 11 <> 0 AND c_custkey % 13 <> 0"""
+)
+def csv_good_rows(tb: Testbed) -> DataFrame:
+    return tables.split_csv(tb.spark, broken_csv(tb), BROKEN_SCHEMA, header=False)[0]
+
+
+@query(f"SELECT line FROM ({BROKEN}) WHERE c_custkey % 7 = 0 OR c_custkey % 11 = 0 OR c_custkey % 13 = 0")
+def csv_bad_lines(tb: Testbed) -> DataFrame:
+    return tables.split_csv(tb.spark, broken_csv(tb), BROKEN_SCHEMA, header=False)[1].select("line")
+
+
+ASKED = """SELECT order_country_code, count(*) AS n, round(sum(order_transacted_value_local), 2) AS value FROM {facts}
+    WHERE order_activated_local_at >= {since} AND {listed} AND order_final_status <> {status} GROUP BY 1"""
+
+
+@query(
+    ASKED.format(facts="order_facts", since="DATE '1996-03-01'", listed="order_country_code IN ('ASIA', 'EUROPE')", status="'it''s done'"),
+    ["order_facts"],
+)
+def sql_parameters(tb: Testbed) -> DataFrame:
+    """A date, a list and a text with a quote, given as parameters."""
+    asked = ASKED.format(facts="{facts}", since=":since", listed="array_contains(:listed, order_country_code)", status=":status")
+    return tables.query_sql(
+        tb.spark, asked, {"facts": tb.order_facts(stores=False)}, since=dt.date(1996, 3, 1), listed=["ASIA", "EUROPE"], status="it's done"
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -24,10 +25,13 @@ from pyspark.sql import types as T
 from orderloom.functions.numbers import ratio_or_zero
 from orderloom.functions.text import canonical_category, sql_text
 from orderloom.operators.features import stratified_split
+from orderloom.operators.vectors import mean_vectors
 from orderloom.session import materialise
 from orderloom.sources.tables import stack
 
 SEED = 42
+#: Models that are fitted at once.
+CONCURRENT = 4
 
 
 def class_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
@@ -161,13 +165,23 @@ def valid_vectors(df: DataFrame, column: str) -> DataFrame:
     return df.filter(F.col(column).isNotNull() & ~F.exists(column, lambda x: F.isnan(x)))
 
 
-def _category_pipeline(train: DataFrame, label: str, trees: int, depth: int, seed: int) -> Pipeline:
-    index = StringIndexer(inputCol=label, outputCol="label_index", stringOrderType="alphabetAsc").fit(train)
+def _category_model(
+    learn: DataFrame, label: str, stages: Sequence, learners: Sequence, trees: int, depth: int, seed: int
+) -> PipelineModel:
+    """A forest on rows that went through ``stages`` already, as one model from the names on."""
+    index = StringIndexer(inputCol=label, outputCol="label_index", stringOrderType="alphabetAsc").fit(learn)
     forest = RandomForestClassifier(
         featuresCol="features", labelCol="label_index", numTrees=trees, maxDepth=depth, seed=seed
     )
     back = IndexToString(inputCol="prediction", outputCol="predicted_category", labels=index.labels)
-    return Pipeline(stages=[*text_stages(), index, forest, back])
+    fitted = Pipeline(stages=[*learners, index, forest, back]).fit(learn)
+    return PipelineModel(stages=[*stages, *fitted.stages])
+
+
+def _at_once(tasks: Sequence[Callable], threads: int = CONCURRENT) -> list:
+    """Results of functions that each start Spark jobs, a few at a time; the first failure is raised."""
+    with ThreadPoolExecutor(max_workers=max(1, min(threads, len(tasks)))) as pool:
+        return list(pool.map(lambda task: task(), tasks))
 
 
 def _country_folders(df: DataFrame) -> DataFrame:
@@ -186,37 +200,47 @@ def fit_by_country(
     depth: int = 5,
     test_fraction: float = 0.2,
     seed: int = SEED,
+    vectors: DataFrame | None = None,
 ) -> tuple[dict[str, PipelineModel], DataFrame]:
     """One category model per country, and the held-out rows with their predictions.
 
-    The loop runs over the few countries; each fit is a distributed job. Rows without a
-    name or category are dropped first.
+    Names are turned into n-gram counts once for all countries (rarity is weighed per country), or, with
+    ``vectors`` from ``word_vectors``, into mean word vectors. The fits of the few countries run at
+    once, each a distributed job. Rows without a name or category are dropped first.
     """
     clean = train.dropna(subset=["order_country_code", "product_name", "Category"])
-    parts = _country_folders(stratified_split(clean, "order_country_code", identity, test_fraction, seed))
-    learn_rows = parts.filter(~F.col("is_test"))
+    parts = stratified_split(clean, "order_country_code", identity, test_fraction, seed)
+    *stages, rarity = text_stages()
+    if vectors is None:
+        ready, learners = PipelineModel(stages=stages).transform(parts).drop("_letters", "_grams"), [rarity]
+    else:
+        ready, stages, learners = mean_vectors(parts, vectors), [], []
+    ready = _country_folders(ready)
+    learn_rows = ready.filter(~F.col("is_test"))
     levels = {
         r["order_country_code"]: (r.n, r.one)
         for r in learn_rows.groupBy("order_country_code")
         .agg(F.countDistinct("Category").alias("n"), F.min("Category").alias("one"))
         .collect()
     }
-    models, tested = {}, []
-    for country, (n, only) in sorted(levels.items()):
-        own = _in_country(country)
-        learn = learn_rows.filter(own)
+
+    def fit(country: str) -> PipelineModel:
+        n, only = levels[country]
+        learn = learn_rows.filter(_in_country(country))
         if n == 1:
-            pipeline = Pipeline(stages=[constant_category(only)])
-        else:
-            pipeline = _category_pipeline(learn, "Category", trees, depth, seed)
-        models[country] = pipeline.fit(learn)
+            return Pipeline(stages=[constant_category(only)]).fit(learn)
+        return _category_model(learn, "Category", stages, learners, trees, depth, seed)
+
+    countries = sorted(levels)
+    fitted = _at_once([lambda c=c: fit(c) for c in countries])
+    models = dict(zip(countries, fitted, strict=True))
+    tested = []
+    done = {"_letters", "_grams", "_tf"} & set(ready.columns)
+    for country, model in models.items():
         # Renamed, so that a category unseen in training is still a row to predict.
-        asked = parts.filter(own & F.col("is_test")).withColumnRenamed("Category", "_actual")
-        tested.append(
-            models[country]
-            .transform(asked)
-            .select(identity, "order_country_code", F.col("_actual").alias("Category"), "predicted_category")
-        )
+        asked = ready.filter(_in_country(country) & F.col("is_test")).withColumnRenamed("Category", "_actual")
+        own = PipelineModel(stages=model.stages[len(stages) :]) if done and levels[country][0] > 1 else model
+        tested.append(own.transform(asked).select(identity, "order_country_code", F.col("_actual").alias("Category"), "predicted_category"))
     return models, stack(*tested)
 
 
@@ -225,9 +249,13 @@ def constant_category(category: str) -> SQLTransformer:
     return SQLTransformer(statement=f"SELECT *, {sql_text(category)} AS predicted_category FROM __THIS__")
 
 
-def predict_by_country(products: DataFrame, models: dict[str, PipelineModel]) -> DataFrame:
-    """Predicted category of named products; countries without a model give no rows."""
-    named = _country_folders(products.dropna(subset=["product_name"]).filter(F.col("order_country_code").isin(list(models))))
+def predict_by_country(products: DataFrame, models: dict[str, PipelineModel], vectors: DataFrame | None = None) -> DataFrame:
+    """Predicted category of named products; countries without a model give no rows.
+
+    Models that were fitted on word vectors need the same ``vectors``.
+    """
+    named = products.dropna(subset=["product_name"]).filter(F.col("order_country_code").isin(list(models)))
+    named = _country_folders(named if vectors is None else mean_vectors(named, vectors))
     parts = []
     for country, model in sorted(models.items()):
         applied = model.transform(named.filter(_in_country(country)))

@@ -85,7 +85,16 @@ def customer_value(
             F.expr("sum(rpo) AS rpo"),
             F.expr("sum(cpo) AS cpo"),
         )
-        .filter(F.col("_from").isNotNull())
+    )
+    return scored_cohort(per_customer, customer_ltv, customer_lto, as_of, keep_unscored)
+
+
+def scored_cohort(
+    per_customer: DataFrame, customer_ltv: DataFrame, customer_lto: DataFrame, as_of: dt.date, keep_unscored: bool = False
+) -> DataFrame:
+    """Customers with a first order in the window, their active months, and the predictions for them."""
+    cohort = (
+        per_customer.filter(F.col("_from").isNotNull())
         .withColumn("active_months", full_months(F.col("_from"), F.col("_to")) + 1)
         .drop("_from", "_to")
     )
@@ -101,7 +110,7 @@ def customer_value(
             F.max("predicted_orders_60mo").alias("plto_5y"),
         )
     )
-    return per_customer.join(lto, "customer_id", "left" if keep_unscored else "inner").join(
+    return cohort.join(lto, "customer_id", "left" if keep_unscored else "inner").join(
         ltv, "customer_id", "left"
     )
 

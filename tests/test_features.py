@@ -1,10 +1,14 @@
+import hashlib
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orderloom.operators import features, models
+from orderloom.operators import features, models, vectors
 from orderloom.plans import reports
 
 
@@ -121,6 +125,53 @@ def test_models_by_country(spark):
     assert {r.predicted_category for r in got} <= {"drink", "other"}
 
 
+def test_word_vectors_find_neighbours(spark):
+    """Words that stand in the same places are near; the rest is not. Everything against plain sums."""
+    rng = random.Random(3)
+    rows = [(f"{rng.choice(['cola', 'fanta', 'sprite'])} drink {rng.choice(['cold', 'ice'])} can",) for _ in range(60)]
+    rows += [(f"{rng.choice(['pizza', 'burger', 'salad'])} hot {rng.choice(['big', 'box'])} Tomato",) for _ in range(60)]
+    rows += [(None,), ("",), ("single",), ("!!",)]
+    df = spark.createDataFrame(rows, "product_name string").repartition(3)
+    found = vectors.word_vectors(df)
+    near = {w: [r.word for r in vectors.nearest_words(found, w, 2).collect()] for w in ("cola", "pizza", "nothing")}
+    assert set(near["cola"]) == {"fanta", "sprite"} and set(near["pizza"]) == {"burger", "salad"} and near["nothing"] == []
+    counts = Counter()
+    for (name,) in rows:
+        said = re.findall(r"\w+", (name or "").lower())
+        counts.update((said[i], said[j]) for i in range(len(said)) for j in range(max(0, i - 5), min(len(said), i + 6)) if i != j)
+    total = Counter()
+    for (w, _), n in counts.items():
+        total[w] += n
+    want = {}
+    for w in total:
+        v = np.zeros(64)
+        for x in total:
+            if counts[w, x]:
+                weight = max(math.log(counts[w, x] * sum(total.values()) / (total[w] * total[x])), 0.0)
+                bits = int(hashlib.md5(x.encode()).hexdigest()[:16], 16)
+                v += weight * np.array([1 if bits >> i & 1 else -1 for i in range(64)])
+        want[w] = v / (np.linalg.norm(v) or 1)
+    got = {r.word: (r.n, r.vector) for r in found.collect()}
+    assert {w: n for w, (n, _) in got.items()} == total
+    assert all(got[w][1] == pytest.approx(want[w].tolist(), abs=1e-9) for w in want)
+    asked = spark.createDataFrame([(1, "Cola cola PIZZA"), (2, "unknown"), (3, ""), (4, None), (5, "Cola cola PIZZA")], "id int, product_name string")
+    means = {r.id: (r.known_words, r.features.toArray().tolist()) for r in vectors.mean_vectors(asked, found).collect()}
+    assert set(means) == {1, 2, 3, 5} and means[2] == means[3] == (0, [0.0] * 64) and means[1] == means[5]
+    assert means[1] == (3, pytest.approx(((2 * want["cola"] + want["pizza"]) / 3).tolist(), abs=1e-9))
+
+
+def test_models_on_word_vectors(spark):
+    """Names of one category share no word with those of the other."""
+    train = training(spark).withColumn("product_name", F.regexp_replace("product_name", " [0-9]", ""))
+    found = vectors.word_vectors(train)
+    fitted, tested = models.fit_by_country(train, "id", trees=10, vectors=found)
+    rows = tested.collect()
+    assert len(rows) == 12 and all(r.Category == r.predicted_category for r in rows)
+    ask = spark.createDataFrame([("A", "cola light"), ("C", "cola"), ("B", None), ("B", "pizza big")], "order_country_code string, product_name string")
+    got = {(r.order_country_code, r.product_name): r.predicted_category for r in models.predict_by_country(ask, fitted, found).collect()}
+    assert got == {("A", "cola light"): "drink", ("B", "pizza big"): "other"}
+
+
 def test_country_with_one_category(spark):
     rows = [(i, "A", f"cola {i}", "drink") for i in range(10)]
     df = spark.createDataFrame(rows, "id int, order_country_code string, product_name string, Category string")
