@@ -8,15 +8,17 @@ into a bucket is skipped when it comes up.
 The result equals the tiktoken library's: each match of the pattern is encoded by itself, the pair with
 the lowest rank is merged first, the leftmost of equals before the others. A null or empty text has no
 tokens. Every document is encoded for itself, so repeated rows and other columns play no part.
+
+A worker remembers recent pre-tokens with their ids written out and the bytes decoded from them, so a text
+joins pre-tokens and not tokens. Both the number of them and their length are bounded.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from heapq import heappop, heappush
-from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -24,8 +26,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from orderloom.llm.store import text_batches
 
-#: Pre-tokens remembered by a Python worker in each of two generations.
-REMEMBERED = 400_000
+#: Pre-tokens remembered by a Python worker in each of two generations, and the letters each may have.
+REMEMBERED = 200_000
+_LONGEST = 64
 #: Ranks are marked in groups of 2**_GROUP.
 _GROUP = 8
 _LAST = (1 << _GROUP) - 1
@@ -61,8 +64,9 @@ class Encoder:
         self.split = regex.compile(pattern).findall
         self.buckets: list[list[int]] = [[] for _ in tokens]
         self.low = [0] * ((len(tokens) >> _GROUP) + 1)
-        self.young: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        # Pre-token: its number of tokens, their ids joined by commas after a comma, their bytes.
+        self.young: dict[str, tuple[int, str, bytes]] = {}
+        self.old: dict[str, tuple[int, str, bytes]] = {}
 
     def merge(self, data: bytes) -> tuple[int, ...]:
         """The tokens of one pre-token."""
@@ -75,7 +79,8 @@ class Encoder:
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         ranks = [-1] * n  # of the pair that begins here
-        high = 0
+        high = live = 0  # live: positions with a pair to merge; all other entries are stale
+        filled = []
         left = ids[0]
         for i in range(n - 1):
             right = ids[i + 1]
@@ -83,12 +88,14 @@ class Encoder:
             left = right
             if r is not None:
                 ranks[i] = r
+                live += 1
                 bucket = buckets[r]
                 if not bucket:
+                    filled.append(r)
                     low[r >> _GROUP] |= 1 << (r & _LAST)
                     high |= 1 << (r >> _GROUP)
                 bucket.append(i)  # in order, so the list is a heap
-        while high:
+        while live:
             group = (high & -high).bit_length() - 1
             bits = low[group]
             r = (group << _GROUP) + (bits & -bits).bit_length() - 1
@@ -106,6 +113,7 @@ class Encoder:
             j = after[i]
             k = after[j]
             ids[i] = r
+            live -= 1 if ranks[j] < 0 else 2
             ids[j] = ranks[j] = ranks[i] = -1
             after[i] = k
             if k < n:
@@ -113,8 +121,10 @@ class Encoder:
                 s = find(r << shift | ids[k])
                 if s is not None:
                     ranks[i] = s
+                    live += 1
                     bucket = buckets[s]
                     if not bucket:
+                        filled.append(s)
                         low[s >> _GROUP] |= 1 << (s & _LAST)
                         high |= 1 << (s >> _GROUP)
                         bucket.append(i)
@@ -124,40 +134,53 @@ class Encoder:
             if h >= 0:
                 s = find(ids[h] << shift | r)
                 if s is None:
-                    ranks[h] = -1
+                    if ranks[h] >= 0:
+                        live -= 1
+                        ranks[h] = -1
                 elif ranks[h] != s:
+                    if ranks[h] < 0:
+                        live += 1
                     ranks[h] = s
                     bucket = buckets[s]
                     if not bucket:
+                        filled.append(s)
                         low[s >> _GROUP] |= 1 << (s & _LAST)
                         high |= 1 << (s >> _GROUP)
                         bucket.append(h)
                     else:
                         heappush(bucket, h)
+        for r in filled:
+            buckets[r].clear()
+            low[r >> _GROUP] = 0
         return tuple([i for i in ids if i >= 0])
 
-    def _remember(self, word: str) -> tuple[int, ...]:
-        ids = self.old.get(word)
-        if ids is None:
+    def _remember(self, word: str) -> tuple[int, str, bytes]:
+        known = self.old.get(word)
+        if known is None:
             ids = self.merge(word.encode())
-        if len(self.young) >= REMEMBERED:
-            self.old, self.young = self.young, {}
-        if len(word) <= 64:
-            self.young[word] = ids
-        return ids
-
-    def encode(self, text: str) -> list[int]:
+            known = (len(ids), "," + ",".join(map(self.texts.__getitem__, ids)), self.decode(ids))
+        if len(word) <= _LONGEST:
+            if len(self.young) >= REMEMBERED:
+                self.old, self.young = self.young, {}
+            self.young[word] = known
+        return known
+
+    def coded(self, text: str) -> tuple[int, str, bytes]:
+        """Number of tokens of a text, their ids joined by commas, and the bytes decoded from them."""
         get, remember = self.young.get, self._remember
         out = []
         for word in self.split(text):
-            ids = get(word)
-            if ids is None:
-                ids = remember(word)
+            known = get(word)
+            if known is None:
+                known = remember(word)
                 get = self.young.get
-            out.append(ids)
-        return list(chain.from_iterable(out))
+            out.append(known)
+        if not out:
+            return 0, "", b""
+        counts, said, data = zip(*out, strict=True)
+        return sum(counts), "".join(said)[1:], b"".join(data)
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids: Sequence[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
@@ -183,15 +206,15 @@ def with_tokens(docs: DataFrame, tokens: list[bytes], pattern: str, arrays: bool
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared_encoder(*shared.value)
-        names = encoder.texts.__getitem__
         for batch in batches:
             column = batch.column(1)
             for start in range(0, batch.num_rows, 256):
                 rows = []
                 for text in column.slice(start, 256).to_pylist():
-                    ids = encoder.encode(text or "")
-                    said = hashlib.sha256(",".join(map(names, ids)).encode()).hexdigest()
-                    rows.append((len(ids), said, hashlib.sha256(encoder.decode(ids)).hexdigest(), ids if arrays else None))
+                    n, ids, data = encoder.coded(text or "")
+                    digest = hashlib.sha256(ids.encode()).hexdigest()
+                    listed = ([int(i) for i in ids.split(",")] if n else []) if arrays else None
+                    rows.append((n, digest, hashlib.sha256(data).hexdigest(), listed))
                 part = batch.column(0).slice(start, 256)
                 out = [part, pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows])]
                 names_out = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
