@@ -15,9 +15,10 @@ lines stay.
    looked up, so a key shared by very many lines never forms pairs.
 4. The found pairs are fetched and their edit distance is verified on the words.
 
-Rows with one doc_id are versions of one document: equal lines at the same place count as one line.
-Rows without doc_id keep all their lines and remove none; a null text stays null. An empty table gives
-an empty result. Other columns stay; ``n_lines``, ``n_removed`` and ``text`` are set.
+Rows with one doc_id and different texts are versions of one document: lines at the same place are neither
+the earlier, and each version loses its own lines only. Rows without doc_id keep all their lines and
+remove none; a null text stays null. An empty table gives an empty result. Other columns stay, whatever
+their names; ``text`` and the two counts (``n_lines`` and ``n_removed``, or the names asked for) are set.
 """
 
 from __future__ import annotations
@@ -30,12 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderloom.llm import textbits as tb
-from orderloom.llm.store import likely, stored, text_batches
+from orderloom.llm.store import free_name, likely, stored, text_batches, versioned
 
 MIN_WORDS = 5
 PARTS = 3
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
 _FULL, _SHORTER, _SAME = 0, 1, 2
+PLACE = ("doc_id", "line", "version")
+_PLACE_TYPES = "doc_id long, line int, version long"
 
 
 class Lines:
@@ -111,12 +114,17 @@ def _variants(lines: Lines, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.concatenate(rows), np.concatenate(keys), np.concatenate(roles)
 
 
+def _place(piece: pa.RecordBatch, lines: Lines) -> list[pa.Array]:
+    doc = pa.array(lines.doc)
+    return [piece.column(0).take(doc), pa.array(lines.number.astype(np.int32)), piece.column(1).take(doc)]
+
+
 def _read_lines(docs: DataFrame, min_words: int, short_repeats: bool) -> DataFrame:
     names = [f"k{i}" for i in range(2 * PARTS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in tb.pieces(batches, "text"):
-            lines = Lines(piece.column(1))
+            lines = Lines(piece.column(2))
             lines.keep(np.flatnonzero(lines.b - lines.a >= (1 if short_repeats else min_words)))
             other = tb.Runs(tb.mix(lines.words ^ _SECOND))
             runs = tb.Runs(lines.words)
@@ -124,11 +132,11 @@ def _read_lines(docs: DataFrame, min_words: int, short_repeats: bool) -> DataFra
             h1, h2 = tb.mix(runs.raw(lines.a, lines.b) + n), tb.mix(other.raw(lines.a, lines.b) + n)
             columns = [h1, h2, *_part_keys(lines)]
             yield pa.record_batch(
-                [piece.column(0).take(pa.array(lines.doc)), pa.array(lines.number.astype(np.int32)), pa.array(n >= min_words), *(pa.array(c.view(np.int64)) for c in columns)],
-                ["doc_id", "line", "long", "h1", "h2", *names],
+                [*_place(piece, lines), pa.array(n >= min_words), *(pa.array(c.view(np.int64)) for c in columns)],
+                [*PLACE, "long", "h1", "h2", *names],
             )
 
-    return docs.mapInArrow(run, "doc_id long, line int, long boolean, h1 long, h2 long, " + ", ".join(f"{n} long" for n in names))
+    return docs.mapInArrow(run, _PLACE_TYPES + ", long boolean, h1 long, h2 long, " + ", ".join(f"{n} long" for n in names))
 
 
 def _emit(docs: DataFrame) -> DataFrame:
@@ -136,11 +144,11 @@ def _emit(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in tb.pieces(batches, "text"):
-            lines = Lines(piece.column(1))
-            texts = [t.encode() for t in piece.column(1).to_pylist()]
+            lines = Lines(piece.column(2))
+            texts = [t.encode() for t in piece.column(2).to_pylist()]
             bits = np.zeros(len(lines.doc), np.int64)
             first = np.searchsorted(lines.doc, np.arange(len(texts)))
-            for doc, wanted in enumerate(piece.column(2).to_pylist()):
+            for doc, wanted in enumerate(piece.column(3).to_pylist()):
                 for w in wanted:
                     bits[first[doc] + w["line"]] |= w["bits"]
             at = np.flatnonzero(bits)
@@ -151,11 +159,11 @@ def _emit(docs: DataFrame) -> DataFrame:
             said = [texts[d][a:b].decode() for d, a, b in zip(lines.doc, lines.begin, lines.end, strict=True)]
             variants = pa.StructArray.from_arrays([pa.array(key[order].view(np.int64)), pa.array(role[order])], ["key", "role"])
             yield pa.record_batch(
-                [piece.column(0).take(pa.array(lines.doc)), pa.array(lines.number.astype(np.int32)), pa.array(said, pa.string()), pa.ListArray.from_arrays(bounds, variants)],
-                ["doc_id", "line", "said", "variants"],
+                [*_place(piece, lines), pa.array(said, pa.string()), pa.ListArray.from_arrays(bounds, variants)],
+                [*PLACE, "said", "variants"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, line int, said string, variants array<struct<key: long, role: tinyint>>")
+    return docs.mapInArrow(run, _PLACE_TYPES + ", said string, variants array<struct<key: long, role: tinyint>>")
 
 
 def _within_one_edit(pairs: DataFrame) -> DataFrame:
@@ -170,15 +178,18 @@ def _within_one_edit(pairs: DataFrame) -> DataFrame:
                 keep.append(max(len(x), len(y)) - front - back <= 1)
             yield batch.filter(pa.array(keep, pa.bool_())).select(["place"])
 
-    return pairs.mapInArrow(run, "place struct<doc_id: long, line: int>")
+    return pairs.mapInArrow(run, f"place struct<{_PLACE_TYPES}>")
 
 
 def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, short_repeats: bool = False) -> DataFrame:
-    """``doc_id, line`` (from 0) of every line that an earlier line is within one edit of, or equal to if it is short."""
-    texts = docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    """``doc_id, line, version`` of every line that an earlier line is within one edit of, or equal to if it is short.
+
+    Lines count from 0; ``docs`` has ``doc_id, version, text``.
+    """
+    texts = docs.select("doc_id", "version", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
     lines = stored(_read_lines(texts, min_words, short_repeats))
     names = [f"k{i}" for i in range(2 * PARTS)]
-    place = F.struct("doc_id", "line")
+    place = F.struct(*PLACE)
     classes = stored(lines.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("long", *names))))
 
     # Classes that share a key with another class, with a bit for each shared key.
@@ -187,9 +198,9 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, short_repeats: bo
     # A key of a shorter partner (second half of the names) meets the same key of its full length.
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     hits = keys.join(shared, "key", "left_semi").groupBy("place").agg(F.bit_or("bit").alias("bits"))
-    wanted = stored(hits.select("place.doc_id", F.struct(F.col("place.line").alias("line"), "bits").alias("w")))
-    by_doc = wanted.groupBy("doc_id").agg(F.collect_list("w").alias("wanted"))
-    emitted = stored(_emit(likely(texts, wanted, "doc_id").join(by_doc, "doc_id")))
+    wanted = stored(hits.select("place.doc_id", "place.version", F.struct(F.col("place.line").alias("line"), "bits").alias("w")))
+    by_doc = wanted.groupBy("doc_id", "version").agg(F.collect_list("w").alias("wanted"))
+    emitted = stored(_emit(likely(texts, wanted, "doc_id").join(by_doc, ["doc_id", "version"]).select("doc_id", "version", "text", "wanted")))
 
     variants = emitted.select(place.alias("place"), F.explode("variants").alias("v")).select("place", "v.key", "v.role")
     earliest = variants.groupBy("key").agg(
@@ -199,39 +210,45 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, short_repeats: bo
     )
     met = variants.join(earliest.filter("n > 1").drop("n"), "key")
     witness = F.when(F.col("role") == _SHORTER, F.col("full")).otherwise(F.col("variant"))
-    pairs = met.select("place", witness.alias("witness")).filter("witness < place").groupBy("place").agg(F.collect_set("witness").alias("w"))
+    earlier = F.expr("witness.doc_id < place.doc_id OR witness.doc_id = place.doc_id AND witness.line < place.line")
+    pairs = met.select("place", witness.alias("witness")).filter(earlier).groupBy("place").agg(F.collect_set("witness").alias("w"))
     pairs = pairs.select("place", F.explode("w").alias("witness"))
     said = emitted.select(place.alias("place"), "said").distinct()
     fetched = pairs.join(said, "place").join(said.select(F.col("place").alias("witness"), F.col("said").alias("other")), "witness")
     near = _within_one_edit(fetched.select("place", "said", "other")).distinct().withColumn("near", F.lit(True))
 
     gone = classes.select("h1", "h2", "place", "n").join(near, "place", "left").filter("n > 1 OR near")
-    gone = lines.select("doc_id", "line", "h1", "h2").join(gone, ["h1", "h2"])
-    return gone.filter(F.col("near") | (place != F.col("place"))).select("doc_id", "line").distinct()
-
-
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, short_repeats: bool = False) -> DataFrame:
-    """``docs`` with the removed lines taken out of ``text``, and ``n_lines`` and ``n_removed``."""
-    docs = text_batches(docs)
-    gone = stored(removed_lines(docs, min_words, short_repeats))
-    by_doc = gone.groupBy("doc_id").agg(F.collect_list("line").alias("_gone"))
-    docs = docs.drop("n_lines", "n_removed", "_gone")
+    gone = lines.select(*PLACE, "h1", "h2").join(gone, ["h1", "h2"])
+    # Equal lines at one place of several versions are one line.
+    return gone.filter("near OR place.doc_id <> doc_id OR place.line <> line").select(*PLACE).distinct()
+
+
+def dedup_lines(
+    docs: DataFrame, min_words: int = MIN_WORDS, short_repeats: bool = False, counts: tuple[str, str] = ("n_lines", "n_removed")
+) -> DataFrame:
+    """``docs`` with the removed lines taken out of ``text``, and two columns ``counts``: lines and removed lines."""
+    docs = text_batches(docs.drop(*counts))
+    version, lines_gone = free_name(docs, "_version"), free_name(docs, "_gone")
+    versions = versioned(docs, version)
+    gone = stored(removed_lines(versions.select("doc_id", F.col(version).alias("version"), "text"), min_words, short_repeats))
+    by_doc = gone.groupBy("doc_id", F.col("version").alias(version)).agg(F.collect_list("line").alias(lines_gone))
     columns = docs.columns
     n_lines = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, kept = [], []
-            for text, lines in zip(batch.column("text").to_pylist(), batch.column("_gone").to_pylist(), strict=True):
+            for text, lines in zip(batch.column("text").to_pylist(), batch.column(lines_gone).to_pylist(), strict=True):
                 each = text.split("\n") if text is not None else []
                 n.append(len(each))
                 gone = set(lines or ())
                 kept.append("\n".join(x for i, x in enumerate(each) if i not in gone) if text is not None else None)
             out = [pa.array(kept, pa.string()) if c == "text" else batch.column(c) for c in columns]
-            removed = [len(x or ()) for x in batch.column("_gone").to_pylist()]
-            yield pa.record_batch([*out, pa.array(n, pa.int64()), pa.array(removed, pa.int64())], [*columns, "n_lines", "n_removed"])
+            removed = [len(x or ()) for x in batch.column(lines_gone).to_pylist()]
+            yield pa.record_batch([*out, pa.array(n, pa.int64()), pa.array(removed, pa.int64())], [*columns, *counts])
+
+    def whole(df: DataFrame) -> DataFrame:
+        return df.withColumn(counts[0], n_lines).withColumn(counts[1], F.lit(0).cast("long"))
 
-    touched = likely(docs.filter("doc_id IS NOT NULL"), gone, "doc_id").join(by_doc, "doc_id", "left").select(*columns, "_gone")
-    schema = docs.withColumn("n_lines", n_lines).withColumn("n_removed", F.lit(0).cast("long")).schema
-    rest = likely(docs, gone, "doc_id", inside=False)
-    return touched.mapInArrow(run, schema).union(rest.withColumn("n_lines", n_lines).withColumn("n_removed", F.lit(0).cast("long")))
+    touched = likely(versions.filter("doc_id IS NOT NULL"), gone, "doc_id").join(by_doc, ["doc_id", version], "left").select(*columns, lines_gone)
+    return touched.mapInArrow(run, whole(docs).schema).union(whole(likely(docs, gone, "doc_id", inside=False)))

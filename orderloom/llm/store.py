@@ -73,3 +73,24 @@ def likely(rows: DataFrame, keys: DataFrame, key: str, inside: bool = True) -> D
     codes = stored(keys.select(_code(key).alias("code")).distinct())
     # A semi-join adds no column, so none of the rows' own can clash.
     return rows.join(F.broadcast(codes), _code(key) == codes["code"], "left_semi" if inside else "left_anti")
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, with underscores before it as long as a column has that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted = f"_{wanted}"
+    return wanted
+
+
+def versioned(docs: DataFrame, name: str = "version") -> DataFrame:
+    """Adds a number that tells rows with one doc_id and different texts apart; 0 where there is but one text.
+
+    Rows are changed by (doc_id, number), never by doc_id alone. The ids of several texts are written,
+    so the planner sees how few they are.
+    """
+    digest = F.xxhash64("text")
+    several = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(digest).alias("low"), F.max(digest).alias("high"))
+    several = stored(several.filter("low <> high").select(F.col("doc_id").alias("_several")))
+    joined = docs.join(several, docs["doc_id"] == several["_several"], "left")
+    return joined.select(*(docs[c] for c in docs.columns), F.when(several["_several"].isNotNull(), digest).otherwise(F.lit(0)).cast("long").alias(name))

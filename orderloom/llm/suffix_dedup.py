@@ -21,9 +21,9 @@ is judged on the input.
 A seed with more than ``HOT`` different contexts is not sent as one group: its windows go one by one,
 spread by their own hash.
 
-Null and empty texts have no bytes. Rows without doc_id are kept whole and repeat nothing; rows with one
-doc_id are versions of one document, whose equal places are one place. An empty table gives an empty
-result. Other columns play no part.
+Null and empty texts have no bytes. Rows without doc_id are kept whole and repeat nothing. Rows with one
+doc_id and different texts are versions of one document: their equal places are one place, and each
+version loses its own bytes only. An empty table gives an empty result. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderloom.llm import textbits as tb
-from orderloom.llm.store import key_buckets, likely, packed, stored, text_batches, unpacked
+from orderloom.llm.store import key_buckets, likely, packed, stored, text_batches, unpacked, versioned
 
 WINDOW, SEED = 100, 32
 HOT = 16_384
@@ -89,15 +89,15 @@ class Anchors:
 
 
 def _seed_counts(texts: DataFrame, buckets: int, hot: int) -> DataFrame:
-    """``doc_id, anchor`` of the anchors whose seed occurs elsewhere, and whether the seed is hot."""
+    """``doc_id, version, anchor`` of the anchors whose seed occurs elsewhere, and whether the seed is hot."""
     bits = buckets.bit_length() - 1
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in tb.pieces(batches, "text"):
-            found = Anchors(piece.column(1))
+            found = Anchors(piece.column(2))
             if not len(found.at):
                 continue
-            ids = piece.column(0).to_numpy()
+            ids, versions = piece.column(0).to_numpy(), piece.column(1).to_numpy()
             bucket = (found.hash >> np.uint64(64 - bits)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -108,15 +108,15 @@ def _seed_counts(texts: DataFrame, buckets: int, hot: int) -> DataFrame:
             for b in np.flatnonzero(np.diff(edges)):
                 some = order[edges[b] : edges[b + 1]]
                 docs = np.diff(ids[found.doc[some]], prepend=0)
-                rows.append((int(b), packed(docs), packed(place[some].astype(np.uint32)), packed(rest[some]), packed(context[some])))
+                rows.append((int(b), packed(docs), packed(versions[found.doc[some]]), packed(place[some].astype(np.uint32)), packed(rest[some]), packed(context[some])))
             columns = list(zip(*rows, strict=True))
-            yield pa.record_batch([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["bucket", "docs", "place", "rest", "context"])
+            yield pa.record_batch([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["bucket", "docs", "versions", "place", "rest", "context"])
 
     def match(table: pa.Table) -> pa.Table:
-        kinds = {"docs": np.int64, "place": np.uint32, "rest": np.uint32, "context": np.uint16}
+        kinds = {"docs": np.int64, "versions": np.int64, "place": np.uint32, "rest": np.uint32, "context": np.uint16}
         cells = {name: [unpacked(b, kind) for b in table.column(name).to_pylist()] for name, kind in kinds.items()}
         docs = np.concatenate([np.cumsum(d) for d in cells["docs"]])
-        place, rest, context = (np.concatenate(cells[c]) for c in ("place", "rest", "context"))
+        versions, place, rest, context = (np.concatenate(cells[c]) for c in ("versions", "place", "rest", "context"))
         order = np.argsort(rest.astype(np.uint64) << np.uint64(16) | context, kind="stable")
         rest, context = rest[order], context[order]
         new = np.append(True, rest[1:] != rest[:-1])
@@ -126,11 +126,11 @@ def _seed_counts(texts: DataFrame, buckets: int, hot: int) -> DataFrame:
         some = np.flatnonzero(size[group] > 1)
         seeds_hot = kinds_seen[group[some]] > hot
         return pa.table({
-            "doc_id": docs[order][some], "anchor": (place[order][some].astype(np.int64) << 1) | seeds_hot,
+            "doc_id": docs[order][some], "version": versions[order][some], "anchor": (place[order][some].astype(np.int64) << 1) | seeds_hot,
         })
 
-    sent = texts.mapInArrow(send, "bucket int, docs binary, place binary, rest binary, context binary")
-    return sent.groupBy("bucket").applyInArrow(match, "doc_id long, anchor long")
+    sent = texts.mapInArrow(send, "bucket int, docs binary, versions binary, place binary, rest binary, context binary")
+    return sent.groupBy("bucket").applyInArrow(match, "doc_id long, version long, anchor long")
 
 
 def shared_prefix(a: bytes, b: bytes, known: int) -> int:
@@ -216,21 +216,24 @@ def _decoded(shared: np.ndarray, rest: bytes, lengths: np.ndarray) -> list[bytes
     return out
 
 
-_RUN = "bucket int, ids binary, at binary, shared binary, rest binary, lengths binary, left binary, lefts binary"
-_RUN_KINDS = {"ids": np.int64, "at": np.int64, "shared": np.uint8, "rest": np.uint8, "lengths": np.uint8, "left": np.uint8, "lefts": np.uint8}
+_SPAN_NAMES = ["doc_id", "version", "start", "end"]
+_SPAN = ", ".join(f"{name} long" for name in _SPAN_NAMES)
+_RUN = "bucket int, ids binary, versions binary, at binary, shared binary, rest binary, lengths binary, left binary, lefts binary"
+_RUN_KINDS = {"ids": np.int64, "versions": np.int64, "at": np.int64, "shared": np.uint8, "rest": np.uint8, "lengths": np.uint8, "left": np.uint8, "lefts": np.uint8}
 
 
-def _spans(ids: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Joins spans of a document that touch or overlap."""
-    order = np.lexsort((start, ids))
-    ids, start, end = ids[order], start[order], end[order]
+def _spans(ids: np.ndarray, versions: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Joins spans of a text that touch or overlap."""
+    order = np.lexsort((start, versions, ids))
+    ids, versions, start, end = ids[order], versions[order], start[order], end[order]
     if not len(ids):
-        return ids, start, end
-    base = np.cumsum(np.append(False, ids[1:] != ids[:-1])) * (int(end.max()) + 1)
+        return ids, versions, start, end
+    other = (ids[1:] != ids[:-1]) | (versions[1:] != versions[:-1])
+    base = np.cumsum(np.append(False, other)) * (int(end.max()) + 1)
     reach = np.maximum.accumulate(end + base)
     new = np.flatnonzero(np.append(True, (start + base)[1:] > reach[:-1]))
     last = np.append(new[1:], len(ids)) - 1
-    return ids[new], start[new], (reach - base)[last]
+    return ids[new], versions[new], start[new], (reach - base)[last]
 
 
 def _runs(docs: DataFrame, buckets: int) -> DataFrame:
@@ -238,23 +241,23 @@ def _runs(docs: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in tb.pieces(batches, "text"):
-            found = Anchors(piece.column(1))
+            found = Anchors(piece.column(2))
             data, offsets = found.data.tobytes(), found.offsets
-            ids = piece.column(0).to_numpy()
-            lists = piece.column(2)
+            ids, versions = piece.column(0).to_numpy(), piece.column(1).to_numpy()
+            lists = piece.column(3)
             counts = np.diff(lists.offsets.to_numpy())
             values = lists.flatten().to_numpy()
             wanted = (values >> 1) + np.repeat(offsets[:-1], counts)
             hot = dict(zip(wanted.tolist(), (values & 1).tolist(), strict=True))
-            earliest: dict[tuple[bytes, bytes], tuple[int, int]] = {}
+            earliest: dict[tuple[bytes, bytes, int], tuple[int, int, int, int]] = {}
             settled = []
             for at, low, high, doc, seed in zip(found.at.tolist(), found.low.tolist(), found.high.tolist(), found.doc.tolist(), found.hash.tolist(), strict=True):
                 is_hot = hot.get(at)
                 if is_hot is None:
                     continue
-                key, begin = int(ids[doc]), int(offsets[doc])
+                key, version, begin = int(ids[doc]), int(versions[doc]), int(offsets[doc])
                 for place, first, last in ((p, p, p) for p in range(low, high + 1)) if is_hot else ((at, low, high),):
-                    entry = (data[place : last + WINDOW], data[first:place][::-1])
+                    entry = (data[place : last + WINDOW], data[first:place][::-1], version)
                     before = earliest.setdefault(entry, (key, place - begin, seed, is_hot))
                     if before[:2] == (key, place - begin):
                         continue
@@ -263,10 +266,10 @@ def _runs(docs: DataFrame, buckets: int) -> DataFrame:
                         key_, place_ = before[:2]
                     else:
                         key_, place_ = key, place - begin
-                    settled.append((key_, place_ - (place - first), place_ + (last - place) + WINDOW))
+                    settled.append((key_, version, place_ - (place - first), place_ + (last - place) + WINDOW))
             if settled:
-                of, start, end = _spans(*(np.array(c, np.int64) for c in zip(*settled, strict=True)))
-                row = {c: b"" for c in _RUN_KINDS} | {"bucket": -1, "ids": packed(of), "at": packed(start), "left": packed(end)}
+                of, own, start, end = _spans(*(np.array(c, np.int64) for c in zip(*settled, strict=True)))
+                row = {c: b"" for c in _RUN_KINDS} | {"bucket": -1, "ids": packed(of), "versions": packed(own), "at": packed(start), "left": packed(end)}
                 yield pa.RecordBatch.from_pylist([row], schema)
             split: dict[int, list] = {}
             for entry, (key, place, seed, is_hot) in earliest.items():
@@ -277,7 +280,8 @@ def _runs(docs: DataFrame, buckets: int) -> DataFrame:
                 entries.sort()
                 shared, rest, lengths = _front_coded([e[0] for e in entries])
                 cells = {
-                    "ids": np.array([e[2] for e in entries], np.int64), "at": np.array([e[3] for e in entries], np.int64),
+                    "ids": np.array([e[3] for e in entries], np.int64), "at": np.array([e[4] for e in entries], np.int64),
+                    "versions": np.array([e[2] for e in entries], np.int64),
                     "shared": shared, "rest": np.frombuffer(rest, np.uint8), "lengths": lengths,
                     "left": np.frombuffer(b"".join(e[1] for e in entries), np.uint8), "lefts": np.array([len(e[1]) for e in entries], np.uint8),
                 }
@@ -308,7 +312,7 @@ def _repeats(runs: DataFrame) -> DataFrame:
         group = np.cumsum(right < SEED)
         shared_seed = np.bincount(group)[group] > 1
         order, right, group = order[shared_seed], right[shared_seed], group[shared_seed]
-        ids, at = np.concatenate(cells["ids"])[order], np.concatenate(cells["at"])[order]
+        ids, versions, at = (np.concatenate(cells[c])[order] for c in ("ids", "versions", "at"))
         size = np.concatenate([np.array([len(x) for x in s], np.int64) for s in strings])[order]
         reach = lefts[order]
         left = [left_bytes[e - n : e] for e, n in zip(left_end[order].tolist(), reach.tolist(), strict=True)]
@@ -320,7 +324,7 @@ def _repeats(runs: DataFrame) -> DataFrame:
         moved = (np.diff(ids[by_place], prepend=0) != 0) | (np.diff(at[by_place], prepend=0) != 0)
         rank = np.empty(n, np.int64)
         rank[by_place] = np.cumsum(moved)
-        of, start = [], []
+        of, own, start = [], [], []
         left_class = np.empty(n, np.int64)
         for o in range(_REACH + 1):
             some = by_place[((reach >= o) & (size >= WINDOW - o))[by_place]]
@@ -331,30 +335,30 @@ def _repeats(runs: DataFrame) -> DataFrame:
             _, first, which = np.unique(key, return_index=True, return_inverse=True)
             later = some[rank[some] > rank[some[first[which]]]]
             of.append(ids[later])
+            own.append(versions[later])
             start.append(at[later] - o)
         none = np.zeros(0, np.int64)
-        of, start = np.concatenate([none, *of]), np.concatenate([none, *start])
-        of, start, end = _spans(of, start, start + WINDOW)
-        return pa.table({"doc_id": of, "start": start, "end": end})
+        of, own, start = (np.concatenate([none, *x]) for x in (of, own, start))
+        return pa.table(dict(zip(_SPAN_NAMES, _spans(of, own, start, start + WINDOW), strict=True)))
 
-    return runs.groupBy("bucket").applyInArrow(resolve, "doc_id long, start long, end long")
+    return runs.groupBy("bucket").applyInArrow(resolve, _SPAN)
 
 
 def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """``doc_id, start, end`` of bytes to remove; spans of a document may overlap."""
-    texts = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= WINDOW))
+    """``doc_id, version, start, end`` of bytes to remove from ``docs`` (``doc_id, version, text``); spans may overlap."""
+    texts = docs.select("doc_id", "version", "text").filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= WINDOW))
     buckets = key_buckets(docs.sparkSession)
     anchors = stored(_seed_counts(texts, buckets, hot))
-    by_doc = anchors.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
-    runs = stored(_runs(likely(texts, anchors, "doc_id").join(by_doc, "doc_id"), buckets))
+    by_doc = anchors.groupBy("doc_id", "version").agg(F.collect_list("anchor").alias("anchors"))
+    wanted = likely(texts, anchors, "doc_id").join(by_doc, ["doc_id", "version"])
+    runs = stored(_runs(wanted.select("doc_id", "version", "text", "anchors"), buckets))
 
     def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                columns = [pa.array(unpacked(row[c], np.int64)) for c in ("ids", "at", "left")]
-                yield pa.record_batch(columns, ["doc_id", "start", "end"])
+                yield pa.record_batch([pa.array(unpacked(row[c], np.int64)) for c in ("ids", "versions", "at", "left")], _SPAN_NAMES)
 
-    known = runs.filter("bucket < 0").select("ids", "at", "left").mapInArrow(settled, "doc_id long, start long, end long")
+    known = runs.filter("bucket < 0").select("ids", "versions", "at", "left").mapInArrow(settled, _SPAN)
     return _repeats(runs.filter("bucket >= 0")).union(known)
 
 
@@ -363,10 +367,10 @@ def without_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
 
     ``spans`` are the maximal runs of removed bytes, ``kept`` the remaining bytes one after the other.
     """
-    docs = text_batches(docs)
-    found = stored(repeated_spans(docs, hot))
-    by_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("found"))
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = text_batches(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    versions = versioned(docs)
+    found = stored(repeated_spans(versions, hot))
+    by_doc = found.groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "end")).alias("found"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -374,7 +378,8 @@ def without_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
             for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 data = text.encode()
                 start, end = (np.array([s[c] for s in spans or ()], np.int64) for c in ("start", "end"))
-                _, start, end = _spans(np.zeros(len(start), np.int64), start, end)
+                none = np.zeros(len(start), np.int64)
+                _, _, start, end = _spans(none, none, start, end)
                 edges = [0, *np.stack([start, end], axis=1).ravel().tolist(), len(data)]
                 kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
                 runs = [{"start": a, "end": b} for a, b in zip(start.tolist(), end.tolist(), strict=True)]
@@ -386,10 +391,10 @@ def without_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
     kinds = [pa.int64(), pa.list_(span), pa.int64(), pa.binary()]
     schema = "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, n_removed long, kept binary"
-    touched = likely(texts.filter("doc_id IS NOT NULL"), found, "doc_id").join(by_doc, "doc_id", "left").mapInArrow(cut, schema)
+    touched = likely(versions.filter("doc_id IS NOT NULL"), found, "doc_id").join(by_doc, ["doc_id", "version"], "left")
     whole = F.encode("text", "UTF-8")
-    rest = likely(texts, found, "doc_id", inside=False).select(
+    rest = likely(docs, found, "doc_id", inside=False).select(
         "doc_id", F.octet_length("text").cast("long").alias("n_bytes"),
         F.array().cast("array<struct<start: bigint, end: bigint>>").alias("spans"), F.lit(0).cast("long").alias("n_removed"), whole.alias("kept"),
     )
-    return touched.union(rest)
+    return touched.select("doc_id", "text", "found").mapInArrow(cut, schema).union(rest)
