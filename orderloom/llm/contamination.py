@@ -30,6 +30,8 @@ SEED_WORDS = 3
 BLOCK_BYTES = 4 << 20
 MATCH, MISS, GAP = 2, -1, 1
 _TABLE = 1 << 22
+#: Cells of a block of passages that are aligned together, and places in items that are looked up at a time.
+CELLS, ENTRIES = 1 << 19, 1 << 20
 
 PLAIN = tb.LOWER.copy()
 for _first, _last in ((0x21, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E)):
@@ -94,28 +96,75 @@ def aligned(item: np.ndarray, passage: np.ndarray) -> int:
     return best
 
 
-def _passages(hit: np.ndarray, number: np.ndarray, at: np.ndarray, first: np.ndarray, seeds: Seeds, item_words: list[np.ndarray]):
-    """Candidate passages: document, item, first and last word, number of seeds."""
-    if not len(hit):
+def aligned_many(items: list[np.ndarray], passages: list[np.ndarray], share: float) -> np.ndarray:
+    """``aligned`` of each item with its passage, all together, as shares of a full match; 0 where it is below ``share``."""
+    out = np.zeros(len(items))
+    size = np.array([len(p) for p in passages], np.int64)
+    # Passages of like length share a block, which holds a bounded number of cells.
+    order = np.argsort(size, kind="stable")[::-1]
+    at = 0
+    while at < len(order):
+        some = order[at : at + max(1, CELLS // max(int(size[order[at]]), 1))]
+        at += len(some)
+        wide, tall = max(int(size[some[0]]), 1), max(len(items[i]) for i in some)
+        # What fills up a row or column matches nothing, so it never raises a score.
+        texts, wanted = np.zeros((len(some), wide), np.uint64), np.ones((len(some), tall), np.uint64)
+        for row, i in enumerate(some.tolist()):
+            texts[row, : len(passages[i])], wanted[row, : len(items[i])] = passages[i], items[i]
+        full = MATCH * np.array([len(items[i]) for i in some], np.int64)
+        held = np.zeros(len(some), np.int64)
+        for word in wanted.T:
+            held += (texts == word[:, None]).any(axis=1)
+        enough = np.flatnonzero(MATCH * held >= share * full)  # else not even all common words would do
+        texts, wanted, some, full = texts[enough], wanted[enough], some[enough], full[enough]
+        best = np.zeros(len(some), np.int32)
+        above = np.zeros((len(some), wide + 1), np.int32)
+        slope = np.arange(wide + 1, dtype=np.int32) * GAP
+        for word in wanted.T:
+            here = np.zeros_like(above)
+            step = np.where(texts == word[:, None], np.int32(MATCH), np.int32(MISS))
+            np.maximum(above[:, :-1] + step, above[:, 1:] - GAP, out=here[:, 1:])
+            np.maximum(here, 0, out=here)
+            # Gaps along the row: each cell takes the best of those before it, less their distance.
+            above = np.maximum.accumulate(here + slope, axis=1) - slope
+            np.maximum(best, above.max(axis=1), out=best)
+        score = best / np.maximum(full, 1)
+        out[some] = np.where(score >= share, score, 0.0)
+    return out
+
+
+def _parts(doc: np.ndarray, entries: np.ndarray) -> Iterator[slice]:
+    """Ranges of hits of whole documents that stand for a bounded number of places in items, or one document."""
+    if not len(doc):
         return
+    ends = np.append(np.flatnonzero(doc[1:] != doc[:-1]) + 1, len(doc))
+    total = np.cumsum(entries)
+    start, before = 0, 0
+    for i, end in enumerate(ends):
+        if i + 1 == len(ends) or total[ends[i + 1] - 1] - before > ENTRIES:
+            yield slice(start, int(end))
+            start, before = int(end), int(total[end - 1])
+
+
+def _passages(hit: np.ndarray, number: np.ndarray, at: np.ndarray, first: np.ndarray, seeds: Seeds, lengths: np.ndarray):
+    """Candidate passages: document, item, first and last word, number of seeds."""
     n = seeds.count[number]
     entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(seeds.first[number], n)
     word = np.repeat(at[hit], n)
     item = seeds.item[entry]
     begin = word - seeds.place[entry]
     doc = np.searchsorted(first, word, side="right") - 1
-    length = np.array([len(w) for w in item_words], np.int64)[item]
+    length = lengths[item]
     slack = np.maximum(8, length // 2)
     order = np.lexsort((begin, item, doc))
     doc, item, begin, length, slack = (x[order] for x in (doc, item, begin, length, slack))
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (begin[1:] - begin[:-1] > slack[1:])
-    start = np.flatnonzero(new)
-    end = np.append(start[1:], len(doc))
-    for s, e in zip(start, end, strict=True):
-        low = max(int(begin[s] - slack[s]), int(first[doc[s]]))
-        high = min(int(begin[e - 1] + length[s] + slack[s]), int(first[doc[s] + 1]))
-        yield int(doc[s]), int(item[s]), low, high, int(e - s)
+    s = np.flatnonzero(new)
+    e = np.append(s[1:], len(doc))
+    low = np.maximum(begin[s] - slack[s], first[doc[s]])
+    high = np.minimum(begin[e - 1] + length[s] + slack[s], first[doc[s] + 1])
+    return doc[s], item[s], low, high, e - s
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -149,19 +198,21 @@ def _block(docs: DataFrame, ids: list[int], item_texts: list[str], share: float,
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds, words, ids = shared.value
+        lengths = np.array([len(w) for w in words], np.int64)
         for piece in tb.pieces(batches, "text"):
             hashes, starts, ends, first, offsets = _words(piece.column(1))
             found, at = _seeds(hashes, first)
             hit, number = seeds.find(found)
+            doc_of = np.searchsorted(first, at[hit], side="right") - 1
             best: dict[tuple[int, int], tuple] = {}
-            for doc, item, low, high, n in _passages(hit, number, at, first, seeds, words):
-                wanted, passage = words[item], hashes[low:high]
-                full = MATCH * len(wanted)
-                if MATCH * np.isin(wanted, passage).sum() < share * full:
-                    continue  # not even all common words would do
-                score = aligned(wanted, passage) / full
-                if score >= share and score > best.get((doc, item), (0.0,))[0]:
-                    best[doc, item] = (score, n, int(starts[low] - offsets[doc]), int(ends[high - 1] - offsets[doc]))
+            for part in _parts(doc_of, seeds.count[number]):
+                doc, item, low, high, n = _passages(hit[part], number[part], at, first, seeds, lengths)
+                scores = aligned_many([words[i] for i in item.tolist()], [hashes[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)], share)
+                for i in np.flatnonzero(scores).tolist():
+                    key = (int(doc[i]), int(item[i]))
+                    if scores[i] > best.get(key, (0.0,))[0]:
+                        place = int(starts[low[i]] - offsets[doc[i]]), int(ends[high[i] - 1] - offsets[doc[i]])
+                        best[key] = (float(scores[i]), int(n[i]), *place)
             if best:
                 doc_ids = piece.column(0).to_pylist()
                 out = [(doc_ids[doc], ids[item], *rest) for (doc, item), rest in best.items()]
