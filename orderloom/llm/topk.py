@@ -30,8 +30,16 @@ CELLS = 1 << 20
 
 
 def quantised(vector: Column, scale: int = 64) -> Column:
-    """floor(scale * x) for each component, as whole numbers."""
-    return F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long"))
+    """floor(scale * x) for each component, as whole numbers.
+
+    An inner product has to fit in 64 bits, or it would be wrong without a word: a vector whose squared
+    length could exceed 2**62 ends the query with an error.
+    """
+    whole = F.transform(vector, lambda x: F.floor(x.cast("double") * scale))
+    largest = F.aggregate(vector, F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x.cast("double") * scale) + 1))
+    fits = largest * largest * F.size(vector) < float(1 << 62)
+    message = F.lit("a component is too large for whole scores of 64 bits")
+    return F.when(fits, F.transform(whole, lambda x: x.cast("long"))).otherwise(F.raise_error(message).cast("array<bigint>"))
 
 
 def usable(vector: Column) -> Column:
