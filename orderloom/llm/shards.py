@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 from pyspark.sql.window import Window
 
 SLOTS = 8192
@@ -103,7 +104,8 @@ def placed(records: DataFrame, slot_map: DataFrame, loads: DataFrame, order: lis
 def shard_documents(docs: DataFrame, shards: int, map_path: str, slots: int = SLOTS) -> DataFrame:
     """Puts documents into shards of near-equal bytes; returns one row per document.
 
-    The size of a document is its UTF-8 bytes (a null text has none) plus 16.
+    The size of a document is its UTF-8 bytes (a null text has none) plus 16. A map that is there
+    already is edited; each call adds one version of it.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     records = docs.select(
@@ -114,7 +116,10 @@ def shard_documents(docs: DataFrame, shards: int, map_path: str, slots: int = SL
     )
     loads = slot_loads(records, slots)
     spark = docs.sparkSession
-    store_map(first_map(spark, shards, slots), map_path)
-    edited = rebalanced(current_map(spark.read.parquet(map_path)), loads, shards).drop("moved")
+    try:
+        known = spark.read.parquet(map_path)
+    except AnalysisException:  # no map yet
+        known = store_map(first_map(spark, shards, slots), map_path)
+    edited = rebalanced(current_map(known), loads, shards).drop("moved")
     stored = store_map(edited, map_path)
     return placed(records, current_map(stored), loads, ["doc_id", "text_crc32", "size"])
