@@ -9,11 +9,13 @@ every one of its bits, with that bit as a wildcard, so two segments within one b
 the differing bit. Entries are joined on equality and verified on the whole fingerprint.
 
 1. Rows with equal fingerprints are one class.
-2. In every bucket of entries each member is compared with the bucket's smallest one only; the links
-   found give first components.
-3. Buckets that hold several components are searched whole for links between different ones, from the
-   members outside the bucket's largest component. A bucket of near copies that are already linked costs
-   nothing more, so no pairs within a group are formed; no link between components is lost.
+2. The members of a bucket of two or three are compared at once. In a larger bucket each member is
+   compared with one hub only, drawn by hash, so a fingerprint meets another hub in each of its
+   buckets; the links found give first components. In buckets that hold several components this is
+   done ``TURNS`` more times.
+3. Buckets that still hold several components are searched whole for links between different ones, from
+   the members outside the bucket's largest component. A bucket of near copies that are already linked
+   costs nothing more, so no pairs within a group are formed; no link between components is lost.
 
 A null text, or one without words, has fingerprint zero and is linked like any other. A row without
 doc_id has a fingerprint but no component, and links nothing. Rows with one doc_id are versions of one
@@ -38,6 +40,8 @@ BITS = 64
 #: Shingles hashed at a time, so memory does not follow the longest text.
 _BLOCK = 1 << 15
 _HASH_SEED = 42
+#: Further turns with other hubs before the search between components; they only save it work.
+TURNS = 1
 
 
 def _joined(column: pa.Array) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
@@ -110,24 +114,52 @@ def _close(a: str, b: str, distance: int):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
 
 
+def _drawn(turn: int):
+    """The member of a bucket with the smallest hash, another one in every bucket and turn."""
+    return F.min(F.struct(F.xxhash64("key", "fp", F.lit(turn)).alias("draw"), "fp"))
+
+
+def _open(grouped: DataFrame) -> DataFrame:
+    """The members of buckets with several components."""
+    several = grouped.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high")
+    return grouped.join(several.select("key"), "key", "left_semi")
+
+
 def linked(fps: DataFrame, distance: int = 4) -> DataFrame:
     """``fp, component`` for the distinct ``fp`` that have links; equal components are connected."""
     entries = _variants(fps, distance)
-    hubs = entries.groupBy("key").agg(F.min("fp").alias("hub"), F.count("*").alias("size")).filter("size > 1").select("key", "hub")
+    buckets = entries.groupBy("key").agg(
+        F.count("*").alias("size"), F.min("fp").alias("x"), F.max("fp").alias("y"), F.bit_xor("fp").alias("all"), _drawn(0).alias("first")
+    )
+    buckets = stored(buckets.filter("size > 1").select("key", "size", "x", "y", "all", F.col("first.fp").alias("hub")))
+    # Up to three members are known from the bucket itself: the smallest, the largest, and what is left of all.
+    few = buckets.filter("size <= 3").withColumn("z", F.when(F.col("size") == 3, F.expr("all ^ x ^ y")))
+    pairs = few.select(F.explode(F.array(*[F.struct(F.col(a).alias("a"), F.col(b).alias("b")) for a, b in ("xy", "xz", "yz")])).alias("p")).select("p.*")
+    small = pairs.filter(_close("a", "b", distance))
+    hubs = buckets.filter("size > 3").select("key", "hub")
     members = stored(entries.join(hubs, "key"))
     first = members.filter(F.col("fp") != F.col("hub")).filter(_close("fp", "hub", distance))
-    links = stored(first.select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct())
-
-    group = F.coalesce("component", "fp").alias("group")
+    links = stored(small.union(first.select("fp", "hub")).distinct())
     labels = components(links).withColumnRenamed("id", "fp")
-    grouped = stored(members.select("key", "fp").join(labels, "fp", "left").select("key", "fp", group))
-    sizes = grouped.groupBy("key", "group").agg(F.count("*").alias("size"))
-    mixed = sizes.groupBy("key").agg(F.count("*").alias("groups"), F.max(F.struct("size", "group")).alias("most")).filter("groups > 1")
-    open_ones = stored(grouped.join(mixed.select("key", F.col("most.group").alias("major")), "key"))
-    minor = open_ones.filter(F.col("group") != F.col("major")).select("key", F.col("fp").alias("x"), F.col("group").alias("mine"))
-    met = minor.join(open_ones, "key").filter(F.col("mine") != F.col("group")).filter(_close("x", "fp", distance))
-    more = met.select(F.col("x").alias("a"), F.col("fp").alias("b")).distinct()
-    return components(links.union(stored(more))).withColumnRenamed("id", "fp")
+    grouped = stored(members.select("key", "fp").join(labels, "fp", "left").select("key", "fp", F.coalesce("component", "fp").alias("group")))
+    for turn in range(1, TURNS + 1):
+        left = stored(_open(grouped))
+        hub = left.groupBy("key").agg(_drawn(turn).alias("first")).select("key", F.col("first.fp").alias("hub"))
+        group_of = left.select("key", F.col("fp").alias("hub"), F.col("group").alias("there"))
+        met = left.join(hub.join(group_of, ["key", "hub"]), "key").filter(F.col("group") != F.col("there")).filter(_close("fp", "hub", distance))
+        # A component is named by one of its fingerprints, so links of components are links as well.
+        found = stored(met.select(F.col("group").alias("a"), F.col("there").alias("b")).distinct())
+        links = links.union(found)
+        merged = components(found).select(F.col("id").alias("group"), F.col("component").alias("next"))
+        grouped = stored(left.join(merged, "group", "left").select("key", "fp", F.coalesce("next", "group").alias("group")))
+    left = stored(_open(grouped))
+    sizes = left.groupBy("key", "group").agg(F.count("*").alias("size"))
+    major = sizes.groupBy("key").agg(F.max(F.struct("size", "group")).alias("most")).select("key", F.col("most.group").alias("major"))
+    minor = left.join(major, "key").filter(F.col("group") != F.col("major"))
+    minor = minor.select(F.col("key").alias("at"), F.col("fp").alias("x"), F.col("group").alias("mine"))
+    unlike = (F.col("key") == F.col("at")) & (F.col("mine") != F.col("group")) & _close("x", "fp", distance)
+    more = stored(minor.join(left, unlike).select(F.col("mine").alias("a"), F.col("group").alias("b")).distinct())
+    return components(links.union(more)).withColumnRenamed("id", "fp")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
