@@ -102,6 +102,21 @@ def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(docs.select("doc_id", "text", F.col("lang").alias("declared"), F.col("source").alias("host")))
 
 
+def page_texts(pages: DataFrame) -> DataFrame:
+    """Pages as ``doc_id, text, declared, host``: the text without tags, scripts and styles, the markup's language, the address."""
+    bare = F.regexp_replace("html", r"(?is)<(script|style|head)\b.*?</\1\s*>", " ")
+    text = F.regexp_replace(bare, r"<[^>]*>", " ")
+    return pages.select(
+        F.col("page_id").alias("doc_id"), text.alias("text"), language.markup_language(F.col("html")).alias("declared"), language.host_of(F.col("url")).alias("host")
+    )
+
+
+@query
+def pages_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of raw pages, with all four kinds of evidence: text, markup, address suffix and host."""
+    return language.identify(page_texts(table(spark, folder, "pages")))
+
+
 @query
 def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -125,8 +140,8 @@ WITH l AS (
 ), t AS (
     SELECT doc_id, line, said, list_filter(regexp_split_to_array(translate(said, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
         'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM l
-), w AS (SELECT doc_id, line, w, min((doc_id, line)) OVER (PARTITION BY w) AS f FROM t WHERE len(w) >= 5),
-c AS (SELECT DISTINCT w, f FROM w),
+), w AS (SELECT doc_id, line, w, min((doc_id, line)) OVER (PARTITION BY w) AS f FROM t WHERE len(w) >= 1),
+c AS (SELECT DISTINCT w, f FROM w WHERE len(w) >= 5),
 d AS (SELECT w, f, list_concat(w[1:i - 1], w[i + 1:]) AS x, i FROM (SELECT w, f, unnest(range(1, len(w) + 1)) AS i FROM c)),
 near AS (
     SELECT a.w FROM d a JOIN d b ON a.x = b.x AND a.i = b.i AND len(a.w) = len(b.w) WHERE b.f < a.f

@@ -136,7 +136,7 @@ def test_lines_within_one_edit(spark):
     every = sorted((i, n, words_of(line)) for i, t in rows for n, line in enumerate(t.split("\n")))
     long = [e for e in every if len(e[2]) >= 5]
     want = {(i, n) for k, (i, n, w) in enumerate(long) if any(distance(w, o[2]) <= 1 for o in long[:k])}
-    got = {(r.doc_id, r.line) for r in line_dedup.removed_lines(df).collect()}
+    got = {(r.doc_id, r.line) for r in line_dedup.removed_lines(df.withColumn("version", F.lit(0).cast("long"))).collect()}
     assert got == want and want
     for r in line_dedup.dedup_lines(df).collect():
         kept = [x for n, x in enumerate(rows[r.doc_id][1].split("\n")) if (r.doc_id, n) not in want]
@@ -268,6 +268,43 @@ def test_contaminated_passages(spark):
     assert set(got) == {(0, 0), (2, 2), (5, 1), (None, 4)} and got[0, 0] == 1.0 and 0.7 < got[2, 2] < 1.0
 
 
+def test_a_map_is_edited_not_begun_again(spark, tmp_path):
+    path = str(tmp_path / "map")
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 90).cast("int")).alias("text"))
+    for version in (2, 3):
+        out = shards.shard_documents(docs, 5, path, slots=64)
+        assert out.count() == 300 and {r.version for r in out.select("version").distinct().collect()} <= {1, version}
+        rows = spark.read.parquet(path).groupBy("version").count().collect()
+        assert {r.version: r["count"] for r in rows} == {v: 64 for v in range(1, version + 1)}
+
+
+def test_scores_that_do_not_fit_are_refused(spark):
+    fine = spark.createDataFrame([([1.5, -0.01],)], "v array<double>").select(topk.quantised(F.col("v")).alias("v"))
+    assert fine.first().v == [96, -1]
+    with pytest.raises(Exception, match="too large"):
+        spark.createDataFrame([([1e30, 1.0],)], "v array<double>").select(topk.quantised(F.col("v")).alias("v")).collect()
+
+
+def test_many_alignments_equal_single_ones():
+    rng = np.random.default_rng(5)
+    items = [rng.integers(5, 12, rng.integers(0, 30)).astype(np.uint64) for _ in range(300)]
+    passages = [rng.integers(5, 12, rng.integers(0, 60)).astype(np.uint64) for _ in items]
+    got = contamination.aligned_many(items, passages, 0.5)
+    for item, passage, score in zip(items, passages, got):
+        want = contamination.aligned(item, passage) / max(contamination.MATCH * len(item), 1) if len(item) else 0.0
+        assert score == (want if want >= 0.5 else 0.0)
+
+
+def test_common_words_of_many_items(spark):
+    """Documents and items of the same few words: every trigram is common, and thousands of passages are aligned."""
+    rng = random.Random(2)
+    common = [f"w{i}" for i in range(60)]
+    items = [(i, " ".join(rng.choices(common, k=40))) for i in range(200)]
+    rows = [(i, " ".join(rng.choices(common, k=2000))) for i in range(4)] + [(9, " ".join(rng.choices(common, k=50)) + " " + items[77][1])]
+    found = contamination.contaminated(spark.createDataFrame(rows, DOCS).repartition(3), spark.createDataFrame(items, "item_id long, text string"), share=0.7)
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(9, 77)}
+
+
 @pytest.mark.parametrize("leaked", [False, True])
 def test_edited_copies_of_test_items(spark, leaked):
     random.seed(21)
@@ -416,6 +453,32 @@ def test_rows_without_id_stay_beside_any_code(spark):
     assert {bytes(r.kept) for r in out if r.doc_id is None} == {b"kept whole", b""}
 
 
+def test_versions_of_a_document_lose_their_own_text_only(spark):
+    same, unlike = "one two three four five six", "quite unlike words in this unique line"
+    rows = [(1, same), (2, same), (2, unlike), (2, f"{same}\n{unlike}"), (3, unlike)]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS).repartition(3)).collect()
+    # The line at place (2, 0) of one version is the first of its kind; that at (2, 1) of another repeats it.
+    assert Counter((r.doc_id, r.text, r.n_removed) for r in out) == Counter([(1, same, 0), (2, "", 1), (2, unlike, 0), (2, "", 2), (3, "", 1)])
+    random.seed(6)
+    a, b, c = ("".join(random.choice("abcdefgh ") for _ in range(400)) for _ in range(3))
+    rows = [(1, a), (2, a), (2, b), (2, b), (2, c[:50] + b), (3, c + b)]
+    out = suffix_dedup.without_repeats(spark.createDataFrame(rows, DOCS).repartition(3)).collect()
+    got = Counter((r.doc_id, bytes(r.kept).decode(), r.n_removed) for r in out)
+    assert got == Counter([(1, a, 0), (2, "", 400), (2, b, 0), (2, b, 0), (2, c[:50], 400), (3, c, 400)])
+
+
+def test_columns_of_the_user_stay(spark):
+    line = "line of five words here"
+    rows = [(1, f"{line}\n{line}", 7, 8, 9, 10, 30), (2, line, 5, 6, 7, 8, 30), (None, line, 1, 2, 3, 4, 30)]
+    docs = spark.createDataFrame(rows, DOCS + ", _gone int, N_lines int, n_removed int, _version int, n_chars long")
+    out = corpus_pipeline.dedup_lines(spark, docs, "")
+    assert out.columns == docs.columns
+    assert {tuple(r)[1:] for r in out.collect()} == {(line, 7, 8, 9, 10, len(line)), (line, 1, 2, 3, 4, 30)}
+    kept = line_dedup.dedup_lines(docs)
+    assert kept.columns == ["doc_id", "text", "_gone", "_version", "n_chars", "n_lines", "n_removed"]
+    assert {(r._gone, r._version, r.n_lines, r.n_removed) for r in kept.collect()} == {(7, 10, 2, 1), (5, 8, 1, 1), (1, 4, 1, 0)}
+
+
 def test_rows_without_id_stay_in_the_pipeline(spark):
     docs = spark.createDataFrame([(4916, "a"), (None, "b"), (2, "c")], DOCS)
     left = corpus_pipeline._without(docs, docs.filter("doc_id = 4916")).collect()
