@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderloom.llm import bpe, contamination, language, line_dedup, near_dups
-from orderloom.llm.store import likely, stored
+from orderloom.llm.store import free_name, likely, stored
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -29,8 +29,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes repeated lines out of the texts, and drops documents of which nothing is left."""
-    out = line_dedup.dedup_lines(docs, short_repeats=True).filter("n_removed = 0 OR text <> ''")
-    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    lines, removed = free_name(docs, "_lines"), free_name(docs, "_removed")
+    out = line_dedup.dedup_lines(docs, short_repeats=True, counts=(lines, removed)).filter((F.col(removed) == 0) | (F.col("text") != ""))
+    n_chars = F.when(F.col(removed) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
