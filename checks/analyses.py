@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.logical_sql import AS_OF as AS_OF_SQL
-from checks.logical_sql import contains_any, normalised
-from checks.registry import query, rounded
+from checks.logical_sql import contains_any, normalised, twin
+from checks.registry import TWINS, query, rounded
 from orderloom.functions.dates import days_back, last_year_start
 from orderloom.operators import buckets, catalogue, daily, drinks, features, hexes, models, orders, profile, rules, vectors
 from orderloom.plans import reports
@@ -48,6 +48,22 @@ def customer_value(tb: Testbed) -> DataFrame:
     return out.withColumn("active_months", F.col("active_months").cast("long"))
 
 
+UNSCORED = twin(["customer_panel"], f"SELECT {PANEL_COLUMNS} FROM customer_panel").replace("JOIN customer_lto lto", "LEFT JOIN customer_lto lto")
+
+
+@query()
+def customer_value_unscored(tb: Testbed) -> DataFrame:
+    """The value panel with customers that have no prediction of yesterday."""
+    out = orders.customer_value(
+        tb.order_facts(stores=False), tb.order_pnl(), tb.customer_ltv(), tb.customer_lto(), AS_OF, COUNTRIES, keep_unscored=True
+    )
+    out = rounded(out, {c: 6 for c in ("plto_1y", "plto_3y", "plto_5y", "aov", "contribution_margin_eur", "rpo", "cpo")})
+    return out.withColumn("active_months", F.col("active_months").cast("long"))
+
+
+TWINS["customer_value_unscored"] = UNSCORED
+
+
 @query(f"SELECT {PANEL_COLUMNS} FROM customer_panel", ["customer_panel"])
 def customer_value_daily(tb: Testbed) -> DataFrame:
     """The value panel from kept days: the history once, then the last day alone."""
@@ -129,6 +145,18 @@ def kmeans_buckets(tb: Testbed) -> DataFrame:
     return buckets.kmeans_buckets(rows, "country", "aov").select("country", "customer_id", "bucket")
 
 
+@query(
+    kmeans_sql("customer_panel", "SELECT country, customer_id, coalesce(bucket, '1. Low') AS bucket FROM bucketed WHERE aov IS NOT NULL"),
+    ["customer_panel"],
+    recursive=True,
+)
+def kmeans_low_outliers(tb: Testbed) -> DataFrame:
+    """Values below the lower fence are of the lowest bucket."""
+    rows = materialise(panel(tb).select("country", "customer_id", "aov"))
+    out = buckets.kmeans_buckets(rows, "country", "aov", low_outliers="lowest")
+    return out.filter("aov IS NOT NULL").select("country", "customer_id", "bucket")
+
+
 PREDICTED = ("pltv_1y", "pltv_3y", "pltv_5y", "plto_1y", "plto_3y", "plto_5y")
 SUMMED = ("contribution_margin_eur", "rpo_total", "cpo_total", "aov_min", "aov_max", *[f"{c}_sum" for c in PREDICTED])
 REPORT_SQL = f"""SELECT country, bucket, cluster_customers, total_orders, total_qcomm_orders, active_months,
@@ -843,6 +871,19 @@ def spearman(tb: Testbed) -> DataFrame:
     return rounded(features.spearman(tb.raw("lineitem"), CORRELATED, "l_quantity"))
 
 
+@query(
+    """SELECT 'l_extendedprice' AS metric, round(corr(a, b), 6) AS spearman FROM (
+        SELECT rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2.0::DOUBLE AS a,
+            rank() OVER (ORDER BY l_tax) + (count(*) OVER (PARTITION BY l_tax) - 1) / 2.0::DOUBLE AS b
+        FROM lineitem WHERE l_linenumber NOT IN (3, 4) AND l_returnflag <> 'R')"""
+)
+def spearman_with_holes(tb: Testbed) -> DataFrame:
+    """NaN and null in either column."""
+    price = F.expr("CASE WHEN l_linenumber = 3 THEN double('NaN') WHEN l_linenumber <> 4 THEN l_extendedprice END")
+    rows = tb.raw("lineitem").select(price.alias("l_extendedprice"), F.expr("CASE WHEN l_returnflag = 'R' THEN double('NaN') ELSE l_tax END").alias("l_tax"))
+    return rounded(features.spearman(rows, ["l_extendedprice"], "l_tax"))
+
+
 @query(
     """SELECT o_orderkey, o_orderpriority, r <= floor(0.25 * n) AS is_test FROM (SELECT o_orderkey, o_orderpriority,
         row_number() OVER (PARTITION BY o_orderpriority ORDER BY ('0x' || substr(md5(o_orderkey || '-42'), 1, 13))::BIGINT, o_orderkey) AS r,
@@ -1068,6 +1109,36 @@ def separable_categories(tb: Testbed) -> DataFrame:
     return tested.select("id", "order_country_code", "Category", "predicted_category")
 
 
+SPLIT_ORDERS = "(SELECT o_orderkey AS id, o_orderstatus AS kind FROM orders)"
+
+
+@query(f"SELECT id, kind, kind AS predicted FROM ({held_out(SPLIT_ORDERS, 'kind', 0.25, 'id')})")
+def separable_forest(tb: Testbed) -> DataFrame:
+    """A weighted forest over numbers that tell the class: every held-out row gets its own."""
+    shift = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 10).otherwise(20)
+    rows = tb.raw("orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("kind"), (shift + F.col("o_orderkey") % 7).cast("double").alias("signal"),
+        (F.col("o_custkey") % 5).cast("double").alias("noise"),
+    )
+    parts = materialise(features.stratified_split(rows, "kind", "id", 0.25))
+    fitted = models.fit_forest(parts.filter(~F.col("is_test")), ["signal", "noise"], "kind", trees=20)
+    return fitted.transform(parts.filter("is_test")).select("id", "kind", "predicted")
+
+
+SPLIT_PARTS = "(SELECT p_partkey AS id, CASE WHEN p_name LIKE '%bolt%' OR p_name LIKE '%gear%' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS label FROM part)"
+
+
+@query(f"SELECT id, label, CASE WHEN label = 1 THEN 'drink' ELSE 'other' END AS predicted_category FROM ({held_out(SPLIT_PARTS, 'label', 0.2, 'id')})")
+def separable_binary(tb: Testbed) -> DataFrame:
+    """The drink-or-other model over names whose last word tells: every held-out row gets its own."""
+    drink = F.col("p_name").contains("bolt") | F.col("p_name").contains("gear")
+    train = tb.raw("part").select(
+        F.col("p_partkey").alias("id"), F.lit("A").alias("order_country_code"), F.col("p_name").alias("product_name"), F.when(drink, " Drink").otherwise("food").alias("Category")
+    )
+    _, tested = models.fit_binary(train, "id", "A")
+    return tested.select("id", "label", "predicted_category")
+
+
 @query("SELECT doc_id, true AS same FROM documents WHERE text IS NOT NULL")
 def model_round_trip(tb: Testbed) -> DataFrame:
     """Whether a category model says the same of every document after it was saved and loaded."""

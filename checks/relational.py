@@ -38,6 +38,17 @@ def top_partners(tb: Testbed) -> DataFrame:
     return orders.top_partners(tb.order_facts(), AS_OF, 90, 5, COUNTRIES)
 
 
+@query(
+    """SELECT * FROM (SELECT order_country_code, store_name, count(DISTINCT order_id) AS orders,
+            row_number() OVER (PARTITION BY order_country_code ORDER BY count(DISTINCT order_id) DESC, store_name) AS rank
+        FROM recent_food WHERE order_parent_relationship_type IS NULL AND store_name IS NOT NULL GROUP BY 1, 2) WHERE rank <= 100""",
+    ["recent_food"],
+)
+def top_partners_of_a_country(tb: Testbed) -> DataFrame:
+    """With the operator's own number of partners."""
+    return orders.top_partners(tb.order_facts(), AS_OF, 90, countries=COUNTRIES)
+
+
 @query(
     """SELECT order_country_code AS country, o.order_id, order_transacted_value_eur AS aov,
         round(contribution_margin_eur, 6) AS contribution_margin_eur

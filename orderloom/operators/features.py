@@ -95,12 +95,13 @@ def one_hot_vectors(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def spearman(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
     """Rank correlation of each column with the target, ties at their mean rank.
 
+    Pairs in which either value is null or NaN are left out.
     Equal (value, target) pairs are counted first; ranks are found on distinct values
     and the correlation is a weighted sum, so a value shared by most rows is one row.
     """
     long = melt(df.select(*columns, F.col(target).cast("double").alias("_y")), columns, ["_y"])
     pairs = materialise(
-        long.filter(F.col("value").isNotNull() & F.col("_y").isNotNull())
+        long.filter(F.col("value").isNotNull() & F.col("_y").isNotNull() & ~F.isnan("value") & ~F.isnan("_y"))
         .groupBy("metric", "value", "_y")
         .agg(F.count(F.lit(1)).alias("w"))
     )

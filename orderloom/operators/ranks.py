@@ -1,9 +1,9 @@
 """Exact quantiles, ranks and modes that never gather one group in one task.
 
-``percentile`` and an ordered window both hold a whole group in a single task. Here a quantile
-sketch cuts the values of each group into intervals. Counts per interval tell how many values
-lie before it, so only values within one interval are ever put in order. The sketch decides how
-even the intervals are, never the result; there is one way for every size of group.
+``percentile`` and an ordered window both hold a whole group in a single task. Here equal values of a
+group are folded to one row, and the rows are dealt out by ranges of (group, value): a large group is
+spread over many tasks, many small groups share one. Counts per task tell how many values lie
+before its own, so only the rows of one task are ever put in order. There is one way for every size of group.
 """
 
 from __future__ import annotations
@@ -15,10 +15,6 @@ from pyspark.sql import functions as F
 
 from orderloom.session import materialise
 
-SKETCH_ACCURACY = 20000
-#: A group is cut into SPLITS * SPLITS intervals, found in two steps of SPLITS comparisons.
-SPLITS = 32
-
 
 def melt(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Long form ``(keep..., metric, value)`` of numeric columns; a map-side step."""
@@ -34,32 +30,17 @@ def _renamed(keys: Sequence[str], prefix: str) -> list[Column]:
     return [F.col(k).alias(f"{prefix}{i}") for i, k in enumerate(keys)]
 
 
-def _with_interval(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Adds ``_part``, the number of the value's interval inside its group, ascending with the value.
+def _dealt(counts: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Adds ``_part``, the number of the range that a (group, value) lies in, ascending with both.
 
-    The sketch is written, so a task that runs again sees the same edges. Edges travel in two
-    short arrays instead of one long one, which would be copied to every row.
+    The table is written, so a task that runs again sees the same ranges.
     """
-    shares = ", ".join(f"{i / SPLITS**2!r}D" for i in range(1, SPLITS**2))
-    sketch = materialise(
-        rows.groupBy(*keys).agg(F.expr(f"percentile_approx(`{value}`, array({shares}), {SKETCH_ACCURACY}) AS edges"))
-    )
-    coarse = sketch.select(
-        *_renamed(keys, "_s"), F.expr(f"transform(sequence(1, {SPLITS - 1}), i -> edges[i * {SPLITS} - 1]) AS _coarse")
-    )
-    runs = f"transform(sequence(0, {SPLITS - 1}), i -> slice(edges, i * {SPLITS} + 1, {SPLITS - 1}))"
-    fine = sketch.select(*_renamed(keys, "_f"), F.expr(f"posexplode({runs}) AS (_of, _fine)"))
-
-    def below(edges: str) -> Column:
-        return F.expr(f"coalesce(size(filter({edges}, e -> e < `{value}`)), 0)")
-
-    stepped = rows.join(coarse, _same(keys, "_s")).withColumn("_step", below("_coarse"))
-    found = stepped.join(fine, [*_same(keys, "_f"), F.col("_step") == F.col("_of")])
-    return found.select(*rows.columns, (F.col("_step") * SPLITS + below("_fine")).alias("_part"))
+    ranged = counts.repartitionByRange(*[F.col(k) for k in keys], F.col(value))
+    return materialise(ranged.withColumn("_part", F.spark_partition_id()))
 
 
 def _interval_totals(placed: DataFrame, keys: Sequence[str], count: Column) -> DataFrame:
-    """Per interval its ``_total``, the ``_shift`` of intervals before it, and the group's ``n``."""
+    """Per group and range its ``_total``, the ``_shift`` of ranges before it, and the group's ``n``."""
     whole = Window.partitionBy(*keys)
     earlier = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     totals = placed.groupBy(*keys, "_part").agg(F.sum(count).alias("_total"))
@@ -73,7 +54,7 @@ def _interval_totals(placed: DataFrame, keys: Sequence[str], count: Column) -> D
 
 
 def _before(keys: Sequence[str], value: str, count: str) -> Column:
-    """Values smaller than this one in its group: those of earlier intervals and of its own."""
+    """Values smaller than this one in its group: those of earlier ranges and of its own."""
     inside = Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     return F.col("_shift") + F.coalesce(F.sum(count).over(inside), F.lit(0))
 
@@ -83,8 +64,8 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linear-interpolated quantiles per group as one array column, and their count ``n``.
 
-    Nulls and NaN are left out. Only values of the intervals that hold a wanted position are
-    kept, equal ones folded into a count; a group without values gives no row.
+    Nulls and NaN are left out. Only values of the ranges that hold a wanted position are
+    put in order; a group without values gives no row.
     """
     keys = [f"_g{i}" for i in range(len(groups) or 1)]
     sources = [F.col(g) for g in groups] or [F.lit(0)]
@@ -94,14 +75,10 @@ def exact_quantiles(
     )
     spots = [f"({float(p)!r}D * (n - 1))" for p in probs]
     ends = [(f"_{end}{i}", f"{end}({s})") for i, s in enumerate(spots) for end in ("floor", "ceil")]
-    placed = _with_interval(rows, keys, "_v")
+    placed = _dealt(rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")), keys, "_v")
     holds = " OR ".join(f"(_shift <= {at} AND {at} < _shift + _total)" for _, at in ends)
-    wanted = materialise(_interval_totals(placed, keys, F.lit(1)).filter(holds))
-    near = (
-        placed.join(wanted, [*_same(keys, "_t"), F.col("_part") == F.col("_at")])
-        .groupBy(*keys, "_part", "_shift", "n", "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
+    wanted = _interval_totals(placed, keys, F.col("_c")).filter(holds)
+    near = placed.join(wanted, [*_same(keys, "_t"), F.col("_part") == F.col("_at")])
     ranked = near.withColumn("before", _before(keys, "_v", "_c"))
     found = ranked.groupBy(*keys, "n").agg(
         *[F.expr(f"max(CASE WHEN before <= {at} AND {at} < before + _c THEN _v END) AS {end}") for end, at in ends]
@@ -117,7 +94,7 @@ def value_ranks(counts: DataFrame, groups: Sequence[str], value: str, count: str
     ``counts`` holds one row per (group, value).
     """
     keys = list(groups)
-    placed = materialise(_with_interval(counts, keys, value))
+    placed = _dealt(counts, keys, value)
     totals = _interval_totals(placed, keys, F.col(count))
     shifted = placed.join(totals, [*_same(keys, "_t"), F.col("_part") == F.col("_at")])
     rank = _before(keys, value, count) + (F.col(count) + 1) / F.lit(2.0)

@@ -220,6 +220,12 @@ def test_user_type_model(spark):
     assert sum(r.n for r in parts["confusion"].collect()) == 30
 
 
+def test_spearman_leaves_nan_pairs_out(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(1.0, 1.0), (2.0, 2.0), (3.0, 3.0), (nan, 0.0), (0.0, nan), (None, 5.0)], "a double, y double")
+    assert features.spearman(df, ["a"], "y").first().spearman == pytest.approx(1.0)
+
+
 def test_split_is_exact_for_awkward_sizes(spark):
     for n in (1130, 1171, 1173):
         df = spark.range(n).withColumn("label", F.lit("x"))

@@ -15,7 +15,8 @@ pytestmark = pytest.mark.skipif(not FOLDER.exists(), reason="driver tables are n
 COMPARED = (
     "order_facts_scan", "calendar_windows", "month_diff", "normalised_names", "keyword_match",
     "customer_value", "customer_profile", "drinks_kpis", "hex_demand_city", "hexagon_coverage",
-    "relabel_rules", "quartiles", "csv_round_trip",
+    "relabel_rules", "quartiles", "csv_round_trip", "coverage_of_the_globe", "wkt_areas", "distinct_customers",
+    "csv_bad_lines", "sql_parameters", "spearman_with_holes",
 )
 
 

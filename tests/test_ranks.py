@@ -13,10 +13,18 @@ def frame(spark, groups):
     return spark.createDataFrame(rows, "g string, v double").repartition(3)
 
 
-@pytest.mark.parametrize("accuracy", [20, ranks.SKETCH_ACCURACY])
-def test_exact_quantiles(spark, monkeypatch, accuracy):
-    """Against numpy; a poor sketch gives uneven intervals and the same quantiles."""
-    monkeypatch.setattr(ranks, "SKETCH_ACCURACY", accuracy)
+@pytest.fixture(params=["4", "60"])
+def tasks(spark, request):
+    """Few large ranges, and many small ones that are not put together again."""
+    spark.conf.set("spark.sql.shuffle.partitions", request.param)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", str(request.param == "4").lower())
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_exact_quantiles(spark, tasks):
+    """Against numpy."""
     rng = random.Random(7)
     groups = {
         "wide": [rng.lognormvariate(0, 3) for _ in range(3000)],
@@ -63,9 +71,7 @@ def test_quantiles_of_a_group_with_one_hot_value(spark):
     assert got["cold"].q == [7.0, 7.0, 7.0] and got["cold"].n == 5000
 
 
-@pytest.mark.parametrize("accuracy", [20, ranks.SKETCH_ACCURACY])
-def test_value_ranks(spark, monkeypatch, accuracy):
-    monkeypatch.setattr(ranks, "SKETCH_ACCURACY", accuracy)
+def test_value_ranks(spark, tasks):
     rng = random.Random(3)
     values = [float(rng.randint(0, 40)) for _ in range(500)]
     counts = frame(spark, {"x": values, "y": [1.0, 1.0, 2.0]}).groupBy("g", "v").agg(F.count("v").alias("c"))
