@@ -134,8 +134,9 @@ def linked(fps: DataFrame, distance: int = 4) -> DataFrame:
     buckets = stored(buckets.filter("size > 1").select("key", "size", "x", "y", "all", F.col("first.fp").alias("hub")))
     # Up to three members are known from the bucket itself: the smallest, the largest, and what is left of all.
     few = buckets.filter("size <= 3").withColumn("z", F.when(F.col("size") == 3, F.expr("all ^ x ^ y")))
-    pairs = few.select(F.explode(F.array(*[F.struct(F.col(a).alias("a"), F.col(b).alias("b")) for a, b in ("xy", "xz", "yz")])).alias("p")).select("p.*")
-    small = pairs.filter(_close("a", "b", distance))
+    pairs = F.array(*[F.struct(F.col(a).alias("a"), F.col(b).alias("b")) for a, b in ("xy", "xz", "yz")])
+    near = F.filter(pairs, lambda p: F.coalesce(F.bit_count(p["a"].bitwiseXOR(p["b"])) <= distance, F.lit(False)))
+    small = few.select(F.explode(near).alias("p")).select("p.*")
     hubs = buckets.filter("size > 3").select("key", "hub")
     members = stored(entries.join(hubs, "key"))
     first = members.filter(F.col("fp") != F.col("hub")).filter(_close("fp", "hub", distance))
