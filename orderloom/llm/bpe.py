@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from orderloom.llm.store import text_batches
 
 #: Pre-tokens remembered by a Python worker in each of two generations, and the letters each may have.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 _LONGEST = 64
 #: Ranks are marked in groups of 2**_GROUP.
 _GROUP = 8
@@ -47,8 +47,9 @@ def read_ranks(spark: SparkSession, path: str) -> list[bytes]:
 class Encoder:
     """Encodes pre-tokens with given tokens in order of rank."""
 
-    def __init__(self, tokens: list[bytes], pattern: str):
+    def __init__(self, tokens: list[bytes], pattern: str, remembered: int = REMEMBERED):
         self.tokens = tokens
+        self.remembered = remembered
         self.texts = [str(i) for i in range(len(tokens))]
         rank = {token: i for i, token in enumerate(tokens)}
         self.rank = rank
@@ -160,7 +161,7 @@ class Encoder:
             ids = self.merge(word.encode())
             known = (len(ids), "," + ",".join(map(self.texts.__getitem__, ids)), self.decode(ids))
         if len(word) <= _LONGEST:
-            if len(self.young) >= REMEMBERED:
+            if len(self.young) >= self.remembered:
                 self.old, self.young = self.young, {}
             self.young[word] = known
         return known
@@ -187,22 +188,23 @@ class Encoder:
 _encoders: dict[tuple, Encoder] = {}
 
 
-def shared_encoder(tokens: list[bytes], pattern: str) -> Encoder:
+def shared_encoder(tokens: list[bytes], pattern: str, remembered: int = REMEMBERED) -> Encoder:
     """The encoder of this Python worker, with the pre-tokens it remembers from earlier tasks."""
-    key = (pattern, tuple(tokens))
+    key = (pattern, remembered, tuple(tokens))
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(tokens, pattern)
+        _encoders[key] = Encoder(tokens, pattern, remembered)
     return _encoders[key]
 
 
-def with_tokens(docs: DataFrame, tokens: list[bytes], pattern: str, arrays: bool = True) -> DataFrame:
+def with_tokens(docs: DataFrame, tokens: list[bytes], pattern: str, arrays: bool = True, remembered: int = REMEMBERED) -> DataFrame:
     """Encodes and decodes every text: ``doc_id, n_tokens, ids_sha256, decoded_sha256`` and the ids.
 
     ``ids_sha256`` is the hash of the decimal ids joined by commas, ``decoded_sha256`` that of the
-    bytes decoded from the ids. ``arrays`` adds the ids themselves as ``ids`` (array<int>).
+    bytes decoded from the ids. ``arrays`` adds the ids themselves as ``ids`` (array<int>). ``remembered``
+    pre-tokens of at most 64 letters, some 300 bytes each, are kept by a worker in each of two generations.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((tokens, pattern))  # a vocabulary: fixed size
+    shared = docs.sparkSession.sparkContext.broadcast((tokens, pattern, remembered))  # a vocabulary: fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared_encoder(*shared.value)
