@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from orderloom.llm import bpe, contamination, language, line_dedup, near_dups
 from orderloom.llm.store import free_name, likely, stored
 
+#: Pre-tokens remembered by a worker: fewer than where encoding is all that a worker does.
+REMEMBERED = 100_000
+
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``docs`` less the rows with one of the ids; most of the other texts are not shuffled."""
@@ -47,7 +50,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with the hashes of the ids and of the bytes decoded from them."""
-    return bpe.with_tokens(docs, bpe.read_ranks(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
+    ranks = bpe.read_ranks(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return bpe.with_tokens(docs, ranks, public_tokenizers.PATTERN, remembered=REMEMBERED)
 
 
 STAGES = [
