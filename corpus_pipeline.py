@@ -15,7 +15,7 @@ from orderloom.llm import bpe, contamination, language, line_dedup, near_dups
 from orderloom.llm.store import free_name, likely, stored
 
 #: Pre-tokens remembered by a worker: fewer than where encoding is all that a worker does.
-REMEMBERED = 100_000
+REMEMBERED = 30_000
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
