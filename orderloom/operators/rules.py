@@ -5,9 +5,13 @@ that holds one of a step's words (whatever the case) gets its category and, if g
 steps look at the new text. Rules can be changed by whoever keeps the table; the plan is the same for ten
 words and for ten thousand.
 
-Every word is indexed under one run of up to ``RUN`` letters of it, the one that the fewest names hold. Names
-are folded to distinct ones, meet the index by their own runs, and only then is the word itself looked
-for. So a name is compared with the few words that share a rare run with it.
+Names are folded to distinct ones and cut at white space; equal tokens of all names are folded to one. A word
+without white space lies in a token, so words are looked for in the tokens, once in each, and a name has the
+steps of its tokens: no text is searched, and what grows with the texts is one row for each token of a name.
+A word of several pieces is looked for in the names that hold its rarest piece.
+
+Among the tokens every word is indexed under one run of up to ``RUN`` letters of it, the one that the fewest
+tokens hold. Tokens meet the index by their own runs, and only then is the word itself looked for.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from orderloom.operators.orders import spread_key
 from orderloom.session import materialise
 
 RUN = 3
+_SPACE = r"\s+"
 RULE_SCHEMA = "order_country_code string, step int, word string, category string, rename string"
 _EVENT = "struct<step: int, category: string, rename: string>"
 
@@ -72,6 +77,50 @@ def word_hits(names: DataFrame, words: DataFrame) -> DataFrame:
     return met.join(names.select(country, "id", "name"), [country, "id"]).filter(F.contains("name", "word")).drop("name")
 
 
+def _pieces(text: str) -> Column:
+    """The distinct pieces of a text between white space."""
+    return F.array_distinct(F.filter(F.split(F.col(text), _SPACE), lambda piece: piece != ""))
+
+
+def step_hits(names: DataFrame, words: DataFrame) -> DataFrame:
+    """``order_country_code, id, step`` wherever a name holds a word of the step, without repeated rows.
+
+    ``names`` is as in ``word_hits``, ``words`` has ``order_country_code, step, word``.
+    """
+    country = "order_country_code"
+    words = materialise(words.select(country, "step", "word", _pieces("word").alias("pieces"), F.col("word").rlike(_SPACE).alias("spaced")))
+    said = names.select(country, "id", F.explode(_pieces("name")).alias("token"))
+    tokens = materialise(said.groupBy(country, "token").agg(F.count(F.lit(1)).alias("seen")))
+    tokens = materialise(tokens.select(country, F.monotonically_increasing_id().alias("id"), F.col("token").alias("name"), "seen"))
+    parts = words.select(country, F.explode("pieces").alias("word")).distinct()
+    inside = word_hits(tokens.drop("seen"), parts).join(tokens, [country, "id"])
+    inside = materialise(inside.select(country, F.col("name").alias("token"), "seen", F.col("word").alias("piece")))
+    whole = words.filter("NOT spaced").select(country, "step", F.col("word").alias("piece"))
+    steps = inside.join(whole, [country, "piece"]).groupBy(country, "token").agg(F.collect_set("step").alias("steps"))
+    hits = said.join(materialise(steps), [country, "token"]).select(country, "id", F.explode("steps").alias("step"))
+    # A null: there are no such words.
+    kinds = words.filter("spaced").agg(F.max(F.size("pieces") > 0).alias("pieced"), F.max(F.size("pieces") == 0).alias("blank")).first()
+    if kinds.pieced:
+        rated = inside.groupBy(country, "piece").agg(F.sum("seen").alias("seen"))
+        probes = (
+            words.filter("spaced").select(country, "word", F.explode("pieces").alias("piece")).distinct()
+            .join(rated, [country, "piece"], "left")
+            .groupBy(country, "word")
+            .agg(F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "piece")).alias("best"))
+            .filter("best.seen > 0")
+            .select(country, "word", F.col("best.piece").alias("piece"))
+        )
+        probed = materialise(inside.join(probes, [country, "piece"]).select(country, "token", "word"))
+        met = said.join(probed, [country, "token"]).select(country, "id", "word").distinct()
+        held = met.join(names.select(country, "id", "name"), [country, "id"]).filter(F.contains("name", "word"))
+        hits = hits.union(held.join(words, [country, "word"]).select(country, "id", "step"))
+    if kinds.blank:
+        blank = words.filter("spaced AND size(pieces) = 0")
+        held = word_hits(names, blank.select(country, "word").distinct())
+        hits = hits.union(held.join(blank, [country, "word"]).select(country, "id", "step"))
+    return hits.distinct()
+
+
 def _events(hits: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per key the steps it meets, in order, as ``events``."""
     return hits.groupBy(*keys).agg(F.sort_array(F.collect_set(F.struct("step", "category", "rename"))).alias("events"))
@@ -96,8 +145,9 @@ def _resolved(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
     words = clean.select(country, "step", F.lower("word").alias("word")).distinct().join(action, [country, "step"])
     words = materialise(words)
     sources = materialise(words.filter("rename IS NOT NULL").select(country, F.col("step").alias("id"), F.lower("rename").alias("name")).distinct())
-    found = word_hits(sources, words.select(country, "word").distinct()).join(words, [country, "word"])
-    later = _events(found.filter("step > id"), [country, "id"]).withColumnRenamed("id", "source")
+    actions = words.select(country, "step", "category", "rename").distinct()
+    found = step_hits(sources, words).filter("step > id").join(actions, [country, "step"])
+    later = _events(found, [country, "id"]).withColumnRenamed("id", "source")
     tails = sources.select(country, F.col("id").alias("source")).join(later, [country, "source"], "left")
     tails = tails.select(country, "source", F.coalesce("events", F.expr(f"CAST(array() AS array<{_EVENT}>)")).alias("events"))
     tails = tails.withColumn("tail", F.expr(_until_renamed("events")))
@@ -117,7 +167,7 @@ def _with_events(products: DataFrame, rules: DataFrame) -> DataFrame:
     lowered = F.lower("product_name")
     names = materialise(products.filter(F.col("product_name").isNotNull()).select(country, lowered.alias("name")).distinct())
     names = materialise(names.select(country, F.monotonically_increasing_id().alias("id"), "name"))
-    hits = word_hits(names, words.select(country, "word").distinct()).join(words, [country, "word"])
+    hits = step_hits(names, words).join(words.select(country, "step", "category", "rename").distinct(), [country, "step"])
     events = _events(hits, [country, "id"]).withColumn("events", F.expr(_until_renamed("events")))
     events = events.withColumn("source", F.expr(_last_rename("events")))
     # Without a new text there is no source; those names are not part of the join.

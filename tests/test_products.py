@@ -100,6 +100,21 @@ def test_plan_of_a_rule_table_does_not_grow_with_its_words(spark):
     assert size(10) == size(3000)
 
 
+def test_words_are_looked_for_in_tokens(spark):
+    """Plain, pieced and blank words against brute force; without the last two no text is searched."""
+    random.seed(5)
+    names = [(random.choice("AB"), i, "".join(random.choices("abc \t\n", k=random.randint(0, 40)))) for i in range(300)]
+    held = spark.createDataFrame(names, "order_country_code string, id long, name string")
+    plain = ["a", "ab", "abc", "cabbc", "zz"]
+    for words in (plain, [*plain, "a b", " c", "\tb", "a  c", "ab c a", "zz a", " ", "\n\t"]):
+        ruled = [(country, step % 4, word) for country in "A" for step, word in enumerate(words)]
+        hits = rules.step_hits(held, spark.createDataFrame(ruled, "order_country_code string, step int, word string"))
+        want = {(c, i, step) for c, i, name in names for country, step, word in ruled if c == country and word in name}
+        got = [tuple(r) for r in hits.collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        assert ("Contains" in hits._jdf.queryExecution().optimizedPlan().toString()) == (words is not plain)
+
+
 def test_empty_rule_table(spark):
     df = products(spark, [("A", 1, "cola", " Drink"), (None, 2, None, None)])
     for ruled in (spark.createDataFrame([], rules.RULE_SCHEMA), rules.rule_table(spark, {"A": (catalogue.Rule(("",), "other"),)})):
