@@ -44,8 +44,11 @@ def word_vectors(df: DataFrame, column: str = "product_name", window: int = WIND
         raise ValueError(f"size must lie between 1 and {SIZE}")
     beside = ", ".join(str(d) for d in range(-window, window + 1) if d)
     pairs = f"flatten(transform(words, (w, i) -> transform(array({beside}), d -> struct(w AS word, get(words, i + d) AS near))))"
-    said = df.select(words_of(F.col(column)).alias("words")).select(F.explode(F.expr(pairs)).alias("p")).select("p.*").filter("near IS NOT NULL")
-    counts = materialise(said.groupBy("word", "near").agg(F.count(F.lit(1)).alias("n")))
+    # Equal names have equal pairs, so each is taken apart once.
+    names = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("name")).agg(F.count(F.lit(1)).alias("times"))
+    said = names.select(words_of(F.col("name")).alias("words"), "times").select(F.explode(F.expr(pairs)).alias("p"), "times")
+    said = said.select("p.*", "times").filter("near IS NOT NULL")
+    counts = materialise(said.groupBy("word", "near").agg(F.sum("times").alias("n")))
     # A window looks both ways, so a word has as many pairs as a neighbour as it has as a word.
     totals = materialise(counts.groupBy("word").agg(F.sum("n").alias("total")).filter(F.col("total") >= min_count))
     kept = counts.join(totals, "word").join(totals.select(F.col("word").alias("near"), F.col("total").alias("near_total")), "near")
