@@ -25,6 +25,14 @@ def words_of(name: Column) -> Column:
     return F.regexp_extract_all(F.lower(name), F.lit(WORD), F.lit(0))
 
 
+def _counted(names: DataFrame) -> DataFrame:
+    """``id, word, times`` of ``names`` (``id, name``), counted within the row: runs of equal words once they are sorted."""
+    said = names.select("id", F.array_sort(words_of(F.col("name"))).alias("said")).filter(F.size("said") > 0)
+    starts = said.select("id", "said", F.expr("filter(sequence(0, size(said) - 1), i -> i = 0 OR said[i] <> said[i - 1])").alias("starts"))
+    runs = F.expr("transform(starts, (i, k) -> struct(said[i] AS word, CAST(coalesce(get(starts, k + 1), size(said)) - i AS BIGINT) AS times))")
+    return starts.select("id", F.explode(runs).alias("w")).select("id", "w.word", "w.times")
+
+
 def _direction(word: Column) -> Column:
     """64 bits of the word's digest, as a whole number."""
     return F.conv(F.substring(F.md5(word), 1, 16), 16, -10).cast("long")
@@ -67,13 +75,14 @@ def word_vectors(df: DataFrame, column: str = "product_name", window: int = WIND
 def mean_vectors(df: DataFrame, vectors: DataFrame, column: str = "product_name", size: int = SIZE) -> DataFrame:
     """Adds ``features`` (mean vector of the name's known words) and ``known_words`` to rows with a name.
 
-    A name without known words has the zero vector. Equal names are worked out once.
+    A name without known words has the zero vector. Equal names are worked out once. The words of a name are
+    counted within its row and its sums begun in the same task, so of a name one row is shuffled when the
+    vectors are few enough to be broadcast.
     """
     named = df.filter(F.col(column).isNotNull())
-    names = materialise(named.select(F.col(column).alias("name")).distinct())
+    names = named.select(F.col(column).alias("name")).distinct()
     names = materialise(names.select(F.monotonically_increasing_id().alias("id"), "name"))
-    said = names.select("id", F.explode(words_of(F.col("name"))).alias("word")).groupBy("id", "word").agg(F.count(F.lit(1)).alias("times"))
-    known = said.join(vectors.select("word", "vector"), "word")
+    known = _counted(names).join(vectors.select("word", "vector"), "word")
     means = known.groupBy("id").agg(
         F.sum("times").alias("known_words"),
         *[(F.sum(F.col("times") * F.col("vector")[i]) / F.sum("times")).alias(f"v{i}") for i in range(size)],

@@ -160,6 +160,21 @@ def test_word_vectors_find_neighbours(spark):
     assert means[1] == (3, pytest.approx(((2 * want["cola"] + want["pizza"]) / 3).tolist(), abs=1e-9))
 
 
+def test_equal_names_and_words_are_folded_early(spark, monkeypatch):
+    """Equal names are taken apart once; of a name one row is shuffled when the vectors are broadcast."""
+    plans = []
+    kept = vectors.materialise
+    monkeypatch.setattr(vectors, "materialise", lambda df: plans.append(df._jdf.queryExecution()) or kept(df))
+    rows = [(i, ["ice cola b a a", "a a", "cola ice"][i % 3]) for i in range(30)]
+    df = spark.createDataFrame(rows, "id int, product_name string")
+    found = vectors.word_vectors(df)
+    assert re.search(r"Generate explode.*Aggregate \[", plans[0].optimizedPlan().toString(), re.S)
+    assert {r.word: r.n for r in found.collect()} == {"ice": 10 * 5, "cola": 10 * 5, "b": 10 * 4, "a": 10 * (2 * 4 + 2)}
+    plans.clear()
+    assert {r.known_words for r in vectors.mean_vectors(df, found).collect()} == {2, 5}
+    assert plans and not any(re.search(r"hashpartitioning\([^)]*word#", q.executedPlan().toString()) for q in plans)
+
+
 def test_models_on_word_vectors(spark):
     """Names of one category share no word with those of the other."""
     train = training(spark).withColumn("product_name", F.regexp_replace("product_name", " [0-9]", ""))
