@@ -8,11 +8,8 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import (
-    HashingTF,
     IDF,
     IndexToString,
-    NGram,
-    RegexTokenizer,
     SQLTransformer,
     StringIndexer,
     VectorAssembler,
@@ -25,6 +22,7 @@ from pyspark.sql import types as T
 from orderloom.functions.numbers import ratio_or_zero
 from orderloom.functions.text import canonical_category, sql_text
 from orderloom.operators.features import stratified_split
+from orderloom.operators.grams import GramCounts
 from orderloom.operators.vectors import mean_vectors
 from orderloom.session import materialise
 from orderloom.sources.tables import stack
@@ -132,16 +130,14 @@ def classification_metrics(pred: DataFrame, label: str, predicted: str) -> DataF
 
 def text_stages(column: str = "product_name", n: int = 3, width: int = 1 << 12) -> list:
     """Character n-grams of the whole text, hashed and weighted by rarity."""
-    letters = RegexTokenizer(inputCol=column, outputCol="_letters", pattern="", minTokenLength=1)
-    grams = NGram(n=n, inputCol="_letters", outputCol="_grams")
-    counts = HashingTF(numFeatures=width, inputCol="_grams", outputCol="_tf")
-    return [letters, grams, counts, IDF(inputCol="_tf", outputCol="features")]
+    counts = GramCounts(inputCol=column, outputCol="_tf", n=n, numFeatures=width)
+    return [counts, IDF(inputCol="_tf", outputCol="features")]
 
 
 def text_vectors(df: DataFrame, column: str = "product_name", n: int = 3, width: int = 1 << 12) -> DataFrame:
     """Adds ``features`` to rows with a name."""
     rows = df.dropna(subset=[column])
-    return Pipeline(stages=text_stages(column, n, width)).fit(rows).transform(rows).drop("_letters", "_grams", "_tf")
+    return Pipeline(stages=text_stages(column, n, width)).fit(rows).transform(rows).drop("_tf")
 
 
 def encoded_vectors(
@@ -212,7 +208,7 @@ def fit_by_country(
     parts = stratified_split(clean, "order_country_code", identity, test_fraction, seed)
     *stages, rarity = text_stages()
     if vectors is None:
-        ready, learners = PipelineModel(stages=stages).transform(parts).drop("_letters", "_grams"), [rarity]
+        ready, learners = PipelineModel(stages=stages).transform(parts), [rarity]
     else:
         ready, stages, learners = mean_vectors(parts, vectors), [], []
     ready = _country_folders(ready)
@@ -235,7 +231,7 @@ def fit_by_country(
     fitted = _at_once([lambda c=c: fit(c) for c in countries])
     models = dict(zip(countries, fitted, strict=True))
     tested = []
-    done = {"_letters", "_grams", "_tf"} & set(ready.columns)
+    done = "_tf" in ready.columns
     for country, model in models.items():
         # Renamed, so that a category unseen in training is still a row to predict.
         asked = ready.filter(_in_country(country) & F.col("is_test")).withColumnRenamed("Category", "_actual")

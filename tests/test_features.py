@@ -6,9 +6,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer
 from pyspark.sql import functions as F
 
-from orderloom.operators import features, models, vectors
+from orderloom.operators import features, grams, models, vectors
 from orderloom.plans import reports
 
 
@@ -125,6 +126,20 @@ def test_models_by_country(spark):
     assert {r.predicted_category for r in got} <= {"drink", "other"}
 
 
+def test_gram_counts_are_those_of_the_plain_stages(spark):
+    rng = random.Random(9)
+    letters = "abcDE é☃ИΣ\n\u2028😀İ字"
+    rows = ["", "ab", "Abc", "😀", "x😀", "ΑΣ ΑΣ.", "a" * 3000, *["".join(rng.choices(letters, k=rng.randint(0, 60))) for _ in range(200)]]
+    rows.append("".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(500)))
+    df = spark.createDataFrame(list(enumerate(rows)), "id int, product_name string").repartition(3)
+    for n, width in ((3, 1 << 12), (2, 100), (5, 1 << 18)):
+        plain = RegexTokenizer(inputCol="product_name", outputCol="l", pattern="", minTokenLength=1).transform(df)
+        plain = HashingTF(numFeatures=width, inputCol="g", outputCol="want").transform(NGram(n=n, inputCol="l", outputCol="g").transform(plain))
+        stage, *_ = models.text_stages(n=n, width=width)
+        got = stage.transform(plain).collect()
+        assert isinstance(stage, grams.GramCounts) and all(r._tf == r.want for r in got)
+
+
 def test_word_vectors_find_neighbours(spark):
     """Words that stand in the same places are near; the rest is not. Everything against plain sums."""
     rng = random.Random(3)
