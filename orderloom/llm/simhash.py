@@ -114,15 +114,9 @@ def _close(a: str, b: str, distance: int):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
 
 
-def _drawn(turn: int):
+def _drawn(turn: int, *more: str):
     """The member of a bucket with the smallest hash, another one in every bucket and turn."""
-    return F.min(F.struct(F.xxhash64("key", "fp", F.lit(turn)).alias("draw"), "fp"))
-
-
-def _open(grouped: DataFrame) -> DataFrame:
-    """The members of buckets with several components."""
-    several = grouped.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high")
-    return grouped.join(several.select("key"), "key", "left_semi")
+    return F.min(F.struct(F.xxhash64("key", "fp", F.lit(turn)).alias("draw"), "fp", *more))
 
 
 def linked(fps: DataFrame, distance: int = 4) -> DataFrame:
@@ -144,22 +138,22 @@ def linked(fps: DataFrame, distance: int = 4) -> DataFrame:
     labels = components(links).withColumnRenamed("id", "fp")
     grouped = stored(members.select("key", "fp").join(labels, "fp", "left").select("key", "fp", F.coalesce("component", "fp").alias("group")))
     for turn in range(1, TURNS + 1):
-        left = stored(_open(grouped))
-        hub = left.groupBy("key").agg(_drawn(turn).alias("first")).select("key", F.col("first.fp").alias("hub"))
-        group_of = left.select("key", F.col("fp").alias("hub"), F.col("group").alias("there"))
-        met = left.join(hub.join(group_of, ["key", "hub"]), "key").filter(F.col("group") != F.col("there")).filter(_close("fp", "hub", distance))
+        # Only links between components are rows; a bucket within one component has no hub, so it meets none.
+        drawn = grouped.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), _drawn(turn, "group").alias("first"))
+        hub = drawn.filter("low <> high").select("key", F.col("first.fp").alias("hub"), F.col("first.group").alias("there"))
+        met = grouped.join(hub, "key").filter(F.col("group") != F.col("there")).filter(_close("fp", "hub", distance))
         # A component is named by one of its fingerprints, so links of components are links as well.
         found = stored(met.select(F.col("group").alias("a"), F.col("there").alias("b")).distinct())
         links = links.union(found)
         merged = components(found).select(F.col("id").alias("group"), F.col("component").alias("next"))
-        grouped = stored(left.join(merged, "group", "left").select("key", "fp", F.coalesce("next", "group").alias("group")))
-    left = stored(_open(grouped))
-    sizes = left.groupBy("key", "group").agg(F.count("*").alias("size"))
-    major = sizes.groupBy("key").agg(F.max(F.struct("size", "group")).alias("most")).select("key", F.col("most.group").alias("major"))
-    minor = left.join(major, "key").filter(F.col("group") != F.col("major"))
+        grouped = stored(grouped.join(merged, "group", "left").select("key", "fp", F.coalesce("next", "group").alias("group")))
+    sizes = grouped.groupBy("key", "group").agg(F.count("*").alias("size"))
+    most = F.max(F.struct("size", "group")).alias("most")
+    several = sizes.groupBy("key").agg(F.count("*").alias("groups"), most).filter("groups > 1").select("key", F.col("most.group").alias("major"))
+    minor = grouped.join(stored(several), "key").filter(F.col("group") != F.col("major"))
     minor = minor.select(F.col("key").alias("at"), F.col("fp").alias("x"), F.col("group").alias("mine"))
     unlike = (F.col("key") == F.col("at")) & (F.col("mine") != F.col("group")) & _close("x", "fp", distance)
-    more = stored(minor.join(left, unlike).select(F.col("mine").alias("a"), F.col("group").alias("b")).distinct())
+    more = stored(minor.join(grouped, unlike).select(F.col("mine").alias("a"), F.col("group").alias("b")).distinct())
     return components(links.union(more)).withColumnRenamed("id", "fp")
 
 

@@ -230,6 +230,17 @@ def test_a_group_of_near_copies_is_one_component(spark):
     assert out.filter(F.col("fp").isNull()).count() == 0
 
 
+def test_members_of_open_buckets_are_not_rows_of_a_join(spark, monkeypatch):
+    """Whether a bucket holds several components is found by its aggregate; only links are rows."""
+    plans = []
+    kept = simhash.stored
+    monkeypatch.setattr(simhash, "stored", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or kept(df))
+    points = [1, 3, 1 << 40, (1 << 40) + 1, (1 << 40) + 31, 7 << 20, 7]
+    label = {r.fp: r.component for r in simhash.linked(spark.createDataFrame([(p,) for p in points], "fp long")).collect()}
+    assert [label.get(p, p) for p in points] == groups(list(zip(points, points)), 4)
+    assert plans and not any("LeftSemi" in plan for plan in plans)
+
+
 def test_language_with_declarations_hidden_or_wrong(spark):
     """Held-out accuracy: a declaration that is away, or wrong, must not decide."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("length(text) > 60")
