@@ -2,11 +2,13 @@
 
 The vectors are those of ``RegexTokenizer`` with an empty pattern, ``NGram`` and ``HashingTF`` one after another: a
 gram is n letters with blanks between them, lower case, a letter beyond 16 bits counts as two question marks, and the
-place is the gram's Murmur3 hash with seed 42. Here no text is made of a gram but once for all equal ones of a batch.
+place is the gram's Murmur3 hash with seed 42. Here no text is made of a gram but once for all equal ones that a
+worker meets: as long as the letters are few, every possible gram has a cell for its place, kept from batch to batch.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +22,9 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Letters that are taken apart at a time, and cells of a table that is filled instead of sorting.
-_BLOCK, _CELLS = 1 << 20, 1 << 22
+#: Letters that are taken apart at a time, so that their arrays stay near the processor, and cells of a table of places.
+_BLOCK, _CELLS = 1 << 17, 1 << 22
+_BEYOND = re.compile("[\U00010000-\U0010ffff]")
 _VECTOR = pa.struct([("type", pa.int8()), ("size", pa.int32()), ("indices", pa.list_(pa.int32())), ("values", pa.list_(pa.float64()))])
 
 
@@ -62,34 +65,62 @@ def _places(letters: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+class _Cells:
+    """A cell for the place of every gram of some letters, filled when the gram is first met."""
+
+    def __init__(self, kinds: np.ndarray, n: int, width: int):
+        self.kinds, self.n, self.width = kinds, n, width
+        self.short = np.full(1 << 16, -1, np.int32)
+        self.short[kinds] = np.arange(len(kinds))
+        self.place = np.full(len(kinds) ** n, -1, np.int32)
+
+    def places(self, short: np.ndarray) -> np.ndarray:
+        size, length = len(self.kinds), len(short) - self.n + 1
+        code = short[:length].copy()
+        for i in range(1, self.n):
+            code *= size
+            code += short[i : i + length]
+        found = self.place[code]
+        new = code[found < 0]
+        if len(new):
+            new = np.unique(new)
+            powers = size ** np.arange(self.n - 1, -1, -1)
+            self.place[new] = _places(self.kinds[new[:, None] // powers % size], self.width)
+            found = self.place[code]
+        return found
+
+
+#: The table of a worker for each (n, width).
+_tables: dict[tuple[int, int], _Cells] = {}
+
+
 def _gram_places(letters: np.ndarray, n: int, width: int) -> np.ndarray:
     """The place of the gram at every letter; equal grams are hashed once."""
-    windows = np.lib.stride_tricks.sliding_window_view(letters, n)
-    present = np.zeros(1 << 16, bool)
-    present[letters] = True
-    kinds = np.flatnonzero(present)
-    if len(kinds) ** n <= _CELLS:
-        # Few letters: every possible gram has a cell, so nothing is sorted.
-        short = np.zeros(1 << 16, np.int64)
-        short[kinds] = np.arange(len(kinds))
-        short = short[letters]
-        code = np.zeros(len(windows), np.int64)
-        for i in range(n):
-            code = code * len(kinds) + short[i : i + len(windows)]
-        cell = np.full(len(kinds) ** n, -1, np.int64)
-        cell[code] = np.arange(len(code))
-        used = np.flatnonzero(cell >= 0)
-        cell[used] = _places(windows[cell[used]], width)
-        return cell[code]
-    rows = np.ascontiguousarray(windows).view(np.dtype((np.void, 2 * n))).reshape(-1)
-    _, first, at = np.unique(rows, return_index=True, return_inverse=True)
-    return _places(windows[first], width)[at.reshape(-1)]
+    table = _tables.get((n, width))
+    short = table.short[letters] if table else None
+    if short is None or short.min() < 0:
+        present = np.zeros(1 << 16, bool)
+        present[letters] = True
+        own = np.flatnonzero(present)
+        if len(own) ** n > _CELLS:
+            rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(letters, n))
+            _, first, at = np.unique(rows.view(np.dtype((np.void, 2 * n))).reshape(-1), return_index=True, return_inverse=True)
+            return _places(rows[first], width)[at.reshape(-1)]
+        if table:
+            present[table.kinds] = True
+        both = np.flatnonzero(present)
+        # Letters of other alphabets are forgotten when all of them would need too many cells.
+        table = _tables[n, width] = _Cells(both if len(both) ** n <= _CELLS else own, n, width)
+        short = table.short[letters]
+    return table.places(short)
 
 
 def gram_counts(texts: list[str], n: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sizes, places and counts of the sparse vectors of lower-case texts without letters beyond 16 bits."""
+    """Sizes, places and counts of the sparse vectors of lower-case texts."""
     sizes = np.array([len(t) for t in texts], np.int64)
     letters = np.frombuffer("".join(texts).encode("utf-16-le"), "<u2")
+    if len(letters) != sizes.sum():
+        return gram_counts([_BEYOND.sub("??", t) for t in texts], n, width)
     ends = np.cumsum(sizes)
     held = np.maximum(sizes - n + 1, 0)
     if not held.sum():
@@ -97,7 +128,7 @@ def gram_counts(texts: list[str], n: int, width: int) -> tuple[np.ndarray, np.nd
     text = np.repeat(np.arange(len(texts)), held)
     at = np.arange(len(text)) + np.repeat(ends - sizes - (np.cumsum(held) - held), held)
     key = text * width + _gram_places(letters, n, width)[at]
-    if len(texts) * width <= max(8 * len(key), _CELLS):
+    if len(texts) * width <= 8 * len(key):
         dense = np.bincount(key, minlength=len(texts) * width)
         key = np.flatnonzero(dense)
         counts = dense[key]
@@ -144,5 +175,4 @@ class GramCounts(Transformer, HasInputCol, HasOutputCol, HasNumFeatures, Default
 
         # Vectors are larger than their texts, so a batch has few rows.
         dataset.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-        text = F.regexp_replace(F.lower(F.col(f"`{self.getInputCol()}`")), r"[\x{10000}-\x{10FFFF}]", "??")
-        return dataset.withColumn(self.getOutputCol(), counted(text))
+        return dataset.withColumn(self.getOutputCol(), counted(F.lower(F.col(f"`{self.getInputCol()}`"))))

@@ -140,6 +140,35 @@ def test_gram_counts_are_those_of_the_plain_stages(spark):
         assert isinstance(stage, grams.GramCounts) and all(r._tf == r.want for r in got)
 
 
+def test_gram_places_are_kept_between_batches(monkeypatch):
+    """A gram is hashed once by a worker, not once in each batch; the tables stay small and the counts are plain ones."""
+    hashed = []
+    plain = grams._places
+    monkeypatch.setattr(grams, "_places", lambda letters, width: hashed.append(len(letters)) or plain(letters, width))
+    monkeypatch.setattr(grams, "_tables", {}, raising=False)
+
+    def check(texts, n=3, width=1 << 10):
+        held, places, counts = grams.gram_counts(texts, n, width)
+        said = ["".join("??" if ord(c) > 0xFFFF else c for c in t) for t in texts]
+        for text in said:
+            of = [" ".join(text[i : i + n]).encode() for i in range(len(text) - n + 1)]
+            at = [int(grams.murmur3(np.frombuffer(g, np.uint8)[None]).view(np.int32)[0]) % width for g in of]
+            size, held = held[0], held[1:]
+            assert dict(zip(places[:size].tolist(), counts[:size].tolist())) == dict(Counter(at))
+            places, counts = places[size:], counts[size:]
+
+    check(["abcabc", "", "ab", "bca cab"])
+    check(["abcabc", "bca cab"])
+    first = sum(hashed)
+    for _ in range(3):
+        check(["abcabc", "bca cab"])
+    assert first > 0 and sum(hashed) == first
+    # New letters, letters beyond 16 bits, and alphabets that have no room in one table or in any.
+    for texts in (["abcé", "x\U0001F600y"], ["".join(map(chr, range(0x100, 0x190)))], ["".join(map(chr, range(0x4E00, 0x5000)))], ["abcabc"]):
+        check(texts)
+    assert all(len(t.place) <= grams._CELLS for t in grams._tables.values())
+
+
 def test_word_vectors_find_neighbours(spark):
     """Words that stand in the same places are near; the rest is not. Everything against plain sums."""
     rng = random.Random(3)
