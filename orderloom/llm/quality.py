@@ -10,7 +10,10 @@ unknown words a probability; its number of grams is fixed by the kinds, so it is
 
 The logarithm of a word's probability is a sum of numbers of its n-grams: of a gram seen, what it adds to
 the lower order; of a context seen, the weight that it leaves; nothing of one unseen. So a text's
-log probability is the sum, over its distinct n-grams, of count times number: one join and one sum.
+log probability is the sum, over its distinct n-grams, of count times number: one join and one sum. Most
+n-grams of two or three words are in no model and add nothing: a sieve of fixed size, broadcast, tells most of
+them before they are shuffled. It never drops one that a model has; over very many it merely drops fewer.
+The model of all trusted text is built only if a row is in another language.
 
 A document is kept while its log perplexity is at most the ``quantile`` of the trusted documents of its
 language, over all labels; without ``quantile``, q90 + 3 * (q90 - q50). Log perplexity is per byte. A text's mean is
@@ -31,13 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderloom.llm import textbits as tb
-from orderloom.llm.store import stored, text_batches
+from orderloom.llm.store import packed, stored, text_batches, unpacked
 
 LANGUAGES = ("de", "en", "es", "fr")
 ORDER, KINDS = 4, 32
 GRAMS = KINDS**ORDER
 SHRINK = 50
 LINE_END = 27
+#: Bits of the sieve (a power of two), and the parts in which it is put together.
+SIEVE, SIEVE_PARTS = 1 << 28, 64
 _BEGIN, _END = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC3A5C85C97CB3127)
 
 KIND = np.full(256, 31, np.uint8)  # bytes outside ASCII
@@ -205,10 +210,11 @@ def _long(keys: np.ndarray) -> pa.Array:
     return pa.array(keys.view(np.int64))
 
 
-def _word_counts(trusted: DataFrame, models: int, tables) -> DataFrame:
+def _word_counts(trusted: DataFrame, models: int, tables, every: bool = True) -> DataFrame:
     """``model, gram, context, low, context_one, one, spell, n`` of the word trigrams of each model.
 
-    Model ``2 * m + half`` learns from the texts of language ``m`` in the other half.
+    Model ``2 * m + half`` learns from the texts of language ``m`` in the other half; without ``every``, the
+    last language, which learns from all texts, is left out.
     """
     names = ["gram", "context", "low", "context_one", "one"]
 
@@ -217,7 +223,7 @@ def _word_counts(trusted: DataFrame, models: int, tables) -> DataFrame:
             grams = Grams(piece.column(1))
             own, half = (np.array(piece.column(c).to_pylist(), np.int64) for c in (0, 2))
             columns = [grams.three, grams.context_two, grams.two, grams.context_one, grams.one]
-            for model in (own, np.full(len(own), models - 1)):
+            for model in (own, np.full(len(own), models - 1))[: 1 + every]:
                 use = np.flatnonzero(own[grams.doc] != models - 1) if model is own else np.arange(len(grams.doc))
                 spell = grams.spelled(tables.value, model)
                 of = (2 * model + 1 - half)[grams.doc]
@@ -231,9 +237,9 @@ def _word_counts(trusted: DataFrame, models: int, tables) -> DataFrame:
     return stored(told.groupBy("model", "gram").agg(*rest, F.sum("n").alias("n")))
 
 
-def _word_numbers(trusted: DataFrame, models: int, tables) -> tuple[DataFrame, DataFrame]:
+def _word_numbers(trusted: DataFrame, models: int, tables, every: bool = True) -> tuple[DataFrame, DataFrame]:
     """``model, gram, number`` of every gram and context, and each model's log weight of unknown words."""
-    three = _word_counts(trusted, models, tables)
+    three = _word_counts(trusted, models, tables, every)
     # Continuation counts: after how many words a shorter gram was seen.
     two = three.groupBy("model", F.col("low").alias("gram")).agg(
         F.first("context_one").alias("context"), F.first("one").alias("low"), F.first("spell").alias("spell"), F.count("*").alias("n"))
@@ -259,10 +265,55 @@ def _word_numbers(trusted: DataFrame, models: int, tables) -> tuple[DataFrame, D
     return stored(numbers.groupBy("model", "gram").agg(F.sum("number").alias("number"), F.max("word").alias("word"))), unknown
 
 
-def _text_grams(rows: DataFrame, tables) -> DataFrame:
+def _sieve_places(model: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each gram of a model."""
+    key = tb.mix(gram + tb.mix(model.astype(np.uint64) + np.uint64(1)))
+    return (key % np.uint64(SIEVE)).astype(np.int64), ((key >> np.uint64(32)) % np.uint64(SIEVE)).astype(np.int64)
+
+
+def _sieve(numbers: DataFrame) -> np.ndarray:
+    """Bytes whose bits are set for every gram of more than one word that a model has."""
+    size = SIEVE // 8 // SIEVE_PARTS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(SIEVE // 8, np.uint8)
+        for batch in batches:
+            model, gram = (batch.column(c).to_numpy() for c in (0, 1))
+            for at in _sieve_places(model, gram.view(np.uint64)):
+                np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        some = [part for part in range(SIEVE_PARTS) if bits[part * size : (part + 1) * size].any()]
+        for part in some:
+            yield pa.record_batch([pa.array([part], pa.int32()), pa.array([packed(bits[part * size : (part + 1) * size])], pa.binary())], ["part", "bits"])
+
+    def both(table: pa.Table) -> pa.Table:
+        bits = np.zeros(size, np.uint8)
+        for some in table.column("bits"):
+            bits |= unpacked(some.as_py(), np.uint8)
+        return pa.table({"part": table.column("part")[:1], "bits": pa.array([packed(bits)], pa.binary())})
+
+    told = numbers.filter("NOT word").select("model", "gram").mapInArrow(run, "part int, bits binary")
+    # The parts of some tasks are put together first, so no task gets those of all.
+    some = told.withColumn("salt", F.spark_partition_id() % 64).groupBy("part", "salt")
+    some = some.applyInArrow(lambda t: both(t.select(["part", "bits"])), "part int, bits binary")
+    out = np.zeros(SIEVE // 8, np.uint8)
+    for row in some.groupBy("part").applyInArrow(both, "part int, bits binary").collect():  # SIEVE bits at most
+        out[row["part"] * size : (row["part"] + 1) * size] = unpacked(row["bits"], np.uint8)
+    return out
+
+
+def _sifted(bits: np.ndarray, model: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """Places of the grams that their model may have."""
+    first, second = _sieve_places(model, gram)
+    at = np.flatnonzero(bits[first >> 3] >> (first & 7).astype(np.uint8) & 1)
+    second = second[at]
+    return at[np.flatnonzero(bits[second >> 3] >> (second & 7).astype(np.uint8) & 1)]
+
+
+def _text_grams(rows: DataFrame, tables, sieve) -> DataFrame:
     """``key, n_bytes, model, gram, n, spell`` of the distinct grams of each text; ``spell`` of words only.
 
-    The context before the first word comes once a text, with ``begin`` set.
+    The context before the first word comes once a text, with ``begin`` set. Grams of more words that
+    are certainly in no model are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,6 +325,9 @@ def _text_grams(rows: DataFrame, tables) -> DataFrame:
             some = [(grams.one, grams.doc, spell, 0), (grams.two, grams.doc, None, 0), (grams.three, grams.doc, None, 0)]
             some += [(_key(1, begin), np.arange(len(keys)), None, 1), (_key(2, begin, begin), np.arange(len(keys)), None, 0)]
             for gram, doc, spelled, first in some:
+                if spelled is None and not first:
+                    may = _sifted(sieve.value, (2 * model + half)[doc], gram)
+                    gram, doc = gram[may], doc[may]
                 order = np.lexsort((gram, doc))
                 of, value = doc[order], gram[order]
                 new = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (value[1:] != value[:-1]))) if len(of) else np.zeros(0, np.int64)
@@ -292,11 +346,13 @@ def _scored(rows: DataFrame, trusted: DataFrame, models: list[str]) -> DataFrame
     """``doc_id, model, n_bytes, nats`` for rows of ``doc_id, model, text``."""
     tables = rows.sparkSession.sparkContext.broadcast(_models(trusted, models).astype(np.float64))
     half = F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half")  # equal texts are in one half
-    numbers, unknown = _word_numbers(trusted.select("model", "text", half), len(models), tables)
+    every = not rows.filter(F.col("model") == len(models) - 1).isEmpty()
+    numbers, unknown = _word_numbers(trusted.select("model", "text", half), len(models), tables, every)
+    sieve = rows.sparkSession.sparkContext.broadcast(_sieve(numbers))
     rows = rows.withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
     rows = rows.withColumn("key", F.xxhash64("model", "text"))
     some = rows.filter("n_bytes > 0")
-    grams = _text_grams(some.select("key", "n_bytes", "model", "text", half), tables)
+    grams = _text_grams(some.select("key", "n_bytes", "model", "text", half), tables, sieve)
     met = grams.join(numbers, ["model", "gram"], "left").join(F.broadcast(unknown), "model", "left")
     unseen = F.when(F.col("spell").isNotNull() & F.col("word").isNull(), F.coalesce("unknown", F.lit(0.0)) + F.col("spell"))
     gained = F.col("n") * (F.coalesce("number", F.lit(0.0)) + F.coalesce(unseen, F.lit(0.0)))

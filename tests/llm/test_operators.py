@@ -417,6 +417,37 @@ def test_word_scores_equal_the_plain_recursion(spark):
     assert got == {i: pytest.approx(-sum(math.log(p(g, half[t])) for g in steps(t)), rel=1e-6) for i, t in enumerate(asked)}
 
 
+def test_quality_sends_only_ngrams_that_a_model_may_have(spark, monkeypatch):
+    random.seed(21)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(random.choice(words) for _ in range(60)) for _ in range(40)]
+    rows = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "doc_id long, model int, text string")
+    trusted = rows.filter("doc_id < 20").select("model", "text")
+    sent, known, grams, sums = [], [], quality._text_grams, quality._word_numbers
+    monkeypatch.setattr(quality, "_text_grams", lambda *a: sent.append(grams(*a)) or sent[-1])
+    monkeypatch.setattr(quality, "_word_numbers", lambda *a: known.append(sums(*a)) or known[-1])
+    got = {r.doc_id: r.nats for r in quality._scored(rows, trusted, ["x", "other"]).collect()}
+    found = {(r.model, r.gram) for r in known[0][0].collect()}
+    asked = [(r.model, r.gram) for r in sent[0].filter("spell IS NULL AND begin = 0").collect()]
+    # A hash alone of some thousand n-grams may pass the sieve.
+    assert len(set(asked) - found) < 5
+    monkeypatch.setattr(quality, "_sieve", lambda numbers: np.full(quality.SIEVE // 8, 255, np.uint8))
+    assert {r.doc_id: r.nats for r in quality._scored(rows, trusted, ["x", "other"]).collect()} == {i: pytest.approx(x, rel=1e-12) for i, x in got.items()}
+    every = [(r.model, r.gram) for r in sent[1].filter("spell IS NULL AND begin = 0").collect()]
+    assert Counter(asked) == Counter({g: n for g, n in Counter(every).items() if g in set(asked)}) and set(every) & found <= set(asked)
+    assert len(every) > 2 * len(asked)
+
+
+def test_quality_learns_all_text_only_for_rows_of_other_languages(spark, monkeypatch):
+    known, sums = [], quality._word_numbers
+    monkeypatch.setattr(quality, "_word_numbers", lambda *a: known.append(sums(*a)) or known[-1])
+    rows = [(i, 0, f"the cat sat on mat {i}") for i in range(12)]
+    for other in ([], [(99, 1, "the cat sat")]):
+        docs = spark.createDataFrame(rows + other, "doc_id long, model int, text string")
+        assert quality._scored(docs, docs.filter("model = 0").select("model", "text"), ["x", "other"]).count() == len(rows + other)
+    assert [{r.model for r in numbers.select("model").distinct().collect()} for numbers, _ in known] == [{0, 1}, {0, 1, 2, 3}]
+
+
 def test_kneser_ney_is_a_distribution(spark):
     df = spark.createDataFrame([(0, "the cat sat on the mat. the cat ran."), (0, "a dog sat on a log.")], "model int, text string")
     table = np.exp(quality._models(df, ["x", "other"]).astype(float)).reshape(2, -1, quality.KINDS)
