@@ -289,3 +289,24 @@ def test_split_is_exact_for_awkward_sizes(spark):
     for n in (1130, 1171, 1173):
         df = spark.range(n).withColumn("label", F.lit("x"))
         assert features.stratified_split(df, "label", "id", 0.2).filter("is_test").count() == int(0.2 * n)
+
+
+def test_texts_are_tested_for_nulls_below_the_join(spark, monkeypatch):
+    """The split of the rows needs their ids and labels only, so no text may be shuffled for it."""
+    seen = []
+
+    def caught(df, *_):
+        seen.append(df)
+        raise InterruptedError
+
+    monkeypatch.setattr(models, "stratified_split", caught)
+    names = spark.createDataFrame([(1, "PL", "a"), (2, "PL", None), (3, None, "b"), (4, "PL", "")], "id long, order_country_code string, product_name string")
+    kinds = spark.createDataFrame([(1, "drink"), (2, "drink"), (3, "other"), (4, None), (4, "other")], "id long, Category string")
+    for fit, kept in ((lambda df: models.fit_binary(df, "id", "PL"), [1, 4]), (lambda df: models.fit_by_country(df, "id"), [1, 4]), (lambda df: models.fit_binary(df, "id"), [1, 3, 4])):
+        with pytest.raises(InterruptedError):
+            fit(names.join(kinds, "id"))
+        ids = seen[-1].select("id")
+        assert sorted(r.id for r in ids.collect()) == kept
+        plan = ids._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        joined = [line for line in plan if "Join Inner" in line or "Project [" in line]
+        assert len(joined) > 2 and not any("product_name" in line for line in joined)
