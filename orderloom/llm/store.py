@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -10,11 +13,47 @@ from pyspark.sql import functions as F
 from orderloom.session import shared_path
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Writes ``df`` below the checkpoint folder and reads it back; it outlives any executor."""
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_made: list[list[tuple[str, DataFrame]]] = []
+
+
+def stored(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Writes ``df`` below the checkpoint folder and reads it back; it outlives any executor.
+
+    With ``by``, a column of few whole numbers, there is a folder for each.
+    """
     path = shared_path(df.sparkSession, "llm")
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+    if _made:
+        _made[-1].append((path, back))
+    return back
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """What ``stored`` writes inside is emptied at the end, but for the tables put into the list that this gives.
+
+    Inside, Spark removes the shuffle files of each query when it ends.
+    """
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    kept: list[DataFrame] = []
+    _made.append([])
+    try:
+        yield kept
+    finally:
+        for path, df in _made.pop():
+            if not any(df is k for k in kept):
+                # An overwrite by nothing takes the files away, in any file system.
+                spark.createDataFrame([], df.schema).coalesce(1).write.mode("overwrite").parquet(path)
+            elif _made:
+                _made[-1].append((path, df))
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
 
 
 def text_batches(docs: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter
 from itertools import combinations
+from pathlib import Path
 
 import corpus_pipeline
 import numpy as np
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from orderloom.llm import bpe, components, contamination, hmm, language, line_dedup, near_dups, quality, queries, shards, suffix_dedup, topk
 from orderloom.llm import textbits as tb
+from orderloom.session import ensure_checkpoint_dir
 
 DOCS = "doc_id long, text string"
 
@@ -448,6 +450,39 @@ def test_quality_learns_all_text_only_for_rows_of_other_languages(spark, monkeyp
     assert [{r.model for r in numbers.select("model").distinct().collect()} for numbers, _ in known] == [{0, 1}, {0, 1, 2, 3}]
 
 
+def test_quality_leaves_no_models_behind_and_scores_as_all_models_at_once(spark):
+    random.seed(30)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(random.choice(words) for _ in range(80)), ("de", "en", None)[i % 3]) for i in range(150)] + [(200, None, "en"), (None, "w1 w2", "fr")]
+    docs = spark.createDataFrame(rows, DOCS + ", lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(100)], "doc_id long, quality int, toxic int")
+    models = ["de", "en", "other"]
+    numbered = docs.select("doc_id", F.when(F.col("lang").isin("de", "en"), (F.col("lang") == "en").cast("int")).otherwise(2).alias("model"), "text")
+    at_once = quality._scored(numbered, numbered.join(labels, "doc_id", "left_semi").select("model", "text"), models)
+    folder = Path(ensure_checkpoint_dir(spark).removeprefix("file:")) / "llm"
+    before = {p: p.stat().st_size for p in folder.rglob("*.parquet")}
+    apart = quality._scored_in_turn(numbered, labels.select("doc_id"), models)
+    left = sum(p.stat().st_size for p in folder.rglob("*.parquet") if p not in before)
+    told = [sorted((r.doc_id or 0, r.model, r.n_bytes, r.nats) for r in df.collect()) for df in (at_once, apart)]
+    assert told[1] == [(*r[:3], pytest.approx(r[3], rel=1e-9)) for r in told[0]] and len(told[1]) == len(rows)
+    # The scores and empty tables; the models of so many n-grams take some 300 kB.
+    assert left < 60_000
+
+
+def test_spelling_of_words_at_the_ends_of_texts(spark):
+    table = np.log(np.random.default_rng(5).random(quality.GRAMS))
+    low = np.frombuffer("abcd\nx yz abc".encode() + b"pqrst", np.uint8)
+    bounds = [(0, 4), (5, 6), (7, 9), (10, 13), (13, 18)]
+    blank = int(quality.KIND[32])
+
+    def plain(a, b):
+        kinds = [blank] * 3 + [int(quality.KIND[x]) for x in low[a:b]] + [blank]
+        return sum(table[sum(kinds[i - back] << 5 * back for back in range(4))] for i in range(3, len(kinds)))
+
+    got = quality._spelled(low, np.array([a for a, _ in bounds]), np.array([b for _, b in bounds]), table)
+    assert got.tolist() == [pytest.approx(plain(a, b), rel=1e-12) for a, b in bounds]
+
+
 def test_kneser_ney_is_a_distribution(spark):
     df = spark.createDataFrame([(0, "the cat sat on the mat. the cat ran."), (0, "a dog sat on a log.")], "model int, text string")
     table = np.exp(quality._models(df, ["x", "other"]).astype(float)).reshape(2, -1, quality.KINDS)
