@@ -15,6 +15,10 @@ n-grams of two or three words are in no model and add nothing: a sieve of fixed
 them before they are shuffled. It never drops one that a model has; over very many it merely drops fewer.
 The model of all trusted text is built only if a row is in another language.
 
+Models are made and asked one after the other, by language and half, so the disk need not hold all of them. N-grams travel
+packed by ranges of their keys. An n-gram's key has the range of the key of its last two words while its model is made: its count and
+its lower order are there, and the sums of its contexts come from the ranges of their own keys.
+
 A document is kept while its log perplexity is at most the ``quantile`` of the trusted documents of its
 language, over all labels; without ``quantile``, q90 + 3 * (q90 - q50). Log perplexity is per byte. A text's mean is
 drawn towards its language's median by ``SHRINK`` characters, so very short texts do not stand out by
