@@ -116,6 +116,29 @@ def test_top_k_with_ties_and_odd_vectors(spark):
         assert [(-r.score, r.vec_id) for r in mine] == best and [r["rank"] for r in mine] == [1, 2, 3, 4, 5]
 
 
+@pytest.mark.parametrize("largest", [1, 2**8, 2**20])
+def test_top_k_broadcasts_nothing_and_shares_blocks_among_few_tasks(spark, monkeypatch, largest):
+    """More blocks than groups and shares: a task merges the picks of several blocks, also between batches."""
+    rng = np.random.default_rng(largest)
+    monkeypatch.setattr(topk, "TASKS", 32, raising=False)
+    monkeypatch.setattr(topk, "PICKS", 3, raising=False)
+    # An identifier may stand in several rows, which count each; the extremes of a size of number are there.
+    rows = [(int(i % 170), [int(x) for x in rng.integers(-128 * largest, 128 * largest, rng.integers(1, 5))]) for i in range(200)]
+    rows += [(180, [-128 * largest]), (181, [127 * largest, 0, 1]), (182, []), (183, [1 << 33])]
+    df = spark.createDataFrame(rows, "id long, v array<long>").repartition(3)
+    got = topk.top_k(df.filter("id % 4 = 0"), df, 5, block_rows=4, query_rows=3)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    tasks = [int(n) for n in re.findall(r"passthrough\(.*, (\d+)\), REPARTITION_BY_NUM", plan)]
+    assert len(tasks) == 2 and math.prod(tasks) <= 32 and min(tasks) > 1
+    assert "CartesianProduct" in plan and "Broadcast" not in plan
+    want = []
+    for q in sorted({i for i, _ in rows if i % 4 == 0}):
+        own = min(v for i, v in rows if i == q)
+        best = sorted((-sum(a * b for a, b in zip(own, v)), i) for i, v in rows if i != q)[:5]
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    assert sorted(map(tuple, got.collect())) == want
+
+
 def distance(x, y):
     row = list(range(len(y) + 1))
     for i, a in enumerate(x, 1):
