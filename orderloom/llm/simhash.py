@@ -119,6 +119,15 @@ def _drawn(turn: int, *more: str):
     return F.min(F.struct(F.xxhash64("key", "fp", F.lit(turn)).alias("draw"), "fp", *more))
 
 
+def _by_key(rows: DataFrame, buckets: DataFrame, on="key") -> DataFrame:
+    """Inner join of ``rows``, one for every bucket and member, that never broadcasts them.
+
+    Spark takes their size from the fingerprints before they are exploded, or from files in which keys and
+    hubs repeat and so take next to no room; it would send many times what it expects through the driver.
+    """
+    return rows.join(buckets.hint("merge"), on)
+
+
 def linked(fps: DataFrame, distance: int = 4) -> DataFrame:
     """``fp, component`` for the distinct ``fp`` that have links; equal components are connected."""
     entries = _variants(fps, distance)
@@ -132,7 +141,7 @@ def linked(fps: DataFrame, distance: int = 4) -> DataFrame:
     near = F.filter(pairs, lambda p: F.coalesce(F.bit_count(p["a"].bitwiseXOR(p["b"])) <= distance, F.lit(False)))
     small = few.select(F.explode(near).alias("p")).select("p.*")
     hubs = buckets.filter("size > 3").select("key", "hub")
-    members = stored(entries.join(hubs, "key"))
+    members = stored(_by_key(entries, hubs))
     first = members.filter(F.col("fp") != F.col("hub")).filter(_close("fp", "hub", distance))
     links = stored(small.union(first.select("fp", "hub")).distinct())
     labels = components(links).withColumnRenamed("id", "fp")
@@ -141,7 +150,7 @@ def linked(fps: DataFrame, distance: int = 4) -> DataFrame:
         # Only links between components are rows; a bucket within one component has no hub, so it meets none.
         drawn = grouped.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), _drawn(turn, "group").alias("first"))
         hub = drawn.filter("low <> high").select("key", F.col("first.fp").alias("hub"), F.col("first.group").alias("there"))
-        met = grouped.join(hub, "key").filter(F.col("group") != F.col("there")).filter(_close("fp", "hub", distance))
+        met = _by_key(grouped, hub).filter(F.col("group") != F.col("there")).filter(_close("fp", "hub", distance))
         # A component is named by one of its fingerprints, so links of components are links as well.
         found = stored(met.select(F.col("group").alias("a"), F.col("there").alias("b")).distinct())
         links = links.union(found)
@@ -150,10 +159,10 @@ def linked(fps: DataFrame, distance: int = 4) -> DataFrame:
     sizes = grouped.groupBy("key", "group").agg(F.count("*").alias("size"))
     most = F.max(F.struct("size", "group")).alias("most")
     several = sizes.groupBy("key").agg(F.count("*").alias("groups"), most).filter("groups > 1").select("key", F.col("most.group").alias("major"))
-    minor = grouped.join(stored(several), "key").filter(F.col("group") != F.col("major"))
+    minor = _by_key(grouped, stored(several)).filter(F.col("group") != F.col("major"))
     minor = minor.select(F.col("key").alias("at"), F.col("fp").alias("x"), F.col("group").alias("mine"))
     unlike = (F.col("key") == F.col("at")) & (F.col("mine") != F.col("group")) & _close("x", "fp", distance)
-    more = stored(minor.join(grouped, unlike).select(F.col("mine").alias("a"), F.col("group").alias("b")).distinct())
+    more = stored(_by_key(grouped, minor, unlike).select(F.col("mine").alias("a"), F.col("group").alias("b")).distinct())
     return components(links.union(more)).withColumnRenamed("id", "fp")
 
 

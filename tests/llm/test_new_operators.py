@@ -241,6 +241,20 @@ def test_members_of_open_buckets_are_not_rows_of_a_join(spark, monkeypatch):
     assert plans and not any("LeftSemi" in plan for plan in plans)
 
 
+def test_rows_of_buckets_are_never_broadcast(spark, monkeypatch):
+    """Their size is taken from a small file before they are exploded, or from compressed ones."""
+    plans = []
+    kept = simhash.stored
+    monkeypatch.setattr(simhash, "stored", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df))
+    random.seed(3)
+    bases = [random.getrandbits(63) for _ in range(3)]
+    points = sorted({b ^ (1 << i) ^ (1 << j) for b in bases for i in range(8) for j in range(30, 50, 5)})
+    label = {r.fp: r.component for r in simhash.linked(spark.createDataFrame([(p,) for p in points], "fp long")).collect()}
+    assert [label.get(p, p) for p in points] == groups(list(zip(points, points)), 4)
+    joins = [line for plan in plans for line in plan.split("\n") if re.search(r"Join \[key#", line)]
+    assert len(joins) == 4 and all("SortMergeJoin" in line for line in joins)
+
+
 def test_language_with_declarations_hidden_or_wrong(spark):
     """Held-out accuracy: a declaration that is away, or wrong, must not decide."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("length(text) > 60")
